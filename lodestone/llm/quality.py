@@ -137,8 +137,8 @@ def train(docs: DataFrame, ratings: DataFrame, *, grade_col: str = "quality", mo
     for r in ranked:
         share = F.when(F.col("grade") == r["grade"], F.lit(min(1.0, most / r["count"]))).otherwise(share)
     picked = rated.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1_000_000)) < share * 1_000_000)
-    # at most about most * grades rows of two numbers each
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(picked, "_id").select("grade", "text")
+    # about most * grades rows of two numbers, whatever the size of the tables
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picked), "_id").select("grade", "text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t.as_buffer().to_pybytes()).astype(np.float16).tobytes() for t in b.column(1)]

@@ -1,61 +1,94 @@
 """Toxicity of whole texts: Levenshtein automata over a trie of learnt terms, and context windows.
 
-A lexicon is learnt from labelled rows (terms that mark toxic texts far more than others) and put in a trie. A word's
-Levenshtein automaton is run along the trie's edges, and a branch is left as soon as the automaton is dead, so
-misspelled terms are found at the cost of a short walk. Each hit is weighed by its distance and by its context: a window
-of words before and after it tells quotation and report from direct abuse. A logistic curve fitted on the same labelled
-rows turns direct and quoted mass into a score.
+A lexicon is learnt from labelled rows: words, and stems with many endings, that mark toxic texts far more than others.
+It is kept as a trie. A word's Levenshtein automaton is run along the trie's edges, and a branch is left as soon as the
+automaton is dead, so misspelled terms are found at the cost of a short walk. Each hit is weighed by its distance and by
+its context: a window of words before and after it tells quotation and report from direct abuse. A logistic curve fitted
+on the same labelled rows turns exact, misspelled and quoted mass into a score.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, text_or_empty
 
-WORD = re.compile(r"[^\W_](?:[\w@$!*'’\-]*[\w@$*])?")
 #: Words on either side of a hit that its context is read from.
 WINDOW = 6
-#: Signs of a quotation or report in the languages of the corpus, and of direct address.
+#: Signs cut from the ends of words; signs of a quotation or report in the languages of the corpus, and of
+#: direct address; signs often written for letters.
+EDGES = ".,;:!?\"'()[]{}<>|%&*#$~`^_=+/\\-–—…“”„«»‘’¿¡"
 REPORTS = frozenset(
     "said says say called calls quote quoted quotes wrote writes word words term insult report reported slur "
     "dit dite mot terme insulte sagte sagt wort zitat schrieb dijo dice palabra insulto cita".split()
 )
-ADDRESS = frozenset("you your youre ur du dein ihr sie tu ton ta vous votre tú tu usted eres es are".split())
+ADDRESS = frozenset("you your youre ur du dein ihr sie tu ton ta vous votre tú usted eres es are".split())
 QUOTES = "\"“”„«»‘"
-#: Signs often written for letters.
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
+SHORTEST_STEM, LONGEST_STEM = 3, 10
+#: Weight of a misspelled term against the term itself: one alone leaves a text in doubt, two don't.
+MISSPELLED = 0.5
+_TOKEN = re.compile(r"\S+")
+_REPEAT = re.compile(r"(.)\1+")
+
+
+def edits_for(n: int) -> int:
+    """Edits allowed for a term of n letters: short ones must match exactly, since one edit makes them other words."""
+    return 0 if n < 5 else 1 if n < 10 else 2
+
+
+def deletions(word: str, most: int) -> set[str]:
+    """The word with up to `most` letters left out."""
+    out = {word}
+    for _ in range(most):
+        out |= {w[:k] + w[k + 1 :] for w in out for k in range(len(w))}
+    return out
 
 
 class Trie:
-    """Lexicon terms by letters; find() walks it with a word's Levenshtein automaton."""
+    """Terms by letters; find() walks it with a word's Levenshtein automaton.
+
+    Words and terms that differ in their first letter are not compared. A word within k edits of a term shares a string
+    with it when up to k letters are left out of both; words that share none are turned away before a walk, which never
+    turns away one that the walk would find.
+    """
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
+        self.shared: dict[tuple[str, int], tuple[int, set[str]]] = {}
         for t in terms:
             node = self.root
             for ch in t:
                 node = node.setdefault(ch, {})
             node[""] = t
+            if most := edits_for(len(t)):
+                for n in range(len(t) - most, len(t) + most + 1):
+                    old, parts = self.shared.get((t[0], n), (0, set()))
+                    self.shared[t[0], n] = max(old, most), parts | deletions(t, most)
 
-    def find(self, word: str, most: int) -> tuple[str, int] | None:
-        """The closest term within `most` edits (a swap of neighbours counts as one), ties to the first in order.
+    def find(self, word: str) -> tuple[str, int] | None:
+        """The term with fewest edits (a swap of neighbours counts as one) within those it allows, ties to the first.
 
         A state of the automaton is the row of edit distances between the letters walked so far and the word's
-        prefixes; no entry within `most` means that the automaton is dead.
+        prefixes; no entry within the allowed edits means that the automaton is dead.
         """
+        most, parts = self.shared.get((word[:1], len(word)), (0, ()))
+        if not most or parts.isdisjoint(deletions(word, most)):
+            return None
         best: tuple[int, str] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)), None, "")]
+        first = self.root[word[0]]
+        stack = [(first, (1, *range(len(word))), tuple(range(len(word) + 1)), word[0])]
         while stack:
             node, row, before, last = stack.pop()
             term = node.get("")
-            if term is not None and row[-1] <= most and (best is None or (row[-1], term) < best):
+            if term is not None and row[-1] <= edits_for(len(term)) and (best is None or (row[-1], term) < best):
                 best = (row[-1], term)
             for ch, child in node.items():
                 if ch == "":
@@ -63,7 +96,7 @@ class Trie:
                 nxt = [row[0] + 1]
                 for j, w in enumerate(word):
                     d = min(row[j + 1] + 1, nxt[j] + 1, row[j] + (w != ch))
-                    if before is not None and j and w == last and word[j - 1] == ch:
+                    if j and w == last and word[j - 1] == ch:
                         d = min(d, before[j - 1] + 1)
                     nxt.append(d)
                 if min(nxt) <= most:
@@ -71,72 +104,108 @@ class Trie:
         return best and (best[1], best[0])
 
 
-def edits_for(n: int) -> int:
-    """Edits allowed for a word of n letters: short words must match exactly, since one edit makes them other words."""
-    return 0 if n < 5 else 1 if n < 9 else 2
-
-
 @dataclass
 class Lexicon:
-    weights: dict[str, float]
-    fuzzy: float = 0.6  # weight of a hit one edit away against an exact one; falls with each further edit
-    trie: Trie = field(init=False)
-    seen: dict[str, tuple[str, float] | None] = field(init=False, default_factory=dict)
+    """Weights of whole words and of stems, which match all words that begin with them.
+
+    innocent has words near a term that are known from texts which aren't toxic; they are no misspellings.
+    """
+
+    words: dict[str, float]
+    stems: dict[str, float] = field(default_factory=dict)
+    innocent: frozenset[str] = frozenset()
+    clean: set[str] = field(init=False, default_factory=set)
+    hits: dict[str, tuple[str, float, int]] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.trie = Trie(sorted(self.weights))
-
-    def hit(self, word: str) -> tuple[str, float] | None:
-        """(term, weight) of a lower-case word, from a bounded memory of earlier answers."""
-        got = self.seen.get(word, 0)
-        if got == 0:
-            if len(self.seen) > 400_000:
-                self.seen.clear()
-            self.seen[word] = got = self._look(word)
-        return got
-
-    def _look(self, word: str) -> tuple[str, float] | None:
-        if word in self.weights:
-            return word, self.weights[word]
-        if len(word) > 40:
+        self.word_trie, self.stem_trie = Trie(sorted(self.words)), Trie(sorted(self.stems))
+        self.stem_sizes = sorted({len(s) for s in self.stems}, reverse=True)
+        self.first = {t[0] for t in (*self.words, *self.stems)}
+        #: lengths at which a word that begins with the letter is compared with stems
+        self.cuts: dict[str, list[int]] = {}
+        for letter, n in sorted(self.stem_trie.shared):
+            self.cuts.setdefault(letter, []).append(n)
+
+    def find(self, tokens: set[str]) -> dict[str, tuple[str, float, int]]:
+        """(term, weight, edits) of those lower-case runs without white space that hit, from a bounded memory of answers."""
+        if len(self.clean) > 500_000:
+            self.clean.clear()
+        for t in tokens.difference(self.clean, self.hits):
+            if found := self._look(t):
+                self.hits[t] = found
+            else:
+                self.clean.add(t)
+        out = {t: self.hits[t] for t in tokens.intersection(self.hits)}
+        if len(self.hits) > 100_000:
+            self.hits.clear()
+        return out
+
+    def _look(self, token: str) -> tuple[str, float, int] | None:
+        w = token.strip(EDGES)
+        if not 2 < len(w) < 60:
+            return None
+        plain = w if w.isalpha() else w.translate(LOOKALIKE)
+        if plain[0] not in self.first and w[0] not in self.first:
+            return None
+        if found := self._exact(w):
+            return found
+        if plain != w and (found := self._exact(plain)):
+            return *found[:2], 1
+        if w in self.innocent:
             return None
-        for w, cost in {word: 0, word.translate(LOOKALIKE): 0, re.sub(r"(.)\1+", r"\1", word): 0}.items():
-            if w in self.weights:
-                return w, self.weights[w] * self.fuzzy
-            if (most := edits_for(len(w))) and (found := self.trie.find(w, most)):
-                term, d = found
-                if d <= edits_for(len(term)) and (d < 2 or w[0] == term[0]):
-                    return term, self.weights[term] * self.fuzzy ** d
+        once = _REPEAT.sub(r"\1", plain)
+        for v in (plain,) if once == plain else (plain, once):
+            if found := self.word_trie.find(v):
+                return found[0], self.words[found[0]], max(found[1], 1)
+            for n in self.cuts.get(v[0], ()):
+                if n <= len(v) and (found := self.stem_trie.find(v[:n])):
+                    return found[0], self.stems[found[0]], max(found[1], 1)
         return None
 
+    def _exact(self, w: str) -> tuple[str, float, int] | None:
+        if w in self.words:
+            return w, self.words[w], 0
+        for n in self.stem_sizes:
+            if w[:n] in self.stems:
+                return w[:n], self.stems[w[:n]], 0
+        return None
+
+
+@dataclass(frozen=True)
+class Hit:
+    word: str
+    term: str
+    position: int
+    edits: int
+    quoted: bool
+
 
-def scan(text: str, lex: Lexicon) -> tuple[float, float, int, list[tuple[str, str, int, bool]]]:
-    """(direct mass, quoted mass, words, hits as (word, term, position, quoted)) of a whole text."""
-    found = [(m.start(), m.group()) for m in WORD.finditer(text)] if len(text) < 2000 else None
+def scan(text: str, lex: Lexicon) -> tuple[tuple[float, float, float], list[Hit]]:
+    """(exact, misspelled, quoted) mass of a whole text, and its hits."""
     low = text.lower()
-    vocabulary = set(WORD.findall(low))
-    terms = {w: h for w in vocabulary if (h := lex.hit(w))}
+    terms = lex.find(set(low.split()))
     if not terms:
-        return 0.0, 0.0, 0, []
-    if found is None or len(low) != len(text):
-        found = [(m.start(), m.group()) for m in WORD.finditer(low)]
-    direct = quoted = 0.0
-    hits = []
-    for k, (at, w) in enumerate(found):
-        h = terms.get(w.lower())
+        return (0.0, 0.0, 0.0), []
+    found = [(m.start(), m.group()) for m in _TOKEN.finditer(low)]
+    mass, hits = [0.0, 0.0, 0.0], []
+    for k, (at, token) in enumerate(found):
+        h = terms.get(token)
         if h is None:
             continue
-        near = [x.lower() for _, x in found[max(0, k - WINDOW) : k + WINDOW + 1]]
-        left, right = low[max(0, at - 40) : at], low[at + len(w) : at + len(w) + 40]
-        told = any(q in left for q in QUOTES) and any(q in right for q in QUOTES) or sum(x in REPORTS for x in near) >= 2
-        told = told and not any(x in ADDRESS for x in near[-WINDOW:][:3])
-        direct, quoted = (direct, quoted + h[1]) if told else (direct + h[1], quoted)
-        hits.append((w, h[0], at, told))
-    return direct, quoted, len(found), hits
+        before = [x.strip(EDGES) for _, x in found[max(0, k - WINDOW) : k]]
+        after = [x.strip(EDGES) for _, x in found[k + 1 : k + 1 + WINDOW]]
+        left, right = low[max(0, at - 40) : at] + token[:1], token[-2:] + low[at + len(token) : at + len(token) + 40]
+        marked = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
+        told = (marked or sum(x in REPORTS for x in chain(before, after)) >= 2) and not any(x in ADDRESS for x in before[-3:])
+        mass[2 if told else 1 if h[2] else 0] += h[1]
+        hits.append(Hit(token.strip(EDGES), h[0], at, h[2], told))
+    return tuple(mass), hits
 
 
-def vector(direct: float, quoted: float) -> list[float]:
-    return [1.0, float(direct > 0), np.log1p(direct), np.log1p(quoted)]
+def vector(mass: tuple[float, float, float]) -> list[float]:
+    exact, misspelled, quoted = mass
+    direct = exact + MISSPELLED * misspelled
+    return [1.0, np.log1p(direct), min(direct, 15.0) / 5, np.log1p(quoted)]
 
 
 @dataclass(frozen=True)
@@ -144,35 +213,63 @@ class ToxicModel:
     lexicon: Lexicon
     weights: np.ndarray
 
-    def score(self, text: str) -> tuple[float, float, float, list]:
-        direct, quoted, _, hits = scan(text, self.lexicon)
-        return float(1 / (1 + np.exp(-np.dot(self.weights, vector(direct, quoted))))), direct, quoted, hits
+    def score(self, text: str) -> tuple[float, tuple[float, float, float], list[Hit]]:
+        mass, hits = scan(text, self.lexicon)
+        return float(1 / (1 + np.exp(-np.dot(self.weights, vector(mass))))), mass, hits
+
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, a, b) from rows (text, label): a and b are how many toxic and other texts hold the word.
 
-def learn_lexicon(rows: DataFrame, *, least: int = 5, ratio: float = 8.0, most: int = 5000) -> dict[str, float]:
-    """Terms with weights from rows (text, label): words in at least `least` toxic texts whose share among toxic texts is
-    at least `ratio` times (with a standard error to spare) that among the others. The `most` strongest stay.
+    a counts at most the distinct words that stand before it in toxic texts, so that a word which only copies of one text
+    share counts little.
     """
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        words, labels = [], []
+        words, before, labels = [], [], []
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = {w for w in WORD.findall(t.lower()) if len(w) < 40 and not w.isdigit()}
-            words += found
-            labels += [y] * len(found)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
-
+            found = t.lower().split()
+            own = dict(zip(found, ["", *found], strict=False))
+            words += own
+            before += own.values() if y else [""] * len(own)
+            labels += [y] * len(own)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string()), pa.array(labels, pa.int32())], ["word", "before", "label"])
+
+    found = arrow_map(rows.select("text", "label"), one, "word string, before string, label int")
+    found = found.select(F.btrim("word", F.lit(EDGES)).alias("word"), "before", "label").where(F.length("word").between(3, 60))
+    pairs = found.groupBy("word", "before").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    return pairs.groupBy("word").agg(F.least(F.sum("a"), F.sum((F.col("a") > 0).cast("int"))).alias("a"), F.sum("b").alias("b"))
+
+
+def learn_lexicon(rows: DataFrame, *, least: int = 5, ratio: float = 20.0, most: int = 5000) -> Lexicon:
+    """Words and stems from rows (text, label) that mark toxic texts.
+
+    A stem's counts are the sums over the words that begin with it; it has three endings at least. A term has a support of
+    at least `least` and 1% of toxic texts, and its share among toxic texts (with 1.5 standard errors to spare) is at
+    least `ratio` times that among the others. Of terms that begin with each other the one with the most support times
+    log strength stays, the longest of equal ones. The first `most` in that order are read.
+    """
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
-        return {}
-    counts = arrow_map(rows.select("text", "label"), one, "word string, label int").groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    spare = F.lit(1.0) - F.lit(1.5) / F.sqrt("a")
-    strength = F.col("a") * spare / n1 / ((F.col("b") + 1.0) / n0)
-    kept = counts.where(F.col("a") >= least).withColumn("strength", strength).where(F.col("strength") >= ratio)
-    top = kept.orderBy(F.desc("strength"), "word").limit(most).collect()
-    # a word of one group of copies marks that group, not toxicity: ask for a share of toxic texts too
-    return {r["word"]: float(min(np.log(r["strength"]), 6.0)) for r in top if r["a"] >= max(least, 0.01 * n1)}
+        return Lexicon({})
+    counts = word_counts(rows)
+    stems = counts.select("a", "b", F.explode(F.transform(F.sequence(F.lit(SHORTEST_STEM), F.least(F.lit(LONGEST_STEM), F.length("word"))), lambda n: F.substring("word", F.lit(1), n))).alias("term"))
+    stems = stems.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum((F.col("a") > 0).cast("int")).alias("endings"))
+    words = counts.select(F.col("word").alias("term"), "a", "b", F.lit(0).alias("endings"))
+
+    def strength(a: Column, b: Column) -> Column:
+        return a * (1.0 - F.least(F.lit(1.5) / F.sqrt(a), F.lit(1.0))) / n1 / ((b + 1.0) / n0)
+
+    both = words.union(stems.where("endings >= 3")).where(F.col("a") >= max(least, 0.01 * n1))
+    top = both.withColumn("strength", strength(F.col("a"), F.col("b"))).where(F.col("strength") >= ratio).orderBy(F.desc(F.col("a") * F.log("strength")), F.desc(F.length("term")), "term", "endings").limit(most).collect()
+    out = Lexicon({})
+    taken: list[str] = []
+    for r in top:
+        if not any(t.startswith(r["term"]) or r["term"].startswith(t) for t in taken):
+            taken.append(r["term"])
+            (out.stems if r["endings"] else out.words)[r["term"]] = float(min(np.log(r["strength"]), 6.0))
+    return Lexicon(out.words, out.stems)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -186,7 +283,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 60) -> n
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
-    """Learns lexicon and curve from at most `most` labelled rows of each class, the first by a hash of the id.
+    """Learns lexicon and curve from about `most` labelled rows of each class, the first by a hash of the id.
+
+    A term's weight is the log ratio of its shares of toxic and other texts. Words near a term that the other texts hold
+    are noted as innocent.
 
     labels has the id and 0 or 1; other rows are left out. Without rows of both classes the model scores 0.01 for all.
     """
@@ -194,45 +294,59 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most:
     totals = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, min(1.0, most / max(totals.get(1, 1), 1))).otherwise(min(1.0, most / max(totals.get(0, 1), 1)))
     marked = marked.where(F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(marked, "_id").select("text", "label")
-    lex = Lexicon(learn_lexicon(rows))
-    if not lex.weights:
+    # about 2 * most rows of two numbers, whatever the size of the tables
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(marked), "_id").select("text", "label")
+    lex = learn_lexicon(rows)
+    if not (lex.words or lex.stems):
         return ToxicModel(lex, np.array([-4.6, 0.0, 0.0, 0.0]))
-    sent = docs.sparkSession.sparkContext.broadcast(lex.weights)  # 5,000 terms at most
+    sent = docs.sparkSession.sparkContext.broadcast((lex.words, lex.stems))  # 5,000 terms at most
+    own: list[Lexicon] = []
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        own = Lexicon(sent.value)
-        got = [scan(t, own)[:2] for t in b.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), b.column(1)], ["direct", "quoted", "label"])
-
-    # equal feature values fold into one row, so the driver gets a short table
-    folded = arrow_map(rows, one, "direct double, quoted double, label int").groupBy(F.round("direct", 1).alias("direct"), F.round("quoted", 1).alias("quoted"), "label").count().collect()
-    x = np.array([vector(r["direct"], r["quoted"]) for r in folded])
-    n = np.array([r["count"] for r in folded], float)
-    y = np.array([r["label"] for r in folded], float)
+        if not own:
+            own.append(Lexicon(*sent.value))
+        hits = [sorted(f"{2 if h.quoted else min(h.edits, 1)}{h.term} {h.word if h.edits else ''}" for h in scan(t, own[0])[1])[:200] for t in b.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.string())), b.column(1)], ["hits", "label"])
+
+    # texts with the same hits fold into one row; about 2 * most rows at most
+    folded = arrow_map(rows, one, "hits array<string>, label int").groupBy("hits", "label").count().orderBy("hits", "label").collect()
+    y, n = np.array([r["label"] for r in folded], float), np.array([r["count"] for r in folded], float)
+    split = [([(k[0], *k[1:].split(" ")) for k in r["hits"]], r["label"], r["count"]) for r in folded]
+    held: dict[str, list[float]] = {}
+    innocent: set[str] = set()
+    for hits, label, count in split:
+        innocent |= {word for _, _, word in hits if word and label == 0}
+        for term in {term for _, term, word in hits if not word}:
+            held.setdefault(term, [0.0, 0.0])[label] += count
+    n0, n1 = n[y == 0].sum(), n[y == 1].sum()
+    weight = {t: float(np.clip(np.log((c[1] + 0.5) / (n1 + 1) / ((c[0] + 0.5) / (n0 + 1))), 0.3, 6.0)) for t, c in held.items()}
+    lex = Lexicon({t: weight.get(t, 0.3) for t in lex.words}, {t: weight.get(t, 0.3) for t in lex.stems}, frozenset(innocent))
+    mass = lambda hits, kind: sum(weight.get(t, 0.3) for k, t, word in hits if k == kind and word not in innocent)
+    x = np.array([vector(tuple(mass(hits, k) for k in "012")) for hits, _, _ in split])
     w = fit_curve(x, y, n)
     w[1:3] = np.maximum(w[1:3], 0.0)
-    w[3] = min(w[3], w[2])  # quotation never counts more than abuse
+    w[3] = min(w[3], w[1])  # quotation never counts more than abuse
     return ToxicModel(lex, w)
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, score (0 to 1), direct, quoted, hits (word, term, position, quoted).
+    """One row per row of docs: id, score (0 to 1), exact, misspelled, quoted, hits (word, term, position, edits, quoted).
 
-    Whole texts are read; null counts as empty, and an empty text scores as one without hits. Only the two named columns
-    are read.
+    Positions are those in the lower-cased text. Whole texts are read; null counts as empty, and an empty text scores as
+    one without hits. Only the two named columns are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((model.lexicon.weights, model.weights))
-    memory: list[ToxicModel] = []
-    hit_type = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("position", pa.int32()), ("quoted", pa.bool_())]))
+    sent = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.innocent, model.weights))  # bounded by the rows learnt from
+    own: list[ToxicModel] = []
+    hit_type = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("position", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not memory:  # one lexicon and its memory of words for each task
-            memory.append(ToxicModel(Lexicon(sent.value[0]), sent.value[1]))
-        got = [memory[0].score(t) for t in b.column(1).to_pylist()]
-        hits = [[{"word": w, "term": t, "position": p, "quoted": q} for w, t, p, q in g[3]] for g in got]
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.float64()) for k in range(3)), pa.array(hits, hit_type)], [id_col, "score", "direct", "quoted", "hits"])
+        if not own:  # one lexicon and its memory of words for each task
+            own.append(ToxicModel(Lexicon(*sent.value[:3]), sent.value[3]))
+        got = [own[0].score(t) for t in b.column(1).to_pylist()]
+        masses = [pa.array([g[1][k] for g in got], pa.float64()) for k in range(3)]
+        hits = pa.array([[vars(h) for h in g[2]] for g in got], hit_type)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), *masses, hits], [id_col, "score", "exact", "misspelled", "quoted", "hits"])
 
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
-    return arrow_map(rows, one, f"{id_col} {kind}, score double, direct double, quoted double, hits array<struct<word:string,term:string,position:int,quoted:boolean>>")
+    return arrow_map(rows, one, f"{id_col} {kind}, score double, exact double, misspelled double, quoted double, hits array<struct<word:string,term:string,position:int,edits:int,quoted:boolean>>")
