@@ -6,8 +6,9 @@ the register alone. Bands of the compressed registers are bucketed; pairs from t
 is corrected for chance collisions of registers, and then a check on the full shingle sets.
 
 No bucket emits all its pairs. Documents with the same shingle set stand as one. In each bucket every member is paired
-with the bucket's pivot (the first by a hash, so that most buckets of a group agree on it), which joins groups of
-copies at linear cost. Then, for buckets of three and
+with the bucket's pivot (the first by a hash, so that most buckets of a group agree on it), at linear cost: in a first
+round over a few bands, which joins most of each group, and in a second round over all bands, where only members of
+other components than the pivot's are paired. Then, for buckets of three and
 more that still hold members of several components, registers of members outside the bucket's largest component are
 compared with all of the bucket, in blocks, so that no link between components is lost.
 """
@@ -32,7 +33,11 @@ BANDS = M // ROWS
 #: Stored register value: leading zeros * 2^MANTISSA + mantissa.
 MANTISSA, MOST_ZEROS = 10, 62 - BITS
 #: Standard errors below the threshold at which the estimate still lets a pair through to the exact check.
-SLACK = 6.0
+SLACK = 5.0
+#: Bands of the first round of pairs with pivots.
+FIRST_BANDS = 4
+#: Up to so many ids (16 MB) are sent to where the texts are; more are shuffled with the texts.
+FEW_IDS = 1_000_000
 BLOCK = 2000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -123,9 +128,8 @@ def estimate(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarra
 
 
 def passes(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs worth an exact check. Sets smaller than the registers have fewer independent samples, hence a wider margin."""
-    samples = np.minimum(np.maximum(np.minimum(n_a, n_b), 1), M)
-    error = np.sqrt(threshold * (1 - threshold) / samples)
+    """Pairs worth an exact check. Each register samples the union of both sets, small or large."""
+    error = np.sqrt(threshold * (1 - threshold) / M)
     fits = 100 * np.minimum(n_a, n_b) >= round(100 * threshold) * np.maximum(n_a, n_b)
     return fits & (estimate(matches, n_a, n_b) >= threshold - SLACK * error)
 
@@ -151,14 +155,21 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
 
 
 def _bands(sketches: DataFrame) -> DataFrame:
-    """(node, key): a row for each band of each distinct set."""
+    """(node, band, key): a row for each band of each distinct set."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         r = np.stack([np.frombuffer(x, np.uint16) for x in b.column(1).to_pylist()])
         keys = band_keys(r)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(keys.ravel())], ["node", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(r))), pa.array(keys.ravel())], ["node", "band", "key"])
 
-    return arrow_map(sketches.select("node", "registers"), one, "node bigint, key bigint", batch_bytes=4 << 20)
+    return arrow_map(sketches.select("node", "registers"), one, "node bigint, band int, key bigint", batch_bytes=4 << 20)
+
+
+def _star(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's pivot, where they are in different components."""
+    member = bands.select("key", "node", F.col("node").alias("comp")) if labels is None else bands.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "comp")).alias("p"))
+    return member.join(pivot, "key").where("comp <> p.comp").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -178,7 +189,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     """Pairs whose full shingle sets reach the threshold; texts has node and text."""
     pairs = materialize(pairs.distinct(), "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = texts.join(ids, "node", "left_semi")
+    few = ids.count() <= FEW_IDS
+    asked = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
     both = pairs.join(asked.toDF("a", "ta"), "a").join(asked.toDF("b", "tb"), "b")
     both = both.select("a", "b", *(F.array_distinct(shingle_hashes(F.col(t), words)).alias(s) for t, s in (("ta", "sa"), ("tb", "sb"))))
     counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
@@ -204,18 +216,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs between components inside buckets of three and more, compared in blocks by their registers."""
-    member = bands.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    member = bands.join(labels, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo < hi").select("key", "n")
     member = materialize(member.join(mixed, "key"), "near-mixed")
     counts = member.groupBy("key", "comp").count()
     largest = counts.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"), F.col("top.count").alias("n_top"))
     rows = member.join(largest, "key").select(
-        "key", "node", "comp", (F.col("comp") != F.col("top")).alias("minor"),
+        "key", "band", "node", "comp", (F.col("comp") != F.col("top")).alias("minor"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("n_top")) / BLOCK).cast("int").alias("minor_blocks"),
     ).join(nodes.select("node", "n_shingles", "registers"), "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = rows.where("minor").select("key", "node", "comp", "n_shingles", "registers", deal("minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("is_left"))
-    right = rows.select("key", "node", "comp", "n_shingles", "registers", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), deal("all_blocks").alias("j"), F.lit(False).alias("is_left"))
+    left = rows.where("minor").select("key", "band", "node", "comp", "n_shingles", "registers", deal("minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("is_left"))
+    right = rows.select("key", "band", "node", "comp", "n_shingles", "registers", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), deal("all_blocks").alias("j"), F.lit(False).alias("is_left"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
@@ -224,8 +236,9 @@ def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: fl
             ry = np.stack([np.frombuffer(r, np.uint16) for r in y["registers"]])
             ny, cy, vy = (y[k].to_numpy() for k in ("n_shingles", "comp", "node"))
             for r in x.itertuples():
-                m = (ry == np.frombuffer(r.registers, np.uint16)).sum(1)
-                ok = (cy != r.comp) & passes(m, np.full(len(ny), r.n_shingles), ny, threshold)
+                same = ry == np.frombuffer(r.registers, np.uint16)
+                first = same[:, : BANDS * ROWS].reshape(len(same), BANDS, ROWS).all(2).argmax(1)  # a pair is told by its first bucket only
+                ok = (cy != r.comp) & (first == r.band) & passes(same.sum(1), np.full(len(ny), r.n_shingles), ny, threshold)
                 out.append(pd.DataFrame({"a": np.minimum(vy[ok], r.node), "b": np.maximum(vy[ok], r.node)}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
@@ -250,16 +263,20 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
         "near-nodes",
     )
     bands = materialize(_bands(nodes), "near-bands")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).where("n > 1").select("key", F.col("p.node").alias("pivot"))
-    bands = materialize(bands.join(shared, "key"), "near-shared-bands")
-    star = bands.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    bands = materialize(bands.join(shared, "key", "left_semi"), "near-shared-bands")
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), text_or_empty(text_col).alias("text"))
-    first = materialize(_verified(_estimated(star, nodes, threshold), texts, words, threshold), "near-links")
-    labels = components(first)
-    more = materialize(_across(bands.select("key", "node"), labels, nodes, threshold), "near-more-pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(_verified(pairs, texts, words, threshold), "near-links")
+
+    links = linked(_estimated(_star(bands.where(F.col("band") < FIRST_BANDS), None), nodes, threshold))
+    labels = components(links)
+    links = links.union(linked(_estimated(_star(bands, labels), nodes, threshold)))
+    labels = components(links)
+    more = materialize(_across(bands, labels, nodes, threshold), "near-more-pairs")
     if more.limit(1).count():
-        labels = components(first.union(materialize(_verified(more, texts, words, threshold), "near-more-links")))
+        labels = components(links.union(linked(more)))
 
     node_comp = best.join(labels, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
     out = rows.select("doc", "n_shingles", "set_key").join(node_comp, "set_key", "left")
