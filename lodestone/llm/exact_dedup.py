@@ -18,6 +18,8 @@ from .common import SPACES, materialize, text_or_empty
 #: Digests that one filter holds on average.
 BUCKET_KEYS = 1 << 16
 SALTS = 16
+#: Up to so many repeated digests (32 MB) are sent to where the texts are; more meet the texts by a salted shuffle.
+FEW_DIGESTS = 1_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -127,11 +129,11 @@ def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str =
 
     # byte check: the same digest must mean the same text; copies fold into one before they are shuffled a second time
     salt = F.pmod(F.xxhash64(id_col, F.length(text)), F.lit(SALTS)).cast("int")
-    asked = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    texts = (
-        docs.select(digest.alias("digest"), salt.alias("salt"), normalized(text).alias("norm")).join(asked, ["digest", "salt"], "left_semi")
-        .groupBy("digest", "norm").count().groupBy("digest").agg(F.count("*").alias("texts"))
-    )
+    rows = docs.select(digest.alias("digest"), salt.alias("salt"), normalized(text).alias("norm"))
+    salted = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    few = groups.count() <= FEW_DIGESTS
+    asked = rows.join(F.broadcast(groups.select("digest")), "digest", "left_semi") if few else rows.join(salted, ["digest", "salt"], "left_semi")
+    texts = asked.groupBy("digest", "norm").count().groupBy("digest").agg(F.count("*").alias("texts"))
     checked = groups.join(texts, "digest").withColumn(
         "group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts under one digest")).cast("long"))
     )

@@ -291,3 +291,9 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     want = list(range(60))
     want[1] = 1
     assert sorted(x.doc_id for x in P.run(spark, d).collect()) == want
+
+
+def test_exact_beyond_the_size_that_is_sent(spark, odd, monkeypatch):
+    want = sorted(exact_dedup.exact_groups(odd).collect(), key=str)
+    monkeypatch.setattr(exact_dedup, "FEW_DIGESTS", 0)
+    assert sorted(exact_dedup.exact_groups(odd).collect(), key=str) == want
