@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space of the contracts, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
+#: Up to so many ids (16 MB) are sent to where the texts are; more are shuffled with the texts.
+FEW_IDS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,6 +38,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is among gone, a written table with the single column _gone.
+
+    Up to FEW_IDS ids go to where the texts are; more meet the texts by one shuffle on the id.
+    """
+    few = gone.count() <= FEW_IDS
+    side = F.broadcast(gone) if few else gone
+    return docs.join(side, docs[id_col] == side["_gone"], "left_anti")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

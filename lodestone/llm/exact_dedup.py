@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, text_or_empty
+from .common import SPACES, materialize, text_or_empty, without_ids
 
 #: Digests that one filter holds on average.
 BUCKET_KEYS = 1 << 16
@@ -150,10 +150,12 @@ def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str =
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, without the copies that exact_groups() doesn't keep.
 
-    Of rows that repeat both id and text, one stays.
+    Of rows that repeat both id and text, one stays. Where each id has one row, the ids decide; else id and text do.
     """
     key = [F.col(id_col).alias("_id"), F.col("n_chars").cast("int").alias("_n"), F.col("text_sha256").alias("_sha")]
     groups = materialize(exact_groups(docs, None, id_col, text_col).select(*key, "kept"), "exact-kept")
+    if not groups.groupBy("_id").count().where("count > 1 or _id is null").limit(1).count():
+        return without_ids(docs, materialize(groups.where("not kept").select(F.col("_id").alias("_gone")), "exact-gone"), id_col)
     text = text_or_empty(text_col)
     rows = docs.withColumns({"_n2": F.length(text), "_sha2": F.sha2(normalized(text).cast("binary"), 256)})
     gone = groups.where("not kept").drop("kept")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, arrow_map, materialize, text_or_empty, words_of
+from .common import FEW_IDS, ascii_lower, arrow_map, materialize, text_or_empty, without_ids, words_of
 
 #: Registers; bands of ROWS registers. A pair at Jaccard 0.8 shares no band with a chance of 2e-9.
 BITS, ROWS = 8, 5
@@ -36,8 +36,6 @@ MANTISSA, MOST_ZEROS = 10, 62 - BITS
 SLACK = 5.0
 #: Bands of the first round of pairs with pivots.
 FIRST_BANDS = 4
-#: Up to so many ids (16 MB) are sent to where the texts are; more are shuffled with the texts.
-FEW_IDS = 1_000_000
 BLOCK = 2000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -288,6 +286,10 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
 
 
 def drop_near(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, with one document (the smallest id) of each group of near-duplicates."""
-    gone = near_groups(docs, words, threshold, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs, with all their columns, with one document (the smallest id) of each group of near-duplicates.
+
+    An id that rows of several texts share goes only if none of its rows stays; rows of a null id stay.
+    """
+    groups = near_groups(docs, words, threshold, id_col, text_col)
+    gone = groups.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("stays")).where("not stays").select("_gone")
+    return without_ids(docs, materialize(gone, "near-gone"), id_col)

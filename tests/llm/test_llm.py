@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, decontamination, exact_dedup, html_text, near_dedup, pii, quality, sharding, toxicity, url_filter
+from lodestone.llm import byte_bpe, common, decontamination, exact_dedup, html_text, near_dedup, pii, quality, sharding, toxicity, url_filter
 
 LONG = "word " * 30_000
 
@@ -111,7 +111,8 @@ def test_near(spark, odd):
     got = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
     assert got == brute_near(rows, 2)
     assert near_dedup.near_groups(odd, 5).count() == 10 and near_dedup.near_groups(none(odd), 5).count() == 0
-    assert near_dedup.drop_near(odd).columns == odd.columns
+    left = near_dedup.drop_near(odd)
+    assert left.columns == odd.columns and sorted(x.doc_id or 0 for x in left.collect()) == [0, 1, 2, 3, 4, 5, 8]
 
 
 def test_components(spark):
@@ -297,3 +298,10 @@ def test_exact_beyond_the_size_that_is_sent(spark, odd, monkeypatch):
     want = sorted(exact_dedup.exact_groups(odd).collect(), key=str)
     monkeypatch.setattr(exact_dedup, "FEW_DIGESTS", 0)
     assert sorted(exact_dedup.exact_groups(odd).collect(), key=str) == want
+
+
+def test_drops_beyond_the_size_that_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_IDS", 0)
+    docs = texts(spark, "a b c", "a  b c", "one two three four five six seven", "one two three four five six seven", "x", None)
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact(docs).collect()) == [1, 2, 4, 5]
+    assert sorted(r.doc_id for r in near_dedup.drop_near(docs).collect()) == [0, 2, 4, 5]
