@@ -108,14 +108,15 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, *, steps: int = 3
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     rows = np.arange(len(x))
+    single = x.dtype  # products stay in the features' type, else numpy widens the whole matrix in each step
     for step in range(1, steps + 1):
         t = params[1][0] + np.concatenate([[0.0], np.cumsum(np.exp(params[2]))])
-        tail = np.concatenate([np.ones((len(x), 1)), sigmoid((x @ params[0])[:, None] - t), np.zeros((len(x), 1))], 1)
+        tail = np.concatenate([np.ones((len(x), 1)), sigmoid((x @ params[0].astype(single))[:, None] - t), np.zeros((len(x), 1))], 1)
         slope = tail * (1 - tail)
         p = np.maximum(tail[rows, grade] - tail[rows, grade + 1], 1e-9)
         g_hi, g_lo = slope[rows, grade] / p * weigh, slope[rows, grade + 1] / p * weigh
         g_t = np.array([-g_hi[grade == k + 1].sum() + g_lo[grade == k].sum() for k in range(cuts)])
-        ascent = [x.T @ (g_hi - g_lo) - decay * params[0], np.array([g_t.sum()]), np.array([g_t[k + 1 :].sum() for k in range(max(cuts - 1, 0))]) * np.exp(params[2])]
+        ascent = [(g_hi - g_lo).astype(single) @ x - decay * params[0], np.array([g_t.sum()]), np.array([g_t[k + 1 :].sum() for k in range(max(cuts - 1, 0))]) * np.exp(params[2])]
         for k, g in enumerate(ascent):
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
             params[k] = params[k] + rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -171,7 +172,7 @@ def rate(docs: DataFrame, model: OrdinalModel | None, *, accept: float = 0.5, ta
         p = sent.value.tails(x).astype(np.float64)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(p[:, tail - 1]), pa.array(p[:, tail - 1] >= accept)], [id_col, "expected_grade", "tail_probability", "accepted"])
 
-    return arrow_map(rows, one, schema, batch_bytes=8 << 20)
+    return arrow_map(rows, one, schema, batch_bytes=1 << 20)
 
 
 def accept_rows(docs: DataFrame, model: OrdinalModel | None, *, accept: float = 0.5, tail: int = 1, text_col: str = "text") -> DataFrame:
@@ -185,4 +186,4 @@ def accept_rows(docs: DataFrame, model: OrdinalModel | None, *, accept: float =
         x = np.stack([features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(at)])
         return b.filter(pa.array(sent.value.tails(x)[:, tail - 1] >= accept))
 
-    return arrow_map(docs, one, docs.schema, batch_bytes=8 << 20)
+    return arrow_map(docs, one, docs.schema, batch_bytes=1 << 20)
