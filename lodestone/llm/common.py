@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Up to so many ids (16 MB) are sent to where the texts are; more are shuffled with the texts.
 FEW_IDS = 1_000_000
+#: Bytes of an Arrow batch between Spark and Python.
+ARROW_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,8 +67,10 @@ def words_of(col: Column) -> Column:
 def arrow_map(df: DataFrame, fn, schema: str, *, batch_bytes: int = 16 << 20) -> DataFrame:
     """mapInArrow with batches cut by bytes, so that very long texts cannot pile up in one batch.
 
-    fn takes and returns a pyarrow.RecordBatch.
+    fn takes and returns a pyarrow.RecordBatch. Batches are bounded by ARROW_BYTES on Spark's side too, and what pyarrow
+    kept for reuse goes back at the end of a task, as workers live on for other stages.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,6 +78,7 @@ def arrow_map(df: DataFrame, fn, schema: str, *, batch_bytes: int = 16 << 20) ->
                 out = fn(part)
                 if out is not None:
                     yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
