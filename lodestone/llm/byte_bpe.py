@@ -8,15 +8,23 @@ from __future__ import annotations
 
 import json
 import os
+from collections import ChainMap
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, text_or_empty
 
 
+#: Pieces whose ids a worker remembers (about 60 MB), and the longest of them in code points.
+MOST_PIECES, PIECE_CHARS = 200_000, 40
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -36,6 +44,15 @@ def byte_characters() -> list[str]:
     return out
 
 
+def _split(ids: list[int], at: int) -> Iterator[list[int]]:
+    start = 0
+    for k, x in enumerate(ids):
+        if x == at:
+            yield ids[start:k]
+            start = k + 1
+    yield ids[start:]
+
+
 class Codec:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -46,6 +63,10 @@ class Codec:
         back = {c: b for b, c in enumerate(byte_characters())}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        import public_tokenizers
+
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall  # covers every character of a text
+        self.known: dict[str, list[int]] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bytes: list[bytes | None] = [None] * size
         for token, k in spec["model"]["vocab"].items():
@@ -57,6 +78,29 @@ class Codec:
         batch = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
         return [(e.ids, e.offsets if offsets else None) for e in batch(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, text: str) -> list[int]:
+        """The ids of a text, each piece between the vocabulary's split points encoded by the library once.
+
+        Merges never cross pieces, and a piece alone splits as it does in its text.
+        """
+        pieces, known = self.pieces(text), self.known
+        if len(known) > MOST_PIECES:
+            known.clear()
+        new = [p for p in set(pieces) if p not in known]
+        own = known
+        if new:
+            # words go in one text with a line feed, always a piece of its own there, between them; others go alone
+            words = [p for p in new if p.lstrip(" ").isalpha()]
+            others = [p for p in new if not p.lstrip(" ").isalpha()]
+            line_feed, *batch = self.tokenizer.encode_batch_fast(["\n", *others, "\n".join(words)], add_special_tokens=False)
+            got = dict(zip(others, (e.ids for e in batch), strict=False))
+            if words:
+                got.update((p, ids) for p, ids in zip(words, _split(batch[-1].ids, line_feed.ids[0]), strict=True))
+            known.update((p, ids) for p, ids in got.items() if len(p) <= PIECE_CHARS)
+            if any(len(p) > PIECE_CHARS for p in new):
+                own = ChainMap(known, got)
+        return list(chain.from_iterable(map(own.__getitem__, pieces)))
+
     def decode(self, ids: list[int]) -> bytes:
         table = self.bytes
         return b"".join([table[k] for k in ids])
@@ -102,7 +146,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, *, id_col: str =
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        ids = [g[0] for g in c.encode(b.column(1).to_pylist(), False)]
+        ids = [c.encode_pieces(t) for t in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], [id_col, "ids", "decoded"])
 
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
