@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_or_empty
+from .common import ARROW_BYTES, arrow_map, text_or_empty
 
 #: Words of test items in one block: 16 MB of hashes, and about three times that with the seeds.
 BLOCK_WORDS = 2_000_000
@@ -164,16 +165,23 @@ def _documents(lists: pa.Array) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, threshold: float = 0.6, text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, without those that cover an item; decided where the row is, unshuffled."""
-    names = docs.columns
-    rows = docs.withColumn("_words", word_hashes(text_or_empty(text_col)))
-    for block in item_blocks(benchmark, least):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+def _covers_none(sent: Broadcast, threshold: float):
+    """An Arrow function of word arrays: whether a document covers no item of the block."""
+
+    @F.arrow_udf("boolean")
+    def clean(words: pa.Array) -> pa.Array:
+        return pa.array([not any(c >= threshold - 1e-9 for _, c, _ in sent.value.matches(w)) for w in _documents(words)], pa.bool_())
+
+    return clean
 
-        def one(b: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            clean = [not any(c >= threshold - 1e-9 for _, c, _ in sent.value.matches(w)) for w in _documents(b.column(b.num_columns - 1))]
-            return b.filter(pa.array(clean, pa.bool_()))
 
-        rows = arrow_map(rows, one, rows.schema)
-    return rows.select(*names)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 5, threshold: float = 0.6, text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, without those that cover an item; decided where the row is, unshuffled.
+
+    Only the word hashes go to Python, in batches bounded by ARROW_BYTES; the rows stay with Spark.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    words = word_hashes(text_or_empty(text_col))
+    for block in item_blocks(benchmark, least):
+        docs = docs.where(_covers_none(docs.sparkSession.sparkContext.broadcast(block), threshold)(words))
+    return docs
