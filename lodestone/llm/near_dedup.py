@@ -19,7 +19,6 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ SLACK = 5.0
 #: Bands of the first round of pairs with pivots.
 FIRST_BANDS = 4
 BLOCK = 2000
+#: Pairs of registers compared in one step of a block (8 MB).
+PAIRS_AT_ONCE = 1 << 14
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -125,6 +126,11 @@ def estimate(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarra
     return (matches / M - chance) / (1 - chance)
 
 
+def least_matches(threshold: float) -> float:
+    """Equal registers below which no pair passes: correcting for chance only lowers an estimate."""
+    return M * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / M)) - 1e-6
+
+
 def passes(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs worth an exact check. Each register samples the union of both sets, small or large."""
     error = np.sqrt(threshold * (1 - threshold) / M)
@@ -224,23 +230,32 @@ def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: fl
         F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("n_top")) / BLOCK).cast("int").alias("minor_blocks"),
     ).join(nodes.select("node", "n_shingles", "registers"), "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = rows.where("minor").select("key", "band", "node", "comp", "n_shingles", "registers", deal("minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("is_left"))
-    right = rows.select("key", "band", "node", "comp", "n_shingles", "registers", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), deal("all_blocks").alias("j"), F.lit(False).alias("is_left"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
-        out = []
-        if len(x) and len(y):
-            ry = np.stack([np.frombuffer(r, np.uint16) for r in y["registers"]])
-            ny, cy, vy = (y[k].to_numpy() for k in ("n_shingles", "comp", "node"))
-            for r in x.itertuples():
-                same = ry == np.frombuffer(r.registers, np.uint16)
-                first = same[:, : BANDS * ROWS].reshape(len(same), BANDS, ROWS).all(2).argmax(1)  # a pair is told by its first bucket only
-                ok = (cy != r.comp) & (first == r.band) & passes(same.sum(1), np.full(len(ny), r.n_shingles), ny, threshold)
-                out.append(pd.DataFrame({"a": np.minimum(vy[ok], r.node), "b": np.maximum(vy[ok], r.node)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return left.union(right).groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    left = rows.where("minor").select("key", "band", "node", "comp", "n_shingles", "registers", "minor", deal("minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("is_left"))
+    right = rows.select("key", "band", "node", "comp", "n_shingles", "registers", "minor", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), deal("all_blocks").alias("j"), F.lit(False).alias("is_left"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        is_left = t["is_left"].to_numpy()
+        x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        r = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(-1, M)
+        node, comp, n, band, minor = (t[k].to_numpy() for k in ("node", "comp", "n_shingles", "band", "minor"))
+        out = [np.zeros((2, 0), np.int64)]
+        step = max(1, PAIRS_AT_ONCE // max(len(y), 1))
+        for k in range(0, len(x), step):
+            p, q = (v.ravel() for v in np.meshgrid(x[k : k + step], y, indexing="ij"))
+            # two members outside the largest component meet twice in the bucket; they count once
+            ok = (comp[p] != comp[q]) & (~minor[q] | (node[p] < node[q]))
+            p, q = p[ok], q[ok]
+            same = r[p] == r[q]
+            matches = same.sum(1)
+            ok = np.flatnonzero(matches >= least_matches(threshold))
+            ok = ok[passes(matches[ok], n[p[ok]], n[q[ok]], threshold)] if len(ok) else ok
+            # a pair is told by its first bucket only
+            ok = ok[same[ok, : BANDS * ROWS].reshape(len(ok), BANDS, ROWS).all(2).argmax(1) == band[p[ok]]]
+            out.append(np.sort(np.stack([node[p[ok]], node[q[ok]]]), axis=0))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return left.union(right).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
