@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,13 @@ LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SHORTEST_STEM, LONGEST_STEM = 3, 10
 #: Weight of a misspelled term against the term itself: one alone leaves a text in doubt, two don't.
 MISSPELLED = 0.5
+#: Longer runs without white space are looked at each time.
+KEPT_CHARS = 100
 _TOKEN = re.compile(r"\S+")
+_PIECE = regex.compile(r"[\p{L}\p{M}\p{N}]+|[@$!]+")
 _REPEAT = re.compile(r"(.)\1+")
+#: Place within a run without white space, word, term, weight, edits.
+Found = tuple[int, str, str, float, int]
 
 
 def edits_for(n: int) -> int:
@@ -53,38 +59,60 @@ def deletions(word: str, most: int) -> set[str]:
 
 
 class Trie:
-    """Terms by letters; find() walks it with a word's Levenshtein automaton.
+    """Terms by letters; nearest() walks it with a word's Levenshtein automaton.
 
-    Words and terms that differ in their first letter are not compared. A word within k edits of a term shares a string
-    with it when up to k letters are left out of both; words that share none are turned away before a walk, which never
-    turns away one that the walk would find.
+    A word within k edits of a term shares a string with it when up to k letters are left out of both; words that share
+    none with a term of about their length are turned away before a walk, which never turns away one that the walk would
+    find.
     """
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
-        self.shared: dict[tuple[str, int], tuple[int, set[str]]] = {}
+        #: by length of a word: the most edits that a term of about that length allows, and what such terms share with it
+        self.shared: dict[int, tuple[int, set[str]]] = {}
         for t in terms:
             node = self.root
             for ch in t:
                 node = node.setdefault(ch, {})
             node[""] = t
             if most := edits_for(len(t)):
+                own = deletions(t, most)
                 for n in range(len(t) - most, len(t) + most + 1):
-                    old, parts = self.shared.get((t[0], n), (0, set()))
-                    self.shared[t[0], n] = max(old, most), parts | deletions(t, most)
+                    old, parts = self.shared.get(n, (0, set()))
+                    parts |= own
+                    self.shared[n] = max(old, most), parts
+
+    def _allowed(self, word: str) -> int:
+        most, parts = self.shared.get(len(word), (0, ()))
+        return 0 if not most or parts.isdisjoint(deletions(word, most)) else most
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """The term with fewest edits (a swap of neighbours counts as one) within those it allows, ties to the first.
+        """nearest() among the terms with the word's own first letter."""
+        return self._walk(word, most, True) if (most := self._allowed(word)) and word[0] in self.root else None
+
+    def nearest(self, word: str) -> tuple[str, int] | None:
+        """The term with fewest edits (a swap of neighbours counts as one) within those it allows.
+
+        Ties go to terms with the word's own first letter, then to the first; so that a hit of one edit among those ends
+        the search.
+        """
+        if not (most := self._allowed(word)):
+            return None
+        own = self._walk(word, most, True) if word[0] in self.root else None
+        if own and own[1] < 2:
+            return own
+        found = self._walk(word, most, False)
+        return own if own and found and own[1] <= found[1] else found
+
+    def _walk(self, word: str, most: int, own_letter: bool) -> tuple[str, int] | None:
+        """The nearest term from the root, or from the branch of the word's first letter; ties to the first.
 
         A state of the automaton is the row of edit distances between the letters walked so far and the word's
         prefixes; no entry within the allowed edits means that the automaton is dead.
         """
-        most, parts = self.shared.get((word[:1], len(word)), (0, ()))
-        if not most or parts.isdisjoint(deletions(word, most)):
-            return None
         best: tuple[int, str] | None = None
-        first = self.root[word[0]]
-        stack = [(first, (1, *range(len(word))), tuple(range(len(word) + 1)), word[0])]
+        whole = tuple(range(len(word) + 1))
+        stack = [(self.root[word[0]], (1, *range(len(word))), whole, word[0]) if own_letter else (self.root, whole, whole, "")]
         while stack:
             node, row, before, last = stack.pop()
             term = node.get("")
@@ -115,50 +143,87 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
     innocent: frozenset[str] = frozenset()
     clean: set[str] = field(init=False, default_factory=set)
-    hits: dict[str, tuple[str, float, int]] = field(init=False, default_factory=dict)
+    hits: dict[str, list[Found]] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
         self.word_trie, self.stem_trie = Trie(sorted(self.words)), Trie(sorted(self.stems))
         self.stem_sizes = sorted({len(s) for s in self.stems}, reverse=True)
-        self.first = {t[0] for t in (*self.words, *self.stems)}
-        #: lengths at which a word that begins with the letter is compared with stems
-        self.cuts: dict[str, list[int]] = {}
-        for letter, n in sorted(self.stem_trie.shared):
-            self.cuts.setdefault(letter, []).append(n)
-
-    def find(self, tokens: set[str]) -> dict[str, tuple[str, float, int]]:
-        """(term, weight, edits) of those lower-case runs without white space that hit, from a bounded memory of answers."""
+        #: lengths at which a word is compared with stems
+        self.cuts = sorted(self.stem_trie.shared)
+        #: a longer run of pieces matches no more than its beginning does
+        self.longest = max((len(t) + edits_for(len(t)) for t in (*self.words, *self.stems)), default=0)
+
+    def find(self, tokens: set[str]) -> dict[str, list[Found]]:
+        """What hits in those lower-case runs without white space that have hits, from a bounded memory of answers."""
         if len(self.clean) > 500_000:
             self.clean.clear()
-        for t in tokens.difference(self.clean, self.hits):
-            if found := self._look(t):
-                self.hits[t] = found
-            else:
-                self.clean.add(t)
-        out = {t: self.hits[t] for t in tokens.intersection(self.hits)}
+        out = {}
+        for t in tokens.difference(self.clean):
+            found = self.hits.get(t)
+            if found is None:
+                found = self._look_in(t)
+                if len(t) < KEPT_CHARS:
+                    if found:
+                        self.hits[t] = found
+                    else:
+                        self.clean.add(t)
+            if found:
+                out[t] = found
         if len(self.hits) > 100_000:
             self.hits.clear()
         return out
 
-    def _look(self, token: str) -> tuple[str, float, int] | None:
-        w = token.strip(EDGES)
-        if not 2 < len(w) < 60:
-            return None
-        plain = w if w.isalpha() else w.translate(LOOKALIKE)
-        if plain[0] not in self.first and w[0] not in self.first:
-            return None
+    def _look_in(self, token: str) -> list[Found]:
+        """Hits in a run without white space, which may hold words that signs or tags glue together.
+
+        Terms that stand between signs are taken first. Of what lies between those, each piece is looked at alone, then
+        with the signs and pieces after it (as in a term with a sign for a letter), up to the length of terms.
+        """
+        if token.isalpha():
+            found = self._look(token) if len(token) > 2 else None
+            return [(0, token, *found)] if found else []
+        pieces = [m.span() for m in _PIECE.finditer(token)]
+        exact = {k: f for k, (i, j) in enumerate(pieces) if j - i > 2 and (f := self._as_written(token[i:j]))}
+        out, k = [], 0
+        while k < len(pieces):
+            if found := exact.get(k):
+                out.append((pieces[k][0], token[slice(*pieces[k])], *found))
+                k += 1
+                continue
+            start, end = pieces[k][0], k
+            while end < len(pieces) and end not in exact:
+                w = token[start : pieces[end][1]]
+                if len(w) > 2:
+                    inside = w[0] not in EDGES and w[-1] not in EDGES
+                    if found := self._look(w) if inside else self._as_written(w):
+                        out.append((start, w, *found))
+                        break
+                    if len(w) > self.longest and len(_REPEAT.sub(r"\1", w)) > self.longest:
+                        break
+                end += 1
+            k = end + 1 if found else k + 1
+        return out
+
+    def _as_written(self, w: str) -> tuple[str, float, int] | None:
+        """A term as it is, or with signs for letters."""
         if found := self._exact(w):
             return found
-        if plain != w and (found := self._exact(plain)):
+        if not w.isalpha() and (found := self._exact(w.translate(LOOKALIKE))):
             return *found[:2], 1
+        return None
+
+    def _look(self, w: str) -> tuple[str, float, int] | None:
+        if found := self._as_written(w):
+            return found
         if w in self.innocent:
             return None
+        plain = w if w.isalpha() else w.translate(LOOKALIKE)
         once = _REPEAT.sub(r"\1", plain)
         for v in (plain,) if once == plain else (plain, once):
-            if found := self.word_trie.find(v):
+            if found := self.word_trie.nearest(v):
                 return found[0], self.words[found[0]], max(found[1], 1)
-            for n in self.cuts.get(v[0], ()):
-                if n <= len(v) and (found := self.stem_trie.find(v[:n])):
+            for n in self.cuts:
+                if n <= len(v) and (found := self.stem_trie.nearest(v[:n])):
                     return found[0], self.stems[found[0]], max(found[1], 1)
         return None
 
@@ -189,16 +254,17 @@ def scan(text: str, lex: Lexicon) -> tuple[tuple[float, float, float], list[Hit]
     found = [(m.start(), m.group()) for m in _TOKEN.finditer(low)]
     mass, hits = [0.0, 0.0, 0.0], []
     for k, (at, token) in enumerate(found):
-        h = terms.get(token)
-        if h is None:
+        inside = terms.get(token)
+        if inside is None:
             continue
         before = [x.strip(EDGES) for _, x in found[max(0, k - WINDOW) : k]]
         after = [x.strip(EDGES) for _, x in found[k + 1 : k + 1 + WINDOW]]
         left, right = low[max(0, at - 40) : at] + token[:1], token[-2:] + low[at + len(token) : at + len(token) + 40]
         marked = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
         told = (marked or sum(x in REPORTS for x in chain(before, after)) >= 2) and not any(x in ADDRESS for x in before[-3:])
-        mass[2 if told else 1 if h[2] else 0] += h[1]
-        hits.append(Hit(token.strip(EDGES), h[0], at, h[2], told))
+        for place, word, term, weight, edits in inside:
+            mass[2 if told else 1 if edits else 0] += weight
+            hits.append(Hit(word, term, at + place, edits, told))
     return tuple(mass), hits
 
 
@@ -218,6 +284,16 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.dot(self.weights, vector(mass))))), mass, hits
 
 
+def with_pieces(tokens: list[str]) -> list[str]:
+    """The runs without white space, each followed by the words that signs part it into."""
+    out = []
+    for t in tokens:
+        out.append(t)
+        if not t.isalpha() and len(inner := _PIECE.findall(t)) > 1:
+            out += inner
+    return out
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, a, b) from rows (text, label): a and b are how many toxic and other texts hold the word.
 
@@ -228,7 +304,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         words, before, labels = [], [], []
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = t.lower().split()
+            found = with_pieces(t.lower().split())
             own = dict(zip(found, ["", *found], strict=False))
             words += own
             before += own.values() if y else [""] * len(own)

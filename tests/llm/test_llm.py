@@ -162,6 +162,45 @@ def test_levenshtein_walk_against_brute_force():
         assert trie.find(w) == (want and (want[1], want[0])), w
 
 
+def test_nearest_term_whatever_its_first_letter():
+    def damerau(a, b):
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    r = random.Random(12)
+    terms = sorted({"".join(r.choice("abc") for _ in range(r.randint(5, 11))) for _ in range(25)})
+    trie, other = toxicity.Trie(terms), 0
+    for _ in range(2000):
+        w = list(r.choice(terms))
+        for _ in range(r.randint(0, 2)):
+            k = r.choice([0, r.randrange(len(w))])
+            w[k : k + r.randint(0, 2)] = [r.choice("abcd") for _ in range(r.randint(0, 2))]
+        w = "".join(w)
+        want = min(((d, t[0] != w[:1], t) for t in terms if (d := damerau(w, t)) <= toxicity.edits_for(len(t)) and toxicity.edits_for(len(t))), default=None)
+        assert trie.nearest(w) == (want and (want[2], want[0])), w
+        other += bool(want and want[1])
+    assert other > 50
+
+
+def test_terms_with_another_first_letter_and_terms_behind_signs():
+    lex = toxicity.Lexicon({"idiot": 1.0, "fritzblatt": 1.0, "ass": 1.0}, {"moron": 1.0})
+    found = lambda t: [(h.word, h.term, h.position, h.edits) for h in toxicity.scan(t, lex)[1]]
+    for w in ("diot", "diiot", "xdiot", "xidiot", "ritzblat", "xmoronic", "noronic"):
+        assert len(found(w)) == 1 and found(w)[0][3] >= 1, w
+    assert found("so/idiot") == [("idiot", "idiot", 3, 0)] and found("<b>idiot</b>") == [("idiot", "idiot", 3, 0)]
+    assert found("an idiot,moronic") == [("idiot", "idiot", 3, 0), ("moronic", "moron", 9, 0)]
+    assert found("x>fritzblatt.") == [("fritzblatt", "fritzblatt", 2, 0)] and found("you_idiott") == [("idiott", "idiot", 4, 1)]
+    for w in ("id!ot", "@ss", "a$$", "id.iot", "idi*t", "(1d10t)", "so-id!ot/x"):
+        assert len(found(w)) == 1 and found(w)[0][3] == 1, w
+    assert len(found("word," * 100 + "idiot")) == 1 and len(found("x" * 70 + "/idiot")) == 1 and found("moron" + "x" * 80)[0][1] == "moron"
+    assert found("word wood grass") == []
+
+
 def test_toxicity(spark, odd):
     r = random.Random(3)
     word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 7)))
