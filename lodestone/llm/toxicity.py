@@ -10,6 +10,7 @@ on the same labelled rows turns exact, misspelled and quoted mass into a score.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_or_empty
+from .common import arrow_map, materialize, text_or_empty
 
 #: Words on either side of a hit that its context is read from.
 WINDOW = 6
@@ -362,7 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most:
     """Learns lexicon and curve from about `most` labelled rows of each class, the first by a hash of the id.
 
     A term's weight is the log ratio of its shares of toxic and other texts. Words near a term that the other texts hold
-    are noted as innocent.
+    are noted as innocent. All hits of a text count, however long it is.
 
     labels has the id and 0 or 1; other rows are left out. Without rows of both classes the model scores 0.01 for all.
     """
@@ -381,24 +382,37 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most:
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         if not own:
             own.append(Lexicon(*sent.value))
-        hits = [sorted(f"{2 if h.quoted else min(h.edits, 1)}{h.term} {h.word if h.edits else ''}" for h in scan(t, own[0])[1])[:200] for t in b.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.string())), b.column(1)], ["hits", "label"])
-
-    # texts with the same hits fold into one row; about 2 * most rows at most
-    folded = arrow_map(rows, one, "hits array<string>, label int").groupBy("hits", "label").count().orderBy("hits", "label").collect()
-    y, n = np.array([r["label"] for r in folded], float), np.array([r["count"] for r in folded], float)
-    split = [([(k[0], *k[1:].split(" ")) for k in r["hits"]], r["label"], r["count"]) for r in folded]
-    held: dict[str, list[float]] = {}
-    innocent: set[str] = set()
-    for hits, label, count in split:
-        innocent |= {word for _, _, word in hits if word and label == 0}
-        for term in {term for _, term, word in hits if not word}:
-            held.setdefault(term, [0.0, 0.0])[label] += count
-    n0, n1 = n[y == 0].sum(), n[y == 1].sum()
+        counts = [Counter((2 if h.quoted else min(h.edits, 1), h.term, h.word if h.edits else "") for h in scan(t, own[0])[1]) for t in b.column(0).to_pylist()]
+        hits = [[{"kind": k, "term": t, "word": w, "n": n} for (k, t, w), n in sorted(c.items())] for c in counts]
+        return pa.RecordBatch.from_arrays([pa.array(hits, hit_type), b.column(1)], ["hits", "label"])
+
+    # all hits of each text, folded; what is brought to the driver are words, terms and three numbers for each text
+    hit_type = pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
+    folded = materialize(arrow_map(rows, one, "hits array<struct<kind:int,term:string,word:string,n:bigint>>, label int"), "toxic-hits")
+    innocent = frozenset(r["word"] for r in folded.where("label = 0").select(F.explode("hits.word").alias("word")).where("word <> ''").distinct().collect())
+    whole = folded.select("label", F.explode(F.array_distinct(F.transform(F.filter("hits", lambda h: h["word"] == ""), lambda h: h["term"]))).alias("term"))
+    held: dict[str, list[int]] = {}
+    for r in whole.groupBy("term", "label").count().collect():
+        held.setdefault(r["term"], [0, 0])[r["label"]] = r["count"]
+    sizes = {r["label"]: r["count"] for r in folded.groupBy("label").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     weight = {t: float(np.clip(np.log((c[1] + 0.5) / (n1 + 1) / ((c[0] + 0.5) / (n0 + 1))), 0.3, 6.0)) for t, c in held.items()}
-    lex = Lexicon({t: weight.get(t, 0.3) for t in lex.words}, {t: weight.get(t, 0.3) for t in lex.stems}, frozenset(innocent))
-    mass = lambda hits, kind: sum(weight.get(t, 0.3) for k, t, word in hits if k == kind and word not in innocent)
-    x = np.array([vector(tuple(mass(hits, k) for k in "012")) for hits, _, _ in split])
+    lex = Lexicon({t: weight.get(t, 0.3) for t in lex.words}, {t: weight.get(t, 0.3) for t in lex.stems}, innocent)
+    known = docs.sparkSession.sparkContext.broadcast((weight, innocent))
+
+    def weigh(b: pa.RecordBatch) -> pa.RecordBatch:
+        weights, fine = known.value
+        masses = [[0.0] * b.num_rows for _ in range(3)]
+        for row, hits in enumerate(b.column(0).to_pylist()):
+            for h in hits:
+                if h["word"] not in fine:
+                    masses[h["kind"]][row] += weights.get(h["term"], 0.3) * h["n"]
+        return pa.RecordBatch.from_arrays([*(pa.array(m, pa.float64()) for m in masses), b.column(1)], ["exact", "misspelled", "quoted", "label"])
+
+    by = ["exact", "misspelled", "quoted", "label"]
+    texts = arrow_map(folded.select("hits", "label"), weigh, "exact double, misspelled double, quoted double, label int").groupBy(*by).count().orderBy(*by).collect()
+    y, n = np.array([r["label"] for r in texts], float), np.array([r["count"] for r in texts], float)
+    x = np.array([vector(tuple(r)[:3]) for r in texts])
     w = fit_curve(x, y, n)
     w[1:3] = np.maximum(w[1:3], 0.0)
     w[3] = min(w[3], w[1])  # quotation never counts more than abuse

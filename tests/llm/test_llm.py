@@ -215,6 +215,18 @@ def test_toxicity(spark, odd):
     assert toxicity.score_texts(odd, m).count() == 10 and toxicity.train(none(docs), labels).score("x")[0] < 0.5
 
 
+def test_toxicity_learns_from_all_hits_of_a_long_text(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeoulnst") for _ in range(r.randint(2, 7)))
+    bad = [" ".join("fritzblatt" if k % 9 == 4 else word() for k in range(40)) for _ in range(80)]
+    near = sorted({"fritzblatt"[:k] + c + "fritzblatt"[k + 1 :] for k in range(1, 10) for c in "bcdefghijkmnopqrstuvwxyz"} - {"fritzblatt"} | {"fritzblatt"[:k] + c + "fritzblatt"[k:] for k in range(1, 10) for c in "cdeghjkmnopqsuvwxyz"})
+    assert len(near) > 250
+    clean = [" ".join(near), *(" ".join(word() for _ in range(40)) for _ in range(119))]
+    docs = texts(spark, *bad, *clean)
+    m = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") < 80).cast("int").alias("toxic")))
+    assert m.lexicon.innocent >= set(near) and m.score(" ".join(near[200:]))[0] < 0.5 <= m.score("you fritzblatt fritzblatt")[0]
+
+
 def test_html(spark):
     m = html_text.trained()
     made = [html_text.labelled_page(k) for k in range(5000, 5080)]
