@@ -322,9 +322,9 @@ def learn_lexicon(rows: DataFrame, *, least: int = 5, ratio: float = 20.0, most:
     """Words and stems from rows (text, label) that mark toxic texts.
 
     A stem's counts are the sums over the words that begin with it; it has three endings at least. A term has a support of
-    at least `least` and 1% of toxic texts, and its share among toxic texts (with 1.5 standard errors to spare) is at
-    least `ratio` times that among the others. Of terms that begin with each other the one with the most support times
-    log strength stays, the longest of equal ones. The first `most` in that order are read.
+    at least `least`, and its share among toxic texts (with 1.5 standard errors to spare) is at least `ratio` times that
+    among the others. Of terms that begin with each other the one with the most support times log strength stays, the
+    longest of equal ones. The first `most` of those that stay, in that order, are read.
     """
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -338,17 +338,34 @@ def learn_lexicon(rows: DataFrame, *, least: int = 5, ratio: float = 20.0, most:
     def strength(a: Column, b: Column) -> Column:
         return a * (1.0 - F.least(F.lit(1.5) / F.sqrt(a), F.lit(1.0))) / n1 / ((b + 1.0) / n0)
 
-    both = words.union(stems.where("endings >= 3")).where(F.col("a") >= max(least, 0.01 * n1))
-    top = both.withColumn("strength", strength(F.col("a"), F.col("b"))).where(F.col("strength") >= ratio).orderBy(F.desc(F.col("a") * F.log("strength")), F.desc(F.length("term")), "term", "endings").limit(most).collect()
+    both = words.union(stems.where("endings >= 3")).where(F.col("a") >= least)
+    both = both.withColumn("strength", strength(F.col("a"), F.col("b"))).where(F.col("strength") >= ratio)
+    both = both.withColumn("worth", F.col("a") * F.log("strength"))
+    # terms that begin with each other have their first letters in common, so each group is pruned on its own
+    order = F.struct((-F.col("worth")).alias("less"), (-F.length("term")).alias("shorter"), "term", "endings", "strength")
+    groups = both.groupBy(F.substring("term", 1, SHORTEST_STEM).alias("head")).agg(F.array_sort(F.collect_list(order)).alias("terms"))
+    left = arrow_map(groups.select("terms"), _apart, "term string, endings bigint, strength double, worth double")
     out = Lexicon({})
-    taken: list[str] = []
-    for r in top:
-        if not any(t.startswith(r["term"]) or r["term"].startswith(t) for t in taken):
-            taken.append(r["term"])
-            (out.stems if r["endings"] else out.words)[r["term"]] = float(min(np.log(r["strength"]), 6.0))
+    for r in left.orderBy(F.desc("worth"), F.desc(F.length("term")), "term", "endings").limit(most).collect():
+        (out.stems if r["endings"] else out.words)[r["term"]] = float(min(np.log(r["strength"]), 6.0))
     return Lexicon(out.words, out.stems)
 
 
+def _apart(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Of each row's terms, in their order, those that neither begin with one before nor are the beginning of one."""
+    out: list[tuple[str, int, float, float]] = []
+    for terms in b.column(0).to_pylist():
+        taken, begun = set(), set()
+        for r in terms:
+            beginnings = {r["term"][:n] for n in range(SHORTEST_STEM, len(r["term"]) + 1)}
+            if r["term"] not in begun and taken.isdisjoint(beginnings):
+                taken.add(r["term"])
+                begun |= beginnings
+                out.append((r["term"], r["endings"], r["strength"], -r["less"]))
+    kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["term", "endings", "strength", "worth"])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 60) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge; n is how often each row counts."""
     w = np.zeros(x.shape[1])

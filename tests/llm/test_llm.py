@@ -227,6 +227,21 @@ def test_toxicity_learns_from_all_hits_of_a_long_text(spark):
     assert m.lexicon.innocent >= set(near) and m.score(" ".join(near[200:]))[0] < 0.5 <= m.score("you fritzblatt fritzblatt")[0]
 
 
+def test_rare_terms_and_many_endings_keep_their_place_in_the_lexicon(spark):
+    fills = [a + b + c for a in "aeiou" for b in "lmnr" for c in "aeiou"]
+    rare = [a + b + c + "zz" for a in "bcdfg" for b in "xzvwk" for c in "jqhp"]
+    # each rare term stands in 40 of 6,000 toxic texts, under 1%
+    toxic = [f"{fills[i * 7 % 100]} {fills[i % 100]} {rare[i // 40] if i < 4000 else fills[i % 9]}" for i in range(6000)]
+    clean = [f"{fills[i * 7 % 100]} {fills[i % 100]} word" for i in range(6000)]
+    table = lambda bad, good: spark.createDataFrame([(t, 1) for t in bad] + [(t, 0) for t in good], "text string, label int")
+    assert set(toxicity.learn_lexicon(table(toxic, clean)).words) == set(rare)
+    # stems of one word take the first places by worth, and all but one of them go
+    broken = [f"{fills[i % 100]} brok{'abcdefgh'[i % 8]}{'xyzw'[i // 8 % 4]}" for i in range(2000)]
+    plonk = [f"{fills[i % 100]} plonk" for i in range(200)]
+    lex = toxicity.learn_lexicon(table(broken + plonk, clean), most=2)
+    assert set(lex.stems) == {"brok"} and set(lex.words) == {"plonk"}
+
+
 def test_html(spark):
     m = html_text.trained()
     made = [html_text.labelled_page(k) for k in range(5000, 5080)]
