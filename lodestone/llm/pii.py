@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +22,7 @@ from .common import arrow_map
 ROUNDS = 8
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
-PATTERN = re.compile(
-    r"""
+_KINDS = r"""
     (?P<email>[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24})
   | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
   | (?P<hex>\b(?=[0-9a-f]{0,31}[0-9])(?=[0-9a-f]{0,31}[a-f])[0-9a-f]{32,64}\b)
@@ -33,9 +32,8 @@ PATTERN = re.compile(
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
   | (?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))
   | (?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?![\w]))
-    """,
-    re.X | re.ASCII,
-)
+    """
+PATTERN = re.compile(_KINDS, re.X | re.ASCII)
 
 
 def feistel(value: int, size: int, key: bytes, kind: str, inverse: bool = False) -> int:
@@ -165,6 +163,10 @@ def _hex(text: str, key: bytes, inverse: bool) -> str | None:
 KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
     "email": _email, "iban": _iban, "hex": _hex, "ip": _ip, "ymd": _date, "dmy": _date, "ssn": _ssn, "card": _card, "phone": _phone,
 }
+#: Each kind's own pattern, with the groups of separators counted anew.
+ALONE = {m.group(1): re.compile(re.sub(r"\\[68]", r"\\2", line), re.X | re.ASCII) for line in re.split(r"^  \| ", _KINDS.strip(), flags=re.M) if (m := re.match(r"\(\?P<(\w+)>", line))}
+#: Kinds whose values may be followed by more of the same signs.
+GROUPED = frozenset({"iban", "card", "phone"})
 _ANY = re.compile(r"[0-9@]")
 
 
@@ -175,21 +177,46 @@ def pseudonymize(text: str, key: bytes, memory: dict | None = None, inverse: boo
     parts, spans, at, start = [], [], 0, 0
     memory = {} if memory is None else memory
     while m := PATTERN.search(text, start):
-        found, kind = m.group(), next(k for k, v in m.groupdict().items() if v is not None)
-        new = memory.get((kind, found), "")
-        if new == "":
-            if len(memory) > 100_000:
-                memory.clear()
-            new = memory[kind, found] = KINDS[kind](found, key, inverse)
-        if new is None:  # not valid as that kind; try later kinds and places from its next word on
+        for kind, end in _readings(text, m):
+            found = text[m.start() : end]
+            new = memory.get((kind, found), "")
+            if new == "":
+                if len(memory) > 100_000:
+                    memory.clear()
+                new = memory[kind, found] = KINDS[kind](found, key, inverse)
+            if new is not None:
+                parts += [text[at : m.start()], new]
+                spans.append((kind, m.start(), end, new))
+                at = start = end
+                break
+        else:  # not valid as any kind; try places from its next word on
             start = _next_try(text, m)
-            continue
-        parts += [text[at : m.start()], new]
-        spans.append((kind, m.start(), m.end(), new))
-        at = start = m.end()
     return ("".join([*parts, text[at:]]), spans) if spans else (text, [])
 
 
+def _readings(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
+    """(kind, end) of the values that may stand where m does: its own, then by kinds the longest first.
+
+    Shorter ones end where a group of digits or letters does, so that a number's neighbour is not read as part of it. One
+    in ten numbers passes its check digit together with digits after it by chance, and is then read as the longer one.
+    """
+    own = next(k for k, v in m.groupdict().items() if v is not None)
+    yield own, m.end()
+    names = list(KINDS)
+    for kind in names[names.index(own) :]:
+        end = m.end() if kind == own else None
+        if end is None:
+            if not (x := ALONE[kind].match(text, m.start())):
+                continue
+            end = x.end()
+            yield kind, end
+        if kind not in GROUPED:
+            continue
+        for k in range(end - 1, m.start(), -1):
+            if not text[k].isalnum() and text[k - 1].isalnum() and ALONE[kind].fullmatch(text, m.start(), k):
+                yield kind, k
+
+
 def _next_try(text: str, m: re.Match) -> int:
     """Past the digits or letters with which the refused match begins."""
     k = m.start() + 1

@@ -276,6 +276,19 @@ def test_pii(spark, odd):
     assert (2, None) in got and (5, LONG) in got and len(pii.pseudonymize_texts(odd, key).collect()) == 10
 
 
+def test_cards_before_other_digits():
+    key = b"k" * 16
+    want = pii.pseudonymize("4111111111111111", key)[0]
+    for card in ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"):
+        for tail in (" 12/27", " 123", " 100 EUR", " 2024-02-29"):
+            new, spans = pii.pseudonymize(f"pay {card}{tail}", key)
+            assert spans[0][:3] == ("card", 4, 4 + len(card)) and "".join(c for c in spans[0][3] if c.isdigit()) == want, card + tail
+            assert pii.KINDS["card"](spans[0][3], key, True) == card and new[4 : 4 + len(card)] == spans[0][3]
+    new, spans = pii.pseudonymize("DE89 3704 0044 0532 0130 00 12 A", key)
+    assert spans[0][0] == "iban" and new.endswith(" 12 A")
+    assert set(pii.ALONE) == set(pii.KINDS)
+
+
 def test_urls(spark):
     e = spark.createDataFrame([("l", "domain", "Bad.example", "2024-01-05", "add"), ("l", "domain", "bad.example", "2024-01-10", "remove"), ("m", "page", "x.bad.example/p", "2024-01-01", "add"), (None, None, None, None, None)], "list string, kind string, pattern string, day string, action string")
     c = spark.createDataFrame([(1, "http://x.bad.example/q", "2024-01-04"), (2, "http://x.bad.example/q", "2024-01-05"), (3, "https://x.bad.example:8/p/?a", "2024-01-11"), (4, None, "2024-01-05"), (5, "http://notbad.example/", "2024-01-06"), (6, "http://bad.example", None)], "page_id bigint, url string, fetched string")
