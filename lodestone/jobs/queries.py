@@ -127,9 +127,9 @@ def normalize_vectors(spark, d):
 def build_indices(spark, d):
     chunks = corpus_chunks(spark, d)
     t = index_tables(chunks)
-    nodes, _ = graph.build_graph(rule_chunks(spark, d))
+    nodes, _ = graph.build_graph(t["chunks"])
     count = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
-    return count(t["chunks"], "chunks").union(count(t["postings"], "postings")).union(count(t["term_stats"], "terms")).union(count(nodes, "nodes"))
+    return count(t["chunks"], "chunks").union(count(t["postings"], "postings")).union(count(t["term_stats"], "terms")).union(count(t["vectors"], "vectors")).union(count(nodes, "nodes"))
 
 
 def _sparse(spark, d, k=20):
@@ -243,8 +243,8 @@ def merge_expanded(spark, d):
 
 
 def retrieve_batch(spark, d):
-    """Hybrid ten, reranked, first five as evidence; the corpus has no rules, so nothing is expanded."""
-    return rerank(spark, d).where("rank <= 5")
+    """Hybrid ten, reranked, expanded over the graph of the same chunks, first five as evidence."""
+    return retrieval.retrieve_batch(search_queries(spark, d), index_tables(corpus_chunks(spark, d)))
 
 
 def _evidence(spark, d):

@@ -153,6 +153,17 @@ def merge_expanded(hits: DataFrame, expanded: DataFrame, nodes: DataFrame) -> Da
     return a.unionByName(b).withColumn("rank", F.row_number().over(own)).drop("place")
 
 
+def expand_hits(hits: DataFrame, chunks: DataFrame, top_k: int = 5, max_hops: int = 2) -> DataFrame:
+    """The first top_k of all: hits (query_id, key, score, rank) and what the chunks' graph leads to from the first top_k.
+
+    The graph is that of the same chunks (with text); where it has no edges, the first top_k hits come back as they were.
+    """
+    nodes, edges = build_graph(chunks)
+    whole = hits.join(chunks.select(*KEY, "text"), KEY)
+    new = expanded_chunks(graph_paths(whole.where(F.col("rank") <= top_k), nodes, edges, max_hops), nodes, whole)
+    return merge_expanded(whole, new, nodes).where(F.col("rank") <= top_k)
+
+
 def graph_stats(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, n): chunks, nodes by type, edges by relation."""
     count = lambda df, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n"))

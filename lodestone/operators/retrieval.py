@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .index import KEY, _one_row
+from . import graph
+from .index import KEY, _one_row, embed_text
 
 K1, B = 1.5, 0.75
 #: Query vectors that are sent to the executors at a time.
@@ -115,6 +116,16 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10,
     return top_k(pairs.withColumn("score", T.fixed(scorer(F.col("query"), F.col("text")))), k, F.desc("score"), "before").select("query_id", *key, "score", "rank")
 
 
+def retrieve_batch(queries: DataFrame, index: dict[str, DataFrame], top_k: int = 5, max_hops: int = 2) -> DataFrame:
+    """(query_id, key, score, rank): hybrid ten, reranked, with what the graph of the indexed chunks leads to from the first top_k.
+
+    queries has query_id and query; index is that of index.build_index.
+    """
+    vectors = embed_text(queries.select("query_id", F.col("query").alias("text")), ["query_id"]).select("query_id", "embedding")
+    fused = rrf_fuse(dense_search(vectors, index["vectors"], 20), bm25_search(queries, index, 20))
+    return graph.expand_hits(rerank(fused, queries, index["chunks"]), index["chunks"], top_k, max_hops).select("query_id", *KEY, "score", "rank")
+
+
 def line_match(queries: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The line of all documents that holds most of a query's words as substrings: (query_id, n_words, line).
 

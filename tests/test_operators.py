@@ -124,6 +124,14 @@ def test_paths_against_a_queue(spark):
         assert got == walk([("n0", 0.9), ("n3", 0.6)], out, 2), case
 
 
+def test_hits_expand_over_the_graph_of_their_chunks(spark):
+    rule, far = "**规则A001：apple pear plum**\n参见规则B002 and nothing else here", "**规则B002：zzz yyy xxx**\nwords that nobody asks for"
+    hits = spark.createDataFrame([(1, 0, 0, 1.0, 1), (1, 2, 0, 0.5, 2), (1, 3, 0, 0.2, 3)], "query_id bigint, doc_id bigint, chunk_index int, score double, rank int")
+    got = lambda first: [(r.doc_id, r.score) for r in graph.expand_hits(hits, docs(spark, first, far, "other words", "more words").withColumn("chunk_index", F.lit(0)), 3).orderBy("rank").collect()]
+    assert got(rule) == [(0, 1.0), (1, 0.63), (2, 0.5)]
+    assert got("no rule is in this chunk at all") == [(0, 1.0), (2, 0.5), (3, 0.2)]
+
+
 def test_responses_and_gate(spark):
     rows = [(1, '{"answer":"x","cited_chunks":["a"],"confidence_score":0.9}'), (2, 'so {"answer":"y"} end'), (3, "plain"), (4, "[1]"), (5, '{"confidence_score":"high"}'), (6, None), (7, '{"answer":"z"}')]
     p = {r.query_id: (r.answer, r.cited_chunks, r.confidence) for r in answer.parse_responses(spark.createDataFrame(rows, "query_id bigint, response string")).collect()}
