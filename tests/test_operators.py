@@ -77,6 +77,15 @@ def test_dense_search_against_numpy(spark):
         assert [g.doc_id for g in got if g.query_id == i] == [w[0] for w in want]
 
 
+def test_registered_dedupe_compares_whole_questions(spark, tmp_path):
+    from lodestone.jobs import queries
+
+    turns = [(c, t, ("user", "assistant")[t], text) for c, q in enumerate(["what is this", "what is that", "what is this"]) for t, text in enumerate([q, "x" * 180])]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.query_id: r.first_id for r in queries.dedupe_queries(spark, str(tmp_path)).collect()} == {0: 0, 1000: 1000, 2000: 0}
+    assert {r.predicted_answer for r in queries.eval_rows(spark, str(tmp_path)).where("query_id = 1000").collect()} == {"x" * 180 + " end"}
+
+
 def test_rules(spark):
     text = "intro that is long enough to count\n**规则A001：t**\n- 适用条件：国内出差三天以上。\n- 规定：须提前申报登记。参见规则B002\n**规则B002：u**\n- 如果金额超过五百元则需要部门经理审批。"
     chunks = spark.createDataFrame([(1, 0, text)], "doc_id bigint, chunk_index int, text string")
