@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space of the contracts, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
-#: Up to so many ids (16 MB) are sent to where the texts are; more are shuffled with the texts.
-FEW_IDS = 1_000_000
 #: Bytes of an Arrow batch between Spark and Python.
 ARROW_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,30 +22,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in local tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder: spark.checkpoint.dir, else what setCheckpointDir() was given.
+
+    Where the session names none, a local master gets a temporary folder, as in tests; any other raises.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, read again from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession)}/lodestone-{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Cut points that one job needs until it is done, in a folder of its own that remove() deletes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/lodestone-work-{uuid.uuid4().hex}", {}
+
+    def table(self, df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+        """The rows as a table, read again from there; the table that it stands instead of is deleted."""
+        path = f"{self.path}/{name}-{len(self.tables)}"
+        out = _write(df, path)
+        self.tables[path] = out
+        for p, t in self.tables.items():
+            if t is instead_of:
+                self._delete(p)
+        return out
+
+    def remove(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is among gone, a written table with the single column _gone.
 
-    Up to FEW_IDS ids go to where the texts are; more meet the texts by one shuffle on the id.
+    Rows and ids meet by one shuffle on the id, whatever their number; null ids stay.
     """
-    few = gone.count() <= FEW_IDS
-    side = F.broadcast(gone) if few else gone
-    return docs.join(side, docs[id_col] == side["_gone"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_gone"], "left_anti")
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -67,8 +94,9 @@ def words_of(col: Column) -> Column:
 def arrow_map(df: DataFrame, fn, schema: str, *, batch_bytes: int = 16 << 20) -> DataFrame:
     """mapInArrow with batches cut by bytes, so that very long texts cannot pile up in one batch.
 
-    fn takes and returns a pyarrow.RecordBatch. Batches are bounded by ARROW_BYTES on Spark's side too, and what pyarrow
-    kept for reuse goes back at the end of a task, as workers live on for other stages.
+    fn takes and returns a pyarrow.RecordBatch. Batches are bounded by ARROW_BYTES on Spark's side too, by a setting that
+    the session keeps, as rows are read when the caller asks for them. What pyarrow kept for reuse goes back at the end
+    of a task, as workers live on for other stages.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 

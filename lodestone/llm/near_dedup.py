@@ -5,17 +5,20 @@ bits of the smallest hash that fell there. Registers that stay empty borrow from
 the register alone. Bands of the compressed registers are bucketed; pairs from the buckets pass a Jaccard estimate that
 is corrected for chance collisions of registers, and then a check on the full shingle sets.
 
-No bucket emits all its pairs. Documents with the same shingle set stand as one. In each bucket every member is paired
+No bucket emits its pairs. Documents with the same shingle set stand as one. In each bucket every member is paired
 with the bucket's pivot (the first by a hash, so that most buckets of a group agree on it), at linear cost: in a first
 round over a few bands, which joins most of each group, and in a second round over all bands, where only members of
-other components than the pivot's are paired. Then, for buckets of three and
-more that still hold members of several components, registers of members outside the bucket's largest component are
-compared with all of the bucket, in blocks, so that no link between components is lost.
+other components than the pivot's are paired. Then, for buckets of three and more that still hold members of several
+components, registers of members outside the bucket's largest component are compared with all of the bucket, in blocks.
+What leaves a block are the members with a partner that passes the estimate, a row each; their full sets are dealt to
+blocks of the same bucket and compared there, and what leaves such a block is a spanning forest of the links found: no
+link between components is lost, and no step has more rows out than in.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_IDS, ascii_lower, arrow_map, materialize, text_or_empty, without_ids, words_of
+from .common import Scratch, arrow_map, ascii_lower, materialize, text_or_empty, without_ids, words_of
 
 #: Registers; bands of ROWS registers. A pair at Jaccard 0.8 shares no band with a chance of 2e-9.
 BITS, ROWS = 8, 5
@@ -32,31 +35,20 @@ BANDS = M // ROWS
 #: Stored register value: leading zeros * 2^MANTISSA + mantissa.
 MANTISSA, MOST_ZEROS = 10, 62 - BITS
 #: Standard errors below the threshold at which the estimate still lets a pair through to the exact check.
-SLACK = 5.0
+SLACK = 6.0
 #: Bands of the first round of pairs with pivots.
 FIRST_BANDS = 4
 BLOCK = 2000
-#: Pairs of registers compared in one step of a block (8 MB).
-PAIRS_AT_ONCE = 1 << 14
+#: Documents and shingles (4 MB) of a bucket's blocks of full sets.
+SET_BLOCK, SHINGLE_BLOCK = 1000, 1 << 19
+#: Pairs of registers compared in one step of a block (8 MB), and shingles in one step of a block of sets.
+PAIRS_AT_ONCE, COLUMNS_AT_ONCE = 1 << 14, 1 << 11
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_hashes(text: Column, words: int) -> Column:
-    """Array of 64-bit hashes of the word shingles, repeats included; fewer words make one shingle, none an empty array."""
-    w = words_of(ascii_lower(text))
-
-    def grams(w: Column) -> Column:
-        parts = [F.slice(w, k + 1, F.greatest(F.size(w) - words + 1, F.lit(0))) for k in range(words)]
-        if words == 1:
-            grown = F.transform(parts[0], lambda a: F.xxhash64(a))
-        else:
-            grown = F.zip_with(parts[0], parts[1], lambda a, b: F.xxhash64(a, b))
-            for p in parts[2:]:
-                grown = F.zip_with(grown, p, lambda a, b: F.xxhash64(a, b))
-        whole = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(w, " "), F.size(w))))
-        return F.when(F.size(w) >= words, grown).otherwise(whole)
-
-    return F.transform(F.array(w), grams)[0]
+def word_hashes(text: Column) -> Column:
+    """Array of 64-bit hashes of the words, A-Z lower-cased, in order."""
+    return F.transform(words_of(ascii_lower(text)), lambda w: F.xxhash64(w))
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -65,6 +57,29 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists as uint64, and where each begins and the last ends."""
+    at = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), at - at[0]
+
+
+def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Each row's distinct shingle hashes in order, from its word hashes; fewer words make one shingle, none an empty set."""
+    h, at = _lists(column)
+    n = max(len(h) - words + 1, 0)
+    grams = _scramble(h[:n])
+    for k in range(1, words):
+        grams = _scramble(grams * _C1 + h[k : n + k])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a >= words:
+            yield np.unique(grams[a : b - words + 1])
+        else:
+            whole = _scramble(h[a : a + 1])
+            for k in range(a + 1, b):
+                whole = _scramble(whole * _C1 + h[k : k + 1])
+            yield whole if b - a == 0 else _scramble(whole ^ np.uint64(b - a))
+
+
 @lru_cache(1)
 def _donors() -> np.ndarray:
     """For each register, the other registers in the order in which it borrows from them if empty."""
@@ -73,14 +88,12 @@ def _donors() -> np.ndarray:
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """uint16 registers of a set of distinct uint64 hashes, none of them empty."""
-    h = _scramble(shingles)
-    at = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    rest = h << np.uint64(BITS)
-    least = np.full(M, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, at, rest)
-    filled = np.zeros(M, bool)
-    filled[at] = True
+    """uint16 registers of a set of distinct uint64 hashes in order, none of them empty."""
+    # the first bits pick the register, so the smallest hash of each is the first of its run
+    first = np.searchsorted(shingles, np.arange(M, dtype=np.uint64) << np.uint64(64 - BITS))
+    filled = np.diff(np.append(first, len(shingles))) > 0
+    least = np.zeros(M, np.uint64)
+    least[filled] = shingles[first[filled]] << np.uint64(BITS)
     if not filled.all():
         empty = np.flatnonzero(~filled)
         order = _donors()[empty]
@@ -126,16 +139,22 @@ def estimate(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarra
     return (matches / M - chance) / (1 - chance)
 
 
-def least_matches(threshold: float) -> float:
-    """Equal registers below which no pair passes: correcting for chance only lowers an estimate."""
-    return M * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / M)) - 1e-6
+def least_matches(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Equal registers below which no pair passes whose smaller set has n shingles.
+
+    Correcting for chance only lowers an estimate. A set fills a share f of the registers, and those that borrow repeat a
+    sample, so that M registers tell as much as M f / (1 + f (1 - f)) samples of the union.
+    """
+    f = -np.expm1(np.asarray(n, float) * np.log1p(-1 / M))
+    error = np.sqrt(threshold * (1 - threshold) * (1 + f * (1 - f)) / np.maximum(M * f, 1e-9))
+    return M * (threshold - SLACK * error)
 
 
 def passes(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs worth an exact check. Each register samples the union of both sets, small or large."""
-    error = np.sqrt(threshold * (1 - threshold) / M)
-    fits = 100 * np.minimum(n_a, n_b) >= round(100 * threshold) * np.maximum(n_a, n_b)
-    return fits & (estimate(matches, n_a, n_b) >= threshold - SLACK * error)
+    """Pairs worth an exact check."""
+    small = np.minimum(n_a, n_b)
+    fits = 100 * small >= round(100 * threshold) * np.maximum(n_a, n_b)
+    return fits & (M * estimate(matches, n_a, n_b) >= least_matches(small, threshold) - 1e-6)
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -143,21 +162,30 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     kind = docs.schema[id_col].dataType.simpleString()
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        lists = b.column(1)
-        values, at = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-        at = at - at[0]
         sizes, keys, regs = [], [], []
-        for i in range(b.num_rows):
-            s = np.unique(values[at[i] : at[i + 1]])
+        for s in shingle_sets(b.column(1), words):
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             regs.append(registers(s).tobytes() if len(s) else None)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["id", "n_shingles", "set_key", "registers"])
 
-    rows = docs.select(F.col(id_col).alias("id"), shingle_hashes(text_or_empty(text_col), words).alias("s"))
+    rows = docs.select(F.col(id_col).alias("id"), word_hashes(text_or_empty(text_col)).alias("w"))
     return arrow_map(rows, one, f"id {kind}, n_shingles bigint, set_key binary, registers binary")
 
 
+def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(node, s) with the full shingle sets of the texts (node, text) of the ids (node). One shuffle of texts, at any size."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = list(shingle_sets(b.column(1), words))
+        at = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+        s = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([b.column(0), s], ["node", "s"])
+
+    asked = texts.join(ids.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node", "text"])
+    return arrow_map(asked.select("node", word_hashes(F.col("text")).alias("w")), one, "node bigint, s array<bigint>")
+
+
 def _bands(sketches: DataFrame) -> DataFrame:
     """(node, band, key): a row for each band of each distinct set."""
 
@@ -189,40 +217,39 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b"), one, "a bigint, b bigint", batch_bytes=4 << 20)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold; texts has node and text."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = ids.count() <= FEW_IDS
-    asked = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
-    both = pairs.join(asked.toDF("a", "ta"), "a").join(asked.toDF("b", "tb"), "b")
-    both = both.select("a", "b", *(F.array_distinct(shingle_hashes(F.col(t), words)).alias(s) for t, s in (("ta", "sa"), ("tb", "sb"))))
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold; sets has node and s."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
     return counted.where(100 * F.col("shared") >= round(100 * threshold) * (F.col("sizes") - F.col("shared"))).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Scratch | None = None) -> DataFrame:
     """(node, comp) for the nodes of undirected edges (a, b); comp is the smallest node reachable.
 
     Each round takes the smallest label among neighbours and then the label of that label, so long chains halve.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "near-edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "near-labels")
+    work = work or Scratch(edges.sparkSession)
+    both = work.table(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges")
+    labels = work.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         jump = step.select(F.col("node").alias("j"), F.col("comp").alias("jc"))
-        new = materialize(step.join(jump, step.comp == jump.j, "left").select("node", F.least("comp", F.coalesce("jc", "comp")).alias("comp"), "old"), "near-labels")
+        new = work.table(step.join(jump, step.comp == jump.j, "left").select("node", F.least("comp", F.coalesce("jc", "comp")).alias("comp"), "old"), "labels")
         labels = new.select("node", "comp")
         if not new.where("comp <> old").limit(1).count():
             return labels
 
 
-def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs between components inside buckets of three and more, compared in blocks by their registers."""
+def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, work: Scratch) -> DataFrame:
+    """(key, node): members of buckets of three and more with a partner in another component that passes the estimate.
+
+    Each pair counts in its first common bucket only, and a member is told once a bucket.
+    """
     member = bands.join(labels, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo < hi").select("key", "n")
-    member = materialize(member.join(mixed, "key"), "near-mixed")
+    member = work.table(member.join(mixed, "key"), "mixed")
     counts = member.groupBy("key", "comp").count()
     largest = counts.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"), F.col("top.count").alias("n_top"))
     rows = member.join(largest, "key").select(
@@ -237,8 +264,9 @@ def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: fl
         is_left = t["is_left"].to_numpy()
         x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         r = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(-1, M)
-        node, comp, n, band, minor = (t[k].to_numpy() for k in ("node", "comp", "n_shingles", "band", "minor"))
-        out = [np.zeros((2, 0), np.int64)]
+        key, node, comp, n, band, minor = (t[k].to_numpy() for k in ("key", "node", "comp", "n_shingles", "band", "minor"))
+        cut = least_matches(n, threshold)
+        told = np.zeros(len(r), bool)
         step = max(1, PAIRS_AT_ONCE // max(len(y), 1))
         for k in range(0, len(x), step):
             p, q = (v.ravel() for v in np.meshgrid(x[k : k + step], y, indexing="ij"))
@@ -247,15 +275,61 @@ def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: fl
             p, q = p[ok], q[ok]
             same = r[p] == r[q]
             matches = same.sum(1)
-            ok = np.flatnonzero(matches >= least_matches(threshold))
+            ok = np.flatnonzero(matches >= np.minimum(cut[p], cut[q]) - 1e-6)
             ok = ok[passes(matches[ok], n[p[ok]], n[q[ok]], threshold)] if len(ok) else ok
             # a pair is told by its first bucket only
             ok = ok[same[ok, : BANDS * ROWS].reshape(len(ok), BANDS, ROWS).all(2).argmax(1) == band[p[ok]]]
-            out.append(np.sort(np.stack([node[p[ok]], node[q[ok]]]), axis=0))
-        a, b = np.concatenate(out, axis=1)
-        return pa.table({"a": a, "b": b})
+            told[p[ok]] = told[q[ok]] = True
+        return pa.table({"key": key[told], "node": node[told]})
+
+    return left.union(right).groupBy("key", "i", "j").applyInArrow(compare, "key bigint, node bigint").distinct()
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the left sets has in common with each of the right ones."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, held = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+    shared = held[at] > 1
+    owner, column = owner[shared], (np.cumsum(held > 1) - 1)[at[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_AT_ONCE):
+        a, b = np.searchsorted(column, (start, start + COLUMNS_AT_ONCE))
+        x = np.zeros((len(sets), COLUMNS_AT_ONCE), np.float32)
+        x[owner[a:b], column[a:b] - start] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out
+
+
+def _forest(flagged: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components that join all members (key, node) of a bucket that full sets link, a tree a block."""
+    rows = flagged.join(nodes.select("node", "n_shingles"), "node").join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    load = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n_shingles") / SHINGLE_BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(load, "key").select("key", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "node")
 
-    return left.union(right).groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    def compare(t: pa.Table) -> pa.Table:
+        own, i, j, node, label = (t[k].to_numpy() for k in ("own", "i", "j", "node", "comp"))
+        label = label.copy()
+        values, at = _lists(t["s"].combine_chunks())
+        sets = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        size = np.array([len(s) for s in sets], np.int64)
+        shared = intersections([sets[k] for k in x], [sets[k] for k in y])
+        linked = 100 * shared >= round(100 * threshold) * (size[x][:, None] + size[y][None, :] - shared)
+        a, b = [], []
+        for row, p in zip(linked, x, strict=True):
+            new = y[row]
+            while len(new := new[label[new] != label[p]]):
+                a.append(node[p])
+                b.append(node[new[0]])
+                label[label == label[new[0]]] = label[p]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,48 +337,54 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
 
     Words are runs other than [\\x20\\x09-\\x0D], A-Z lower-cased. A text of fewer words than a shingle is one shingle;
     one without words (or null) has none, is linked with nothing and is its own component. Rows with
-    100 * |A and B| >= 100 * threshold * |A or B| are linked; component_id is the smallest id reachable. A null id can't
-    be compared: such a row has a null component, is linked with nothing and stays. Rows that repeat an id have the
-    component of their own text each. Other columns are not read. Ids must be integers.
+    100 * |A and B| >= 100 * threshold * |A or B| are linked; component_id is the smallest id reachable. Rows that repeat
+    an id count as one document with several texts: what any of them is linked with, the id is. A null id can't be
+    compared: such a row has a null component, is linked with nothing and stays. Other columns are not read. Ids must be
+    integers; others raise a TypeError.
     """
-    rows = materialize(sketch(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col).withColumnRenamed("id", "doc"), "near-rows")
-    best = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc").cast("bigint").alias("node"), F.max("doc").cast("bigint").alias("last"))
-    best = materialize(best, "near-sets-of-one")
-    nodes = materialize(
-        rows.where("set_key is not null").select(F.col("doc").cast("bigint").alias("node"), "set_key", "n_shingles", "registers")
-        .join(best.select("set_key", "node"), ["set_key", "node"], "left_semi").dropDuplicates(["set_key", "node"]).withColumn("doc", F.col("node")),
-        "near-nodes",
-    )
-    bands = materialize(_bands(nodes), "near-bands")
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"near-duplicate groups need integer ids, not {docs.schema[id_col].dataType.simpleString()}")
+    work = Scratch(docs.sparkSession)
+    rows = materialize(sketch(docs, words, id_col, text_col).withColumn("doc", F.col("id").cast("bigint")), "near-rows")
+    named = rows.where("doc is not null and set_key is not null")
+    best = materialize(named.groupBy("set_key").agg(F.min("doc").alias("node")), "near-sets-of-one")
+    nodes = work.table(named.select(F.col("doc").alias("node"), "set_key", "n_shingles", "registers").join(best, ["set_key", "node"], "left_semi").dropDuplicates(["set_key", "node"]), "nodes")
+    bands = work.table(_bands(nodes), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bands = materialize(bands.join(shared, "key", "left_semi"), "near-shared-bands")
+    bands = work.table(bands.join(shared, "key", "left_semi"), "shared-bands", instead_of=bands)
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), text_or_empty(text_col).alias("text"))
+    sets = work.table(_sets(texts, bands.select("node").distinct(), words), "sets")
+
+    # rows that repeat an id with other texts tie their texts together
+    texts_of = rows.where("doc is not null").groupBy("doc").agg(F.min(F.xxhash64("set_key")).alias("lo"), F.max(F.xxhash64("set_key")).alias("hi")).where("lo < hi").select("doc")
+    ties = named.join(texts_of, "doc", "left_semi").join(best, "set_key").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
+    links = work.table(ties, "links")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return materialize(_verified(pairs, texts, words, threshold), "near-links")
+        return links.union(work.table(_verified(work.table(pairs, "pairs"), sets, threshold), "links"))
 
     links = linked(_estimated(_star(bands.where(F.col("band") < FIRST_BANDS), None), nodes, threshold))
-    labels = components(links)
-    links = links.union(linked(_estimated(_star(bands, labels), nodes, threshold)))
-    labels = components(links)
-    more = materialize(_across(bands, labels, nodes, threshold), "near-more-pairs")
-    if more.limit(1).count():
-        labels = components(links.union(linked(more)))
-
-    node_comp = best.join(labels, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
-    out = rows.select("doc", "n_shingles", "set_key").join(node_comp, "set_key", "left")
-    out = out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("comp", F.col("doc").cast("bigint")).alias("component_id"))
-    none = docs.where(F.col(id_col).isNull()).select(
-        F.col(id_col), F.size(F.array_distinct(shingle_hashes(text_or_empty(text_col), words))).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")
-    )
-    return out.union(none).withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+    links = linked(_estimated(_star(bands, components(links, work)), nodes, threshold))
+    labels = components(links, work)
+    flagged = work.table(_across(bands, labels, nodes, threshold, work), "flagged")
+    links = links.union(work.table(_forest(flagged, labels, nodes, sets, threshold), "links"))
+    labels = materialize(components(links, work), "near-labels")
+    work.remove()
+
+    by_set = best.join(labels, "node", "left").select("set_key", F.coalesce("comp", "node").alias("by_set"))
+    by_id = labels.join(texts_of, labels.node == texts_of.doc, "left_semi").select(F.col("node").alias("doc"), F.col("comp").alias("by_id"))
+    out = rows.select("id", "doc", "n_shingles", "set_key").join(by_set, "set_key", "left").join(by_id, "doc", "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("by_id", "by_set", "doc"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
 
 
 def drop_near(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, with one document (the smallest id) of each group of near-duplicates.
 
-    An id that rows of several texts share goes only if none of its rows stays; rows of a null id stay.
+    Rows that repeat an id count as one document: all stay or none. Rows of a null id or without words stay, and ids must
+    be integers.
     """
     groups = near_groups(docs, words, threshold, id_col, text_col)
-    gone = groups.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("stays")).where("not stays").select("_gone")
+    gone = groups.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
     return without_ids(docs, materialize(gone, "near-gone"), id_col)
