@@ -1,16 +1,18 @@
 """Exact duplicates over immutable snapshots that arrive one after another.
 
-Each snapshot gets static binary-fuse filters over its digests, one for each hash bucket. A later snapshot's digests are
-probed against the filters of all earlier ones; only positives go on to an exact join of the digests' buckets, while
-duplicates inside a snapshot are found by grouping that snapshot alone. What is found twice is then compared byte for
-byte.
+A snapshot's digests are stored once, with static binary-fuse filters over them, one for each hash bucket. What arrives
+later is screened by the filters of the snapshots before it: 64 bits of each digest meet the filters of their bucket, and
+only positives go on to an exact join with the stored digests of that bucket. Duplicates inside a new batch are found by
+grouping that batch alone. What is found twice is then compared byte for byte.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, materialize, text_or_empty, without_ids
@@ -18,8 +20,8 @@ from .common import SPACES, materialize, text_or_empty, without_ids
 #: Digests that one filter holds on average.
 BUCKET_KEYS = 1 << 16
 SALTS = 16
-#: Up to so many repeated digests (32 MB) are sent to where the texts are; more meet the texts by a salted shuffle.
-FEW_DIGESTS = 1_000_000
+#: Filter buckets of a stored snapshot, alike in all, so that those of several snapshots can be probed together.
+STORED_BUCKETS = 1024
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -87,19 +89,78 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _probe(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """The keys of rows (key64, snapshot) that a filter of an earlier snapshot may hold."""
     keys, at = rows["key64"].to_numpy(np.int64).view(np.uint64), rows["snapshot"].to_numpy()
     hit = np.zeros(len(rows), bool)
     for f in filters.itertuples():
         later = (at > f.snapshot) & ~hit
         if later.any():
             hit[later] = fuse_contains((f.seed, f.segment, f.segments, f.cells), keys[later])
-    return rows.loc[hit, ["digest"]]
+    return rows.loc[hit, ["key64"]]
+
+
+def _filters(keyed: DataFrame) -> DataFrame:
+    """A filter for each snapshot and bucket of rows (snapshot, bucket, key64)."""
+    return keyed.select("snapshot", "bucket", "key64").groupBy("snapshot", "bucket").applyInPandas(_build, "snapshot int, bucket int, seed int, segment int, segments int, cells binary")
+
+
+def _screened(keyed: DataFrame, filters: DataFrame) -> DataFrame:
+    """The distinct keys of rows (snapshot, bucket, key64) that pass a filter of an earlier snapshot."""
+    return keyed.select("snapshot", "key64", "bucket").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_probe, "key64 bigint").distinct()
 
 
 def normalized(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text without white space."""
+    return F.unhex(F.sha2(normalized(text).cast("binary"), 256))
+
+
+def _best(id_col: str) -> Column:
+    """What the row that stays has least of: most code points, then the smallest id, nulls last."""
+    return F.struct((-F.col("n_chars")).alias("n"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+
+
+def store_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes a snapshot's digests and the filters over them below path, in a folder each; both are read, never changed.
+
+    Texts that the snapshot repeats are stored once, with the row that stays. An empty snapshot has no rows in either.
+    """
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col), F.length(text).alias("n_chars"), text_digest(text).alias("digest"))
+    key64 = F.xxhash64("digest")
+    inside = rows.groupBy("digest").agg(F.count("*").alias("n_rows"), F.min(_best(id_col)).alias("best"))
+    inside = inside.select("digest", "n_rows", "best", key64.alias("key64"), F.pmod(key64, F.lit(STORED_BUCKETS)).cast("int").alias("bucket"), F.lit(0).alias("snapshot"))
+    inside.write.parquet(f"{path}/digests")
+    _filters(inside.sparkSession.read.schema(inside.schema).parquet(f"{path}/digests")).write.parquet(f"{path}/filters")
+
+
+def screen_batch(spark: SparkSession, batch: DataFrame, snapshots: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of batch: id, known_id, batch_id, is_new.
+
+    known_id is the row that stays of an equal text in the first of the stored snapshots that has one, else null; batch_id
+    the row that stays among the equal texts of the batch. is_new tells the rows to add: those that stay in the batch and
+    are in no snapshot. Rows that repeat id and text of one that stays are new together. Only digests that pass a
+    snapshot's filters are joined with its digests.
+    """
+    text = text_or_empty(text_col)
+    base = materialize(batch.select(F.col(id_col), F.length(text).alias("n_chars"), text_digest(text).alias("digest")), "exact-batch")
+    inside = materialize(base.groupBy("digest").agg(F.min(_best(id_col)).alias("best")).withColumn("key64", F.xxhash64("digest")), "exact-inside")
+    keyed = inside.select("key64", F.pmod("key64", F.lit(STORED_BUCKETS)).cast("int").alias("bucket"), F.lit(len(snapshots)).alias("snapshot"))
+    kind = batch.schema[id_col].dataType.simpleString()
+    known = spark.createDataFrame([], f"digest binary, at int, id {kind}")
+    for k, path in enumerate(snapshots):
+        passed = _screened(keyed, spark.read.parquet(f"{path}/filters"))
+        asked = inside.join(passed, "key64", "left_semi").select("digest")
+        known = known.union(spark.read.parquet(f"{path}/digests").join(asked, "digest").select("digest", F.lit(k).alias("at"), F.col("best.id").alias("id")))
+    first = known.groupBy("digest").agg(F.min(F.struct("at", "id")).alias("first"))
+    told = inside.join(first, "digest", "left").select("digest", "best", "first")
+    stays = F.col("first").isNull() & F.col(id_col).eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.n"))
+    return base.join(told, "digest").select(id_col, F.col("first.id").alias("known_id"), F.col("best.id").alias("batch_id"), stays.alias("is_new"))
+
+
 def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, n_chars.
 
@@ -110,19 +171,18 @@ def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str =
     """
     snapshot = F.pmod(F.xxhash64(id_col), F.lit(4)) if snapshot is None else snapshot
     text = text_or_empty(text_col)
-    digest = F.unhex(F.sha2(normalized(text).cast("binary"), 256))
+    digest = text_digest(text)
     base = materialize(docs.select(F.col(id_col), snapshot.cast("int").alias("snapshot"), F.length(text).alias("n_chars"), digest.alias("digest")), "exact-rows")
 
-    best = F.struct((-F.col("n_chars")).alias("n"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
-    inside = materialize(base.groupBy("snapshot", "digest").agg(F.count("*").alias("n_rows"), F.min(best).alias("best")), "exact-inside")
-    buckets = max(8, inside.count() // BUCKET_KEYS)
-    key64 = F.xxhash64("digest")
-    keyed = inside.select("snapshot", "digest", "n_rows", key64.alias("key64"), F.pmod(key64, F.lit(buckets)).cast("int").alias("bucket"))
-    filters = keyed.select("snapshot", "bucket", "key64").groupBy("snapshot", "bucket").applyInPandas(_build, "snapshot int, bucket int, seed int, segment int, segments int, cells binary")
-    positives = keyed.select("snapshot", "digest", "key64", "bucket").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_probe, "digest binary")
-    candidates = positives.union(keyed.where("n_rows > 1").select("digest")).distinct()
+    inside = materialize(base.groupBy("snapshot", "digest").agg(F.count("*").alias("n_rows"), F.min(_best(id_col)).alias("best")).withColumn("key64", F.xxhash64("digest")), "exact-inside")
+    n, newest = inside.agg(F.count("*"), F.max("snapshot")).first()
+    keyed = inside.select("snapshot", "key64", F.pmod("key64", F.lit(max(8, n // BUCKET_KEYS))).cast("int").alias("bucket"))
+    filters = materialize(_filters(keyed.where(F.col("snapshot") < F.lit(newest))), "exact-filters")
+    seen = _screened(keyed, filters).withColumn("seen", F.lit(True))
+    # the exact join of buckets has the positives of all snapshots; what a snapshot repeats is known without it
+    candidates = inside.join(seen, "key64", "left").where("seen or n_rows > 1")
     groups = materialize(
-        inside.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.sum("n_rows").alias("group_size"), F.min("best").alias("best"))
+        candidates.groupBy("digest").agg(F.sum("n_rows").alias("group_size"), F.min("best").alias("best"))
         .where("group_size > 1").select("digest", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("keep_chars")),
         "exact-groups",
     )
@@ -131,8 +191,7 @@ def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str =
     salt = F.pmod(F.xxhash64(id_col, F.length(text)), F.lit(SALTS)).cast("int")
     rows = docs.select(digest.alias("digest"), salt.alias("salt"), normalized(text).alias("norm"))
     salted = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    few = groups.count() <= FEW_DIGESTS
-    asked = rows.join(F.broadcast(groups.select("digest")), "digest", "left_semi") if few else rows.join(salted, ["digest", "salt"], "left_semi")
+    asked = rows.join(salted.hint("shuffle_hash"), ["digest", "salt"], "left_semi")
     texts = asked.groupBy("digest", "norm").count().groupBy("digest").agg(F.count("*").alias("texts"))
     checked = groups.join(texts, "digest").withColumn(
         "group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts under one digest")).cast("long"))
@@ -150,17 +209,18 @@ def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str =
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, without the copies that exact_groups() doesn't keep.
 
-    Of rows that repeat both id and text, one stays. Where each id has one row, the ids decide; else id and text do.
+    Of rows that repeat both id and text, one stays. Where each id has one row, the ids decide; else id and text do. Names
+    of columns are free: what is added on the way has names of its own.
     """
-    key = [F.col(id_col).alias("_id"), F.col("n_chars").cast("int").alias("_n"), F.col("text_sha256").alias("_sha")]
-    groups = materialize(exact_groups(docs, None, id_col, text_col).select(*key, "kept"), "exact-kept")
-    if not groups.groupBy("_id").count().where("count > 1 or _id is null").limit(1).count():
-        return without_ids(docs, materialize(groups.where("not kept").select(F.col("_id").alias("_gone")), "exact-gone"), id_col)
+    groups = materialize(exact_groups(docs, None, id_col, text_col).select(F.col(id_col).alias("id"), F.col("n_chars").cast("int").alias("n"), F.col("text_sha256").alias("sha"), "kept"), "exact-kept")
+    if not groups.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
+        return without_ids(docs, materialize(groups.where("not kept").select(F.col("id").alias("_gone")), "exact-gone"), id_col)
+    n, sha = (f"_{name}_{uuid.uuid4().hex}" for name in ("chars", "sha"))
     text = text_or_empty(text_col)
-    rows = docs.withColumns({"_n2": F.length(text), "_sha2": F.sha2(normalized(text).cast("binary"), 256)})
-    gone = groups.where("not kept").drop("kept")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n2") == F.col("_n")) & (F.col("_sha2") == F.col("_sha"))
+    rows = docs.withColumns({n: F.length(text), sha: F.sha2(normalized(text).cast("binary"), 256)})
+    gone = groups.where("not kept")
+    same = rows[id_col].eqNullSafe(gone["id"]) & (rows[n] == gone["n"]) & (rows[sha] == gone["sha"])
     rows = rows.join(gone, same, "left_anti")
-    if groups.where("kept").groupBy("_id", "_n", "_sha").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates([id_col, "_n2", "_sha2"])
-    return rows.drop("_n2", "_sha2")
+    if groups.where("kept").groupBy("id", "n", "sha").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([id_col, n, sha])
+    return rows.drop(n, sha)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, common, decontamination, exact_dedup, html_text, near_dedup, pii, quality, sharding, toxicity, url_filter
+from lodestone.llm import byte_bpe, decontamination, exact_dedup, html_text, near_dedup, pii, quality, sharding, toxicity, url_filter
 
 LONG = "word " * 30_000
 
@@ -373,14 +373,62 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert sorted(x.doc_id for x in P.run(spark, d).collect()) == want
 
 
-def test_exact_beyond_the_size_that_is_sent(spark, odd, monkeypatch):
-    want = sorted(exact_dedup.exact_groups(odd).collect(), key=str)
-    monkeypatch.setattr(exact_dedup, "FEW_DIGESTS", 0)
-    assert sorted(exact_dedup.exact_groups(odd).collect(), key=str) == want
-
-
-def test_drops_beyond_the_size_that_is_sent(spark, monkeypatch):
-    monkeypatch.setattr(common, "FEW_IDS", 0)
+def test_drops(spark):
     docs = texts(spark, "a b c", "a  b c", "one two three four five six seven", "one two three four five six seven", "x", None)
     assert sorted(r.doc_id for r in exact_dedup.drop_exact(docs).collect()) == [1, 2, 4, 5]
     assert sorted(r.doc_id for r in near_dedup.drop_near(docs).collect()) == [0, 2, 4, 5]
+
+
+def test_drops_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, "ab"), (None, "c"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 0, 1, 2, 3, 4, True) for i, t in rows], "doc_id bigint, text string, _sha int, _id int, _n int, _gone int, id int, kept boolean")
+    got = exact_dedup.drop_exact(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (1, "a b"), (1, "c")]
+    assert near_dedup.drop_near(docs).columns == docs.columns
+
+
+def test_batches_against_stored_snapshots(spark, tmp_path):
+    r = random.Random(11)
+    snaps = [[(100 * k + i, f"text {r.randrange(60)} " + " " * r.randrange(3)) for i in range(40)] for k in range(3)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    for k in (0, 1):
+        exact_dedup.store_snapshot(table(snaps[k]), f"{tmp_path}/{k}")
+    exact_dedup.store_snapshot(none(table(snaps[0])), f"{tmp_path}/empty")
+    got = {g.doc_id: (g.known_id, g.batch_id, g.is_new) for g in exact_dedup.screen_batch(spark, table(snaps[2]), [f"{tmp_path}/{k}" for k in (0, "empty", 1)]).collect()}
+    best = lambda rows, t: min(((-len(x), i) for i, x in rows if x.split() == t.split()), default=(0, None))[1]
+    for i, t in snaps[2]:
+        known = best(snaps[0], t)
+        known = best(snaps[1], t) if known is None else known
+        mine = best(snaps[2], t)
+        assert got[i] == (known, mine, known is None and mine == i), i
+
+
+def test_repeated_ids_are_one_document(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, ""), (3, "x"), (None, a)]
+    got = sorted(((r.doc_id or 0), r.component_id, r.kept) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect())
+    assert got == [(0, None, True), (1, 1, True), (3, 3, True), (5, 1, False), (5, 1, False), (9, 1, False), (9, 1, False)]
+    with pytest.raises(TypeError):
+        near_dedup.drop_near(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_set_intersections_against_python():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 400, r.integers(0, 90))) for _ in range(40)]
+    got = near_dedup.intersections(sets[:15], sets[10:])
+    assert (got == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[10:]] for a in sets[:15]]).all()
+
+
+def test_near_in_blocks(spark, monkeypatch):
+    """Groups larger than the blocks, with links between blocks only."""
+    for name, n in (("BLOCK", 3), ("SET_BLOCK", 3), ("SHINGLE_BLOCK", 200), ("FIRST_BANDS", 1), ("COLUMNS_AT_ONCE", 16)):
+        monkeypatch.setattr(near_dedup, name, n)
+    r = random.Random(21)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for _ in range(40):
+        w = base[:]
+        for k in r.sample(range(60), 4):
+            w[k] = f"z{r.randrange(500)}"
+        rows.append((len(rows), " ".join(w)))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
+    assert got == brute_near(rows, 2)
