@@ -243,7 +243,7 @@ def components(edges: DataFrame, work: Scratch | None = None) -> DataFrame:
 
 
 def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, work: Scratch) -> DataFrame:
-    """(key, node): members of buckets of three and more with a partner in another component that passes the estimate.
+    """(key, node, comp, n_shingles): members of buckets of three and more with a partner in another component that passes the estimate.
 
     Each pair counts in its first common bucket only, and a member is told once a bucket.
     """
@@ -257,8 +257,11 @@ def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: fl
         F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("n_top")) / BLOCK).cast("int").alias("minor_blocks"),
     ).join(nodes.select("node", "n_shingles", "registers"), "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = rows.where("minor").select("key", "band", "node", "comp", "n_shingles", "registers", "minor", deal("minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("is_left"))
-    right = rows.select("key", "band", "node", "comp", "n_shingles", "registers", "minor", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), deal("all_blocks").alias("j"), F.lit(False).alias("is_left"))
+    place = lambda i, j, is_left: F.struct(i.alias("i"), j.alias("j"), F.lit(is_left).alias("is_left"))
+    left = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda j: place(deal("minor_blocks"), j, True))
+    right = F.transform(F.sequence(F.lit(0), F.col("minor_blocks") - 1), lambda i: place(i, deal("all_blocks"), False))
+    places = F.explode(F.when(F.col("minor"), F.concat(left, right)).otherwise(right)).alias("at")
+    dealt = rows.select("key", "band", "node", "comp", "n_shingles", "registers", "minor", places).select("*", "at.*").drop("at")
 
     def compare(t: pa.Table) -> pa.Table:
         is_left = t["is_left"].to_numpy()
@@ -280,9 +283,9 @@ def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: fl
             # a pair is told by its first bucket only
             ok = ok[same[ok, : BANDS * ROWS].reshape(len(ok), BANDS, ROWS).all(2).argmax(1) == band[p[ok]]]
             told[p[ok]] = told[q[ok]] = True
-        return pa.table({"key": key[told], "node": node[told]})
+        return pa.table({"key": key[told], "node": node[told], "comp": comp[told], "n_shingles": n[told]})
 
-    return left.union(right).groupBy("key", "i", "j").applyInArrow(compare, "key bigint, node bigint").distinct()
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "key bigint, node bigint, comp bigint, n_shingles bigint").distinct()
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -303,9 +306,11 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _forest(flagged: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links between components that join all members (key, node) of a bucket that full sets link, a tree a block."""
-    rows = flagged.join(nodes.select("node", "n_shingles"), "node").join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+def _forest(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components that join all members of a bucket that full sets link, a tree a block.
+
+    rows has key, node, comp and n_shingles.
+    """
     load = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n_shingles") / SHINGLE_BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.join(load, "key").select("key", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -367,7 +372,7 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col:
     links = linked(_estimated(_star(bands, components(links, work)), nodes, threshold))
     labels = components(links, work)
     flagged = work.table(_across(bands, labels, nodes, threshold, work), "flagged")
-    links = links.union(work.table(_forest(flagged, labels, nodes, sets, threshold), "links"))
+    links = links.union(work.table(_forest(flagged, sets, threshold), "links"))
     labels = materialize(components(links, work), "near-labels")
     work.remove()
 
