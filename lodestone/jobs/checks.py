@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.evaluate import CATEGORIES
 from .queries import GRID
 
 
@@ -21,11 +22,13 @@ def _chunks(name: str = "ch", size: int = 512, overlap: int = 64) -> str:
 
 
 TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
-Q = "q as (select item_id query_id, text query, text answer from benchmark)"
+Q = "q as (select item_id query_id, text query, text answer, case when item_id % 3 = 0 then 'multi_hop' else 'simple' end difficulty, 'passage|t' || (item_id % 4) tags from benchmark)"
 QA = """qa as (
   select conv_id * 1000 + turn query_id, text query, answer, case when turn = 0 then 'simple' else 'multi_hop' end difficulty
   from (select *, lead(role) over w next_role, lead(text) over w answer from conversations window w as (partition by conv_id order by turn)) where role = 'user' and next_role = 'assistant'
 )"""
+# runs of Han stand apart from other letters, and are cut to pairs
+HAN_TERMS = "flatten(list_transform(regexp_extract_all(lower(regexp_replace({}, '([一-鿿]+)', chr(1) || '\\1' || chr(1), 'g')), '[\\p{{L}}\\p{{N}}]+'), lambda r: case when regexp_matches(r, '^[一-鿿]') then list_transform(range(1, greatest(length(r), 2)), lambda i: substr(r, i, 2)) else [r] end))"
 INDEX = f"""{_chunks()}, tk as (select doc_id, chunk_index, unnest({TERMS.format("text")}) term from ch),
 post as materialized (select term, doc_id, chunk_index, count(*) tf from tk group by all),
 cl as materialized (select doc_id, chunk_index, len({TERMS.format("text")}) dl from ch),
@@ -78,6 +81,7 @@ RULES = """rc as (
 ), rn as materialized (
   select doc_id || ':0:' || section node_id, substr(text, 1, 200) as text, doc_id, 0 chunk_index, coalesce(nullif(regexp_extract(text, '规则([A-Z]\\d+)', 1), ''), doc_id || ':0:' || section) rule_id, section, text whole from sec
 )"""
+_ASKED = "q as (select p_partkey query_id, p_type || ' 且数量不少于' || p_size || ' P' || p_partkey query from part where p_partkey % 50 = 0)"
 _END = "((?s:.)[^。\\n]*)"
 
 
@@ -100,14 +104,18 @@ REFS = """rf as materialized (
         union all select node_id, doc_id, section, 2, regexp_extract_all(text, '详见([A-Z]\\d+)', 1) from rn)) group by all) r
   join (select rule_id, arg_max(node_id, [doc_id, section]) dst from rn group by rule_id) t using (rule_id)
 )"""
-GRAPH = f"""{RULES}, {CONDITIONS}, {CONCLUSIONS}, {REFS},
-ed as materialized (
+EDGES = """ed as materialized (
   select src, node_id dst, 'requires' relation_type, 1::double weight, [1, pattern, m] o from cn union all select src, node_id, 'leads_to', 0.8::double, [2, pattern, m] from kn
   union all select src, dst, 'requires', 0.9::double, [3, pattern, m] from rf
 )"""
-PATHS = f"""{GRAPH}, h as (select doc_id query_id, doc_id, 0.5::double + (doc_id % 5) / 10::double score from rc),
+GRAPH = f"{RULES}, {CONDITIONS}, {CONCLUSIONS}, {REFS}, {EDGES}"
+
+
+def _paths(hits: str) -> str:
+    """Walks of up to two hops from the chunks of hits (query_id, doc_id, score, rank)."""
+    return f"""h as materialized ({hits}),
 nd as materialized (select node_id, doc_id, 0 k, 0 p, 0 m from rn union all select node_id, doc_id, 1, pattern, m from cn union all select node_id, doc_id, 2, pattern, m from kn),
-p0 as (select h.query_id, n.node_id node, h.score, [n.k, n.p, n.m] o from h join nd n using (doc_id)),
+p0 as (select h.query_id, n.node_id node, h.score, [h.rank, n.k, n.p, n.m] o from h join nd n using (doc_id)),
 a1 as (select p0.query_id, e.dst node, {_r("p0.score * 0.7::double * e.weight", 9)} score, p0.node || '>' || e.dst nodes, e.relation_type relations, p0.o || e.o o from p0 join ed e on e.src = p0.node),
 i1 as materialized (select *, coalesce(greatest((select max(z.score) from p0 z where z.query_id = a.query_id and z.node = a.node), max(score) over w), -1) < score improved from (select * from a1 where score >= 0.1) a
   window w as (partition by query_id, node order by o rows between unbounded preceding and 1 preceding)),
@@ -116,27 +124,35 @@ a2 as (select i1.query_id, e.dst node, {_r("i1.score * 0.7::double * e.weight",
 i2 as materialized (select a.*, coalesce(greatest(z.score, max(a.score) over w), -1) < a.score improved from (select * from a2 where score >= 0.1) a left join s1 z on z.query_id = a.query_id and z.node = a.node
   window w as (partition by a.query_id, a.node order by a.o rows between unbounded preceding and 1 preceding)),
 pa as (select *, 1 hops from i1 union all select *, 2 hops from i2)"""
+
+
+PATHS = f"{GRAPH}, {_paths('select doc_id query_id, doc_id, 0.5::double + (doc_id % 5) / 10::double score, 1 rank from rc')}"
 EXPANDED = f"""{PATHS}, fa as (
   select pa.query_id, n.doc_id, arg_min(pa.score, [[hops], o]) score, min([[hops], o]) place from pa join nd n on n.node_id = pa.node where improved group by all
 ), ex as (select * from (select *, row_number() over (partition by query_id order by score desc, place) rank from fa where query_id <> doc_id) where rank <= 5)"""
 
+RULE_RANKED = f"{RULES}, ch as materialized (select doc_id, 0 chunk_index, text from rc), {RERANKED[RERANKED.index(' tk as (') + 1:].replace(Q, _ASKED)}".replace(TERMS.format("text"), HAN_TERMS.format("text")).replace(TERMS.format("query"), HAN_TERMS.format("query")).replace(TERMS.format("ch.text"), HAN_TERMS.format("ch.text"))
 EVID = f"{_bm25(5)}, ev as materialized (select sp.*, ch.text, sp.doc_id || ':' || sp.chunk_index chunk_id from sp join ch using (doc_id, chunk_index))"
 CITED = "ci as (select query_id, list_sort(list(chunk_id)) cited from ev where rank <= 2 group by query_id)"
-PARSED = f"""{EVID}, {CITED}, ps as (select query_id, case when query_id % 7 = 0 then 'no json here' else 'a' || query_id end answer, case when query_id % 7 = 0 then cast([] as varchar[]) else cited end cited,
-  case when query_id % 7 = 0 then 0.3::double else (query_id % 10) / 10::double end confidence from ci)"""
+# by shape of the response: prose without JSON; an object inside prose; two objects, the first counts; an object with prose after it; a
+# null confidence and a list are errors; an object without answer and confidence; a block that is no JSON; an object alone
+PARSED = f"""{EVID}, {CITED}, ps as (select query_id,
+  case query_id % 9 when 0 then 'no json here' when 3 then 'x' || query_id when 4 then 'error' when 5 then 'error' when 6 then '' when 7 then '{{not: json}} at all' else 'a' || query_id end answer,
+  case when query_id % 9 in (1, 2, 6, 8) then cited else cast([] as varchar[]) end cited,
+  case query_id % 9 when 0 then 0.3::double when 3 then 0.3::double when 4 then 0::double when 5 then 0::double when 6 then 0.5::double when 7 then 0.3::double else (query_id % 10) / 10::double end confidence from ci)"""
 RESULTS = f"""{QA}, rs as materialized (
-  select query_id, query, substr(answer, 1, 200) reference, case when query_id % 3 <> 0 then substr(answer, 1, 150) || ' end' else '' end predicted_answer,
+  select query_id, query, answer, case when query_id % 3 <> 0 then case when query_id % 2 = 0 then repeat('.', 190) else '' end || answer || ' end' else '' end told,
     {_r("case when query_id % 3 <> 0 then (query_id % 11) / 11::double else 0 end", 4)} confidence, {_r("case when query_id % 3 <> 0 then query_id % 97 + 0.125::double else 0 end", 2)} latency_ms,
     case when query_id % 3 <> 0 then query_id || '|x' else '' end cited_chunks, difficulty from qa
-), rh as (select *, trim(substr(reference, 1, 30), ' ' || chr(10)) <> '' and contains(predicted_answer, trim(substr(reference, 1, 30), ' ' || chr(10))) is_hit from rs)"""
+), rh as (select * exclude (answer, told), substr(answer, 1, 200) reference, substr(told, 1, 200) predicted_answer, trim(substr(answer, 1, 30), ' ' || chr(10)) <> '' and contains(told, trim(substr(answer, 1, 30), ' ' || chr(10))) is_hit from rs)"""
 PRF = f"""{QA}, tp as (select query_id, difficulty, list_distinct({TERMS.format("query")}) p, list_distinct({TERMS.format("answer")}) r, query = answer exact from qa),
 pr as materialized (select query_id, difficulty, exact, case when len(p) = 0 and len(r) = 0 then 1 when len(p) = 0 or len(r) = 0 then 0 else len(list_intersect(p, r))::double / len(p) end "precision",
   case when len(p) = 0 and len(r) = 0 then 1 when len(p) = 0 or len(r) = 0 then 0 else len(list_intersect(p, r))::double / len(r) end recall from tp)"""
 ERRORS = f"""{EVID}, er as (
-  select q.query_id, coalesce(a.predicted, '') predicted, coalesce(a.confidence, 0) confidence, {_r("coalesce(a.avg, 0)", 4)} avg_score, coalesce(a.n_hits, 0) n_hits, q.answer reference
+  select q.query_id, coalesce(a.predicted, '') predicted, coalesce(a.confidence, 0) confidence, {_r("coalesce(a.avg, 0)", 4)} avg_score, coalesce(a.n_hits, 0) n_hits, q.answer reference, q.query, q.difficulty, q.tags
   from q left join (select query_id, count(*) n_hits, avg(score) avg, arg_min(substr(text, 1, 200), rank) predicted, arg_min(score, rank) confidence from ev group by query_id) a using (query_id)
 ), ec as (
-  select query_id, predicted, confidence, avg_score, n_hits, case when length(predicted) < 5 then 'generation_error' when n_hits = 0 then 'no_evidence' when confidence < 0.3 then 'low_confidence'
+  select query_id, query, reference, difficulty, tags, predicted, confidence, avg_score, n_hits, case when length(predicted) < 5 then 'generation_error' when n_hits = 0 then 'no_evidence' when confidence < 0.3 then 'low_confidence'
     when case when reference = '' then 0 else len(list_intersect(list_distinct(string_split(substr(reference, 1, 50), '')), list_distinct(string_split(substr(predicted, 1, 100), ''))))::double / len(list_distinct(string_split(substr(reference, 1, 50), ''))) end < 0.3 then 'wrong_evidence'
     else 'correct' end category from er
 )"""
@@ -172,7 +188,7 @@ gr as (
 
 def _abl() -> str:
     one = "select '{n}' config, query_id, doc_id, chunk_index, score, rank from {t} where rank <= 5"
-    rows = " union all ".join(one.format(n=n, t=t) for n, t in (("sparse", "sp"), ("dense", "de"), ("hybrid", "fu"), ("hybrid_rerank", "rr")))
+    rows = " union all ".join(one.format(n=n, t=t) for n, t in (("sparse", "sp"), ("dense", "de"), ("hybrid", "fu"), ("hybrid_rerank", "rr"), ("hybrid_rerank_graph", "rr")))
     key = "trim(substr(answer, 1, 30), ' ' || chr(10))"
     return f"""with {RERANKED}, al as materialized ({rows}), af as (select config, query_id, string_agg(text, ' ' order by rank) found, max(case when rank = 1 then score end) top from al join ch using (doc_id, chunk_index) group by all)
 select n.config, {_r(f"avg(case when {key} <> '' and coalesce(contains(found, {key}), false) then 1::double else 0 end)", 4)} hit_rate, {_r("avg(coalesce(top, 0))", 4)} avg_top_score, count(*) n_queries
@@ -180,6 +196,7 @@ from (select distinct config from al) n cross join q left join af on af.config =
 
 
 _KEY = "trim(substr(answer, 1, 30), ' ' || chr(10))"
+_NAMES = ", ".join(f"('{c}', '{t}')" for c, t in CATEGORIES.items())
 SQL: dict[str, str] = {
     "chunk_chars": f"with {_chunks()} select *, 'chunk_' || lpad(chunk_index::varchar, greatest(4, length(chunk_index::varchar))::integer, '0') chunk_id from ch",
     "tokenize_offsets": "with t as (select doc_id, length(text) n, regexp_extract_all(text, '[一-鿿]+|[a-zA-Z0-9]+|[^\\s]') l, length(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) e from documents) select doc_id, len(l) n_tokens, list_sum(list_transform(l, lambda x: length(x)))::bigint token_chars, list_sum(list_transform(l, lambda x: length(x)))::bigint span_chars, e::integer last_end from t where len(l) > 0",
@@ -193,11 +210,11 @@ SQL: dict[str, str] = {
     "term_stats": f"with {INDEX} select term, df, {_r('idf')} idf from ts",
     "embed_text": f"with {_chunks()}, {_vector('ch', 'doc_id, chunk_index', 'v')} select doc_id, chunk_index, b::int dim, {_r('v')} as value from v_u",
     "normalize_vectors": f"select vec_id, unnest(range(0, len(e)))::int dim, unnest(list_transform(e, lambda x: {_r('x / n')})) as value from (select vec_id, e, sqrt(list_dot_product(e, e)) n from (select vec_id, list_transform(embedding, lambda x: x::double * 3) e from embeddings))",
-    "build_indices": f"with {INDEX}, {GRAPH} select 'chunks' as name, count(*) n from ch union all select 'postings', count(*) from post union all select 'terms', count(*) from ts union all select 'nodes', (select count(*) from rn) + (select count(*) from cn) + (select count(*) from kn)",
+    "build_indices": f"with {INDEX} select 'chunks' as name, count(*) n from ch union all select 'postings', count(*) from post union all select 'terms', count(*) from ts union all select 'vectors', count(*) from ch union all select 'nodes', (select count(*) from ch where length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 20)",
     "bm25_search": f"with {_bm25(20)} select * from sp",
     "bm25_padded": f"with {_bm25(500)}, n as (select q.query_id, count(sp.rank) n from q left join sp using (query_id) group by all), fl as (select n.query_id, c.doc_id, c.chunk_index, n.n, row_number() over (partition by n.query_id order by c.doc_id, c.chunk_index) r from n cross join ch c where n.n < 500 and not exists (select 1 from sp where sp.query_id = n.query_id and sp.doc_id = c.doc_id and sp.chunk_index = c.chunk_index)) select query_id, doc_id, chunk_index, score, rank from sp union all select query_id, doc_id, chunk_index, 0::double, r + n from fl where r + n <= 500",
     "dense_search": f"select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (select a.vec_id query_id, b.vec_id doc_id, 0 chunk_index, {_r('list_dot_product(a.embedding::double[], b.embedding::double[])')} score from embeddings a, embeddings b where a.vec_id % 20 = 0)) where rank <= 20",
-    "dedupe_queries": f"with {QA} select query_id, min(query_id) over (partition by substr(query, 1, 5)) first_id from qa",
+    "dedupe_queries": f"with {QA} select query_id, min(query_id) over (partition by query) first_id from qa",
     "rrf_fuse": f"with {FUSED} select * from fu",
     "rerank": f"with {RERANKED} select * from rr",
     "retrieve_batch": f"with {RERANKED} select * from rr where rank <= 5",
@@ -207,7 +224,12 @@ SQL: dict[str, str] = {
     "rule_conclusions": f"with {RULES}, {CONCLUSIONS} select node_id, text, src, 0.8::double weight from kn",
     "reference_edges": f"with {RULES}, {REFS} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
     "graph_neighbors": f"with {GRAPH}, b0 as (select node_id as start, node_id node, 1::double score, 0 hops from rn), b1 as (select b.start, e.dst node, max({_r('b.score * e.weight', 9)}) score, 1 hops from b0 b join ed e on e.src = b.node group by all), b2 as (select b.start, e.dst node, max({_r('b.score * e.weight', 9)}) score, 2 hops from b1 b join ed e on e.src = b.node group by all), al as (select * from b0 union all select * from b1 where score >= 0.1 union all select * from b2 where score >= 0.1) select start, node, max(score) score, arg_min(hops, [-score, hops]) hops from al group by start, node",
-    "graph_subgraph": f"with {GRAPH} select src, dst, weight from ed where dst in (select node_id from rn union all select node_id from cn)",
+    "graph_subgraph": f"with {GRAPH} select 'edge' kind, src, dst, weight from ed where dst in (select node_id from rn union all select node_id from cn) union all select 'node', node_id, null, null from (select node_id from rn union all select node_id from cn)",
+    "chunk_nodes": f"with {GRAPH} select * from (select node_id, 'rule' as type, text, doc_id from rn union all select node_id, 'condition', text, doc_id from cn union all select node_id, 'conclusion', text, doc_id from kn) where doc_id % 3 = 1",
+    "reference_edges_whole": f"with {RULES}, {REFS.replace('(text,', '(whole,')} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
+    "retrieve_rules": f"with {RULE_RANKED}, {CONDITIONS}, {CONCLUSIONS}, {REFS}, {EDGES}, {_paths('select query_id, doc_id, score, rank from rr where rank <= 5')}, fa as (select pa.query_id, n.doc_id, arg_min(pa.score, [[hops], o]) score, min([[hops], o]) place from pa join nd n on n.node_id = pa.node where improved and (pa.query_id, n.doc_id) not in (select (query_id, doc_id) from rr) group by all), ex as (select * from (select *, row_number() over (partition by query_id order by score desc, place) rank from fa) where rank <= 5), al as (select query_id, doc_id, score, false x, rank from rr union all select query_id, doc_id, score, true, rank from ex) select * from (select query_id, doc_id, 0 chunk_index, score, row_number() over (partition by query_id order by score desc, x, rank) rank from al) where rank <= 5",
+    "retrieve_rules_plain": f"with {RULE_RANKED} select query_id, doc_id, chunk_index, score, rank from rr where rank <= 5",
+    "chunk_tokens": "with d as (select doc_id, length(text) n, regexp_extract_all(text, '[一-鿿]+|[a-zA-Z0-9]+|[^\\s]') l, string_split_regex(text, '[一-鿿]+|[a-zA-Z0-9]+|[^\\s]') g from documents where regexp_matches(text, '\\S')), t as materialized (select doc_id, i, sum(length(gap) + length(tok)) over (partition by doc_id order by i) stop, length(tok) w from (select doc_id, unnest(range(0, len(l))) i, unnest(l) tok, unnest(g[1:len(l)]) gap from d)), w as (select doc_id, unnest(range(0, greatest(ceil((len(l) - 128) / 112::double)::bigint, 0) + 1)) k, len(l) n from d) select w.doc_id, w.k::integer chunk_index, (w.k * 112)::integer start_token, least(w.k * 112 + 128, w.n)::integer end_token, (least(w.k * 112 + 128, w.n) - w.k * 112)::integer token_count, (b.stop - (a.stop - a.w))::integer n_chars from w join t a on a.doc_id = w.doc_id and a.i = w.k * 112 join t b on b.doc_id = w.doc_id and b.i = least(w.k * 112 + 128, w.n) - 1",
     "graph_stats": f"with {GRAPH} select 'chunks' as name, count(*) n from rc union all select 'node rule', count(*) from rn union all select 'node condition', count(*) from cn union all select 'node conclusion', count(*) from kn union all select 'edge ' || relation_type, count(*) from ed group by relation_type",
     "graph_paths": f"with {PATHS} select query_id, nodes, relations, score, hops from pa",
     "expanded_chunks": f"with {EXPANDED} select query_id, doc_id, score, rank from ex",
@@ -222,7 +244,7 @@ SQL: dict[str, str] = {
     "token_prf": f"with {PRF} select query_id, {_r('\"precision\"')} as precision, {_r('recall')} recall, exact from pr",
     "bucket_metrics": f"with {PRF}, g as (select case when grouping(difficulty) = 1 then 'overall' else difficulty end bucket, count(*) n, avg(\"precision\") p, avg(recall) r, avg(exact::int::double) e from pr group by rollup (difficulty)) select bucket, n, {_r('p', 4)} as precision, {_r('r', 4)} recall, {_r('case when p + r > 0 then 2 * p * r / (p + r) else 0 end', 4)} f1, {_r('e', 4)} exact_match from g",
     "bucket_counts": f"with {QA} select difficulty, count(*) n from qa group by difficulty",
-    "error_rows": f"with {ERRORS} select * from ec",
+    "error_rows": f"with {ERRORS}, nm(category, description) as (values {_NAMES}) select query_id, substr(query, 1, 100) query, substr(reference, 1, 100) reference, substr(predicted, 1, 100) predicted, difficulty, tags, n_hits, avg_score, {_r('confidence', 4)} confidence, category, description from ec join nm using (category)",
     "error_summary": f"with {ERRORS}, t as (select count(*) n from ec), c as (select x.category, count(ec.query_id) n from (values ('correct'), ('generation_error'), ('low_confidence'), ('no_evidence'), ('wrong_evidence')) x(category) left join ec using (category) group by x.category union all select 'total', n from t) select category, n, {_r('case when (select n from t) > 0 then 100::double * n / (select n from t) else 0 end', 2)} percent from c",
     "grid_search": f"with {_grid()} select * from gr",
     "best_config": f"with {_grid()} select * from gr order by hit_rate desc, chunk_size, overlap, top_k limit 1",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, chunking, evaluate, graph, index, retrieval
-from ..sources.tables import table
+from ..sources.tables import store, table
 
 SIZE, OVERLAP = 512, 64
 GRID = ([256, 512, 1024], [0, 64, 128], [3, 5, 10])
@@ -27,7 +27,9 @@ def corpus_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("answer"))
+    n = F.col("item_id")
+    bucket, tags = F.when(n % 3 == 0, "multi_hop").otherwise("simple"), F.array(F.lit("passage"), F.concat(F.lit("t"), n % 4))
+    return table(spark, d, "benchmark").select(n.alias("query_id"), F.col("text").alias("query"), F.col("text").alias("answer"), bucket.alias("difficulty"), tags.alias("tags"))
 
 
 def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +57,21 @@ def index_tables(chunks: DataFrame) -> dict[str, DataFrame]:
     return index.build_index(chunks)
 
 
+def stored_index(chunks: DataFrame, *names: str) -> dict[str, DataFrame]:
+    """The index tables of those names, written once and read from there by all that a query does with them."""
+    built = index_tables(chunks)
+    return store({n: built[n] for n in names or built})
+
+
+SPARSE = ("chunks", "postings", "chunk_len", "corpus_stats", "term_stats")
+
+
+def rule_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question about every 50th rule: its condition and its number."""
+    part = table(spark, d, "part").where("p_partkey % 50 = 0")
+    return part.select(F.col("p_partkey").alias("query_id"), F.concat("p_type", F.lit(" 且数量不少于"), "p_size", F.lit(" P"), "p_partkey").alias("query"))
+
+
 def sentence_vectors(rows: DataFrame) -> DataFrame:
     return index.embed_text(rows, ["doc_id", "pos"])
 
@@ -132,9 +149,10 @@ def build_indices(spark, d):
     return count(t["chunks"], "chunks").union(count(t["postings"], "postings")).union(count(t["term_stats"], "terms")).union(count(t["vectors"], "vectors")).union(count(nodes, "nodes"))
 
 
-def _sparse(spark, d, k=20):
-    chunks = corpus_chunks(spark, d)
-    return retrieval.bm25_search(search_queries(spark, d), index_tables(chunks), k), chunks
+def _sparse(spark, d, k=20, *more):
+    """(BM25 hits, the index they come from)"""
+    t = stored_index(corpus_chunks(spark, d), *SPARSE, *more)
+    return retrieval.bm25_search(search_queries(spark, d), t, k), t
 
 
 def bm25_search(spark, d):
@@ -142,8 +160,8 @@ def bm25_search(spark, d):
 
 
 def bm25_padded(spark, d):
-    hits, chunks = _sparse(spark, d, 500)
-    return retrieval.pad_to_k(hits, search_queries(spark, d), chunks, 500)
+    hits, t = _sparse(spark, d, 500)
+    return retrieval.pad_to_k(hits, search_queries(spark, d), t["chunks"], 500)
 
 
 def dense_search(spark, d):
@@ -157,14 +175,14 @@ def dedupe_queries(spark, d):
     return retrieval.dedupe_queries(q)[1]
 
 
-def _dense(spark, d, chunks, k=20):
-    q = index.embed_text(search_queries(spark, d).withColumn("text", F.col("query")), ["query_id"]).select("query_id", "embedding")
-    return retrieval.dense_search(q, index.embed_text(chunks, index.KEY), k)
+def _dense(spark, d, t, k=20):
+    q = index.embed_text(search_queries(spark, d).select("query_id", F.col("query").alias("text")), ["query_id"]).select("query_id", "embedding")
+    return retrieval.dense_search(q, t["vectors"], k)
 
 
 def _hybrid(spark, d):
-    sparse, chunks = _sparse(spark, d)
-    return retrieval.rrf_fuse(_dense(spark, d, chunks), sparse), sparse, chunks
+    sparse, t = _sparse(spark, d, 20, "vectors")
+    return retrieval.rrf_fuse(_dense(spark, d, t), sparse), t
 
 
 def rrf_fuse(spark, d):
@@ -172,8 +190,8 @@ def rrf_fuse(spark, d):
 
 
 def rerank(spark, d):
-    fused, _, chunks = _hybrid(spark, d)
-    return retrieval.rerank(fused, search_queries(spark, d), chunks)
+    fused, t = _hybrid(spark, d)
+    return retrieval.rerank(fused, search_queries(spark, d), t["chunks"])
 
 
 def line_match(spark, d):
@@ -181,7 +199,10 @@ def line_match(spark, d):
 
 
 def _rules(spark, d):
-    return graph.build_graph(rule_chunks(spark, d))
+    """(nodes, edges) of the rule texts, derived once and stored."""
+    nodes, edges = graph.build_graph(rule_chunks(spark, d))
+    t = store({"nodes": nodes, "edges": edges})
+    return t["nodes"], t["edges"]
 
 
 def rule_nodes(spark, d):
@@ -202,6 +223,16 @@ def reference_edges(spark, d):
     return graph.reference_edges(graph.rule_nodes(graph.rule_sections(rule_chunks(spark, d)))).drop("ord")
 
 
+def reference_edges_whole(spark, d):
+    """References anywhere in a section, not in its first 200 characters only."""
+    return graph.reference_edges(graph.rule_nodes(graph.rule_sections(rule_chunks(spark, d)), None)).drop("ord")
+
+
+def chunk_nodes(spark, d):
+    some = rule_chunks(spark, d).where("doc_id % 3 = 1")
+    return graph.chunk_nodes(_rules(spark, d)[0], some).select("node_id", "type", "text", "doc_id")
+
+
 def graph_neighbors(spark, d):
     nodes, edges = _rules(spark, d)
     return graph.neighbors(edges, nodes.where("type = 'rule'"), 2, 0.1)
@@ -209,8 +240,8 @@ def graph_neighbors(spark, d):
 
 def graph_subgraph(spark, d):
     nodes, edges = _rules(spark, d)
-    _, e = graph.subgraph(nodes, edges, nodes.where("type in ('rule', 'condition')"))
-    return e.select("src", "dst", "weight")
+    n, e = graph.subgraph(nodes, edges, nodes.where("type in ('rule', 'condition')"))
+    return n.select(F.lit("node").alias("kind"), F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight")).union(e.select(F.lit("edge"), "src", "dst", "weight"))
 
 
 def graph_stats(spark, d):
@@ -244,12 +275,21 @@ def merge_expanded(spark, d):
 
 def retrieve_batch(spark, d):
     """Hybrid ten, reranked, expanded over the graph of the same chunks, first five as evidence."""
-    return retrieval.retrieve_batch(search_queries(spark, d), index_tables(corpus_chunks(spark, d)))
+    return retrieval.retrieve_batch(search_queries(spark, d), stored_index(corpus_chunks(spark, d)))
+
+
+def retrieve_rules(spark, d):
+    """The same over the rule texts, whose graph leads to other chunks."""
+    return retrieval.retrieve_batch(rule_questions(spark, d), stored_index(rule_chunks(spark, d)))
+
+
+def retrieve_rules_plain(spark, d):
+    return retrieval.retrieve_batch(rule_questions(spark, d), stored_index(rule_chunks(spark, d)), enable_graph_expansion=False)
 
 
 def _evidence(spark, d):
-    hits, chunks = _sparse(spark, d, 5)
-    return hits.join(chunks.select("doc_id", "chunk_index", "text"), index.KEY).withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index"))
+    hits, t = _sparse(spark, d, 5)
+    return hits.join(t["chunks"].select("doc_id", "chunk_index", "text"), index.KEY).withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index"))
 
 
 def evidence_prompt(spark, d):
@@ -258,10 +298,17 @@ def evidence_prompt(spark, d):
 
 
 def _responses(spark, d):
-    """A response for each query from its hits: a JSON object, every 5th inside prose, every 7th no JSON at all."""
+    """A response for each query from its hits, in nine shapes: JSON alone, inside and before prose, twice, broken, of wrong types."""
     cited = _evidence(spark, d).where("rank <= 2").groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("cited"))
     j = F.concat(F.lit('{"answer":"a'), F.col("query_id"), F.lit('","cited_chunks":["'), F.array_join("cited", '","'), F.lit('"],"confidence_score":'), ((F.col("query_id") % 10) / 10).cast("string"), F.lit("}"))
-    text = F.when(F.col("query_id") % 7 == 0, F.lit("no json here")).when(F.col("query_id") % 5 == 0, F.concat(F.lit("Answer: "), j, F.lit(" done"))).otherwise(j)
+    only = F.concat(F.lit('{"answer":"x'), F.col("query_id"), F.lit('"}'))
+    shapes = [
+        F.lit("no json here"), F.concat(F.lit("Answer: "), j, F.lit(" done")), F.concat(j, F.lit(" "), only), F.concat(only, F.lit(" done")), F.lit('{"answer":"a","cited_chunks":[],"confidence_score":null}'),
+        F.lit("[1, 2]"), F.concat(F.lit('{"cited_chunks":["'), F.array_join("cited", '","'), F.lit('"]}')), F.lit("{not: json} at all"), j,
+    ]
+    text = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        text = F.when(F.col("query_id") % 9 == k, shape).otherwise(text)
     return cited.select("query_id", text.alias("response"))
 
 
@@ -283,7 +330,9 @@ def keyword_hit(spark, d):
 
 def _results(spark, d):
     q = qa_pairs(spark, d)
-    a = q.where("query_id % 3 <> 0").select("query_id", F.concat("answer", F.lit(" end")).alias("predicted_answer"), ((F.col("query_id") % 11) / 11).alias("confidence"), (F.col("query_id") % 97 + 0.125).alias("latency_ms"), F.array(F.col("query_id").cast("string"), F.lit("x")).alias("cited"))
+    # every other answer begins with 190 other characters, so that what is looked for goes on beyond what is shown
+    lead = F.when(F.col("query_id") % 2 == 0, F.lit("." * 190)).otherwise("")
+    a = q.where("query_id % 3 <> 0").select("query_id", F.concat(lead, "answer", F.lit(" end")).alias("predicted_answer"), ((F.col("query_id") % 11) / 11).alias("confidence"), (F.col("query_id") % 97 + 0.125).alias("latency_ms"), F.array(F.col("query_id").cast("string"), F.lit("x")).alias("cited"))
     return evaluate.eval_rows(q, a)
 
 
@@ -332,17 +381,21 @@ def best_config(spark, d):
 
 
 def ablation(spark, d):
-    fused, sparse, chunks = _hybrid(spark, d)
+    t = stored_index(corpus_chunks(spark, d))
     q = search_queries(spark, d)
-    return evaluate.ablation(q, {"sparse": sparse, "dense": _dense(spark, d, chunks), "hybrid": fused, "hybrid_rerank": retrieval.rerank(fused, q, chunks)}, chunks)
+    lists = store({"sparse": retrieval.bm25_search(q, t, 20), "dense": _dense(spark, d, t)})
+    lists |= store({"hybrid": retrieval.rrf_fuse(lists["dense"], lists["sparse"])})
+    lists |= store({"hybrid_rerank": retrieval.rerank(lists["hybrid"], q, t["chunks"])})
+    lists["hybrid_rerank_graph"] = graph.expand_hits(lists["hybrid_rerank"], t["chunks"], graph=(t["nodes"], t["edges"]))
+    return evaluate.ablation(q, lists, t["chunks"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chunk_chars, tokenize_offsets, chunk_tokens, split_sentences, adjacent_similarity, semantic_segments, chunk_semantic, terms, postings, chunk_lengths, corpus_stats, term_stats, embed_text,
-        normalize_vectors, build_indices, bm25_search, bm25_padded, dense_search, dedupe_queries, rrf_fuse, rerank, line_match, rule_nodes, rule_conditions, rule_conclusions, reference_edges,
-        graph_neighbors, graph_subgraph, graph_stats, graph_paths, expanded_chunks, merge_expanded, retrieve_batch, evidence_prompt, parse_responses, confidence_gate, hit_at_k, keyword_hit, eval_rows,
+        normalize_vectors, build_indices, bm25_search, bm25_padded, dense_search, dedupe_queries, rrf_fuse, rerank, line_match, rule_nodes, rule_conditions, rule_conclusions, reference_edges, reference_edges_whole, chunk_nodes,
+        graph_neighbors, graph_subgraph, graph_stats, graph_paths, expanded_chunks, merge_expanded, retrieve_batch, retrieve_rules, retrieve_rules_plain, evidence_prompt, parse_responses, confidence_gate, hit_at_k, keyword_hit, eval_rows,
         run_summary, token_prf, bucket_metrics, bucket_counts, error_rows, error_summary, grid_search, best_config, ablation,
     )
 }

@@ -7,42 +7,52 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Own wording; other wordings are parameters.
 NO_EVIDENCE = "抱歉，没有找到相关的证据。"
 
 
-def evidence_prompt(queries: DataFrame, hits: DataFrame) -> DataFrame:
+def evidence_prompt(queries: DataFrame, hits: DataFrame, no_evidence: str = NO_EVIDENCE) -> DataFrame:
     """(query_id, prompt, n_evidence): numbered evidence in rank order and the question; an apology without evidence.
 
     hits has query_id, chunk_id, text and rank.
     """
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))), lambda h, i: F.concat(F.lit("[证据"), (i + 1).cast("string"), F.lit("] ID: "), h["chunk_id"], F.lit("\n内容: "), h["text"], F.lit("\n")))
     evidence = hits.groupBy("query_id").agg(F.array_join(listed, "\n").alias("evidence"), F.count("*").alias("n_evidence"))
-    prompt = F.when(F.col("evidence").isNull(), F.lit(NO_EVIDENCE)).otherwise(F.concat(F.col("evidence"), F.lit("\n问题: "), F.col("query")))
+    prompt = F.when(F.col("evidence").isNull(), F.lit(no_evidence)).otherwise(F.concat(F.col("evidence"), F.lit("\n问题: "), F.col("query")))
     return queries.select("query_id", "query").join(evidence, "query_id", "left").select("query_id", prompt.alias("prompt"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
 def parse_responses(df: DataFrame, col: str = "response") -> DataFrame:
     """df with answer, cited_chunks, confidence.
 
-    A JSON object gives its fields (defaults: empty, none, 0.5); else the first flat {...} in the text does (defaults: the
-    text, none, 0.3); else the text itself stands with 0.3. JSON that isn't an object, or a confidence that isn't a
-    number, is an error answer with 0. A null response counts as empty text.
+    A text that is one JSON object gives its fields (defaults: empty, none, 0.5); else, with text around it or after it,
+    the first flat {...} in the text does (defaults: the text, none, 0.3); else the text itself stands with 0.3. JSON that
+    isn't an object, a confidence that isn't a number and citations that aren't a list are an error answer with 0; a null
+    there is such a value, a field that isn't there takes the default. A null answer reads None. A null response counts as
+    empty text.
     """
     schema = "answer string, cited_chunks array<string>, confidence_score string"
     raw = F.coalesce(F.col(col), F.lit(""))
     kind = lambda c: F.schema_of_variant(F.try_parse_json(c))
+    # the parser stops behind the first value; alone inside brackets of both kinds, a text is one value and no more
+    whole = T.strip(raw)
+    listed, named = F.concat(F.lit("["), whole, F.lit("]")), F.concat(F.lit('{"v":'), whole, F.lit("}"))
+    one = (F.json_array_length(listed) == 1) & (F.size(F.json_object_keys(named)) == 1) & kind(listed).isNotNull() & kind(named).isNotNull()
     block = F.regexp_extract(raw, "(?s)\\{[^{}]*\\}", 0)
-    rows = df.withColumns({"_raw": raw, "_kind": kind(T.strip(raw)), "_block": block, "_block_kind": kind(block)})
+    rows = df.withColumns({"_raw": raw, "_kind": F.when(one, kind(whole)), "_block": block, "_block_kind": kind(block)})
     rows = rows.withColumn("_from", F.when(F.col("_kind").isNotNull(), F.when(F.col("_kind").startswith("OBJECT"), 1).otherwise(0)).when(F.col("_block_kind").startswith("OBJECT"), 2).otherwise(3))
-    rows = rows.withColumn("_d", F.from_json(F.when(F.col("_from") == 1, T.strip(raw)).when(F.col("_from") == 2, F.col("_block")), schema))
-    given, number = F.col("_d.confidence_score"), F.expr("try_cast(_d.confidence_score as double)")
-    bad = (F.col("_from") == 0) | (given.isNotNull() & number.isNull())
+    rows = rows.withColumn("_json", F.when(F.col("_from") == 1, whole).when(F.col("_from") == 2, F.col("_block")))
+    rows = rows.withColumns({"_d": F.from_json("_json", schema), "_keys": F.coalesce(F.json_object_keys("_json"), F.array().cast("array<string>"))})
+    number = F.expr("try_cast(_d.confidence_score as double)")
+    has = lambda k: F.array_contains("_keys", k)
+    bad = (F.col("_from") == 0) | (has("confidence_score") & number.isNull()) | (has("cited_chunks") & F.col("_d.cited_chunks").isNull())
+    none = F.when(has("answer"), "None").when(F.col("_from") == 1, "").otherwise(F.col("_raw"))
     default = F.when(F.col("_from") == 1, 0.5).otherwise(0.3)
     return rows.withColumns({
-        "answer": F.when(bad, F.lit("error")).otherwise(F.coalesce("_d.answer", F.when(F.col("_from") == 1, F.lit("")).otherwise(F.col("_raw")))),
+        "answer": F.when(bad, F.lit("error")).otherwise(F.coalesce("_d.answer", none)),
         "cited_chunks": F.when(bad, F.array().cast("array<string>")).otherwise(F.coalesce("_d.cited_chunks", F.array().cast("array<string>"))),
         "confidence": F.when(bad, 0.0).otherwise(F.coalesce(number, default)),
-    }).drop("_raw", "_kind", "_block", "_block_kind", "_from", "_d")
+    }).drop("_raw", "_kind", "_block", "_block_kind", "_from", "_json", "_d", "_keys")
 
 
 def confidence_gate(generated: DataFrame, hits: DataFrame, low: float = 0.4, high: float = 0.7) -> DataFrame:

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import chunking, index, retrieval
 
-#: Error categories in the order in which they are tried last to first.
-CATEGORIES = ["correct", "generation_error", "low_confidence", "no_evidence", "wrong_evidence"]
+#: Error categories and what they mean.
+CATEGORIES = {
+    "no_evidence": "未找到相关证据",
+    "wrong_evidence": "检索到错误证据",
+    "generation_error": "生成过程出错",
+    "low_confidence": "置信度过低",
+    "correct": "回答正确",
+}
 
 
 def _texts(hits: DataFrame, k: int, by: list[str], cut: int | None = None) -> DataFrame:
@@ -53,14 +59,17 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 
 def eval_rows(queries: DataFrame, answers: DataFrame) -> DataFrame:
-    """A result row for each query; queries without an answer have zeros and empty fields."""
+    """A result row for each query; queries without an answer have zeros and empty fields.
+
+    Hits are judged on whole answers; what is shown of answers and references is cut to 200 characters.
+    """
     j = queries.join(answers.select("query_id", "predicted_answer", "confidence", "latency_ms", "cited"), "query_id", "left")
     rows = j.select(
-        "query_id", "query", F.substring("answer", 1, 200).alias("reference"), F.substring(F.coalesce("predicted_answer", F.lit("")), 1, 200).alias("predicted_answer"),
+        "query_id", "query", F.col("answer").alias("reference"), F.coalesce("predicted_answer", F.lit("")).alias("predicted_answer"),
         T.fixed(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"), T.fixed(F.coalesce("latency_ms", F.lit(0.0)), 2).alias("latency_ms"),
         F.coalesce(F.array_join("cited", "|"), F.lit("")).alias("cited_chunks"), "difficulty",
     )
-    return answer_hit(rows)
+    return answer_hit(rows).withColumns({c: F.substring(c, 1, 200) for c in ("reference", "predicted_answer")})
 
 
 def token_prf(rows: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
@@ -94,11 +103,17 @@ def error_category(rows: DataFrame) -> DataFrame:
 
 
 def error_rows(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, predicted, confidence, avg_score, n_hits, category): the best text, cut to 200, as the answer."""
+    """(query_id, query, reference, predicted, difficulty, tags, n_hits, avg_score, confidence, category, description).
+
+    The best text, cut to 200, is the answer; texts are shown up to 100 characters, tags joined. queries has query_id,
+    query, answer, difficulty and tags.
+    """
     agg = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.avg("score").alias("avg"), F.min_by(F.substring("text", 1, 200), "rank").alias("predicted"), F.min_by("score", "rank").alias("confidence"))
-    j = queries.select("query_id", F.col("answer").alias("reference")).join(agg, "query_id", "left")
+    j = queries.select("query_id", "query", F.col("answer").alias("reference"), "difficulty", F.array_join("tags", "|").alias("tags")).join(agg, "query_id", "left")
     j = j.withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "predicted": F.coalesce("predicted", F.lit("")), "confidence": F.coalesce("confidence", F.lit(0.0)), "avg_score": T.fixed(F.coalesce("avg", F.lit(0.0)), 4)})
-    return error_category(j).select("query_id", "predicted", "confidence", "avg_score", "n_hits", "category")
+    told = F.create_map(*(F.lit(x) for pair in CATEGORIES.items() for x in pair))[F.col("category")]
+    shown = [F.substring(c, 1, 100).alias(c) for c in ("query", "reference", "predicted")]
+    return error_category(j).select("query_id", *shown, "difficulty", "tags", "n_hits", "avg_score", T.fixed(F.col("confidence"), 4).alias("confidence"), "category", told.alias("description"))
 
 
 def error_summary(rows: DataFrame) -> DataFrame:

@@ -41,11 +41,11 @@ def _section_id() -> Column:
     return F.concat_ws(":", *KEY, "section")
 
 
-def rule_nodes(sections: DataFrame) -> DataFrame:
-    """(node_id, type, text, doc_id, chunk_index, rule_id, ord)"""
+def rule_nodes(sections: DataFrame, chars: int | None = TEXT_CHARS) -> DataFrame:
+    """(node_id, type, text, doc_id, chunk_index, rule_id, ord); text is cut to `chars` characters, or whole for None."""
     found = F.nullif(F.regexp_extract("text", "规则([A-Z]\\d+)", 1), F.lit(""))
     place = F.array(*(F.col(c).cast("bigint") for c in (*KEY, "section")), *(F.lit(0).cast("bigint"),) * 3)
-    return sections.select(_section_id().alias("node_id"), F.lit("rule").alias("type"), F.substring("text", 1, TEXT_CHARS).alias("text"), *KEY, F.coalesce(found, _section_id()).alias("rule_id"), place.alias("ord"))
+    return sections.select(_section_id().alias("node_id"), F.lit("rule").alias("type"), (F.substring("text", 1, chars) if chars is not None else F.col("text")).alias("text"), *KEY, F.coalesce(found, _section_id()).alias("rule_id"), place.alias("ord"))
 
 
 def _matched(sections: DataFrame, kind: str, number: int, patterns: list[str], relation: str, weight: float) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +68,10 @@ def conclusion_nodes(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reference_edges(rules: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Edges from a rule to the last rule of each id that its (cut) text refers to; none where the pair has one."""
+    """Edges from a rule to the last rule of each id that its text refers to; none where the pair has one.
+
+    Texts are scanned as given: cut in nodes, whole in rule_nodes(sections, None).
+    """
     lists = F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in REFERENCES))
     refs = rules.select(F.col("node_id").alias("src"), F.col("ord").alias("from"), F.posexplode(lists).alias("pattern", "found")).select("src", "from", "pattern", F.posexplode("found").alias("match", "rule_id"))
     first = refs.groupBy("src", "rule_id").agg(F.min(F.struct("pattern", "match", "from")).alias("at"))
@@ -78,13 +81,16 @@ def reference_edges(rules: DataFrame, existing: DataFrame | None = None) -> Data
     return edges.join(existing.select("src", "dst"), ["src", "dst"], "left_anti") if existing is not None else edges
 
 
-def build_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the chunks (doc_id, chunk_index, text)."""
+def build_graph(chunks: DataFrame, scan_chars: int | None = TEXT_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the chunks (doc_id, chunk_index, text).
+
+    References are looked for in the first scan_chars characters of a section, or in all of it for None.
+    """
     sections = rule_sections(chunks)
     rules = rule_nodes(sections)
     (a, x), (b, y) = condition_nodes(sections), conclusion_nodes(sections)
     # conditions and conclusions are never rules, so a reference can't repeat one of their edges
-    return rules.unionByName(a).unionByName(b), x.unionByName(y).unionByName(reference_edges(rules))
+    return rules.unionByName(a).unionByName(b), x.unionByName(y).unionByName(reference_edges(rule_nodes(sections, scan_chars)))
 
 
 def neighbors(edges: DataFrame, starts: DataFrame, max_hops: int = 2, min_score: float = 0.1) -> DataFrame:
@@ -153,12 +159,13 @@ def merge_expanded(hits: DataFrame, expanded: DataFrame, nodes: DataFrame) -> Da
     return a.unionByName(b).withColumn("rank", F.row_number().over(own)).drop("place")
 
 
-def expand_hits(hits: DataFrame, chunks: DataFrame, top_k: int = 5, max_hops: int = 2) -> DataFrame:
+def expand_hits(hits: DataFrame, chunks: DataFrame, top_k: int = 5, max_hops: int = 2, graph: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The first top_k of all: hits (query_id, key, score, rank) and what the chunks' graph leads to from the first top_k.
 
-    The graph is that of the same chunks (with text); where it has no edges, the first top_k hits come back as they were.
+    The graph (nodes, edges) is that of the same chunks (with text), built here if not given; where it has no edges, the
+    first top_k hits come back as they were.
     """
-    nodes, edges = build_graph(chunks)
+    nodes, edges = graph or build_graph(chunks)
     whole = hits.join(chunks.select(*KEY, "text"), KEY)
     new = expanded_chunks(graph_paths(whole.where(F.col("rank") <= top_k), nodes, edges, max_hops), nodes, whole)
     return merge_expanded(whole, new, nodes).where(F.col("rank") <= top_k)

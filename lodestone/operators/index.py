@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import graph
 
 KEY = ["doc_id", "chunk_index"]
 DIM = 64
@@ -74,7 +75,8 @@ def normalize_vectors(rows: DataFrame, col: str = "embedding") -> DataFrame:
 
 
 def build_index(chunks: DataFrame, key: list[str] = KEY) -> dict[str, DataFrame]:
-    """All index tables of the chunks, by name."""
+    """All index tables of the chunks, by name; with the graph (nodes, edges) where chunks have the plain key."""
     post, lengths = postings(chunks, key), chunk_lengths(chunks, key)
     stats = corpus_stats(lengths)
-    return {"chunks": chunks, "postings": post, "chunk_len": lengths, "corpus_stats": stats, "term_stats": term_stats(post, stats), "vectors": embed_text(chunks, key).select(*key, "embedding")}
+    nodes = dict(zip(("nodes", "edges"), graph.build_graph(chunks), strict=True)) if key == KEY else {}
+    return nodes | {"chunks": chunks, "postings": post, "chunk_len": lengths, "corpus_stats": stats, "term_stats": term_stats(post, stats), "vectors": embed_text(chunks, key).select(*key, "embedding")}

@@ -27,7 +27,8 @@ def top_k(scored: DataFrame, k: int, *order: Column | str, by: list[str] | None
 def bm25_scores(queries: DataFrame, index: dict[str, DataFrame], key: list[str] = KEY, by: list[str] | None = None) -> DataFrame:
     """(query_id, key, score) of all chunks that share a term with the query, scaled to the query's best.
 
-    Query terms that repeat count as often. Only postings of asked terms are shuffled.
+    Query terms that repeat count as often. Asked terms are few beside postings: on a stored index (write_index) Spark
+    sends them to the postings, and only what they hit is shuffled, by chunk; sums and scaling need no further shuffle.
     """
     by = by or []
     asked = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -36,8 +37,10 @@ def bm25_scores(queries: DataFrame, index: dict[str, DataFrame], key: list[str]
     hit = _one_row(hit, index["corpus_stats"], by)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     raw = hit.groupBy("query_id", *key).agg(F.sum(part).alias("raw"))
-    best = F.max("raw").over(Window.partitionBy("query_id", *by))
-    return raw.select("query_id", *key, T.fixed(F.col("raw") / F.when(best > 0, best).otherwise(1.0)).alias("score"))
+    # one row a query, from partial maxima, so that no query's scores have to meet in one task
+    best = raw.groupBy("query_id", *by).agg(F.max("raw").alias("best"))
+    scale = F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)
+    return raw.join(best, ["query_id", *by]).select("query_id", *key, T.fixed(F.col("raw") / scale).alias("score"))
 
 
 def bm25_search(queries: DataFrame, index: dict[str, DataFrame], k: int = 20, key: list[str] = KEY, by: list[str] | None = None) -> DataFrame:
@@ -59,7 +62,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 20, key: list[
     """Exact inner-product top k: (query_id, key, score, rank), ties by key.
 
     Queries (query_id, embedding) go out in blocks of QUERY_BLOCK; each task multiplies its vectors by the block and keeps
-    its own k best for each query, so k rows per task and query are shuffled. A null vector is never found.
+    the k best of each Arrow batch for each query; Spark keeps the k best of those before it shuffles. A null vector is never found.
     """
     spark = vectors.sparkSession
     ids = queries.where("query_id is not null and embedding is not null")
@@ -116,14 +119,19 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10,
     return top_k(pairs.withColumn("score", T.fixed(scorer(F.col("query"), F.col("text")))), k, F.desc("score"), "before").select("query_id", *key, "score", "rank")
 
 
-def retrieve_batch(queries: DataFrame, index: dict[str, DataFrame], top_k: int = 5, max_hops: int = 2) -> DataFrame:
+def retrieve_batch(queries: DataFrame, index: dict[str, DataFrame], top_k: int = 5, enable_graph_expansion: bool = True, max_hops: int = 2) -> DataFrame:
     """(query_id, key, score, rank): hybrid ten, reranked, with what the graph of the indexed chunks leads to from the first top_k.
 
-    queries has query_id and query; index is that of index.build_index.
+    queries has query_id and query; index is that of index.build_index, or a stored one. Without expansion, or where the
+    graph has no edges, the first top_k of the reranked ones.
     """
     vectors = embed_text(queries.select("query_id", F.col("query").alias("text")), ["query_id"]).select("query_id", "embedding")
     fused = rrf_fuse(dense_search(vectors, index["vectors"], 20), bm25_search(queries, index, 20))
-    return graph.expand_hits(rerank(fused, queries, index["chunks"]), index["chunks"], top_k, max_hops).select("query_id", *KEY, "score", "rank")
+    ranked = rerank(fused, queries, index["chunks"])
+    if not enable_graph_expansion:
+        return ranked.where(F.col("rank") <= top_k)
+    stored = (index["nodes"], index["edges"]) if "nodes" in index else None
+    return graph.expand_hits(ranked, index["chunks"], top_k, max_hops, stored).select("query_id", *KEY, "score", "rank")
 
 
 def line_match(queries: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:

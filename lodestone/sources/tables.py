@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+INDEX_TABLES = ("chunks", "postings", "chunk_len", "corpus_stats", "term_stats", "vectors", "nodes", "edges")
 QUERY_SCHEMA = "query string, answer string, reasoning_chain array<string>, difficulty string, tags array<string>"
 
 
@@ -13,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(source, doc_id, text): each file is one document; doc_id is a hash of its path."""
+    """(source, doc_id, text): each file is one document, an empty one none; doc_id is a hash of its path."""
     files = spark.read.text(path, wholetext=True)
     source = F.col("_metadata.file_path")
     return files.select(source.alias("source"), F.xxhash64(source).alias("doc_id"), F.col("value").alias("text"))
@@ -33,7 +37,26 @@ def write_index(tables: dict[str, DataFrame], path: str) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = ("chunks", "postings", "chunk_len", "corpus_stats", "term_stats", "vectors")) -> dict[str, DataFrame]:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one on a local master where the session names none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def store(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables written to a new folder of the shared one, and read again from there: built once, used often."""
+    spark = next(iter(tables.values())).sparkSession
+    path = f"{shared_dir(spark)}/lodestone-index-{uuid.uuid4().hex}"
+    write_index(tables, path)
+    return {n: spark.read.schema(df.schema).parquet(f"{path}/{n}") for n, df in tables.items()}
+
+
+def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = INDEX_TABLES) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 

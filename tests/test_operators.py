@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import answer, chunking, evaluate, graph, index, retrieval
+from lodestone.sources import tables
 
 
 def docs(spark, *texts):
@@ -83,7 +84,8 @@ def test_registered_dedupe_compares_whole_questions(spark, tmp_path):
     turns = [(c, t, ("user", "assistant")[t], text) for c, q in enumerate(["what is this", "what is that", "what is this"]) for t, text in enumerate([q, "x" * 180])]
     spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {r.query_id: r.first_id for r in queries.dedupe_queries(spark, str(tmp_path)).collect()} == {0: 0, 1000: 1000, 2000: 0}
-    assert {r.predicted_answer for r in queries.eval_rows(spark, str(tmp_path)).where("query_id = 1000").collect()} == {"x" * 180 + " end"}
+    # what is looked for begins at character 191 of the answer and goes on beyond the 200 that are shown
+    assert {(r.predicted_answer, r.is_hit) for r in queries.eval_rows(spark, str(tmp_path)).where("query_id = 1000").collect()} == {("." * 190 + "x" * 10, True)}
 
 
 def test_rules(spark):
@@ -151,6 +153,115 @@ def test_responses_and_gate(spark):
     assert g[1].should_clarify and "0.04" in g[1].clarification and g[2].confidence == 1.0 and g[2].warning is None
 
 
+def test_responses_with_text_around_json(spark):
+    rows = [
+        '{"answer":"x"} done', '{"a":1} {"answer":"y","cited_chunks":["c"],"confidence_score":0.8}', '{"answer":null}', '{"confidence_score":null}', '{"cited_chunks":null}', '{"cited_chunks":"c"}',
+        '{"answer":"x"}, {"answer":"y"}', '"text"', "null", "1] [2", '1, "b": 2', ' {"answer": 5, "confidence_score": "0.25"}\n', "{broken} text", '{"a": {"answer": "deep"}} tail',
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "query_id int, response string")
+    p = {r.query_id: (r.answer, r.cited_chunks, r.confidence) for r in answer.parse_responses(df).collect()}
+    error = ("error", [], 0.0)
+    assert p == {
+        0: ("x", [], 0.3), 1: (rows[1], [], 0.3), 2: ("None", [], 0.5), 3: error, 4: error, 5: error, 6: ("x", [], 0.3), 7: error, 8: error,
+        9: (rows[9], [], 0.3), 10: (rows[10], [], 0.3), 11: ("5", [], 0.25), 12: (rows[12], [], 0.3), 13: ("deep", [], 0.3),
+    }
+
+
+def test_hits_are_judged_on_whole_answers(spark):
+    q = spark.createDataFrame([(1, "q", "key words", "simple"), (2, "q", "key words", "simple"), (3, "q", "", "simple")], "query_id bigint, query string, answer string, difficulty string")
+    a = spark.createDataFrame([(1, "." * 210 + "key words", 0.5, 1.0, ["c"]), (3, "x", 0.5, 1.0, [])], "query_id bigint, predicted_answer string, confidence double, latency_ms double, cited array<string>")
+    got = {r.query_id: (r.is_hit, len(r.predicted_answer), r.cited_chunks) for r in evaluate.eval_rows(q, a).collect()}
+    assert got == {1: (True, 200, "c"), 2: (False, 0, ""), 3: (False, 1, "")}
+
+
+def test_error_rows_tell_all_columns(spark):
+    q = spark.createDataFrame([(1, "q" * 120, "abcdef", "simple", ["a", "b"])], "query_id bigint, query string, answer string, difficulty string, tags array<string>")
+    hits = spark.createDataFrame([(1, "abcdef" * 40, 1.0, 1), (1, "zz", 0.5, 2)], "query_id bigint, text string, score double, rank int")
+    r = evaluate.error_rows(q, hits).first()
+    assert (len(r.query), r.reference, len(r.predicted), r.difficulty, r.tags, r.n_hits, r.avg_score, r.confidence, r.category, r.description) == (100, "abcdef", 100, "simple", "a|b", 2, 0.75, 1.0, "correct", evaluate.CATEGORIES["correct"])
+
+
+def test_semantic_chunks_against_a_fold(spark):
+    """Sentences whose vectors tell where topics change, against a sequential form of the same steps."""
+    r = random.Random(7)
+    texts = [" ".join(f"{'ab'[r.random() < 0.5]}{'x' * r.randint(3, 30)}." for _ in range(r.randint(2, 14))) for _ in range(12)] + ["", "one.", None]
+    embed = lambda rows: rows.withColumn("embedding", F.when(F.col("text").startswith("a"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+
+    def fold(text):
+        sentences = [s.strip() + "." for s in (text or "").split(".") if s.strip()]
+        if len(sentences) <= 1 or len(text) <= 30:
+            return [text.strip()] if text and text.strip() else []
+        parts = [sentences[0]]
+        for a, b in zip(sentences, sentences[1:]):
+            if a[0] == b[0]:
+                parts[-1] += b
+            else:
+                parts.append(b)
+        out, held = [], ""
+        for p in parts:
+            if len(held) < 30:
+                held += p
+            else:
+                out.append(held)
+                held = p
+            while len(held) > 60:
+                out.append(held[:60])
+                held = held[60:]
+        if held and len(held) < 30 and out:
+            held = out.pop() + held
+            while len(held) > 60:
+                out.append(held[:60])
+                held = held[60:]
+        return out + ([held] if held else [])
+
+    got = {}
+    for c in chunking.chunk_semantic(docs(spark, *texts), embed, 0.5, 30, 60).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(c.doc_id, []).append(c.text)
+    assert got == {i: want for i, t in enumerate(texts) if (want := fold(t))}
+
+
+def test_sources_and_sinks_round_trip(spark, tmp_path):
+    (tmp_path / "a.md").write_text("**规则A001：t**\nline two\n")
+    (tmp_path / "b.md").write_text(" ")
+    (tmp_path / "empty.md").write_text("")
+    corpus = tables.read_corpus(spark, f"{tmp_path}/*.md").collect()
+    assert sorted(r.text for r in corpus) == [" ", "**规则A001：t**\nline two\n"] and len({r.doc_id for r in corpus}) == 2
+    (tmp_path / "1.jsonl").write_text('{"query": "q1", "answer": "a", "tags": ["t"], "difficulty": "simple", "reasoning_chain": ["r"]}\n\n')
+    (tmp_path / "2.jsonl").write_text('{"query": "q2"}\n{"answer": "only"}\n')
+    got = {(r.query, r.answer, r.difficulty, tuple(r.tags), tuple(r.reasoning_chain)) for r in tables.read_queries(spark, [f"{tmp_path}/1.jsonl", f"{tmp_path}/2.jsonl"]).collect()}
+    assert got == {("q1", "a", "simple", ("t",), ("r",)), ("q2", "", "unknown", (), ()), ("", "only", "unknown", (), ())}
+
+    chunks = docs(spark, "**规则A001：apple pear plum**\n参见规则B002 and more", "**规则B002：zzz yyy xxx**\nwords that nobody asks for").withColumn("chunk_index", F.lit(0))
+    built, at = index.build_index(chunks), f"{tmp_path}/index"
+    tables.write_index(built, at)
+    loaded = tables.load_index(spark, at)
+    assert set(loaded) == set(built) and all(sorted(map(str, loaded[n].select(*built[n].columns).collect())) == sorted(map(str, built[n].collect())) for n in built)
+    q = spark.createDataFrame([(1, "apple")], "query_id bigint, query string")
+    assert retrieval.bm25_search(q, loaded, 3).collect() == retrieval.bm25_search(q, built, 3).collect()
+    expanded, plain = ({(r.doc_id, r.rank) for r in retrieval.retrieve_batch(q, loaded, 2, on).collect()} for on in (True, False))
+    assert expanded == retrieval_set(retrieval.retrieve_batch(q, built, 2)) and (0, 1) in plain
+
+    tables.export_graph(loaded["nodes"], loaded["edges"], f"{tmp_path}/graph")
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(f"{tmp_path}/graph/edges")
+    assert {(r.src, r.dst) for r in back.collect()} == {(r.src, r.dst) for r in built["edges"].collect()}
+    rows = [("a \"b\", c", 1), ("line\nfeed", 2)]
+    tables.write_results_csv(spark.createDataFrame(rows, "text string, n int"), f"{tmp_path}/csv")
+    assert sorted((r.text, int(r.n)) for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv").collect()) == rows
+
+
+def retrieval_set(hits):
+    return {(r.doc_id, r.rank) for r in hits.collect()}
+
+
+def test_nodes_of_chunks_and_references_beyond_the_cut(spark):
+    far = "**规则A001：t**\n" + "很长的说明" * 60 + "。参见规则B002"
+    chunks = spark.createDataFrame([(1, 0, far), (2, 0, "**规则B002：u 有足够长的正文内容在这里**")], "doc_id bigint, chunk_index int, text string")
+    ref = lambda n: [(e.src, e.dst) for e in graph.build_graph(chunks, n)[1].where("weight = 0.9").collect()]
+    assert ref(200) == [] and ref(None) == [("1:0:0", "2:0:0")]
+    nodes = graph.build_graph(chunks)[0]
+    assert {r.doc_id for r in graph.chunk_nodes(nodes, chunks.where("doc_id = 2")).collect()} == {2}
+
+
 def test_evaluation(spark):
     rows = spark.createDataFrame([("simple", "a b", "a c"), ("multi_hop", "", ""), ("multi_hop", "x", "")], "difficulty string, pred string, ref string")
     m = {r.bucket: r for r in evaluate.bucket_metrics(evaluate.token_prf(rows)).collect()}
