@@ -59,18 +59,34 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
+def intact(term: str, most: int) -> list[tuple[int, int, str]]:
+    """(from, to, letters): parts of a term of which `most` edits leave one whole; from and to count from the end if negative.
+
+    There is one part more than edits, and a letter stands between neighbours, so that no edit, a swap included, touches
+    two. The outer parts stay at the ends of the word; a middle one moves by as many places as there are edits.
+    """
+    n = len(term)
+    cuts = [round(n * k / (most + 1)) for k in range(1, most + 1)]
+    ends = [(a + bool(a), b) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+    (_, a), (b, _) = ends[0], ends[-1]
+    moved = [(i + k, j + k, term[i:j]) for i, j in ends[1:-1] for k in range(-most, most + 1)]
+    return [(0, a, term[:a]), (b - n, 0, term[b:]), *moved]
+
+
 class Trie:
     """Terms by letters; nearest() walks it with a word's Levenshtein automaton.
 
-    A word within k edits of a term shares a string with it when up to k letters are left out of both; words that share
-    none with a term of about their length are turned away before a walk, which never turns away one that the walk would
-    find.
+    Two screens come before a walk, and neither turns away a word that the walk would find: a word within k edits of a
+    term of about its length holds one of k + 1 parts of it as it is, and shares a string with it when up to k letters
+    are left out of both.
     """
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
         #: by length of a word: the most edits that a term of about that length allows, and what such terms share with it
         self.shared: dict[int, tuple[int, set[str]]] = {}
+        #: by length of a word and place in it: the parts of terms that may stand there whole
+        self.parts: dict[int, dict[tuple[int, int], set[str]]] = {}
         for t in terms:
             node = self.root
             for ch in t:
@@ -82,10 +98,18 @@ class Trie:
                     old, parts = self.shared.get(n, (0, set()))
                     parts |= own
                     self.shared[n] = max(old, most), parts
+                    for i, j, letters in intact(t, most):
+                        self.parts.setdefault(n, {}).setdefault((i if i >= 0 else n + i, j if j > 0 else n), set()).add(letters)
+        self.places = {n: [(i, j, s) for (i, j), s in at.items()] for n, at in self.parts.items()}
 
     def _allowed(self, word: str) -> int:
-        most, parts = self.shared.get(len(word), (0, ()))
-        return 0 if not most or parts.isdisjoint(deletions(word, most)) else most
+        for i, j, letters in self.places.get(len(word), ()):
+            if word[i:j] in letters:
+                break
+        else:
+            return 0
+        most, parts = self.shared[len(word)]
+        return 0 if parts.isdisjoint(deletions(word, most)) else most
 
     def find(self, word: str) -> tuple[str, int] | None:
         """nearest() among the terms with the word's own first letter."""
