@@ -11,7 +11,9 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,14 @@ from .common import arrow_map
 ROUNDS = 8
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
+#: Calling codes of two digits, and the first two digits of those of three. Codes of one digit are 1 and 7.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+THREE_DIGIT_CODES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: What makes four numbers with dots a place in a text and not an address.
+NUMBERED = re.compile(r"(?:chapter|section|version|release|clause|part|figure|table|kapitel|abschnitt|chapitre|capítulo|§|\bv)[ .]?$", re.I)
+
 _KINDS = r"""
     (?P<email>[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24})
   | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
@@ -31,13 +41,22 @@ _KINDS = r"""
   | (?P<dmy>(?<![\d/.-])\d{1,2}([-/.])\d{1,2}\8\d{4}(?![\d-]))
   | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
   | (?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))
-  | (?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?![\w]))
+  | (?P<phone>(?<![\w.+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4})){2,6}|(?:\([2-9]\d{2}\)[ ]?|[2-9]\d{2}[.-])[2-9]\d{2}[.-]\d{4}|0[1-9](?:[ .-]\d{2}){4}|0[1-9]\d{1,3}/\d{5,8})(?!\w))
     """
 PATTERN = re.compile(_KINDS, re.X | re.ASCII)
 
 
+@lru_cache(16)
+def secret(key: bytes) -> bytes:
+    """The key as the hash takes it: longer ones than 64 bytes are hashed as a whole. An empty key is refused."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    return key if len(key) < 64 else hashlib.blake2b(key, digest_size=64).digest()
+
+
 def feistel(value: int, size: int, key: bytes, kind: str, inverse: bool = False) -> int:
     """A keyed permutation of 0 ... size-1."""
+    key = secret(key)
     if size < 2:
         return value
     half = (max((size - 1).bit_length(), 2) + 1) // 2
@@ -46,7 +65,7 @@ def feistel(value: int, size: int, key: bytes, kind: str, inverse: bool = False)
         a, b = value >> half, value & mask
         for r in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
             seen = a if inverse else b
-            mixed = hashlib.blake2b(b"%d|%d|%d|" % (r, size, seen) + kind.encode(), key=key[:64], digest_size=min(n, 64)).digest()
+            mixed = hashlib.blake2b(b"%d|%d|%d|" % (r, size, seen) + kind.encode(), key=key, digest_size=min(n, 64)).digest()
             f = int.from_bytes(mixed, "big") & mask
             a, b = (b ^ f, a) if inverse else (b, a ^ f)
         value = a << half | b
@@ -96,21 +115,39 @@ def _ip(text: str, key: bytes, inverse: bool) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
+def _written(part: str) -> str:
+    """How a month or day is written: with one digit, with a zero before it, or with two digits that both count."""
+    return "1" if len(part) == 1 else "0" if part[0] == "0" else "2"
+
+
+@lru_cache(64)
+def _days(late: bool, month: str, day: str) -> list[int]:
+    """Days from 1900 to 2099, after the 12th of their month or not, that are written so; any way for "*"."""
+    days = (dt.date.fromordinal(n) for n in range(FIRST_DAY, FIRST_DAY + DAYS))
+    fits = lambda v, how: how == "*" or (v > 9) == (how == "2")
+    return [d.toordinal() for d in days if (d.day > 12) == late and fits(d.month, month) and fits(d.day, day)]
+
+
 def _date(text: str, key: bytes, inverse: bool) -> str | None:
-    """Year first, or day first, or month first where the day can't be first; a date has one pseudonym in all of them."""
-    p = re.split(r"[-/.]", text)
+    """Year first, or day first, or month first where the day can't be first.
+
+    Days after the 12th are permuted among themselves, and so are the others, so that a pseudonym reads in the notation
+    of its date and no two dates share one. With two digits each for month and day a date has one pseudonym in all
+    notations; other ways of writing keep their number of digits and are permuted apart.
+    """
+    sep, p = re.search(r"[-/.]", text).group(), re.split(r"[-/.]", text)
     for y, m, d in ((0, 1, 2),) if len(p[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
         try:
-            n = dt.date(int(p[y]), int(p[m]), int(p[d])).toordinal() - FIRST_DAY
+            date = dt.date(int(p[y]), int(p[m]), int(p[d]))
         except ValueError:
             continue
-        if not 0 <= n < DAYS:
-            return None
-        new = dt.date.fromordinal(feistel(n, DAYS, key, "date", inverse) + FIRST_DAY)
-        # day and month may change their digits' number only where the notation isn't padded
-        padded = all(len(p[k]) == 2 for k in (m, d))
-        out = {y: str(new.year), m: f"{new.month:02d}" if padded else str(new.month), d: f"{new.day:02d}" if padded else str(new.day)}
-        sep = re.search(r"[-/.]", text).group()
+        how = ("*", "*") if len(p[m]) == len(p[d]) == 2 else (_written(p[m]), _written(p[d]))
+        days, kind = _days(date.day > 12, *how), f"date{date.day > 12}{how[0]}{how[1]}"
+        at = bisect_left(days, date.toordinal())
+        if at == len(days) or days[at] != date.toordinal():
+            return None  # not within these years
+        new = dt.date.fromordinal(days[feistel(at, len(days), key, kind, inverse)])
+        out = {y: str(new.year), m: str(new.month).zfill(len(p[m])), d: str(new.day).zfill(len(p[d]))}
         return sep.join(out[k] for k in range(3))
     return None
 
@@ -125,13 +162,39 @@ def _ssn(text: str, key: bytes, inverse: bool) -> str | None:
     return f"{areas[n // 9999 // 99]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
 
 
+def country_code(digits: str) -> str | None:
+    """The calling code that a number in international form begins with, by the plan of its first digits."""
+    if digits[0] in "17":
+        return digits[0]
+    if digits[:2] in TWO_DIGIT_CODES:
+        return digits[:2]
+    return digits[:3] if digits[:2] in THREE_DIGIT_CODES and len(digits) > 3 else None
+
+
+def _plan(text: str) -> tuple[str, str] | None:
+    """(plan, digits that stay) of a phone number, None for what no plan has.
+
+    With +1: ten digits as 3-3-4. With another calling code: 8 to 15 digits in all. Without a code: 3-3-4 digits as in
+    North America, with brackets or signs other than spaces; ten digits in pairs as in France; an area, a slash and a
+    number as in Germany.
+    """
+    d = re.sub(r"\D", "", text)
+    if text[0] == "+":
+        code = country_code(d)
+        return ("+" + code, code) if code and 8 <= len(d) <= 15 else None
+    return ("0", "0") if d[0] == "0" else ("national", "")
+
+
 def _phone(text: str, key: bytes, inverse: bool) -> str | None:
-    lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    head = lead.group() if lead else ""
-    d = re.sub(r"\D", "", text[len(head) :])
-    if not 8 <= len(d) <= 13 or not (head or len(d) >= 9):
+    if not (plan := _plan(text)):
         return None
-    return head + _digits(text[len(head) :], _permute_digits(d, key, "phone" + head, inverse))
+    name, stays = plan
+    digits, new = re.sub(r"\D", "", text)[len(stays) :], text
+    while True:  # walk until the plan's own pattern has the new number too
+        digits = _permute_digits(digits, key, "phone" + name, inverse)
+        new = _digits(text, stays + digits)
+        if ALONE["phone"].fullmatch(new) and _plan(new) == plan:
+            return new
 
 
 def _mixed(text: str, key: bytes, kind: str, inverse: bool) -> str:
@@ -178,6 +241,8 @@ def pseudonymize(text: str, key: bytes, memory: dict | None = None, inverse: boo
     memory = {} if memory is None else memory
     while m := PATTERN.search(text, start):
         for kind, end in _readings(text, m):
+            if kind == "ip" and NUMBERED.search(text, max(0, m.start() - 12), m.start()):
+                continue
             found = text[m.start() : end]
             new = memory.get((kind, found), "")
             if new == "":
@@ -228,9 +293,10 @@ def _next_try(text: str, m: re.Match) -> int:
 def pseudonymize_texts(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, text, spans (kind, start, end, pseudonym).
 
-    A null text stays null, without spans. Numbers that fail their check (check digit, calendar, octets) are left alone.
-    Whole texts are read; only the two named columns are.
+    A null text stays null, without spans. Numbers that fail their check (check digit, calendar, octets, numbering plan)
+    are left alone, and so are section numbers. Whole texts are read; only the two named columns are. An empty key raises.
     """
+    secret(key)
     kind = docs.schema[id_col].dataType.simpleString()
     memory: dict = {}
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))

@@ -276,6 +276,79 @@ def test_pii(spark, odd):
     assert (2, None) in got and (5, LONG) in got and len(pii.pseudonymize_texts(odd, key).collect()) == 10
 
 
+def test_dates_are_permuted_within_each_notation():
+    """Over all dates of every way of writing: no two share a pseudonym, and the inverse gives the date back."""
+    import datetime as dt
+
+    key, linked = b"k" * 16, {}
+    days = [dt.date(1900, 1, 1) + dt.timedelta(n) for n in range(0, 73049)]
+    ways = {
+        "year first": lambda d: f"{d.year}-{d.month:02d}-{d.day:02d}", "day first": lambda d: f"{d.day:02d}/{d.month:02d}/{d.year}",
+        "month first": lambda d: f"{d.month:02d}/{d.day:02d}/{d.year}" if d.day > 12 else None, "bare": lambda d: f"{d.day}.{d.month}.{d.year}", "half": lambda d: f"{d.day:02d}.{d.month}.{d.year}",
+    }
+    for way, write in ways.items():
+        texts = {t for d in days[:: 1 if way == "month first" else 3] if (t := write(d))}
+        new = {t: pii._date(t, key, False) for t in texts}
+        assert len(set(new.values())) == len(texts) and all(len(a) == len(b) for a, b in new.items()), way
+        assert all(pii._date(b, key, True) == a for a, b in new.items()), way
+        linked[way] = new
+    assert linked["year first"]["1900-01-01"].split("-") == linked["day first"]["01/01/1900"].split("/")[::-1]
+
+
+def test_keys():
+    new = lambda k: pii.pseudonymize("call 4111111111111111 now", k)[0]
+    assert len({new(k) for k in (b"a", b"a" * 64, b"a" * 64 + b"b", b"a" * 64 + b"c", b"a" * 65)}) == 5
+    with pytest.raises(ValueError):
+        new(b"")
+
+
+def test_phones_by_plan():
+    key = b"k" * 16
+    for t in ("+15550177713", "+1 (017) 555-7713", "+49 30 1234567", "+33 1 23 45 67 89", "(212) 555-0123", "212-555-0123", "01 23 45 67 89", "030/1234567", "+353 1 234 5678"):
+        new, spans = pii.pseudonymize(f"call {t}, please", key)
+        assert [s[:3] for s in spans] == [("phone", 5, 5 + len(t))] and new != f"call {t}, please" and pii._phone(spans[0][3], key, True) == t, t
+    for t in ("rows 100 200 300 400", "scores 12 15 18 20 22", "pages 100-200-300", "chapter 1.2.3.4", "Section 10.1.2.3", "+283 1234567", "1 2 3 4 5"):
+        assert pii.pseudonymize(t, key) == (t, []), t
+
+
+def test_scan_against_brute_force():
+    """Texts of planted values and other numbers between words: exactly the planted ones are found, each as it is."""
+    r, key = random.Random(14), b"k" * 16
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = r.choice("3456") + digits(14)
+        return body + str(-pii.luhn(body + "0") % 10)
+
+    planted = {
+        "card": card, "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "email": lambda: f"u{digits(3)}.{r.choice('abc')}@mail{r.randrange(9)}.example.com",
+        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}", "ymd": lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", "ssn": lambda: f"{r.randrange(1, 600):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}",
+        "hex": lambda: "a1" + "".join(r.choice("0123456789abcdef") for _ in range(38)),
+    }
+    plain = [lambda: digits(r.randint(1, 6)), lambda: f"{r.randrange(256, 999)}.1.1.1", lambda: f"2024-{r.randrange(13, 99)}-01", lambda: "000-12-3456", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)},{digits(2)} EUR"]
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(r.randint(0, 8)):
+            text += r.choice(["word ", "und so, ", "\n", "é "])
+            if r.random() < 0.5:
+                kind = r.choice(sorted(planted))
+                value = planted[kind]()
+                if kind == "card" and r.random() < 0.5:
+                    value = " ".join(value[k : k + 4] for k in range(0, 16, 4))
+                want.append((kind, len(text), len(text) + len(value)))
+                text += value
+            else:
+                text += r.choice(plain)()
+            text += " end "
+        new, spans = pii.pseudonymize(text, key)
+        assert [s[:3] for s in spans] == want, text
+        at, back = 0, ""
+        for kind, a, b, p in spans:
+            back += text[at:a] + pii.KINDS[kind](p, key, True)
+            at = b
+        assert back + text[at:] == text
+
+
 def test_cards_before_other_digits():
     key = b"k" * 16
     want = pii.pseudonymize("4111111111111111", key)[0]
