@@ -24,6 +24,8 @@ from .common import ARROW_BYTES, arrow_map, text_or_empty
 
 #: Words of test items in one block: 16 MB of hashes, and about three times that with the seeds.
 BLOCK_WORDS = 2_000_000
+#: Seeds of a document and an item that are held at a time (16 MB).
+SEEDS_AT_ONCE = 1 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -43,51 +45,68 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def maximal(i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
+    """Columns (document position, item position, length) of maximal matches from the positions of seeds of k words."""
+    return _joined(np.stack([i, j, np.ones_like(i)])) + np.array([[0], [0], [k - 1]])
+
+
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Runs of seeds (i, j, seeds) that continue each other on a diagonal, as one."""
+    i, j, n = runs[:, np.lexsort((runs[0], runs[0] - runs[1]))]
+    if not len(i):
+        return np.zeros((3, 0), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(i - j) != 0) | (i[1:] != i[:-1] + n[:-1])]))
+    return np.stack([i[first], j[first], np.add.reduceat(n, first)])
+
+
 def tile(seeds: list[tuple[int, int]], k: int, n_item: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (document position, item position, length) from the seeds (i, j) of one document and one item."""
-    runs = diagonals(seeds, k)
-    heapq.heapify(runs)
-    in_doc: set[int] = set()
-    in_item = bytearray(n_item)
-    tiles = []
-    while runs:
-        length, i, j = heapq.heappop(runs)
+    i, j = np.array(seeds, np.int64).reshape(-1, 2).T
+    return greedy(maximal(i, j, k), k, n_item)
+
+
+def greedy(runs: np.ndarray, k: int, n_item: int) -> list[tuple[int, int, int]]:
+    """Marks the longest match (ties: first in the document, then in the item) again and again.
+
+    A match that is marked in part is cut to what is free and waits for its turn; once the item has no k free words in a
+    row, no match under its tiles is looked at any more.
+    """
+    runs = runs[:, np.lexsort((runs[1], runs[0], -runs[2]))]
+    in_doc, in_item = np.zeros(int((runs[0] + runs[2]).max(initial=0)), bool), np.zeros(n_item, bool)
+    pieces: list[tuple[int, int, int]] = []
+    tiles, at = [], 0
+    while at < runs.shape[1] or pieces:
+        whole = (-int(runs[2, at]), int(runs[0, at]), int(runs[1, at])) if at < runs.shape[1] else None
+        if whole and (not pieces or whole <= pieces[0]):
+            length, i, j = whole
+            at += 1
+        else:
+            length, i, j = heapq.heappop(pieces)
         length = -length
-        free = [not in_item[j + x] and i + x not in in_doc for x in range(length)]
-        if all(free):
+        taken = in_doc[i : i + length] | in_item[j : j + length]
+        if not taken.any():
             tiles.append((i, j, length))
-            in_doc.update(range(i, i + length))
-            in_item[j : j + length] = b"\1" * length
+            in_doc[i : i + length] = in_item[j : j + length] = True
+            if not any(b - a >= k for a, b in _free(in_item)):
+                break
             continue
-        at = 0
-        while at < length:
-            end = at
-            while end < length and free[end]:
-                end += 1
-            if end - at >= k:
-                heapq.heappush(runs, (at - end, i + at, j + at))
-            at = end + 1
+        for a, b in _free(taken):
+            if b - a >= k:
+                heapq.heappush(pieces, (a - b, i + a, j + a))
     return tiles
 
 
-def diagonals(seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (-length, i, j) from seeds of k words."""
-    runs, last = [], None
-    for i, j in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if last and last[0] - last[1] == i - j and last[0] + 1 == i:
-            n, a, b = runs[-1]
-            runs[-1] = (n - 1, a, b)
-        else:
-            runs.append((-k, i, j))
-        last = (i, j)
-    return runs
+def _free(taken: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (from, to) of False."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 class Items:
     """A block of test items with its seeds, sorted by hash."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray], least: int):
-        self.ids, self.sizes, self.least = ids, [len(w) for w in words], least
+        self.ids, self.words, self.sizes, self.least = ids, words, [len(w) for w in words], least
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for k in sorted({min(least, n) for n in self.sizes if n}):
             hashes, owner, at = [], [], []
@@ -105,20 +124,50 @@ class Items:
 
     def matches(self, words: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
         """(item, coverage, tiles) for each item that shares a seed with the words of a document."""
-        by_item: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+        found = []
         for k, (hashes, owner, at, screen) in self.seeds.items():
             h = rolling(words, k)
             maybe = np.flatnonzero(screen[(h >> np.uint64(48)).astype(np.int64)])
             if not len(maybe):
                 continue
-            lo, hi = (np.searchsorted(hashes, h[maybe], side) for side in ("left", "right"))
-            for i, a, b in zip(maybe[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                for s in range(a, b):
-                    by_item.setdefault(int(owner[s]), (k, []))[1].append((int(i), int(at[s])))
-        for x, (k, seeds) in sorted(by_item.items()):
-            tiles = tile(seeds, k, self.sizes[x])
+            # each distinct hash of the document: its places there, and the places in items that have it
+            places = maybe[np.argsort(h[maybe], kind="stable")]
+            distinct, first, count = np.unique(h[places], return_index=True, return_counts=True)
+            lo, hi = (np.searchsorted(hashes, distinct, side) for side in ("left", "right"))
+            of = np.repeat(np.arange(len(distinct)), hi - lo)
+            if not len(of):
+                continue
+            place = np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[of]
+            order = np.argsort(owner[place], kind="stable")
+            of, place = of[order], place[order]
+            items, begin = np.unique(owner[place], return_index=True)
+            for x, a, b in zip(items.tolist(), begin, [*begin[1:], len(of)], strict=True):
+                runs = self._runs(words, x, k, places, first[of[a:b]], count[of[a:b]], at[place[a:b]])
+                if runs.shape[1]:
+                    found.append((x, k, runs))
+        for x, k, runs in sorted(found, key=lambda f: f[0]):
+            tiles = greedy(runs, k, self.sizes[x])
             yield x, sum(t[2] for t in tiles) / self.sizes[x], tiles
 
+    def _runs(self, words: np.ndarray, x: int, k: int, places: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Maximal matches of one item from its seeds: `count` places of the document from `first` on for each place `at`.
+
+        Seeds are made, and their words compared, so many at a time; what stays of them are runs on diagonals.
+        """
+        item, runs = self.words[x], np.zeros((3, 0), np.int64)
+        start, ends = 0, np.cumsum(count)
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SEEDS_AT_ONCE, "right")))
+            n = count[start:stop]
+            i = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[start:stop], n)]
+            j = np.repeat(at[start:stop], n)
+            same = np.ones(len(i), bool)
+            for w in range(k):
+                same &= words[i + w] == item[j + w]
+            runs = _joined(np.concatenate([runs, np.stack([i[same], j[same], np.ones(int(same.sum()), np.int64)])], axis=1))
+            start = stop
+        return runs + np.array([[0], [0], [k - 1]])
+
 
 def item_blocks(benchmark: DataFrame, least: int, item_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
     """The items in blocks of about BLOCK_WORDS words, one at a time on the driver."""
