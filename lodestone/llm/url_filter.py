@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that the rows of one pattern, or of one host and day, are dealt to.
+SALTS = 16
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without port; empty for what is not a URL or null."""
     return F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
@@ -47,24 +51,30 @@ def judge(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", u
     """One row per row of captures: id, url, host, day, blocked, n_lists, list, pattern, since.
 
     list, pattern and since tell the longest active pattern (ties: first list by name); null if none. Hosts and days are
-    judged once however many captures share them, and pages likewise, so a hot host costs a row a day. A null URL or fetch
-    time is never listed.
+    judged once however many captures share them, and pages likewise, so a hot host costs a row a day. A null URL, what is
+    no URL and a null fetch time are never listed and join nothing. Where rows meet patterns or judgements, they are dealt
+    to SALTS parts of their key, so that neither a top-level domain nor a hot host and day is one task's work. Captures
+    may repeat; other columns are not read.
     """
     rows = captures.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("host"), page_of(F.col(url_col)).alias("page"), F.col(time_col).cast("date").alias("day"))
-    spans = intervals(entries)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SALTS)).cast("int").alias("salt")
+    spans = intervals(entries).select("*", parts)
+    good = F.coalesce((F.col("host") != "") & F.col("day").isNotNull(), F.lit(False))
     asked = (
-        rows.where("day is not null and host <> ''").groupBy("host", "day").count().select("host", "day", F.lit("domain").alias("kind"), F.col("host").alias("of"), F.explode(parents_of(F.col("host"))).alias("pattern"))
+        rows.where(good).groupBy("host", "day").count().select("day", F.lit("domain").alias("kind"), F.col("host").alias("of"), F.explode(parents_of(F.col("host"))).alias("pattern"))
     )
-    pages = rows.where("day is not null and host <> '' and page <> host").groupBy("host", "page", "day").count().select("host", "day", F.lit("page").alias("kind"), F.col("page").alias("of"), F.col("page").alias("pattern"))
+    pages = rows.where(good & (F.col("page") != F.col("host"))).groupBy("page", "day").count().select("day", F.lit("page").alias("kind"), F.col("page").alias("of"), F.col("page").alias("pattern"))
     alive = (F.col("day") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day")))
-    hits = asked.union(pages).join(spans, ["kind", "pattern"]).where(alive)
+    hits = asked.union(pages).select("*", salt("of", "day")).join(spans, ["kind", "pattern", "salt"]).where(alive)
     hits = hits.select("kind", "of", "day", F.struct((-F.length("pattern")).alias("n"), F.col("list").alias("list"), F.col("pattern").alias("pattern"), F.col("from_day").alias("since")).alias("hit"))
     best = hits.groupBy("kind", "of", "day").agg(F.min("hit").alias("hit"), F.collect_set("hit.list").alias("lists"))
-    by_host = best.where("kind = 'domain'").select(F.col("of").alias("host"), "day", F.col("hit").alias("h1"), F.col("lists").alias("l1"))
-    by_page = best.where("kind = 'page'").select(F.col("of").alias("page"), "day", F.col("hit").alias("h2"), F.col("lists").alias("l2"))
+    by_host = best.where("kind = 'domain'").select(F.col("of").alias("host"), "day", F.col("hit").alias("h1"), F.col("lists").alias("l1"), parts)
+    by_page = best.where("kind = 'page'").select(F.col("of").alias("page"), "day", F.col("hit").alias("h2"), F.col("lists").alias("l2"), parts)
     none = F.array().cast("array<string>")
-    out = rows.join(by_host, ["host", "day"], "left").join(by_page, ["page", "day"], "left")
-    out = out.withColumn("hit", F.least("h1", "h2")).withColumn("n_lists", F.size(F.array_union(F.coalesce("l1", none), F.coalesce("l2", none))))
+    judged = rows.where(good).select("*", salt(id_col, "page")).join(by_host, ["host", "day", "salt"], "left").join(by_page, ["page", "day", "salt"], "left")
+    judged = judged.select(id_col, url_col, "host", "day", F.least("h1", "h2").alias("hit"), F.size(F.array_union(F.coalesce("l1", none), F.coalesce("l2", none))).alias("n_lists"))
+    out = judged.union(rows.where(~good).select(id_col, url_col, "host", "day", F.lit(None).cast(judged.schema["hit"].dataType), F.lit(0)))
     return out.select(id_col, url_col, "host", "day", (F.col("n_lists") > 0).alias("blocked"), "n_lists", "hit.list", "hit.pattern", "hit.since")
 
 
