@@ -23,6 +23,7 @@ SHAPES, GRAMS, EXTRA = 1024, 2048, 6
 DIM = SHAPES + GRAMS + EXTRA
 #: A text is read in windows of so many bytes, so that memory doesn't follow its length.
 WINDOW = 1 << 20
+MOST_GRADES = 100
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -52,19 +53,33 @@ def _hashed(b: np.ndarray, n: int, dim: int, out: np.ndarray) -> None:
 
 
 def features(text: bytes) -> np.ndarray:
-    """float32 vector of DIM features; all zero but the length's for an empty text."""
+    """float32 vector of DIM features; all zero but the length's for an empty text.
+
+    Windows end before a word, and n-grams and neighbours reach over their edges, so they don't show in the features; but
+    a word longer than a window counts as several.
+    """
     shapes, grams = np.zeros(SHAPES), np.zeros(GRAMS)
     extra = np.zeros(EXTRA, np.float32)
     again = words = letters = upper = runs = 0
-    for start in range(0, len(text), WINDOW):
+    last_runs, last_word, start = np.zeros(0, np.uint32), np.zeros(0, np.uint32), 0
+    while start < len(text):
         b = np.frombuffer(text, np.uint8, min(WINDOW, len(text) - start), start)
         c = _CLASS[b]
+        if start + len(b) < len(text):
+            inside = np.flatnonzero((c[:-1] == 32) & (c[1:] != 32))
+            if len(inside):
+                b, c = b[: inside[-1] + 1], c[: inside[-1] + 1]
         edge = np.flatnonzero(np.diff(c) != 0)
-        run = c[np.concatenate([edge, [len(c) - 1]])]
+        run = c[np.concatenate([edge, [len(c) - 1]])].astype(np.uint32)
         runs += len(run)
-        _hashed(run.astype(np.uint32), 3, SHAPES, shapes)
+        run = np.concatenate([last_runs, run])
+        _hashed(run, 3, SHAPES, shapes)
+        last_runs = run[-2:]
+        # n-grams that begin in the two bytes before
+        back = min(2, start)
+        _hashed(_LOWER[np.frombuffer(text, np.uint8, len(b) + back, start - back)].astype(np.uint32), 3, GRAMS, grams)
+        start += len(b)
         low = _LOWER[b].astype(np.uint32)
-        _hashed(low, 3, GRAMS, grams)
         letters += int((c == 97).sum() + (c == 65).sum())
         upper += int((c == 65).sum())
         # words by a hash of their bytes: how many equal the one before
@@ -76,7 +91,9 @@ def features(text: bytes) -> np.ndarray:
             mixed[space] = 0
             word = np.add.reduceat(mixed, begin)
             words += len(word)
+            word = np.concatenate([last_word, word])
             again += int((word[1:] == word[:-1]).sum())
+            last_word = word[-1:]
     norm = lambda v: np.sqrt(v / max(v.sum(), 1.0))
     extra[:] = [again / max(words - 1, 1), float(again > 0.1 * max(words, 10)), upper / max(letters, 1), np.log1p(len(text)) / 10, letters / max(len(text), 1), words / max(runs, 1)]
     return np.concatenate([norm(shapes), norm(grams), extra]).astype(np.float32)
@@ -126,13 +143,15 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, *, steps: int = 3
 def train(docs: DataFrame, ratings: DataFrame, *, grade_col: str = "quality", most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
     """Fits on at most `most` rated rows of each grade, the first by a hash of the id; None without two grades.
 
-    ratings has the id and an integer grade from 0; null and negative grades and ids are left out. Whole texts are read;
-    only features (DIM numbers a row) come to the driver.
+    ratings has the id and an integer grade from 0, of at most MOST_GRADES different ones, else ValueError; null and
+    negative grades and null ids are left out. Whole texts are read; only features (DIM numbers a row) come to the driver.
     """
     rated = ratings.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade")).where("_id is not null and grade >= 0")
-    ranked = rated.groupBy("grade").count().orderBy("grade").limit(100).collect()
+    ranked = rated.groupBy("grade").count().orderBy("grade").limit(MOST_GRADES + 1).collect()
     if len(ranked) < 2:
         return None
+    if len(ranked) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} different grades: bin them first")
     grades = {r["grade"]: k for k, r in enumerate(ranked)}
     share = F.lit(0.0)
     for r in ranked:

@@ -403,6 +403,103 @@ def test_greedy_tiles_against_brute_force():
         assert sum(x[2] for x in decontamination.tile(seeds, 3, len(t))) == brute(d, t, 3)
 
 
+def test_tiling_of_whole_texts_against_brute_force(spark):
+    """Seeds, matches and coverage of documents and items, short and repeated words included."""
+    def brute(d, t, least):
+        k, md, mt, total = min(least, len(t)), set(), set(), 0
+        while t:
+            best = (0,)
+            for i in range(len(d)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(d) and j + n < len(t) and d[i + n] == t[j + n] and i + n not in md and j + n not in mt:
+                        n += 1
+                    best = max(best, (n, -i, -j)) if n >= k else best
+            if best[0] < k:
+                break
+            n, i, j = best[0], -best[1], -best[2]
+            md |= set(range(i, i + n))
+            mt |= set(range(j, j + n))
+            total += n
+        return total / len(t) if t else 0
+
+    r = random.Random(23)
+    words = lambda n, kinds: [r.choice("abcdefgh"[:kinds]) for _ in range(n)]
+    items = [words(r.choice([1, 3, 6, 12, 20]), r.choice([1, 2, 4])) for _ in range(12)] + [[]]
+    rows = []
+    for _ in range(60):
+        d = words(r.randint(0, 15), r.choice([1, 3, 8]))
+        t = r.choice(items)
+        d[r.randint(0, len(d)) : 0] = t[r.randint(0, len(t)) :] + t[: r.randint(0, len(t))]
+        rows.append(d)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    want = {(i, k): round(c, 9) for i, d in enumerate(rows) for k, t in enumerate(items) if (c := brute(d, t, 4)) >= 0.6}
+    got = {(x.doc_id, x.item_id): round(x.coverage, 9) for x in decontamination.contaminated(texts(spark, *map(" ".join, rows)), bench, least=4).collect()}
+    assert got == want and len(want) > 40
+
+
+def test_tiling_of_repeated_words_is_quick(monkeypatch):
+    import time
+
+    monkeypatch.setattr(decontamination, "SEEDS_AT_ONCE", 1 << 16)
+    block = decontamination.Items(list(range(50)), [np.full(60, 7, np.uint64) for _ in range(50)], 5)
+    began = time.time()
+    got = list(block.matches(np.full(20_000, 7, np.uint64)))
+    assert len(got) == 50 and all(c == 1.0 and len(t) == 1 for _, c, t in got) and time.time() - began < 60
+
+
+def test_windows_dont_show_in_features(monkeypatch):
+    r = random.Random(17)
+    text = " ".join(r.choice(["Alpha", "beta", "x1", "été", "beta beta", ",,", "\n"]) for _ in range(3000)).encode()
+    want = quality.features(text)
+    for n in (64, 101, 4096):
+        monkeypatch.setattr(quality, "WINDOW", n)
+        assert np.allclose(quality.features(text), want, atol=1e-6), n
+
+
+def test_ordinal_fit_against_brute_force():
+    """The likelihood written out: the fit is where a grid over weight and thresholds has its best."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 1)).astype(np.float32)
+    grade = np.digitize(1.5 * x[:, 0] + rng.logistic(size=400), [-1.0, 1.0])
+    share = 1 / np.bincount(grade)[grade]
+
+    def likelihood(w, t):
+        total = 0.0
+        for k, s in enumerate(share):
+            above = [1.0, *(1 / (1 + np.exp(-(w * x[k, 0] - c))) for c in t), 0.0]
+            total += s * np.log(above[grade[k]] - above[grade[k] + 1])
+        return total
+
+    m = quality.fit_ordinal(x, grade, 3, steps=2000, decay=0.0)
+    w, t = float(m.weights[0]), m.thresholds
+    best = max(likelihood(w + a, (t[0] + b, t[1] + c)) for a in (-0.1, 0, 0.1) for b in (-0.1, 0, 0.1) for c in (-0.1, 0, 0.1))
+    assert likelihood(w, t) >= best - 1e-6
+    tails = m.tails(x[:5])
+    assert np.allclose(tails, [[1 / (1 + np.exp(-(w * v[0] - c))) for c in t] for v in x[:5]], atol=1e-5) and np.allclose(m.expected(x[:5]), tails.sum(1))
+
+
+def test_too_many_grades(spark):
+    with pytest.raises(ValueError):
+        quality.train(texts(spark, *"ab"), spark.createDataFrame([(i, i) for i in range(101)], "doc_id bigint, quality int"))
+
+
+def test_urls_that_are_odd(spark):
+    e = spark.createDataFrame([("l", "domain", "com", "2024-01-01", "add"), ("l", "domain", "com", "2024-01-01", "add")], "list string, kind string, pattern string, day string, action string")
+    rows = [(1, "http://a.com/" + "x" * 50_000), (2, None), (3, ""), (4, "no url"), (5, "http://a.com"), (5, "http://a.com"), (None, "http://b.org/"), *((k, f"http://hot.com/{k % 3}") for k in range(10, 60))]
+    c = spark.createDataFrame([(i, u, "2024-02-01", 1, 2, "k") for i, u in rows], "page_id bigint, url string, fetched string, salt int, hit int, pattern string")
+    got = [(r.page_id or 0, r.blocked) for r in url_filter.judge(c, e).collect()]
+    assert sorted(got) == sorted((i or 0, bool(u and "com" in u)) for i, u in rows)
+    assert url_filter.judge(none(c), e).count() == 0 and url_filter.judge(c, none(e)).where("blocked").count() == 0
+
+
+def test_empty_and_odd_pages_and_models(spark, odd):
+    pages = spark.createDataFrame([(1, "u", "<p>One two.", 7), (1, "u", "<p>One two.", 7), (None, None, None, None)], "page_id bigint, url string, html string, text int")
+    got = html_text.extract_pages(pages).collect()
+    assert len(got) == 3 and html_text.extract_pages(none(pages)).count() == 0
+    assert toxicity.score_texts(none(odd), toxicity.ToxicModel(toxicity.Lexicon({}), np.zeros(4))).count() == 0 and quality.rate(none(odd), None).count() == 0
+
+
 def test_bpe_as_tiktoken(spark, odd):
     import base64
 
