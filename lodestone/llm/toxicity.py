@@ -3,8 +3,9 @@
 A lexicon is learnt from labelled rows: words, and stems with many endings, that mark toxic texts far more than others.
 It is kept as a trie. A word's Levenshtein automaton is run along the trie's edges, and a branch is left as soon as the
 automaton is dead, so misspelled terms are found at the cost of a short walk. Each hit is weighed by its distance and by
-its context: a window of words before and after it tells quotation and report from direct abuse. A logistic curve fitted
-on the same labelled rows turns exact, misspelled and quoted mass into a score.
+its context: the words before and after it add up to a score between direct abuse and quotation or report, from weights
+that start with words of report and of address and go on with what the labels tell of contexts. A logistic curve fitted on
+the same labelled rows turns exact, misspelled and quoted mass into a score.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ REPORTS = frozenset(
 )
 ADDRESS = frozenset("you your youre ur du dein ihr sie tu ton ta vous votre tú usted eres es are".split())
 QUOTES = "\"“”„«»‘"
+#: Context scores: where they begin, what signs of a quotation on both sides, a word of report and an address just before
+#: add; most that a window's words can add by what labels tell, and how often a word must stand by hits to count.
+PLAIN, MARKED, REPORTED, ADDRESSED = -3.0, 3.0, 1.5, -3.0
+MOST_LEARNT, LEAST_SEEN, PRIOR_HITS, MOST_CONTEXTS = 2.0, 3, 5.0, 5000
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SHORTEST_STEM, LONGEST_STEM = 3, 10
 #: Weight of a misspelled term against the term itself: one alone leaves a text in doubt, two don't.
@@ -161,12 +166,14 @@ class Trie:
 class Lexicon:
     """Weights of whole words and of stems, which match all words that begin with them.
 
-    innocent has words near a term that are known from texts which aren't toxic; they are no misspellings.
+    innocent has words near a term that are known from texts which aren't toxic; they are no misspellings. context has
+    what words of a hit's window add to its context score, beside what report and address do.
     """
 
     words: dict[str, float]
     stems: dict[str, float] = field(default_factory=dict)
     innocent: frozenset[str] = frozenset()
+    context: dict[str, float] = field(default_factory=dict)
     clean: set[str] = field(init=False, default_factory=set)
     hits: dict[str, list[Found]] = field(init=False, default_factory=dict)
 
@@ -267,7 +274,16 @@ class Hit:
     term: str
     position: int
     edits: int
-    quoted: bool
+    context: float  # 0 for direct abuse to 1 for a quotation
+    around: tuple[str, ...] = ()
+
+
+def context_score(around: tuple[str, ...], learnt: dict[str, float]) -> float:
+    """How likely a hit with these words and signs around it is quoted or reported: 0 to 1."""
+    s = PLAIN + sum(REPORTED for w in around if w in REPORTS)
+    s += max(-MOST_LEARNT, min(MOST_LEARNT, sum(learnt.get(w, 0.0) for w in around)))
+    s += MARKED * ("<marked>" in around) + ADDRESSED * ("<addressed>" in around)
+    return float(1 / (1 + np.exp(-s)))
 
 
 def scan(text: str, lex: Lexicon) -> tuple[tuple[float, float, float], list[Hit]]:
@@ -286,10 +302,13 @@ def scan(text: str, lex: Lexicon) -> tuple[tuple[float, float, float], list[Hit]
         after = [x.strip(EDGES) for _, x in found[k + 1 : k + 1 + WINDOW]]
         left, right = low[max(0, at - 40) : at] + token[:1], token[-2:] + low[at + len(token) : at + len(token) + 40]
         marked = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
-        told = (marked or sum(x in REPORTS for x in chain(before, after)) >= 2) and not any(x in ADDRESS for x in before[-3:])
+        signs = ["<marked>"] * marked + ["<addressed>"] * any(x in ADDRESS for x in before[-3:])
+        around = tuple(dict.fromkeys(x for x in chain(before, after, signs) if x))
+        told = context_score(around, lex.context)
         for place, word, term, weight, edits in inside:
-            mass[2 if told else 1 if edits else 0] += weight
-            hits.append(Hit(word, term, at + place, edits, told))
+            mass[1 if edits else 0] += weight * (1 - told)
+            mass[2] += weight * told
+            hits.append(Hit(word, term, at + place, edits, told, around))
     return tuple(mass), hits
 
 
@@ -423,13 +442,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most:
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         if not own:
             own.append(Lexicon(*sent.value))
-        counts = [Counter((2 if h.quoted else min(h.edits, 1), h.term, h.word if h.edits else "") for h in scan(t, own[0])[1]) for t in b.column(0).to_pylist()]
-        hits = [[{"kind": k, "term": t, "word": w, "n": n} for (k, t, w), n in sorted(c.items())] for c in counts]
+        counts = [Counter((min(h.edits, 1), h.term, h.word if h.edits else "", h.around) for h in scan(t, own[0])[1]) for t in b.column(0).to_pylist()]
+        hits = [[{"kind": k, "term": t, "word": w, "around": a, "n": n} for (k, t, w, a), n in sorted(c.items())] for c in counts]
         return pa.RecordBatch.from_arrays([pa.array(hits, hit_type), b.column(1)], ["hits", "label"])
 
     # all hits of each text, folded; what is brought to the driver are words, terms and three numbers for each text
-    hit_type = pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
-    folded = materialize(arrow_map(rows, one, "hits array<struct<kind:int,term:string,word:string,n:bigint>>, label int"), "toxic-hits")
+    hit_type = pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.string()), ("word", pa.string()), ("around", pa.list_(pa.string())), ("n", pa.int64())]))
+    folded = materialize(arrow_map(rows, one, "hits array<struct<kind:int,term:string,word:string,around:array<string>,n:bigint>>, label int"), "toxic-hits")
     innocent = frozenset(r["word"] for r in folded.where("label = 0").select(F.explode("hits.word").alias("word")).where("word <> ''").distinct().collect())
     whole = folded.select("label", F.explode(F.array_distinct(F.transform(F.filter("hits", lambda h: h["word"] == ""), lambda h: h["term"]))).alias("term"))
     held: dict[str, list[int]] = {}
@@ -438,16 +457,19 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most:
     sizes = {r["label"]: r["count"] for r in folded.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     weight = {t: float(np.clip(np.log((c[1] + 0.5) / (n1 + 1) / ((c[0] + 0.5) / (n0 + 1))), 0.3, 6.0)) for t, c in held.items()}
-    lex = Lexicon({t: weight.get(t, 0.3) for t in lex.words}, {t: weight.get(t, 0.3) for t in lex.stems}, innocent)
-    known = docs.sparkSession.sparkContext.broadcast((weight, innocent))
+    context = learn_contexts(folded)
+    lex = Lexicon({t: weight.get(t, 0.3) for t in lex.words}, {t: weight.get(t, 0.3) for t in lex.stems}, innocent, context)
+    known = docs.sparkSession.sparkContext.broadcast((weight, innocent, context))
 
     def weigh(b: pa.RecordBatch) -> pa.RecordBatch:
-        weights, fine = known.value
+        weights, fine, learnt = known.value
         masses = [[0.0] * b.num_rows for _ in range(3)]
         for row, hits in enumerate(b.column(0).to_pylist()):
             for h in hits:
                 if h["word"] not in fine:
-                    masses[h["kind"]][row] += weights.get(h["term"], 0.3) * h["n"]
+                    told, worth = context_score(tuple(h["around"]), learnt), weights.get(h["term"], 0.3) * h["n"]
+                    masses[h["kind"]][row] += worth * (1 - told)
+                    masses[2][row] += worth * told
         return pa.RecordBatch.from_arrays([*(pa.array(m, pa.float64()) for m in masses), b.column(1)], ["exact", "misspelled", "quoted", "label"])
 
     by = ["exact", "misspelled", "quoted", "label"]
@@ -456,28 +478,49 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most:
     x = np.array([vector(tuple(r)[:3]) for r in texts])
     w = fit_curve(x, y, n)
     w[1:3] = np.maximum(w[1:3], 0.0)
-    w[3] = min(w[3], w[1])  # quotation never counts more than abuse
+    w[3] = min(max(w[3], 0.0), w[1])  # quotation never counts more than abuse, nor against it
     return ToxicModel(lex, w)
 
 
+def learn_contexts(folded: DataFrame) -> dict[str, float]:
+    """What words and signs around terms as they are tell of quotation: log ratios of their shares among hits of other and toxic texts.
+
+    Shares are drawn to each other by PRIOR_HITS hits, so that few hits of one kind tell little; what stands by fewer than
+    LEAST_SEEN hits of the kind that it speaks for counts nothing. The MOST_CONTEXTS strongest are kept.
+    """
+    hits = folded.select("label", F.explode("hits").alias("h")).where("h.kind = 0")
+    seen = {r["label"]: r["n"] for r in hits.groupBy("label").agg(F.sum("h.n").alias("n")).collect()}
+    n0, n1 = seen.get(0, 0), seen.get(1, 0)
+    if not n0 or not n1:
+        return {}
+    words = hits.select("label", "h.n", F.explode("h.around").alias("word")).groupBy("word")
+    words = words.agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("b"))
+    share = lambda c, n: (F.col(c) + PRIOR_HITS * n / (n0 + n1)) / n
+    told = words.withColumn("w", F.greatest(F.lit(-MOST_LEARNT), F.least(F.lit(MOST_LEARNT), F.log(share("a", n0) / share("b", n1)))))
+    told = told.where(F.when(F.col("w") > 0, F.col("a")).otherwise(F.col("b")) >= LEAST_SEEN)
+    return {r["word"]: r["w"] for r in told.orderBy(F.desc(F.abs("w")), "word").limit(MOST_CONTEXTS).select("word", "w").collect()}
+
+
 def score_texts(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, score (0 to 1), exact, misspelled, quoted, hits (word, term, position, edits, quoted).
+    """One row per row of docs: id, score (0 to 1), exact, misspelled, quoted, hits (word, term, position, edits, context).
+
+    A hit's context is 0 for direct abuse to 1 for a quotation or report.
 
     Positions are those in the lower-cased text. Whole texts are read; null counts as empty, and an empty text scores as
     one without hits. Only the two named columns are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.innocent, model.weights))  # bounded by the rows learnt from
+    sent = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.innocent, model.lexicon.context, model.weights))  # bounded by the rows learnt from
     own: list[ToxicModel] = []
-    hit_type = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("position", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
+    hit_type = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("position", pa.int32()), ("edits", pa.int32()), ("context", pa.float64())]))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         if not own:  # one lexicon and its memory of words for each task
-            own.append(ToxicModel(Lexicon(*sent.value[:3]), sent.value[3]))
+            own.append(ToxicModel(Lexicon(*sent.value[:4]), sent.value[4]))
         got = [own[0].score(t) for t in b.column(1).to_pylist()]
         masses = [pa.array([g[1][k] for g in got], pa.float64()) for k in range(3)]
-        hits = pa.array([[vars(h) for h in g[2]] for g in got], hit_type)
+        hits = pa.array([[{"word": h.word, "term": h.term, "position": h.position, "edits": h.edits, "context": h.context} for h in g[2]] for g in got], hit_type)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), *masses, hits], [id_col, "score", "exact", "misspelled", "quoted", "hits"])
 
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
-    return arrow_map(rows, one, f"{id_col} {kind}, score double, exact double, misspelled double, quoted double, hits array<struct<word:string,term:string,position:int,edits:int,quoted:boolean>>")
+    return arrow_map(rows, one, f"{id_col} {kind}, score double, exact double, misspelled double, quoted double, hits array<struct<word:string,term:string,position:int,edits:int,context:double>>")

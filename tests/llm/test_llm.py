@@ -227,6 +227,38 @@ def test_toxicity_learns_from_all_hits_of_a_long_text(spark):
     assert m.lexicon.innocent >= set(near) and m.score(" ".join(near[200:]))[0] < 0.5 <= m.score("you fritzblatt fritzblatt")[0]
 
 
+def test_context_scores(spark):
+    lex = toxicity.Lexicon({"fritzblatt": 1.0})
+    at = lambda t, lex=lex: toxicity.scan(t, lex)[1][0].context
+    plain, marked, told, both, addressed = (at(t) for t in ("x y fritzblatt z", 'x "fritzblatt" z', "the report says fritzblatt", 'the report says "fritzblatt" there', 'you said "fritzblatt" there'))
+    assert addressed < both and plain < 0.1 < told <= both and marked == 0.5 and both > 0.9
+    mass, hits = toxicity.scan('x "fritzblatt" z fritzblatt a fritzblatt', lex)
+    assert abs(sum(mass) - 3) < 1e-9 and abs(mass[2] - sum(h.context for h in hits)) < 1e-9
+    # labels tell that "blorp" stands by terms in texts that aren't toxic; a word by both kinds alike tells nothing
+    r = random.Random(2)
+    fill = lambda: " ".join(f"{r.choice('abcdefghi')}{r.randrange(400)}x" for _ in range(12))
+    rows = [(f"{fill()} fritzblatt even {fill()}", 1) for _ in range(300)] + [(f"{fill()} fritzblatt even blorp {fill()}", 0) for _ in range(4)] + [(fill(), 0) for _ in range(600)]
+    docs = texts(spark, *(t for t, _ in rows))
+    m = toxicity.train(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int"))
+    learnt = m.lexicon.context
+    assert learnt["blorp"] > 1 and abs(learnt.get("even", 0.0)) < 0.1 and at("fritzblatt even blorp", m.lexicon) > at("fritzblatt even", m.lexicon)
+
+
+def test_scores_against_the_written_out_formula(spark):
+    """Every score from its hits: context by the words around, masses by weight, edits and context, then the curve."""
+    lex = toxicity.Lexicon({"fritzblatt": 2.0}, {"gromw": 1.5}, frozenset({"gromx"}), {"zed": 1.0})
+    m = toxicity.ToxicModel(lex, np.array([-2.0, 1.5, 0.5, 0.2]))
+    cases = {"": [], "plain words": [], "a fritzblatt b": [(2.0, 0, -3.0)], "you fritzblatt": [(2.0, 0, -6.0)], "says zed gromwelk": [(1.5, 0, -0.5)], "fritzblat": [(2.0, 1, -3.0)], "gromx": [], "frtizblatt and gromwx": [(2.0, 1, -3.0), (1.5, 0, -3.0)]}
+    got = {r.doc_id: r for r in toxicity.score_texts(texts(spark, *cases), m).collect()}
+    for i, hits in enumerate(cases.values()):
+        q = [1 / (1 + np.exp(-s)) for _, _, s in hits]
+        exact, near = (sum(w * (1 - c) for (w, e, _), c in zip(hits, q) if bool(e) == b) for b in (False, True))
+        quoted = sum(w * c for (w, _, _), c in zip(hits, q))
+        direct = exact + 0.5 * near
+        z = -2.0 + 1.5 * np.log1p(direct) + 0.5 * min(direct, 15) / 5 + 0.2 * np.log1p(quoted)
+        assert len(got[i].hits) == len(hits) and abs(got[i].score - 1 / (1 + np.exp(-z))) < 1e-9, list(cases)[i]
+
+
 def test_rare_terms_and_many_endings_keep_their_place_in_the_lexicon(spark):
     fills = [a + b + c for a in "aeiou" for b in "lmnr" for c in "aeiou"]
     rare = [a + b + c + "zz" for a in "bcdfg" for b in "xzvwk" for c in "jqhp"]
