@@ -477,8 +477,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most:
     y, n = np.array([r["label"] for r in texts], float), np.array([r["count"] for r in texts], float)
     x = np.array([vector(tuple(r)[:3]) for r in texts])
     w = fit_curve(x, y, n)
+    if w[3] < 0:  # quotation never counts against abuse
+        w = fit_curve(x * np.array([1.0, 1.0, 1.0, 0.0]), y, n)
     w[1:3] = np.maximum(w[1:3], 0.0)
-    w[3] = min(max(w[3], 0.0), w[1])  # quotation never counts more than abuse, nor against it
+    w[3] = min(w[3], w[1])  # nor more than it
     return ToxicModel(lex, w)
 
 
