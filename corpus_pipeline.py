@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages over the documents table: each works on all that the one before kept.
 
 run() writes each stage's rows as Parquet and reads them again for the next, so a lost executor costs one stage's tasks.
+Null texts count as empty in every stage; empty tables give empty results; without ratings, or without test items, the
+stage that needs them keeps all. Other columns of documents go along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of those whose texts are equal without white space: the longest, then the one with the smallest id."""
     return exact_dedup.drop_exact(docs)
 
 
@@ -29,10 +32,12 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item to 0.6 or more with tiles of five words and more."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens, and digests of the ids and of the decoded bytes, a row for each document."""
     return bpe_digests(docs)
 
 
