@@ -575,6 +575,22 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert sorted(x.doc_id for x in P.run(spark, d).collect()) == want
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three  four five six"), (None, "a b"), (3, None), (4, ""), (5, LONG), (6, "item words that a test has in it")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2, True) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int, _gone int, kept boolean")
+    schemas = {"labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
+    for name, some in (("odd", True), ("empty", False)):
+        d = f"{tmp_path}/{name}"
+        (docs if some else none(docs)).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(6, None, None), (None, 1, 1)] if some else [], schemas["labels"]).write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "item words that a test has in it"), (2, None)] if some else [], schemas["benchmark"]).write.parquet(f"{d}/benchmark.parquet")
+        got = P.run(spark, d).collect()
+        # of equal texts the longest stays; null and empty texts are equal too
+        assert sorted(r.doc_id or 0 for r in got) == ([0, 2, 3, 5] if some else [])
+
+
 def test_drops(spark):
     docs = texts(spark, "a b c", "a  b c", "one two three four five six seven", "one two three four five six seven", "x", None)
     assert sorted(r.doc_id for r in exact_dedup.drop_exact(docs).collect()) == [1, 2, 4, 5]
