@@ -81,7 +81,7 @@ RULES = """rc as (
 ), rn as materialized (
   select doc_id || ':0:' || section node_id, substr(text, 1, 200) as text, doc_id, 0 chunk_index, coalesce(nullif(regexp_extract(text, '规则([A-Z]\\d+)', 1), ''), doc_id || ':0:' || section) rule_id, section, text whole from sec
 )"""
-_ASKED = "q as (select p_partkey query_id, p_type || ' 且数量不少于' || p_size || ' P' || p_partkey query from part where p_partkey % 50 = 0)"
+_ASKED = "q as (select p_partkey query_id, p_type || ' 且数量不少于' || p_size || ' P' || p_partkey query from part where p_partkey % 20 = 0)"
 _END = "((?s:.)[^。\\n]*)"
 
 
@@ -225,7 +225,7 @@ SQL: dict[str, str] = {
     "reference_edges": f"with {RULES}, {REFS} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
     "graph_neighbors": f"with {GRAPH}, b0 as (select node_id as start, node_id node, 1::double score, 0 hops from rn), b1 as (select b.start, e.dst node, max({_r('b.score * e.weight', 9)}) score, 1 hops from b0 b join ed e on e.src = b.node group by all), b2 as (select b.start, e.dst node, max({_r('b.score * e.weight', 9)}) score, 2 hops from b1 b join ed e on e.src = b.node group by all), al as (select * from b0 union all select * from b1 where score >= 0.1 union all select * from b2 where score >= 0.1) select start, node, max(score) score, arg_min(hops, [-score, hops]) hops from al group by start, node",
     "graph_subgraph": f"with {GRAPH} select 'edge' kind, src, dst, weight from ed where dst in (select node_id from rn union all select node_id from cn) union all select 'node', node_id, null, null from (select node_id from rn union all select node_id from cn)",
-    "chunk_nodes": f"with {GRAPH} select * from (select node_id, 'rule' as type, text, doc_id from rn union all select node_id, 'condition', text, doc_id from cn union all select node_id, 'conclusion', text, doc_id from kn) where doc_id % 3 = 1",
+    "chunk_nodes": f"with {GRAPH} select * from (select node_id, 'rule' as type, text, doc_id from rn union all select node_id, 'condition', text, doc_id from cn union all select node_id, 'conclusion', text, doc_id from kn)",
     "reference_edges_whole": f"with {RULES}, {REFS.replace('(text,', '(whole,')} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
     "retrieve_rules": f"with {RULE_RANKED}, {CONDITIONS}, {CONCLUSIONS}, {REFS}, {EDGES}, {_paths('select query_id, doc_id, score, rank from rr where rank <= 5')}, fa as (select pa.query_id, n.doc_id, arg_min(pa.score, [[hops], o]) score, min([[hops], o]) place from pa join nd n on n.node_id = pa.node where improved and (pa.query_id, n.doc_id) not in (select (query_id, doc_id) from rr) group by all), ex as (select * from (select *, row_number() over (partition by query_id order by score desc, place) rank from fa) where rank <= 5), al as (select query_id, doc_id, score, false x, rank from rr union all select query_id, doc_id, score, true, rank from ex) select * from (select query_id, doc_id, 0 chunk_index, score, row_number() over (partition by query_id order by score desc, x, rank) rank from al) where rank <= 5",
     "retrieve_rules_plain": f"with {RULE_RANKED} select query_id, doc_id, chunk_index, score, rank from rr where rank <= 5",
