@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, chunking, evaluate, graph, index, retrieval
-from ..sources.tables import store, table
+from ..sources.tables import INDEX_TABLES, store, table
 
 SIZE, OVERLAP = 512, 64
 GRID = ([256, 512, 1024], [0, 64, 128], [3, 5, 10])
@@ -58,9 +58,16 @@ def index_tables(chunks: DataFrame) -> dict[str, DataFrame]:
 
 
 def stored_index(chunks: DataFrame, *names: str) -> dict[str, DataFrame]:
-    """The index tables of those names, written once and read from there by all that a query does with them."""
-    built = index_tables(chunks)
-    return store({n: built[n] for n in names or built})
+    """The index tables of those names, written once and read from there by all that a query does with them.
+
+    Chunks are written first, then what is read off their terms, then the rest, so that nothing is cut or counted twice.
+    """
+    made: dict[str, DataFrame] = {}
+    for step in (("chunks",), ("postings", "chunk_len"), INDEX_TABLES):
+        built = index.build_index(made.get("chunks", chunks), made=made)
+        now = [n for n in step if n not in made and n in (names or built)]
+        made |= store({n: built[n] for n in now}) if now else {}
+    return made
 
 
 SPARSE = ("chunks", "postings", "chunk_len", "corpus_stats", "term_stats")

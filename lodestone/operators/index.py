@@ -74,9 +74,13 @@ def normalize_vectors(rows: DataFrame, col: str = "embedding") -> DataFrame:
     return rows.withColumn("_n", norm).withColumn(col, F.transform(e, lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x))).drop("_n")
 
 
-def build_index(chunks: DataFrame, key: list[str] = KEY) -> dict[str, DataFrame]:
-    """All index tables of the chunks, by name; with the graph (nodes, edges) where chunks have the plain key."""
-    post, lengths = postings(chunks, key), chunk_lengths(chunks, key)
+def build_index(chunks: DataFrame, key: list[str] = KEY, made: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All index tables of the chunks, by name; with the graph (nodes, edges) where chunks have the plain key.
+
+    made may hold postings and chunk_len that are stored already; statistics then read those instead of the texts.
+    """
+    made = made or {}
+    post, lengths = made.get("postings", postings(chunks, key)), made.get("chunk_len", chunk_lengths(chunks, key))
     stats = corpus_stats(lengths)
     nodes = dict(zip(("nodes", "edges"), graph.build_graph(chunks), strict=True)) if key == KEY else {}
     return nodes | {"chunks": chunks, "postings": post, "chunk_len": lengths, "corpus_stats": stats, "term_stats": term_stats(post, stats), "vectors": embed_text(chunks, key).select(*key, "embedding")}
