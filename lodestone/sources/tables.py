@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_TABLES = ("chunks", "postings", "chunk_len", "corpus_stats", "term_stats", "vectors", "nodes", "edges")
+_CLEARED: set[str] = set()
 QUERY_SCHEMA = "query string, answer string, reasoning_chain array<string>, difficulty string, tags array<string>"
 
 
@@ -41,20 +43,48 @@ def write_index(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one on a local master where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, else what setCheckpointDir() was given.
+
+    Where the session names none, a local master gets a temporary folder by setCheckpointDir(); any other raises.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        at = sc.getCheckpointDir()
     return at
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, for all that its jobs store; deleted when the application ends, or by clear_work()."""
+    app = spark.sparkContext.applicationId
+    if app not in _CLEARED:
+        _CLEARED.add(app)
+        atexit.register(_clear_at_end, spark, app)
+    return f"{shared_dir(spark)}/lodestone-{app}"
+
+
+def _clear_at_end(spark: SparkSession, app: str) -> None:
+    if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+        clear_work(spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes what this application's jobs have stored; DataFrames that read it can't be read any longer."""
+    delete(spark, work_dir(spark))
+
+
 def store(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables written to a new folder of the shared one, and read again from there: built once, used often."""
     spark = next(iter(tables.values())).sparkSession
-    path = f"{shared_dir(spark)}/lodestone-index-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
     write_index(tables, path)
     return {n: spark.read.schema(df.schema).parquet(f"{path}/{n}") for n, df in tables.items()}
 
