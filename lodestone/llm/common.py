@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import delete, table, work_dir  # noqa: F401  table: for the queries and the pipeline
+
 #: Fixed value: the white space of the contracts, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch between Spark and Python.
@@ -17,24 +18,6 @@ ARROW_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, else what setCheckpointDir() was given.
-
-    Where the session names none, a local master gets a temporary folder, as in tests; any other raises.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -42,14 +25,14 @@ def _write(df: DataFrame, path: str) -> DataFrame:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, read again from there."""
-    return _write(df, f"{shared_dir(df.sparkSession)}/lodestone-{name}-{uuid.uuid4().hex}")
+    return _write(df, f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
 class Scratch:
     """Cut points that one job needs until it is done, in a folder of its own that remove() deletes."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/lodestone-work-{uuid.uuid4().hex}", {}
+        self.spark, self.path, self.tables = spark, f"{work_dir(spark)}/work-{uuid.uuid4().hex}", {}
 
     def table(self, df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
         """The rows as a table, read again from there; the table that it stands instead of is deleted."""
@@ -58,15 +41,11 @@ class Scratch:
         self.tables[path] = out
         for p, t in self.tables.items():
             if t is instead_of:
-                self._delete(p)
+                delete(self.spark, p)
         return out
 
     def remove(self) -> None:
-        self._delete(self.path)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, self.path)
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
