@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, exact_dedup, html_text, near_dedup, pii, quality, sharding, toxicity, url_filter, whitening
+from . import byte_bpe, decontamination, exact_dedup, html_text, near_dedup, packing, pii, quality, sharding, toxicity, url_filter, whitening
 from .common import table
 
 #: Key of the example pseudonyms; a deployment passes its own secret.
@@ -100,10 +100,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_minimax_shards, op2_toxicity, op3_html_text, op4_ordinal_quality, op5_exact_dedup, op6_near_dedup, op7_pii_feistel, op8_url_asof, op9_benchmark_tiling, op10_byte_bpe,
-        op11_whitening,
+        op11_whitening, op12_best_fit_packing,
     )
 }
 
