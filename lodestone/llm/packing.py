@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import schema_text
 from .common import SPACES, arrow_map, materialize, text_or_empty
 
 SIZE, END = 2048, 0
@@ -201,7 +202,7 @@ def hand_on(lengths: np.ndarray, bins: np.ndarray, size: int, most: int) -> np.n
 
 def _pack_blocks(rows: DataFrame, size: int, share: int, passes: int) -> DataFrame:
     """rows (block, row, length ...) with the bin of each in its block, its place there, and whether it meets others again; blocks of share 1 keep all."""
-    schema = rows.schema.add("bin", "long").add("offset", "long").add("again", "boolean")
+    schema = schema_text(rows, "bin bigint", "offset bigint", "again boolean")
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("row", ignore_index=True)
