@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, exact_dedup, html_text, near_dedup, packing, pii, quality, sharding, toxicity, url_filter, whitening
+from . import byte_bpe, decontamination, exact_dedup, html_text, near_dedup, packing, pii, quality, sharding, toxicity, turn_repair, url_filter, whitening
 from .common import table
 
 #: Key of the example pseudonyms; a deployment passes its own secret.
@@ -106,10 +106,14 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_minimax_shards, op2_toxicity, op3_html_text, op4_ordinal_quality, op5_exact_dedup, op6_near_dedup, op7_pii_feistel, op8_url_asof, op9_benchmark_tiling, op10_byte_bpe,
-        op11_whitening, op12_best_fit_packing,
+        op11_whitening, op12_best_fit_packing, op13_turn_repair,
     )
 }
 
@@ -167,4 +171,48 @@ select q.page_id, q.url, q.host, q.day, coalesce(b.n, 0) > 0 as blocked, cast(co
 from q left join b using (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": _EXACT, "op6_near_dedup": _NEAR, "op8_url_asof": _URL}
+# CRC-32 has no function here: byte by byte, bit by bit. Each recursion reads one turn of all conversations and keeps the best of each state.
+_TURNS = r"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') r0, coalesce(text, ' ') t0, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') key from conversations
+), h as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) % 20 m from k
+), d as (
+  select conv_id, turn, row_number() over (partition by conv_id order by turn nulls first, r0, t0, copy) i, case when m = 4 then 'user' else r0 end r, case m when 1 then '' when 2 then translate(t0, '.!?', '') else t0 end t
+  from h, (values (0), (1)) v(copy) where m <> 0 and (copy = 0 or m = 3)
+), f as (
+  select *, lag(substr(r, 1, 1)) over (partition by conv_id order by i) before,
+    case when not regexp_matches(t, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, r, t order by i) > 1 then 'd' when not regexp_matches(t, '[.!?][\x20\x09-\x0D]*$') then 't' else 'f' end fault
+  from d
+), n as (
+  select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, sum((fault = 'b')::bigint) blank, sum((fault = 'd')::bigint) duplicate, sum((fault = 't')::bigint) truncated,
+    sum((before is not null and (before || substr(r, 1, 1)) not in ('su', 'ua', 'au'))::bigint) illegal
+  from f group by conv_id
+), step(a, role, b) as (values ('0', 's', '1'), ('0', 'u', '2'), ('1', 'u', '2'), ('3', 'u', '2'), ('2', 'a', '3')),
+ins as (
+  select s a, s b, 0 cost, '' audit, '' lines from (values ('0'), ('1'), ('2'), ('3')) v(s)
+  union all select a, b, 3, 'I', case role when 'u' then 'user:' else 'assistant:' end || chr(10) from step where role <> 's'
+  union all select a, '3', 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10) from (values ('0'), ('1')) v(a)
+), way as (
+  select f.conv_id, f.i, i.a, e.b, i.cost + e.cost cost, i.audit || e.audit audit, i.lines || e.lines lines
+  from f, ins i, lateral (
+    select i.b b, 4 cost, 'D' audit, '' lines
+    union all select s.b, case when fault = 't' then 3 else 0 end, 'K', r || ':' || t || chr(10) from step s where s.a = i.b and s.role = substr(r, 1, 1) and fault in ('t', 'f')
+    union all select s.b, case when fault = 't' then 6 else 3 end, 'R', case s.role when 'u' then 'user:' else 'assistant:' end || t || chr(10) from step s where s.a = i.b and s.role <> 's' and fault in ('t', 'f')
+  ) e
+), walk as (
+  select conv_id, 0::bigint i, '0' st, {'cost': 0::bigint, 'audit': '', 'lines': ''} best from n
+  union all
+  select w.conv_id, w.i + 1, y.b, min({'cost': w.best.cost + y.cost, 'audit': w.best.audit || y.audit, 'lines': w.best.lines || y.lines})
+  from walk w join way y on y.conv_id is not distinct from w.conv_id and y.i = w.i + 1 and y.a = w.st group by w.conv_id, w.i, y.b
+), ended as (
+  select n.conv_id, min({'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.audit, 'lines': w.best.lines || i.lines}) best
+  from walk w join n on n.conv_id is not distinct from w.conv_id and n.n = w.i join ins i on i.a = w.st and i.b in ('0', '3') group by n.conv_id
+), c as (select distinct conv_id from conversations)
+select c.conv_id, coalesce(n.gaps, 0)::bigint gaps, coalesce(n.blank, 0)::bigint blank, coalesce(n.duplicate, 0)::bigint duplicate, coalesce(n.truncated, 0)::bigint truncated, coalesce(n.illegal, 0)::bigint illegal,
+  coalesce(e.best.cost, 0)::bigint as cost, coalesce(e.best.audit, '') as audit, sha256(coalesce(left(e.best.lines, length(e.best.lines) - 1), '')) repaired_sha256
+from c left join n on n.conv_id is not distinct from c.conv_id left join ended e on e.conv_id is not distinct from c.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_turn_repair": _TURNS, "op5_exact_dedup": _EXACT, "op6_near_dedup": _NEAR, "op8_url_asof": _URL}
