@@ -33,14 +33,18 @@ SIZE, END = 2048, 0
 BLOCK, SHARE, PASSES = 8192, 4, 8
 #: Words whose ids a worker keeps, the longest of them, and words that the library encodes at a time.
 KNOWN, LONGEST, TOGETHER = 800_000, 64, 4096
-_BETWEEN = re.compile(f"[{SPACES}]+")
+#: Letters that have one lower-case form and never join what stands before or behind them, and signs that end words.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 # ---- ids
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and matches nothing across it, so each word is encoded once."""
+    """Ids of whole texts. The tokenizer drops white space and matches nothing across it, so each word is encoded once.
+
+    It also drops case, and signs behind a word's letters are apart from them, so words are encoded without both.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,14 +64,24 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of 32 bits."""
-        words = [_BETWEEN.split(t) for t in texts]
+        words = []
+        for t in texts:
+            for space in SPACES[1:]:
+                t = t.replace(space, " ")
+            words.append(t.split(" "))
         if len(self.known) > KNOWN:
             self.known = {}
-        new = set().union(*words).difference(self.known)
-        found = dict(self.words(list(new)))
-        self.known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        found = {w: i for w, i in found.items() if len(w) > LONGEST}
-        known = ChainMap(self.known, found) if found else self.known
+        known: dict[str, bytes] | ChainMap = self.known
+        new = set().union(*words).difference(known)
+        parts = {w: (m[1].lower(), m[2]) if (m := _WORD.fullmatch(w)) else (w, "") for w in new}
+        found = dict(self.words(list(set().union(*parts.values()).difference(known))))
+        if max(map(len, found), default=0) > LONGEST:
+            known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
+            known = ChainMap({w: i for w, i in found.items() if len(w) > LONGEST}, known)
+        else:
+            known.update(found)
+        for w, (letters, signs) in parts.items():
+            known[w] = known[letters] + known[signs]
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
