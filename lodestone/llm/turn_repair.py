@@ -13,7 +13,7 @@ is told by one sum for each distinct row and a join on the row's place. Only the
 in order as its contract asks, reads a conversation in one task: it streams, and holds no more than its audit.
 
 Null roles and texts are one space, null keys are one space in the damage key; null conversation ids are a conversation of
-their own. Rows that tie in turn follow role, the first 64
+their own. A row of an empty role fits nowhere. Rows that tie in turn follow role, the first 64
 characters of the text, and its digest. Conversations that lose all rows, or whose rows are all to go, have
 an empty audit or one of deletions, and the digest of nothing; an empty table gives no rows. Other columns are never read.
 """
