@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HAN = "\\x{4e00}-\\x{9fff}"
-OFFSET_TOKEN = re.compile("[\u4e00-\u9fff]+|[a-zA-Z0-9]+|[^\\s]")
+#: Fixed value: white space of any script.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = "\\s\\x1c-\\x1f"
+#: Runs of Han, runs of Latin letters and digits, other single signs.
+TOKEN = f"(?:[{HAN}]+|[a-zA-Z0-9]+|[^{_SPACE}])"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, even where use reads it in a lambda for each of many elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
@@ -49,14 +57,27 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "(?<=[。！？.!?])"), strip), lambda s: s != "")
 
 
-def offset_tokens(c: Column) -> Column:
-    """Array of (token, start, end) in code points: runs of Han, runs of Latin letters and digits, other single signs."""
+def char_windows(c: Column, size: int, overlap: int) -> Column:
+    """Array of (text, start_char, end_char): the text is cut once into pieces of one step, and each window joins its few."""
+    step = size - overlap
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def window(p: Column, n: Column, s: Column) -> Column:
+        joined = F.array_join(F.slice(p, (s / step).cast("int") + 1, -(-size // step)), "")
+        return F.struct(F.substring(joined, 1, size).alias("text"), s.alias("start_char"), F.least(s + size, n).alias("end_char"))
+
+    return let(F.length(c), lambda n: let(pieces, lambda p: F.transform(window_starts(n, size, overlap), lambda s: window(p, n, s))))
+
+
+def token_windows(c: Column, size: int, overlap: int) -> Column:
+    """Array of (text, start_token, end_token, token_count): the text is cut once into tokens with what is before each, and a window joins its own."""
+    pieces = F.regexp_extract_all(F.rtrim(c, F.lit(WHITE)), F.lit(f"(?U)[{_SPACE}]*+{TOKEN}"), F.lit(0))
 
-    @F.pandas_udf("array<struct<token:string,start:int,end:int>>")
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"token": m.group(), "start": m.start(), "end": m.end()} for m in OFFSET_TOKEN.finditer(t or "")])
+    def window(p: Column, n: Column, s: Column) -> Column:
+        end = F.least(s + size, n)
+        return F.struct(F.ltrim(F.array_join(F.slice(p, s + 1, size), ""), F.lit(WHITE)).alias("text"), s.alias("start_token"), end.alias("end_token"), (end - s).alias("token_count"))
 
-    return find.asNondeterministic()(c)  # so that it isn't copied into the lambdas that read it
+    return let(pieces, lambda p: let(F.size(p), lambda n: F.transform(window_starts(n, size, overlap), lambda s: window(p, n, s))))
 
 
 def terms(c: Column) -> Column:

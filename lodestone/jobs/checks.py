@@ -195,11 +195,13 @@ select n.config, {_r(f"avg(case when {key} <> '' and coalesce(contains(found, {k
 from (select distinct config from al) n cross join q left join af on af.config = n.config and af.query_id = q.query_id group by n.config"""
 
 
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_PIECES = "d as (select doc_id, regexp_extract_all(text, '\\s*(?:[一-鿿]+|[a-zA-Z0-9]+|[^\\s])') l from documents where regexp_matches(text, '\\S'))"
 _KEY = "trim(substr(answer, 1, 30), ' ' || chr(10))"
 _NAMES = ", ".join(f"('{c}', '{t}')" for c, t in CATEGORIES.items())
 SQL: dict[str, str] = {
     "chunk_chars": f"with {_chunks()} select *, 'chunk_' || lpad(chunk_index::varchar, greatest(4, length(chunk_index::varchar))::integer, '0') chunk_id from ch",
-    "tokenize_offsets": "with t as (select doc_id, length(text) n, regexp_extract_all(text, '[一-鿿]+|[a-zA-Z0-9]+|[^\\s]') l, length(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) e from documents) select doc_id, len(l) n_tokens, list_sum(list_transform(l, lambda x: length(x)))::bigint token_chars, list_sum(list_transform(l, lambda x: length(x)))::bigint span_chars, e::integer last_end from t where len(l) > 0",
+    "tokenize_offsets": f"with {_PIECES}, p as (select doc_id, unnest(range(0, len(l)))::int pos, unnest(l) piece from d), e as (select doc_id, pos, ltrim(piece, {_WS}) token, sum(length(piece)) over (partition by doc_id order by pos)::int e from p) select doc_id, pos, token, e - length(token)::int as start, e as \"end\" from e",
     "split_sentences": f"with {SENT} select * from s",
     "adjacent_similarity": f"with {SIM} select doc_id, pos, {_r('similarity')} similarity from adj where similarity is not null",
     "semantic_segments": f"with {SIM}, ct as (select *, coalesce((lag(similarity) over (partition by doc_id order by pos) < 0.1)::int, 0) c from adj), sg as (select *, sum(c) over (partition by doc_id order by pos rows unbounded preceding) segment from ct) select doc_id, segment::bigint segment, string_agg(text, '' order by pos) as text from sg group by doc_id, segment",
@@ -229,7 +231,7 @@ SQL: dict[str, str] = {
     "reference_edges_whole": f"with {RULES}, {REFS.replace('(text,', '(whole,')} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
     "retrieve_rules": f"with {RULE_RANKED}, {CONDITIONS}, {CONCLUSIONS}, {REFS}, {EDGES}, {_paths('select query_id, doc_id, score, rank from rr where rank <= 5')}, fa as (select pa.query_id, n.doc_id, arg_min(pa.score, [[hops], o]) score, min([[hops], o]) place from pa join nd n on n.node_id = pa.node where improved and (pa.query_id, n.doc_id) not in (select (query_id, doc_id) from rr) group by all), ex as (select * from (select *, row_number() over (partition by query_id order by score desc, place) rank from fa) where rank <= 5), al as (select query_id, doc_id, score, false x, rank from rr union all select query_id, doc_id, score, true, rank from ex) select * from (select query_id, doc_id, 0 chunk_index, score, row_number() over (partition by query_id order by score desc, x, rank) rank from al) where rank <= 5",
     "retrieve_rules_plain": f"with {RULE_RANKED} select query_id, doc_id, chunk_index, score, rank from rr where rank <= 5",
-    "chunk_tokens": "with d as (select doc_id, length(text) n, regexp_extract_all(text, '[一-鿿]+|[a-zA-Z0-9]+|[^\\s]') l, string_split_regex(text, '[一-鿿]+|[a-zA-Z0-9]+|[^\\s]') g from documents where regexp_matches(text, '\\S')), t as materialized (select doc_id, i, sum(length(gap) + length(tok)) over (partition by doc_id order by i) stop, length(tok) w from (select doc_id, unnest(range(0, len(l))) i, unnest(l) tok, unnest(g[1:len(l)]) gap from d)), w as (select doc_id, unnest(range(0, greatest(ceil((len(l) - 128) / 112::double)::bigint, 0) + 1)) k, len(l) n from d) select w.doc_id, w.k::integer chunk_index, (w.k * 112)::integer start_token, least(w.k * 112 + 128, w.n)::integer end_token, (least(w.k * 112 + 128, w.n) - w.k * 112)::integer token_count, (b.stop - (a.stop - a.w))::integer n_chars from w join t a on a.doc_id = w.doc_id and a.i = w.k * 112 join t b on b.doc_id = w.doc_id and b.i = least(w.k * 112 + 128, w.n) - 1",
+    "chunk_tokens": f"with {_PIECES}, w as (select doc_id, l, unnest(range(0, greatest(ceil((len(l) - 128) / 112::double)::bigint, 0) + 1)) k from d) select doc_id, k::int chunk_index, 'chunk_' || lpad(k::varchar, 4, '0') chunk_id, ltrim(array_to_string(l[k * 112 + 1:k * 112 + 128], ''), {_WS}) as text, (k * 112)::int start_token, least(k * 112 + 128, len(l))::int end_token, (least(k * 112 + 128, len(l)) - k * 112)::int token_count from w",
     "graph_stats": f"with {GRAPH} select 'chunks' as name, count(*) n from rc union all select 'node rule', count(*) from rn union all select 'node condition', count(*) from cn union all select 'node conclusion', count(*) from kn union all select 'edge ' || relation_type, count(*) from ed group by relation_type",
     "graph_paths": f"with {PATHS} select query_id, nodes, relations, score, hops from pa",
     "expanded_chunks": f"with {EXPANDED} select query_id, doc_id, score, rank from ex",

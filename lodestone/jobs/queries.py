@@ -91,12 +91,11 @@ def chunk_chars(spark, d):
 
 
 def tokenize_offsets(spark, d):
-    t = chunking.tokenize_offsets(table(spark, d, "documents"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("token")).alias("token_chars"), F.sum((F.col("end") - F.col("start")).cast("bigint")).alias("span_chars"), F.max("end").alias("last_end"))
+    return chunking.tokenize_offsets(table(spark, d, "documents"))
 
 
 def chunk_tokens(spark, d):
-    return chunking.chunk_tokens(table(spark, d, "documents"), 128, 16).select("doc_id", "chunk_index", "start_token", "end_token", "token_count", F.length("text").alias("n_chars"))
+    return chunking.chunk_tokens(table(spark, d, "documents"), 128, 16)
 
 
 def split_sentences(spark, d):

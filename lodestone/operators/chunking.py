@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,31 +23,45 @@ def _indexed(docs: DataFrame, key: list[str], pieces: Column) -> DataFrame:
 def chunk_chars(docs: DataFrame, size: int = 512, overlap: int = 64, key: list[str] | None = None) -> DataFrame:
     """Windows of `size` characters: key, chunk_index, chunk_id, text, start_char, end_char. Blank and null texts have none."""
     T.check_window(size, overlap)
-    text = F.col("text")
-    windows = F.transform(
-        T.window_starts(F.length(text), size, overlap),
-        lambda s: F.struct(F.substring(text, s + 1, F.lit(size)).alias("text"), s.alias("start_char"), F.least(s + size, F.length(text)).alias("end_char")),
-    )
-    return _indexed(docs.where(~T.is_blank(text)), key or ["doc_id"], windows)
+    return _indexed(docs.where(~T.is_blank(F.col("text"))), key or ["doc_id"], T.char_windows(F.col("text"), size, overlap))
+
+
+#: Tokens of a batch that goes back to Spark.
+TOKEN_ROWS = 1 << 16
 
 
 def tokenize_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, pos, token, start, end."""
-    return docs.select(key, F.posexplode(T.offset_tokens(F.col("text"))).alias("pos", "t")).select(key, "pos", "t.*")
+    """key, pos, token, start, end: tokens with their places in code points. A text streams through in batches of tokens, whatever its length."""
+    find = re.compile(T.TOKEN.replace("x{4e00}", "u4e00").replace("x{9fff}", "u9fff")).finditer
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list, ...] = ([], [], [], [], [])
+
+        def sent() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int32())], [key, "pos", "token", "start", "end"])
+            for r in rows:
+                r.clear()
+            return made
+
+        for b in batches:
+            keys = b.column(0)
+            for n in range(b.num_rows):
+                for pos, m in enumerate(find(b.column(1)[n].as_py() or "")):
+                    for r, v in zip(rows, (n, pos, m.group(), m.start(), m.end()), strict=True):
+                        r.append(v)
+                    if len(rows[0]) >= TOKEN_ROWS:
+                        yield sent()
+            if rows[0]:
+                yield sent()
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, pos int, token string, start int, end int")
 
 
 def chunk_tokens(docs: DataFrame, size: int = 512, overlap: int = 64, key: str = "doc_id") -> DataFrame:
     """Windows of `size` tokens; a chunk's text is the slice of the document from its first token to its last."""
     T.check_window(size, overlap, "token")
-    rows = docs.where(~T.is_blank(F.col("text"))).select(key, "text", T.offset_tokens(F.col("text")).alias("tokens"))
-    n = F.size("tokens")
-
-    def window(s: Column) -> Column:
-        end = F.least(s + size, n)
-        first, last = F.get(F.col("tokens"), s)["start"], F.get(F.col("tokens"), end - 1)["end"]
-        return F.struct(F.substring(F.col("text"), first + 1, last - first).alias("text"), s.alias("start_token"), end.alias("end_token"), (end - s).alias("token_count"))
-
-    return _indexed(rows, [key], F.transform(T.window_starts(n, size, overlap), window))
+    return _indexed(docs.where(~T.is_blank(F.col("text"))), [key], T.token_windows(F.col("text"), size, overlap))
 
 
 def split_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
