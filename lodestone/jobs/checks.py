@@ -214,12 +214,14 @@ SQL: dict[str, str] = {
     "normalize_vectors": f"select vec_id, unnest(range(0, len(e)))::int dim, unnest(list_transform(e, lambda x: {_r('x / n')})) as value from (select vec_id, e, sqrt(list_dot_product(e, e)) n from (select vec_id, list_transform(embedding, lambda x: x::double * 3) e from embeddings))",
     "build_indices": f"with {INDEX} select 'chunks' as name, count(*) n from ch union all select 'postings', count(*) from post union all select 'terms', count(*) from ts union all select 'vectors', count(*) from ch union all select 'nodes', (select count(*) from ch where length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 20)",
     "bm25_search": f"with {_bm25(20)} select * from sp",
+    "segmented_search": f"with {_bm25(20)} select * from sp",
+    "cached_search": f"with {_bm25(20)} select *, 0::bigint scored_again from sp",
     "bm25_padded": f"with {_bm25(500)}, n as (select q.query_id, count(sp.rank) n from q left join sp using (query_id) group by all), fl as (select n.query_id, c.doc_id, c.chunk_index, n.n, row_number() over (partition by n.query_id order by c.doc_id, c.chunk_index) r from n cross join ch c where n.n < 500 and not exists (select 1 from sp where sp.query_id = n.query_id and sp.doc_id = c.doc_id and sp.chunk_index = c.chunk_index)) select query_id, doc_id, chunk_index, score, rank from sp union all select query_id, doc_id, chunk_index, 0::double, r + n from fl where r + n <= 500",
     "dense_search": f"select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from (select a.vec_id query_id, b.vec_id doc_id, 0 chunk_index, {_r('list_dot_product(a.embedding::double[], b.embedding::double[])')} score from embeddings a, embeddings b where a.vec_id % 20 = 0)) where rank <= 20",
     "dedupe_queries": f"with {QA} select query_id, min(query_id) over (partition by query) first_id from qa",
     "rrf_fuse": f"with {FUSED} select * from fu",
     "rerank": f"with {RERANKED} select * from rr",
-    "retrieve_batch": f"with {RERANKED} select * from rr where rank <= 5",
+    "retrieve_batch": f"with {RERANKED} select *, false expanded_via_graph from rr where rank <= 5",
     "line_match": f"with {Q}, w as (select query_id, list_distinct(list_filter(string_split_regex(regexp_replace(query, '[？?]', '', 'g'), '\\s+'), lambda x: x <> '')) w from q), l as materialized (select doc_id, unnest(range(0, len(x))) pos, unnest(x) line from (select doc_id, string_split(text, chr(10)) x from documents)), m as (select query_id, doc_id, pos, line, len(list_filter(w, lambda x: contains(line, x))) n from w, l), b as (select query_id, n, line, row_number() over (partition by query_id order by n desc, doc_id, pos) r from m) select query_id, n::int n_words, case when n = 0 then '' else substr(line, 1, 200) end line from b where r = 1",
     "rule_nodes": f"with {RULES} select node_id, text, doc_id, chunk_index, rule_id from rn",
     "rule_conditions": f"with {RULES}, {CONDITIONS} select node_id, text, src, 1::double weight from cn",
@@ -229,8 +231,8 @@ SQL: dict[str, str] = {
     "graph_subgraph": f"with {GRAPH} select 'edge' kind, src, dst, weight from ed where dst in (select node_id from rn union all select node_id from cn) union all select 'node', node_id, null, null from (select node_id from rn union all select node_id from cn)",
     "chunk_nodes": f"with {GRAPH} select * from (select node_id, 'rule' as type, text, doc_id from rn union all select node_id, 'condition', text, doc_id from cn union all select node_id, 'conclusion', text, doc_id from kn)",
     "reference_edges_whole": f"with {RULES}, {REFS.replace('(text,', '(whole,')} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
-    "retrieve_rules": f"with {RULE_RANKED}, {CONDITIONS}, {CONCLUSIONS}, {REFS}, {EDGES}, {_paths('select query_id, doc_id, score, rank from rr where rank <= 5')}, fa as (select pa.query_id, n.doc_id, arg_min(pa.score, [[hops], o]) score, min([[hops], o]) place from pa join nd n on n.node_id = pa.node where improved and (pa.query_id, n.doc_id) not in (select (query_id, doc_id) from rr) group by all), ex as (select * from (select *, row_number() over (partition by query_id order by score desc, place) rank from fa) where rank <= 5), al as (select query_id, doc_id, score, false x, rank from rr union all select query_id, doc_id, score, true, rank from ex) select * from (select query_id, doc_id, 0 chunk_index, score, row_number() over (partition by query_id order by score desc, x, rank) rank from al) where rank <= 5",
-    "retrieve_rules_plain": f"with {RULE_RANKED} select query_id, doc_id, chunk_index, score, rank from rr where rank <= 5",
+    "retrieve_rules": f"with {RULE_RANKED}, {CONDITIONS}, {CONCLUSIONS}, {REFS}, {EDGES}, {_paths('select query_id, doc_id, score, rank from rr where rank <= 5')}, fa as (select pa.query_id, n.doc_id, arg_min(pa.score, [[hops], o]) score, min([[hops], o]) place from pa join nd n on n.node_id = pa.node where improved and (pa.query_id, n.doc_id) not in (select (query_id, doc_id) from rr) group by all), ex as (select * from (select *, row_number() over (partition by query_id order by score desc, place) rank from fa) where rank <= 5), al as (select query_id, doc_id, score, false x, rank from rr union all select query_id, doc_id, score, true, rank from ex) select * from (select query_id, doc_id, 0 chunk_index, score, x expanded_via_graph, row_number() over (partition by query_id order by score desc, x, rank) rank from al) where rank <= 5",
+    "retrieve_rules_plain": f"with {RULE_RANKED} select query_id, doc_id, chunk_index, score, false expanded_via_graph, rank from rr where rank <= 5",
     "chunk_tokens": f"with {_PIECES}, w as (select doc_id, l, unnest(range(0, greatest(ceil((len(l) - 128) / 112::double)::bigint, 0) + 1)) k from d) select doc_id, k::int chunk_index, 'chunk_' || lpad(k::varchar, 4, '0') chunk_id, ltrim(array_to_string(l[k * 112 + 1:k * 112 + 128], ''), {_WS}) as text, (k * 112)::int start_token, least(k * 112 + 128, len(l))::int end_token, (least(k * 112 + 128, len(l)) - k * 112)::int token_count from w",
     "graph_stats": f"with {GRAPH} select 'chunks' as name, count(*) n from rc union all select 'node rule', count(*) from rn union all select 'node condition', count(*) from cn union all select 'node conclusion', count(*) from kn union all select 'edge ' || relation_type, count(*) from ed group by relation_type",
     "graph_paths": f"with {PATHS} select query_id, nodes, relations, score, hops from pa",

@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions.plugins import HASHED, TERMS, Encoder, Tokenizer, named
 from . import graph
 
 KEY = ["doc_id", "chunk_index"]
-DIM = 64
 
 
-def tokenize_terms(chunks: DataFrame, key: list[str] = KEY, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
+def tokenize_terms(chunks: DataFrame, key: list[str] = KEY, tokenizer: Tokenizer = TERMS) -> DataFrame:
     return chunks.select(*key, F.explode(tokenizer(F.col("text"))).alias("term"))
 
 
-def postings(chunks: DataFrame, key: list[str] = KEY, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
+def postings(chunks: DataFrame, key: list[str] = KEY, tokenizer: Tokenizer = TERMS) -> DataFrame:
     """(term, key, tf)"""
     return tokenize_terms(chunks, key, tokenizer).groupBy("term", *key).agg(F.count("*").alias("tf"))
 
 
-def chunk_lengths(chunks: DataFrame, key: list[str] = KEY, tokenizer: Callable[[Column], Column] = T.terms) -> DataFrame:
+def chunk_lengths(chunks: DataFrame, key: list[str] = KEY, tokenizer: Tokenizer = TERMS) -> DataFrame:
     """(key, dl); 0 for a chunk without terms."""
     return chunks.select(*key, F.size(tokenizer(F.col("text"))).cast("bigint").alias("dl"))
 
@@ -49,22 +44,9 @@ def term_stats(post: DataFrame, stats: DataFrame, by: list[str] | None = None) -
     return _one_row(raw, mean, by).select(*(by or []), "term", "df", idf.alias("idf"))
 
 
-def embed_text(rows: DataFrame, key: list[str], dim: int = DIM) -> DataFrame:
-    """rows with `embedding`: unit-length hashed term counts; all zero without terms. Narrow: no shuffle."""
-
-    bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") % dim
-    hashed = rows.withColumn("embedding", F.transform(T.terms(F.coalesce("text", F.lit(""))), bucket))
-
-    def unit(buckets: np.ndarray) -> np.ndarray:
-        v = np.bincount(buckets, minlength=dim).astype(float) if len(buckets) else np.zeros(dim)
-        return v / (np.sqrt((v * v).sum()) or 1.0)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(embedding=b["embedding"].map(unit))
-
-    schema = T.schema_text(rows.drop("embedding"), "embedding array<double>")
-    return hashed.select(*[c for c in rows.columns if c != "embedding"], "embedding").mapInPandas(add, schema)
+def embed_text(rows: DataFrame, key: list[str], encoder: Encoder = HASHED) -> DataFrame:
+    """rows with `embedding`, as the encoder makes it of `text`."""
+    return encoder.embed(rows, key)
 
 
 def normalize_vectors(rows: DataFrame, col: str = "embedding") -> DataFrame:
@@ -74,13 +56,14 @@ def normalize_vectors(rows: DataFrame, col: str = "embedding") -> DataFrame:
     return rows.withColumn("_n", norm).withColumn(col, F.transform(e, lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x))).drop("_n")
 
 
-def build_index(chunks: DataFrame, key: list[str] = KEY, made: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """All index tables of the chunks, by name; with the graph (nodes, edges) where chunks have the plain key.
+def build_index(chunks: DataFrame, key: list[str] = KEY, made: dict[str, DataFrame] | None = None, tokenizer: Tokenizer = TERMS, encoder: Encoder = HASHED) -> dict[str, DataFrame]:
+    """All index tables of the chunks, by name; with the graph (nodes, edges) where chunks have the plain key, and `meta`, the names of its plug-ins.
 
     made may hold postings and chunk_len that are stored already; statistics then read those instead of the texts.
     """
     made = made or {}
-    post, lengths = made.get("postings", postings(chunks, key)), made.get("chunk_len", chunk_lengths(chunks, key))
+    post, lengths = made.get("postings", postings(chunks, key, tokenizer)), made.get("chunk_len", chunk_lengths(chunks, key, tokenizer))
     stats = corpus_stats(lengths)
     nodes = dict(zip(("nodes", "edges"), graph.build_graph(chunks), strict=True)) if key == KEY else {}
-    return nodes | {"chunks": chunks, "postings": post, "chunk_len": lengths, "corpus_stats": stats, "term_stats": term_stats(post, stats), "vectors": embed_text(chunks, key).select(*key, "embedding")}
+    meta = chunks.sparkSession.createDataFrame([named(tokenizer, encoder)], "tokenizer string, encoder string, dim int")
+    return nodes | {"meta": meta, "chunks": chunks, "postings": post, "chunk_len": lengths, "corpus_stats": stats, "term_stats": term_stats(post, stats), "vectors": embed_text(chunks, key, encoder).select(*key, "embedding")}

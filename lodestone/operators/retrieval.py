@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.plugins import HASHED, TERMS, Encoder, Tokenizer, check
 from . import graph
 from .index import KEY, _one_row, embed_text
 
@@ -24,28 +26,31 @@ def top_k(scored: DataFrame, k: int, *order: Column | str, by: list[str] | None
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_scores(queries: DataFrame, index: dict[str, DataFrame], key: list[str] = KEY, by: list[str] | None = None) -> DataFrame:
+def bm25_scores(queries: DataFrame, index: dict[str, DataFrame], key: list[str] = KEY, by: list[str] | None = None, tokenizer: Tokenizer = TERMS) -> DataFrame:
     """(query_id, key, score) of all chunks that share a term with the query, scaled to the query's best.
 
-    Query terms that repeat count as often. Asked terms are few beside postings: on a stored index (write_index) Spark
-    sends them to the postings, and only what they hit is shuffled, by chunk; sums and scaling need no further shuffle.
+    Query terms that repeat count as often. This scores and shuffles every chunk that a query's terms hit, for any grouping
+    of chunks; searches of a stored index for the first k go by blockmax, which shuffles only what can be among them.
     """
     by = by or []
-    asked = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select("query_id", F.explode(tokenizer(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     lengths = index["chunk_len"]
     hit = index["postings"].join(asked, "term").join(index["term_stats"].select(*by, "term", "idf"), [*by, "term"]).join(lengths, key)
     hit = _one_row(hit, index["corpus_stats"], by)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     raw = hit.groupBy("query_id", *key).agg(F.sum(part).alias("raw"))
-    # one row a query, from partial maxima, so that no query's scores have to meet in one task
     best = raw.groupBy("query_id", *by).agg(F.max("raw").alias("best"))
     scale = F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)
     return raw.join(best, ["query_id", *by]).select("query_id", *key, T.fixed(F.col("raw") / scale).alias("score"))
 
 
-def bm25_search(queries: DataFrame, index: dict[str, DataFrame], k: int = 20, key: list[str] = KEY, by: list[str] | None = None) -> DataFrame:
-    """(query_id, key, score, rank); ties by key."""
-    return top_k(bm25_scores(queries, index, key, by), k, F.desc("score"), *key, by=["query_id", *(by or [])])
+def bm25_search(queries: DataFrame, index: dict[str, DataFrame], k: int = 20, key: list[str] = KEY, by: list[str] | None = None, tokenizer: Tokenizer = TERMS) -> DataFrame:
+    """(query_id, key, score, rank); ties by key. An index with `sparse` (blockmax.BlockIndex) is searched by blocks, one of plain tables whole."""
+    if "sparse" in index and not by:
+        from .blockmax import search
+
+        return search(queries, index["sparse"], k, tokenizer)
+    return top_k(bm25_scores(queries, index, key, by, tokenizer), k, F.desc("score"), *key, by=["query_id", *(by or [])])
 
 
 def pad_to_k(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, key: list[str] = KEY) -> DataFrame:
@@ -119,19 +124,51 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 10,
     return top_k(pairs.withColumn("score", T.fixed(scorer(F.col("query"), F.col("text")))), k, F.desc("score"), "before").select("query_id", *key, "score", "rank")
 
 
-def retrieve_batch(queries: DataFrame, index: dict[str, DataFrame], top_k: int = 5, enable_graph_expansion: bool = True, max_hops: int = 2) -> DataFrame:
-    """(query_id, key, score, rank): hybrid ten, reranked, with what the graph of the indexed chunks leads to from the first top_k.
+@dataclass(frozen=True)
+class Settings:
+    """What a retrieval takes; the defaults are those of the reference's configuration."""
+
+    dense_k: int = 20
+    sparse_k: int = 20
+    rrf_k: int = 60
+    rerank_k: int = 10
+    scorer: Callable[[Column, Column], Column] = term_share
+    decay: float = 0.7
+    min_path: float = 0.1
+    max_expanded: int = 5
+    tokenizer: Tokenizer = TERMS
+    encoder: Encoder = HASHED
+
+
+def retrieve_stages(queries: DataFrame, index: dict, top_k: int = 5, enable_graph_expansion: bool = True, max_hops: int = 2, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """The stages of a retrieval: fused (hybrid ten), ranked (reranked), paths (walks from the first top_k along the graph
+    of the indexed chunks; none without a graph), evidence (query_id, key, score, expanded_via_graph, rank), and counts
+    (query_id, hybrid_retrieval_count, reranked_count, graph_expanded_count).
 
-    queries has query_id and query; index is that of index.build_index, or a stored one. Without expansion, or where the
-    graph has no edges, the first top_k of the reranked ones.
+    queries has query_id and query; index is that of index.build_index, or a stored one, built with the settings' tokenizer
+    and encoder: any other raises.
     """
-    vectors = embed_text(queries.select("query_id", F.col("query").alias("text")), ["query_id"]).select("query_id", "embedding")
-    fused = rrf_fuse(dense_search(vectors, index["vectors"], 20), bm25_search(queries, index, 20))
-    ranked = rerank(fused, queries, index["chunks"])
-    if not enable_graph_expansion:
-        return ranked.where(F.col("rank") <= top_k)
-    stored = (index["nodes"], index["edges"]) if "nodes" in index else None
-    return graph.expand_hits(ranked, index["chunks"], top_k, max_hops, stored).select("query_id", *KEY, "score", "rank")
+    s = settings or Settings()
+    check(index.get("meta"), s.tokenizer, s.encoder)
+    vectors = embed_text(queries.select("query_id", F.col("query").alias("text")), ["query_id"], s.encoder).select("query_id", "embedding")
+    fused = rrf_fuse(dense_search(vectors, index["vectors"], s.dense_k), bm25_search(queries, index, s.sparse_k, tokenizer=s.tokenizer), s.rrf_k, s.rerank_k)
+    ranked = rerank(fused, queries, index["chunks"], s.rerank_k, s.scorer)
+    plain = ranked.where(F.col("rank") <= top_k).select("query_id", *KEY, "score", F.lit(False).alias("expanded_via_graph"), "rank")
+    evidence, paths = plain, None
+    if enable_graph_expansion and "nodes" in index:
+        whole = ranked.join(index["chunks"].select(*KEY, "text"), KEY)
+        paths = graph.graph_paths(whole.where(F.col("rank") <= top_k), index["nodes"], index["edges"], max_hops, s.decay, s.min_path)
+        new = graph.expanded_chunks(paths, index["nodes"], whole, s.max_expanded)
+        evidence = graph.merge_expanded(whole, new, index["nodes"]).where(F.col("rank") <= top_k).select("query_id", *KEY, "score", "expanded_via_graph", "rank")
+    count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    walks = count(paths, "graph_expanded_count") if paths is not None else queries.select("query_id", F.lit(0).cast("bigint").alias("graph_expanded_count"))
+    counts = queries.select("query_id").join(count(fused, "hybrid_retrieval_count"), "query_id", "left").join(count(ranked, "reranked_count"), "query_id", "left").join(walks, "query_id", "left").na.fill(0)
+    return {"fused": fused, "ranked": ranked, "evidence": evidence, "counts": counts} | ({"paths": paths} if paths is not None else {})
+
+
+def retrieve_batch(queries: DataFrame, index: dict, top_k: int = 5, enable_graph_expansion: bool = True, max_hops: int = 2, settings: Settings | None = None) -> DataFrame:
+    """(query_id, key, score, expanded_via_graph, rank): the evidence of retrieve_stages()."""
+    return retrieve_stages(queries, index, top_k, enable_graph_expansion, max_hops, settings)["evidence"]
 
 
 def line_match(queries: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX_TABLES = ("chunks", "postings", "chunk_len", "corpus_stats", "term_stats", "vectors", "nodes", "edges")
+INDEX_TABLES = ("chunks", "postings", "chunk_len", "corpus_stats", "term_stats", "vectors", "nodes", "edges", "meta")
 _CLEARED: set[str] = set()
 QUERY_SCHEMA = "query string, answer string, reasoning_chain array<string>, difficulty string, tags array<string>"
 
@@ -33,13 +33,9 @@ def read_queries(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table for each; postings sorted by term within files, so that lookups skip row groups.
-
-    Postings stay dealt as they were counted, by term and chunk: a term that every chunk holds fills no single task.
-    """
+    """One Parquet table for each. Postings are rows here, dealt as they were counted; blockmax keeps them in blocks by term bucket."""
     for name, df in tables.items():
-        rows = df.sortWithinPartitions("term") if name == "postings" else df
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def shared_dir(spark: SparkSession) -> str:
