@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import chunking, index, retrieval
+from ..sources.tables import store
+from . import sweep
 
 #: Error categories and what they mean.
 CATEGORIES = {
@@ -131,16 +132,13 @@ def error_summary(rows: DataFrame) -> DataFrame:
 def grid_search(docs: DataFrame, queries: DataFrame, sizes: list[int], overlaps: list[int], ks: list[int]) -> DataFrame:
     """(config, chunk_size, overlap, top_k, hit_rate, avg_score, n_chunks) of every size, overlap < size and k.
 
-    All windows of all settings are one table with the setting as a grouping key, so the corpus is indexed once.
+    Documents are read and cut into terms once; all settings are counted and ranked from the places of these terms.
     """
     pairs = [(s, o) for s in sizes for o in overlaps if o < s]
-    chunked = [chunking.chunk_chars(docs, s, o).select(F.lit(n).alias("pair"), "doc_id", "chunk_index", "text") for n, (s, o) in enumerate(pairs)]
-    chunks = reduce(DataFrame.unionByName, chunked)
-    key, by = ["pair", "doc_id", "chunk_index"], ["pair"]
-    post, lengths = index.postings(chunks, key), index.chunk_lengths(chunks, key)
-    stats = index.corpus_stats(lengths, by)
-    tables = {"postings": post, "chunk_len": lengths, "corpus_stats": stats, "term_stats": index.term_stats(post, stats, by)}
-    hits = retrieval.bm25_search(queries, tables, max(ks), key, by).join(chunks.select(*key, F.substring("text", 1, 100).alias("text")), key)
+    placed = store({"placed": sweep.placed_terms(docs)})["placed"]
+    counts = store({"counts": sweep.counted(placed, pairs)})["counts"]
+    weighed, lengths = sweep.weights(counts, queries)
+    hits = sweep.ranked(placed, pairs, weighed, lengths, max(ks))
     spark = docs.sparkSession
     grid = spark.createDataFrame([(n, s, o, k) for n, (s, o) in enumerate(pairs) for k in ks], "pair int, chunk_size int, overlap int, top_k int")
     ranked = hits.join(F.broadcast(grid.select("pair", "top_k")), "pair").where(F.col("rank") <= F.col("top_k"))
@@ -148,7 +146,7 @@ def grid_search(docs: DataFrame, queries: DataFrame, sizes: list[int], overlaps:
     told = ranked.join(words, "query_id").select("pair", "top_k", "query_id", F.exists("words", lambda w: F.contains(F.col("text"), w)).alias("hit"), F.when(F.col("rank") == 1, F.col("score")).alias("top"))
     per = told.groupBy("pair", "top_k", "query_id").agg(F.max(F.col("hit").cast("int")).alias("hit"), F.max("top").alias("top")).groupBy("pair", "top_k").agg(F.sum("hit").alias("hits"), F.sum("top").alias("tops"))
     n_queries = queries.select("query_id").agg(F.count("*").alias("n_queries"), F.lit(1).alias("_one"))
-    out = grid.join(per, ["pair", "top_k"], "left").join(stats.select("pair", "n_chunks"), "pair", "left").withColumn("_one", F.lit(1)).join(F.broadcast(n_queries), "_one")
+    out = grid.join(per, ["pair", "top_k"], "left").join(counts.where("term is null").select("pair", F.col("n").alias("n_chunks")), "pair", "left").withColumn("_one", F.lit(1)).join(F.broadcast(n_queries), "_one")
     rate = lambda c: T.fixed(F.coalesce(F.col(c) / F.col("n_queries"), F.lit(0.0)), 4)
     config = F.concat_ws("_", "chunk_size", "overlap", "top_k")
     return out.select(config.alias("config"), "chunk_size", "overlap", "top_k", rate("hits").alias("hit_rate"), rate("tops").alias("avg_score"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
