@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, blockmax, cache, chunking, evaluate, graph, index, retrieval
-from ..sources.tables import store, table, work_dir
+from ..sources.tables import spread, store, table, work_dir
 
 SIZE, OVERLAP = 512, 64
 GRID = ([256, 512, 1024], [0, 64, 128], [3, 5, 10])
@@ -24,7 +24,7 @@ GRID = ([256, 512, 1024], [0, 64, 128], [3, 5, 10])
 
 
 def corpus_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_chars(table(spark, d, "documents"), SIZE, OVERLAP).select("doc_id", "chunk_index", "chunk_id", "text", "start_char", "end_char")
+    return chunking.chunk_chars(spread(table(spark, d, "documents")), SIZE, OVERLAP).select("doc_id", "chunk_index", "chunk_id", "text", "start_char", "end_char")
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:

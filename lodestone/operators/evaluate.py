@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import store
+from ..sources.tables import spread, store
 from . import sweep
 
 #: Error categories and what they mean.
@@ -135,7 +135,7 @@ def grid_search(docs: DataFrame, queries: DataFrame, sizes: list[int], overlaps:
     Documents are read and cut into terms once; all settings are counted and ranked from the places of these terms.
     """
     pairs = [(s, o) for s in sizes for o in overlaps if o < s]
-    placed = store({"placed": sweep.placed_terms(docs)})["placed"]
+    placed = store({"placed": sweep.placed_terms(spread(docs.select("doc_id", "text")))})["placed"]
     counts = store({"counts": sweep.counted(placed, pairs)})["counts"]
     weighed, lengths = sweep.weights(counts, queries)
     hits = sweep.ranked(placed, pairs, weighed, lengths, max(ks))

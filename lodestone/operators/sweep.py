@@ -24,6 +24,8 @@ from .retrieval import K1, B, top_k
 
 #: Queries whose weights go out together, and what a score's rounding may hide, of the most that a query can score.
 QUERIES, SLACK = 256, 2e-6
+#: Windows that are ranked together inside a batch.
+ROWS = 512
 _HAN = "一-鿿"
 _WHITE = np.array([ord(c) for c in T.WHITE], dtype=np.uint32)
 
@@ -74,12 +76,16 @@ class Words:
         return self.numbers[word]
 
 
-def windowed(text: str, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, size: int, overlap: int, words: Words, runs) -> tuple[np.ndarray, ...]:
+def solid_before(text: str) -> np.ndarray:
+    """How many characters that aren't white space come before each place of a text."""
+    return np.concatenate([[0], np.cumsum(~np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _WHITE))])
+
+
+def windowed(text: str, solid: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, size: int, overlap: int, words: Words, runs) -> tuple[np.ndarray, ...]:
     """(windows, window, term, tf): the windows that aren't blank, and which terms each holds how often (by window and term)."""
     step, n = size - overlap, len(text)
     a = np.arange(max(math.ceil((n - size) / step), 0) + 1) * step
     b = np.minimum(a + size, n)
-    solid = np.concatenate([[0], np.cumsum(~np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _WHITE))])
     kept = np.flatnonzero(solid[b] > solid[a])
     first = np.maximum(0, -((size - ends) // step))
     last = np.minimum(len(a) - 1, starts // step)
@@ -100,12 +106,12 @@ def windowed(text: str, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray,
     return kept, both // wide, both % wide, tf
 
 
-def _documents(b: pa.RecordBatch, words: Words) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
+def _documents(b: pa.RecordBatch, words: Words) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     codes = np.asarray(words.coded.indices, dtype=np.int64)
     starts, ends = (b[c].flatten().to_numpy() for c in ("starts", "ends"))
     for n, text in enumerate(b["text"].to_pylist()):
         own = slice(words.cuts[n], words.cuts[n + 1])
-        yield n, text, starts[own].astype(np.int64), ends[own].astype(np.int64), codes[own]
+        yield n, text, solid_before(text), starts[own].astype(np.int64), ends[own].astype(np.int64), codes[own]
 
 
 def counted(placed: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
@@ -117,9 +123,9 @@ def counted(placed: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
             words = Words(b)
             held: list[list[np.ndarray]] = [[] for _ in settings]
             sizes = np.zeros((len(settings), 2), dtype=np.int64)
-            for _, text, starts, ends, codes in _documents(b, words):
+            for _, text, solid, starts, ends, codes in _documents(b, words):
                 for p, (size, overlap) in enumerate(settings):
-                    kept, _, term, tf = windowed(text, starts, ends, codes, size, overlap, words, runs)
+                    kept, _, term, tf = windowed(text, solid, starts, ends, codes, size, overlap, words, runs)
                     held[p].append(term)
                     sizes[p] += len(kept), tf.sum()
             for p, found in enumerate(held):
@@ -152,56 +158,67 @@ def ranked(placed: DataFrame, settings: list[tuple[int, int]], weighed: DataFram
     for number in range(sets):
         rows = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == number).toPandas()
         ids = np.sort(rows["query_id"].unique())
+        names = {t: n for n, t in enumerate(sorted(rows["term"].unique()))}
         tables = []
         for p in range(len(settings)):
             own = rows[rows["pair"] == p]
-            names = {t: n for n, t in enumerate(sorted(own["term"].unique()))}
             w = np.full((len(names), len(ids)), np.nan)
             w[own["term"].map(names).to_numpy(dtype=int), np.searchsorted(ids, own["query_id"])] = own["w"]
-            tables.append((names, w))
-        sent = spark.sparkContext.broadcast((ids, tables))
+            tables.append(w)
+        sent = spark.sparkContext.broadcast((ids, names, tables))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, tables = sent.value
+            ids, names, tables = sent.value
             runs = _runs()
             for b in batches:
                 words = Words(b)
                 docs = list(_documents(b, words))
+                asked = np.zeros(0, dtype=np.int64)  # the numbers of a batch's words among the asked
                 for p, (size, overlap) in enumerate(settings):
-                    names, w = tables[p]
+                    w = tables[p]
                     if not len(names):
                         continue
                     plain, has = np.nan_to_num(w), ~np.isnan(w)
                     odd = bool((has & (plain <= 0)).any())
                     cap = np.maximum(plain, 0).sum(axis=0) * (K1 + 1) * SLACK
                     best: list[tuple[np.ndarray, ...]] = []
-                    known: dict[int, int] = {}
-                    for n, text, starts, ends, codes in docs:
-                        _, window, term, tf = windowed(text, starts, ends, codes, size, overlap, words, runs)
+                    held_back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                    least = np.full(len(ids), -np.inf)
+
+                    def settle() -> None:
+                        """Lets go of what k windows of the batch beat, as far as rounding can't bring it up again."""
+                        doc, window, raw = (np.concatenate([x[c] for x in held_back]) for c in range(3))
+                        held_back.clear()
+                        if len(raw) > k:
+                            np.maximum(least, np.partition(raw, -k, axis=0)[-k] - cap, out=least)
+                        where, query = np.nonzero((raw >= least) & (raw > -np.inf))
+                        best.append((doc[where], window[where], query, raw[where, query]))
+
+                    for n, text, solid, starts, ends, codes in docs:
+                        _, window, term, tf = windowed(text, solid, starts, ends, codes, size, overlap, words, runs)
                         dl = np.bincount(window, weights=tf) if len(window) else np.zeros(0)
-                        for c in np.unique(term):
-                            if int(c) not in known:
-                                known[int(c)] = names.get(words.names[c], -1)
-                        at = np.array([known[int(c)] for c in term], dtype=np.int64)
+                        if len(asked) < len(words.names):
+                            asked = np.append(asked, [names.get(x, -1) for x in words.names[len(asked) :]]).astype(np.int64)
+                        at = asked[term]
                         mine = at >= 0
                         if not mine.any():
                             continue
                         window, at, tf = window[mine], at[mine], tf[mine]
                         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[window] / sizes[p][1]))
-                        cuts = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-                        raw = np.add.reduceat(plain[at] * part[:, None], cuts, axis=0)
-                        hit = np.logical_or.reduceat(has[at], cuts, axis=0) if odd else raw != 0
-                        where, query = np.nonzero(hit)
-                        best.append((np.full(len(where), n), window[cuts][where], query, raw[where, query]))
+                        held, row = np.unique(window, return_inverse=True)
+                        own, column = np.unique(at, return_inverse=True)
+                        parts = np.zeros((len(held), len(own)))
+                        parts[row, column] = part
+                        raw = parts @ plain[own]
+                        hit = (parts > 0).astype(float) @ has[own] > 0 if odd else raw != 0
+                        held_back.append((np.full(len(held), n), held, np.where(hit, raw, -np.inf)))
+                        if sum(len(x[0]) for x in held_back) >= ROWS:
+                            settle()
+                    if held_back:
+                        settle()
                     if not best:
                         continue
                     doc, window, query, raw = (np.concatenate([x[c] for x in best]) for c in range(4))
-                    order = np.lexsort((-raw, query))
-                    doc, window, query, raw = doc[order], window[order], query[order], raw[order]
-                    first = np.searchsorted(query, np.arange(len(ids)))
-                    counts = np.diff(np.append(first, len(query)))
-                    last = np.minimum(first + k, first + counts) - 1
-                    least = np.where(counts > k, raw[np.clip(last, 0, len(raw) - 1)] - cap, -np.inf)
                     kept = raw >= least[query]
                     doc, window, query, raw = doc[kept], window[kept], query[kept], raw[kept]
                     step = size - overlap

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few files dealt over all cores; what comes in many parts already stays as it is, unshuffled."""
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(source, doc_id, text): each file is one document, an empty one none; doc_id is a hash of its path."""
     files = spark.read.text(path, wholetext=True)
