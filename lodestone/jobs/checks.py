@@ -53,9 +53,28 @@ def _vector(rows: str, key: str, name: str) -> str:
 {name} as materialized (select r.*, list_transform(range(0, 64), lambda d: coalesce(m.m[d], 0::double)) e from {rows} r left join (select {key}, map_from_entries(list((b, v))) m from {name}_u group by all) m using ({key}))"""
 
 
-SENT = "ss as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') l from documents), s as materialized (select doc_id, unnest(range(0, len(l))) pos, unnest(l) as text from ss)"
+SENT_LIST = "list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
+SENT = f"ss as (select doc_id, {SENT_LIST} l from documents), s as materialized (select doc_id, unnest(range(0, len(l))) pos, unnest(l) as text from ss)"
 SIM = f"{SENT}, {_vector('s', 'doc_id, pos', 'sv')}, sim as (select doc_id, pos, text, e, lead(e) over w nx, lead(pos) over w np from sv window w as (partition by doc_id order by pos)), adj as (select doc_id, pos, text, case when np is null then null when list_sum(list_transform(e, lambda x: x * x)) > 0 and list_sum(list_transform(nx, lambda x: x * x)) > 0 then {_r('list_dot_product(e, nx) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(nx, nx)))')} else 0 end similarity from sim)"
 
+SEGMENTS = f"{SIM}, ct as (select *, coalesce((lag(similarity) over (partition by doc_id order by pos) < 0.1)::int, 0) c from adj), sr as (select *, sum(c) over (partition by doc_id order by pos rows unbounded preceding) segment from ct), sg as materialized (select doc_id, segment::bigint segment, string_agg(text, '' order by pos) as text from sr group by doc_id, segment)"
+
+
+def _fold(smallest: int = 100, largest: int = 1024) -> str:
+    """fc (doc_id, chunk_index, text): the segments of sg folded one by one, all documents at once in each turn."""
+    cut = f"list_transform(range(0, ceil(length({{0}}) / {largest}::double)::bigint), lambda k: substr({{0}}, k * {largest} + 1, {largest}))"
+    return f"""fn as materialized (select doc_id, row_number() over (partition by doc_id order by segment) i, text t from sg where text <> ''),
+fo(doc_id, i, held, outs) as (
+  select distinct doc_id, 0::bigint, '', cast([] as varchar[]) from fn
+  union all
+  select doc_id, i, substr(h, n * {largest} + 1), case when whole then [held] else cast([] as varchar[]) end || list_transform(range(0, n), lambda k: substr(h, k * {largest} + 1, {largest})) from (
+    select *, greatest(ceil(length(h) / {largest}::double)::bigint - 1, 0) n from (
+      select fo.doc_id, fn.i, held, length(held) >= {smallest} whole, case when length(held) >= {smallest} then t else held || t end h from fo join fn on fn.doc_id = fo.doc_id and fn.i = fo.i + 1))
+), fl as (select doc_id, flatten(list(outs order by i)) done, arg_max(held, i) held from fo group by doc_id),
+ft as (select doc_id, case when held = '' then done when length(held) < {smallest} and len(done) > 0 then done[1:len(done) - 1] || {cut.format("(done[len(done)] || held)")} else done || [held] end parts from fl),
+fc as (select doc_id, unnest(range(0, len(p)))::int chunk_index, unnest(p) as text from (select doc_id, list_filter(parts, lambda x: regexp_matches(x, '\\S')) p from ft))"""
+
+
 DENSE = f"""{_vector("ch", "doc_id, chunk_index", "cv")}, qr as (select query_id, query as text from q), {_vector("qr", "query_id", "qv")},
 de as materialized (
   select * from (select *, row_number() over (partition by query_id order by score desc, doc_id, chunk_index) rank from (
@@ -195,6 +214,7 @@ select n.config, {_r(f"avg(case when {key} <> '' and coalesce(contains(found, {k
 from (select distinct config from al) n cross join q left join af on af.config = n.config and af.query_id = q.query_id group by n.config"""
 
 
+_LABEL = "'chunk_' || lpad(chunk_index::varchar, greatest(4, length(chunk_index::varchar))::integer, '0') chunk_id"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _PIECES = "d as (select doc_id, regexp_extract_all(text, '\\s*(?:[一-鿿]+|[a-zA-Z0-9]+|[^\\s])') l from documents where regexp_matches(text, '\\S'))"
 _KEY = "trim(substr(answer, 1, 30), ' ' || chr(10))"
@@ -204,7 +224,9 @@ SQL: dict[str, str] = {
     "tokenize_offsets": f"with {_PIECES}, p as (select doc_id, unnest(range(0, len(l)))::int pos, unnest(l) piece from d), e as (select doc_id, pos, ltrim(piece, {_WS}) token, sum(length(piece)) over (partition by doc_id order by pos)::int e from p) select doc_id, pos, token, e - length(token)::int as start, e as \"end\" from e",
     "split_sentences": f"with {SENT} select * from s",
     "adjacent_similarity": f"with {SIM} select doc_id, pos, {_r('similarity')} similarity from adj where similarity is not null",
-    "semantic_segments": f"with {SIM}, ct as (select *, coalesce((lag(similarity) over (partition by doc_id order by pos) < 0.1)::int, 0) c from adj), sg as (select *, sum(c) over (partition by doc_id order by pos rows unbounded preceding) segment from ct) select doc_id, segment::bigint segment, string_agg(text, '' order by pos) as text from sg group by doc_id, segment",
+    "semantic_segments": f"with {SEGMENTS} select doc_id, segment, text from sg",
+    "enforce_chunk_sizes": f"with recursive {SEGMENTS}, {_fold()} select *, {_LABEL} from fc",
+    "chunk_semantic": f"with recursive {SEGMENTS.replace('from documents)', 'from documents where length(text) > 100)', 1)}, {_fold()}, sn as (select doc_id, {SENT_LIST} l, trim(text, {_WS}) t, length(text) n from documents where regexp_matches(text, '\\S')) select doc_id, chunk_index, text, null::int sentence_count, length(text)::int char_count, {_LABEL} from fc semi join (select doc_id from sn where len(l) > 1) using (doc_id) union all select doc_id, 0, t, len(l)::int, null, 'chunk_0000' from sn where len(l) <= 1 or n <= 100",
     "terms": f"with {INDEX} select term, sum(tf)::bigint n from post group by term",
     "postings": f"with {INDEX} select * from post",
     "chunk_lengths": f"with {INDEX} select * from cl",
@@ -229,7 +251,7 @@ SQL: dict[str, str] = {
     "reference_edges": f"with {RULES}, {REFS} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
     "graph_neighbors": f"with {GRAPH}, b0 as (select node_id as start, node_id node, 1::double score, 0 hops from rn), b1 as (select b.start, e.dst node, max({_r('b.score * e.weight', 9)}) score, 1 hops from b0 b join ed e on e.src = b.node group by all), b2 as (select b.start, e.dst node, max({_r('b.score * e.weight', 9)}) score, 2 hops from b1 b join ed e on e.src = b.node group by all), al as (select * from b0 union all select * from b1 where score >= 0.1 union all select * from b2 where score >= 0.1) select start, node, max(score) score, arg_min(hops, [-score, hops]) hops from al group by start, node",
     "graph_subgraph": f"with {GRAPH} select 'edge' kind, src, dst, weight from ed where dst in (select node_id from rn union all select node_id from cn) union all select 'node', node_id, null, null from (select node_id from rn union all select node_id from cn)",
-    "chunk_nodes": f"with {GRAPH} select * from (select node_id, 'rule' as type, text, doc_id from rn union all select node_id, 'condition', text, doc_id from cn union all select node_id, 'conclusion', text, doc_id from kn)",
+    "chunk_nodes": f"with {GRAPH} select * from (select node_id, 'rule' as type, text, doc_id from rn union all select node_id, 'condition', text, doc_id from cn union all select node_id, 'conclusion', text, doc_id from kn) where doc_id % 20 = 0",
     "reference_edges_whole": f"with {RULES}, {REFS.replace('(text,', '(whole,')} select src, dst, 'requires' relation_type, 0.9::double weight from rf",
     "retrieve_rules": f"with {RULE_RANKED}, {CONDITIONS}, {CONCLUSIONS}, {REFS}, {EDGES}, {_paths('select query_id, doc_id, score, rank from rr where rank <= 5')}, fa as (select pa.query_id, n.doc_id, arg_min(pa.score, [[hops], o]) score, min([[hops], o]) place from pa join nd n on n.node_id = pa.node where improved and (pa.query_id, n.doc_id) not in (select (query_id, doc_id) from rr) group by all), ex as (select * from (select *, row_number() over (partition by query_id order by score desc, place) rank from fa) where rank <= 5), al as (select query_id, doc_id, score, false x, rank from rr union all select query_id, doc_id, score, true, rank from ex) select * from (select query_id, doc_id, 0 chunk_index, score, x expanded_via_graph, row_number() over (partition by query_id order by score desc, x, rank) rank from al) where rank <= 5",
     "retrieve_rules_plain": f"with {RULE_RANKED} select query_id, doc_id, chunk_index, score, false expanded_via_graph, rank from rr where rank <= 5",
@@ -250,6 +272,11 @@ SQL: dict[str, str] = {
     "bucket_counts": f"with {QA} select difficulty, count(*) n from qa group by difficulty",
     "error_rows": f"with {ERRORS}, nm(category, description) as (values {_NAMES}) select query_id, substr(query, 1, 100) query, substr(reference, 1, 100) reference, substr(predicted, 1, 100) predicted, difficulty, tags, n_hits, avg_score, {_r('confidence', 4)} confidence, category, description from ec join nm using (category)",
     "error_summary": f"with {ERRORS}, t as (select count(*) n from ec), c as (select x.category, count(ec.query_id) n from (values ('correct'), ('generation_error'), ('low_confidence'), ('no_evidence'), ('wrong_evidence')) x(category) left join ec using (category) group by x.category union all select 'total', n from t) select category, n, {_r('case when (select n from t) > 0 then 100::double * n / (select n from t) else 0 end', 2)} percent from c",
+    "read_corpus": "select item_id, text from benchmark where text <> ''",
+    "read_queries": f"with {Q} select query, case when query_id % 3 = 1 then '' else answer end answer, '' reasoning_chain, case when query_id % 4 = 0 then 'unknown' else difficulty end difficulty, case when query_id % 5 = 0 then '' else tags end tags from q",
+    "stored_tables": f"with {INDEX} select ts.term, df, {_r('idf')} idf, sum(tf)::bigint n, sum(dl)::bigint chunk_terms, (select n_chunks from cs) n_chunks from ts join post using (term) join cl using (doc_id, chunk_index) group by ts.term, df, idf",
+    "results_csv": f"with {RESULTS} select * from rh",
+    "exported_graph": f"with {GRAPH} select 'edge' kind, src, dst, relation_type \"type\", null as text, weight, to_json(o)::varchar ord from (select * replace ([doc_id, 0, section] || o as o) from (select ed.*, coalesce(r.doc_id, 0) doc_id, coalesce(r.section, 0) section from ed join rn r on r.node_id = ed.src)) union all select 'node', node_id, null, t, text, null, to_json(o)::varchar from (select node_id, 'rule' t, text, [doc_id, 0, section, 0, 0, 0] o from rn union all select node_id, 'condition', text, [doc_id, 0, section, 1, pattern, m] from cn union all select node_id, 'conclusion', text, [doc_id, 0, section, 2, pattern, m] from kn)",
     "grid_search": f"with {_grid()} select * from gr",
     "best_config": f"with {_grid()} select * from gr order by hit_rate desc, chunk_size, overlap, top_k limit 1",
     "ablation": _abl(),

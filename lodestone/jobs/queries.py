@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, blockmax, cache, chunking, evaluate, graph, index, retrieval
-from ..sources.tables import spread, store, table, work_dir
+from ..sources.tables import export_graph, load_index, read_results_csv, spread, store, table, work_dir, write_index, write_results_csv
+from ..sources.tables import read_corpus as read_files
+from ..sources.tables import read_queries as read_query_lines
 
 SIZE, OVERLAP = 512, 64
 GRID = ([256, 512, 1024], [0, 64, 128], [3, 5, 10])
@@ -118,6 +120,63 @@ def chunk_semantic(spark, d):
     return chunking.chunk_semantic(table(spark, d, "documents"), sentence_vectors, 0.1)
 
 
+def enforce_chunk_sizes(spark, d):
+    s = sentence_vectors(chunking.split_sentences(table(spark, d, "documents")))
+    return chunking.enforce_chunk_sizes(chunking.semantic_segments(s, 0.1))
+
+
+def read_corpus(spark, d):
+    """Each benchmark item written as a file of its own, and read again as one document."""
+    path = f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, d, "benchmark").where("text <> ''").select("item_id", "text").write.partitionBy("item_id").option("lineSep", "\x00").text(path)
+    files = read_files(spark, f"{path}/*/*.txt")
+    return files.select(F.regexp_extract("source", "item_id=(\\d+)/", 1).cast("bigint").alias("item_id"), F.rtrim("text", F.lit("\x00")).alias("text"))
+
+
+def read_queries(spark, d):
+    """Search queries as JSON lines with missing fields and blank lines between, in two folders, read again."""
+    path = f"{work_dir(spark)}/lines-{uuid.uuid4().hex}"
+    n = F.col("query_id")
+    some = lambda c, at: F.when(at, F.col(c)).alias(c)
+    rows = search_queries(spark, d).select(n, F.to_json(F.struct("query", some("answer", n % 3 != 1), some("difficulty", n % 4 != 0), some("tags", n % 5 != 0))).alias("value"))
+    lines = rows.select(n, F.explode(F.array("value", F.lit(""))).alias("value"))
+    for k in (0, 1):
+        lines.where(n % 2 == k).select("value").write.text(f"{path}/{k}")
+    got = read_query_lines(spark, [f"{path}/0", f"{path}/1"])
+    return got.select("query", "answer", F.array_join("reasoning_chain", "|").alias("reasoning_chain"), "difficulty", F.array_join("tags", "|").alias("tags"))
+
+
+def stored_tables(spark, d):
+    """Terms of a written and loaded index: their statistics, occurrences, and summed lengths of the chunks that hold them."""
+    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    made = index_tables(corpus_chunks(spark, d))
+    names = ("term_stats", "postings", "chunk_len", "corpus_stats")
+    write_index({n: made[n] for n in names}, path)
+    t = load_index(spark, path, names)
+    held = t["postings"].join(t["chunk_len"], index.KEY).groupBy("term").agg(F.sum("tf").alias("n"), F.sum(F.col("dl").cast("bigint")).alias("chunk_terms"))
+    return t["term_stats"].join(held, "term").join(F.broadcast(t["corpus_stats"].select("n_chunks"))).select("term", "df", T.fixed(F.col("idf")).alias("idf"), "n", "chunk_terms", "n_chunks")
+
+
+def results_csv(spark, d):
+    """Evaluation rows written as CSV and read again."""
+    path = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = _results(spark, d)
+    write_results_csv(rows, path)
+    return read_results_csv(spark, path, T.schema_text(rows))
+
+
+def exported_graph(spark, d):
+    """Nodes and edges of the rule texts as CSV, read again."""
+    path = f"{work_dir(spark)}/graph-{uuid.uuid4().hex}"
+    nodes, edges = _rules(spark, d)
+    export_graph(nodes, edges, path)
+    n = read_results_csv(spark, f"{path}/nodes", T.schema_text(nodes.withColumn("ord", F.lit(""))))
+    e = read_results_csv(spark, f"{path}/edges", T.schema_text(edges.withColumn("ord", F.lit(""))))
+    none = F.lit(None)
+    a = n.select(F.lit("node").alias("kind"), F.col("node_id").alias("src"), none.cast("string").alias("dst"), "type", "text", none.cast("double").alias("weight"), "ord")
+    return a.union(e.select(F.lit("edge"), "src", "dst", "relation_type", none.cast("string"), "weight", "ord"))
+
+
 def terms(spark, d):
     return index.tokenize_terms(corpus_chunks(spark, d)).groupBy("term").agg(F.count("*").alias("n"))
 
@@ -258,7 +317,8 @@ def reference_edges_whole(spark, d):
 
 
 def chunk_nodes(spark, d):
-    return graph.chunk_nodes(_rules(spark, d)[0], rule_chunks(spark, d)).select("node_id", "type", "text", "doc_id")
+    """Nodes of every 20th chunk, looked for among all nodes."""
+    return graph.chunk_nodes(_rules(spark, d)[0], rule_chunks(spark, d).where("doc_id % 20 = 0")).select("node_id", "type", "text", "doc_id")
 
 
 def graph_neighbors(spark, d):
@@ -422,7 +482,7 @@ def ablation(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_chars, tokenize_offsets, chunk_tokens, split_sentences, adjacent_similarity, semantic_segments, chunk_semantic, terms, postings, chunk_lengths, corpus_stats, term_stats, embed_text,
+        chunk_chars, tokenize_offsets, chunk_tokens, split_sentences, adjacent_similarity, semantic_segments, enforce_chunk_sizes, chunk_semantic, read_corpus, read_queries, stored_tables, results_csv, exported_graph, terms, postings, chunk_lengths, corpus_stats, term_stats, embed_text,
         normalize_vectors, build_indices, bm25_search, segmented_search, cached_search, bm25_padded, dense_search, dedupe_queries, rrf_fuse, rerank, line_match, rule_nodes, rule_conditions, rule_conclusions, reference_edges, reference_edges_whole, chunk_nodes,
         graph_neighbors, graph_subgraph, graph_stats, graph_paths, expanded_chunks, merge_expanded, retrieve_batch, retrieve_rules, retrieve_rules_plain, evidence_prompt, parse_responses, confidence_gate, hit_at_k, keyword_hit, eval_rows,
         run_summary, token_prf, bucket_metrics, bucket_counts, error_rows, error_summary, grid_search, best_config, ablation,

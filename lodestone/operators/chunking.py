@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..sources.tables import store
 
 
 def _indexed(docs: DataFrame, key: list[str], pieces: Column) -> DataFrame:
@@ -28,6 +30,8 @@ def chunk_chars(docs: DataFrame, size: int = 512, overlap: int = 64, key: list[s
 
 #: Tokens of a batch that goes back to Spark.
 TOKEN_ROWS = 1 << 16
+#: Chunks of a batch that goes back to Spark.
+FOLD_ROWS = 1 << 12
 
 
 def tokenize_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -76,59 +80,103 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(norms > 0, dot(a, b) / norms), F.lit(0.0))
 
 
+#: Sentences of a block. A document's sentences are dealt by block, so that a long one takes many tasks.
+BLOCK = 4096
+
+
 def adjacent_similarity(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
-    """sentences (key, pos, embedding ...) with similarity to the next one; null at the last."""
-    own = Window.partitionBy(key).orderBy("pos")
-    following = F.lead("embedding").over(own)
-    return sentences.withColumn("similarity", F.when(F.lead("pos").over(own).isNotNull(), T.fixed(cosine(F.col("embedding"), following))))
+    """sentences (key, pos, embedding ...) with similarity to the next one; null at the last.
+
+    pos counts a document's sentences from 0 without gaps. Each block also gets the next block's first sentence, so that
+    no window spans a document.
+    """
+    block = F.floor(F.col("pos") / BLOCK)
+    blocks = F.when((F.col("pos") % BLOCK == 0) & (F.col("pos") > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    own = Window.partitionBy(key, "_b").orderBy("pos")
+    both = sentences.select("*", F.explode(blocks).alias("_b"))
+    similarity = F.when(F.lead("pos").over(own).isNotNull(), T.fixed(cosine(F.col("embedding"), F.lead("embedding").over(own))))
+    return both.withColumn("similarity", similarity).where(F.col("_b") == block).drop("_b")
 
 
 def semantic_segments(sentences: DataFrame, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
-    """Runs of sentences (key, pos, text, embedding) between drops of similarity: key, segment, text."""
-    own = Window.partitionBy(key).orderBy("pos")
-    cut = F.coalesce((F.lag("similarity").over(own) < threshold).cast("int"), F.lit(0))
-    marked = adjacent_similarity(sentences, key).withColumn("cut", cut)
-    marked = marked.withColumn("segment", F.sum("cut").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    """Runs of sentences (key, pos, text, embedding) between drops of similarity: key, segment, text.
+
+    Drops are counted block by block; what earlier blocks of a document count is added to each, one row a block. Sentences
+    and drops are stored once, so that no embedding is made twice.
+    """
+    ends = adjacent_similarity(sentences, key).select(key, "pos", "text", F.floor(F.col("pos") / BLOCK).alias("_b"), F.coalesce((F.col("similarity") < threshold).cast("int"), F.lit(0)).alias("ends"))
+    ends = store({"ends": ends})["ends"]
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ends.groupBy(key, "_b").agg(F.sum("ends").alias("n")).select(F.col(key).alias("_k"), F.col("_b").alias("_o"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(key, "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    marked = ends.withColumn("inside", F.coalesce(F.sum("ends").over(inside), F.lit(0)))
+    marked = marked.join(offset, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_o"))).withColumn("segment", F.col("offset") + F.col("inside"))
     joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]))
     return marked.groupBy(key, "segment").agg(T.strip(joined).alias("text"))
 
 
-def fold_sizes(segments: list[str], smallest: int, largest: int) -> list[str]:
-    """Segments joined until they have `smallest` characters, and cut into pieces of `largest`."""
-    done: list[str] = []
+def fold_stream(segments: Iterable[str], smallest: int, largest: int) -> Iterator[str]:
+    """Segments joined until they have `smallest` characters, and cut into pieces of `largest`; blank ones are left out.
+
+    Holds what is not settled yet and the chunk before it, which a short rest is joined to; never a whole document.
+    """
     held = ""
+    last: str | None = None
 
-    def settle(text: str) -> str:
-        while len(text) > largest:
-            done.append(text[:largest])
-            text = text[largest:]
-        return text
+    def settle(text: str) -> tuple[list[str], str]:
+        cuts = max(-(-len(text) // largest) - 1, 0)
+        return [text[k * largest : (k + 1) * largest] for k in range(cuts)], text[cuts * largest :]
 
     for s in segments:
-        if len(held) >= smallest:
-            done.append(held)
-            held = s
-        else:
-            held += s
-        held = settle(held)
-    if held and len(held) < smallest and done:
-        rest = settle(done.pop() + held)
-        done += [rest] if rest else []
-    elif held:
-        done.append(held)
-    return [d for d in done if d.strip()]
+        full = len(held) >= smallest
+        done, rest = settle(s if full else held + s)
+        for d in ([held] if full else []) + done:
+            if last is not None and last.strip():
+                yield last
+            last = d
+        held = rest
+    end = [held] if held else []
+    if held and len(held) < smallest and last is not None:
+        done, rest = settle(last + held)
+        last, end = None, [*done, rest]
+    for d in ([] if last is None else [last]) + end:
+        if d.strip():
+            yield d
+
+
+def fold_sizes(segments: list[str], smallest: int, largest: int) -> list[str]:
+    """fold_stream() of a list."""
+    return list(fold_stream(segments, smallest, largest))
 
 
 def enforce_chunk_sizes(segments: DataFrame, smallest: int = 100, largest: int = 1024, key: str = "doc_id") -> DataFrame:
-    """Segments (key, segment, text) folded in order: key, chunk_index, chunk_id, text."""
+    """Segments (key, segment, text) folded in order: key, chunk_index, chunk_id, text. Empty and null segments count nothing.
 
-    @F.pandas_udf("array<string>")
-    def fold(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: fold_sizes([x for x in r if x], smallest, largest))
+    Sorted by key and segment, they stream through the fold, which goes on from one Arrow batch to the next; no task
+    holds a document's segments at once.
+    """
+    kind = segments.schema[key].dataType.simpleString()
+    types = (to_arrow_type(segments.schema[key].dataType), pa.int32(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+        made: list[tuple] = []
 
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("segment", "text"))), lambda s: s["text"])
-    lists = segments.groupBy(key).agg(ordered.alias("parts"))
-    rows = lists.select(key, F.posexplode(fold("parts")).alias("chunk_index", "text"))
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], [key, "chunk_index", "text"])
+            made.clear()
+            return out
+
+        for k, own in groupby(rows, lambda r: r[0]):
+            for n, text in enumerate(fold_stream((t for _, t in own if t), smallest, largest)):
+                made.append((k, n, text))
+                if len(made) >= FOLD_ROWS:
+                    yield sent()
+        if made:
+            yield sent()
+
+    ordered = segments.select(key, "segment", "text").repartition(key).sortWithinPartitions(key, "segment")
+    rows = ordered.mapInArrow(run, f"`{key}` {kind}, chunk_index int, text string")
     return rows.select(key, "chunk_index", F.format_string("chunk_%04d", "chunk_index").alias("chunk_id"), "text")
 
 

@@ -95,11 +95,21 @@ def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = INDEX_TA
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+#: How CSV is written and read: every value in quotes, doubled inside, white space and line feeds kept; null is \N, so that
+#: an empty text stays one (a text that is \N itself reads as null).
+_CSV = {"header": True, "nullValue": "\\N", "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Node and edge tables as CSV, with arrays as JSON text."""
     for name, df in (("nodes", nodes), ("edges", edges)):
-        df.withColumn("ord", F.to_json("ord")).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        write_results_csv(df.withColumn("ord", F.to_json("ord")), f"{path}/{name}")
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**_CSV).csv(path)
+
+
+def read_results_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_results_csv() has written."""
+    return spark.read.schema(schema).options(**_CSV, multiLine=True, lineSep="\n").csv(path)

@@ -49,6 +49,30 @@ def test_fold_sizes_loses_nothing(smallest, largest):
         assert "".join(got) == "".join(parts) and all(len(g) <= largest for g in got)
 
 
+def test_folds_of_one_huge_segment_and_of_odd_keys(spark):
+    got = chunking.fold_sizes(["x" * 2_000_001, " ", "y"], 100, 1000)
+    assert len(got) == 2001 and got[0] == "x" * 1000 and got[-1] == "x y"
+    rows = [(None, 0, "a" * 5), ("k", 1, None), ("k", 0, "b" * 12), ("k", 2, ""), ("only blank", 0, "  ")]
+    parts = chunking.enforce_chunk_sizes(spark.createDataFrame(rows, "name string, segment int, text string"), 4, 10, "name").collect()
+    assert sorted((str(r["name"]), r.chunk_index, r.chunk_id, r.text) for r in parts) == [("None", 0, "chunk_0000", "aaaaa"), ("k", 0, "chunk_0000", "b" * 10), ("k", 1, "chunk_0001", "bb")]
+
+
+def test_segments_of_a_long_document_take_many_tasks(spark):
+    """No plan collects a document's sentences in one row of a window: windows go by document and block, and counts are a row a block."""
+    text = " ".join(f"{'ab'[n // 5 % 2]}{n}." for n in range(10_000))
+    embed = lambda rows: rows.withColumn("embedding", F.when(F.col("text").startswith("a"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    similar = chunking.adjacent_similarity(embed(chunking.split_sentences(docs(spark, text))))
+    assert "hashpartitioning(doc_id#" in (plan := similar._jdf.queryExecution().executedPlan().toString()) and "_b#" in plan.split("hashpartitioning(")[1].split(")")[0]
+    got = chunking.semantic_segments(embed(chunking.split_sentences(docs(spark, text)))).orderBy("segment").collect()
+    assert [r.segment for r in got] == list(range(2000)) and got[1000].text == "".join(f"a{n}." for n in range(5000, 5005))
+
+
+def test_csv_keeps_empty_texts_nulls_and_white_space(spark, tmp_path):
+    rows = [(1, ""), (2, None), (3, '  "quoted",\n second line \\'), (4, " lead\ttail ")]
+    tables.write_results_csv(spark.createDataFrame(rows, "n int, text string"), f"{tmp_path}/csv")
+    assert sorted(map(tuple, tables.read_results_csv(spark, f"{tmp_path}/csv", "n int, text string").collect())) == rows
+
+
 def test_bm25_ranks_and_scales(spark):
     chunks = docs(spark, "red apple", "green apple apple", "blue sky", "").withColumn("chunk_index", F.lit(0))
     q = spark.createDataFrame([(1, "green apple"), (2, "nothing here")], "query_id bigint, query string")
@@ -181,8 +205,11 @@ def test_error_rows_tell_all_columns(spark):
     assert (len(r.query), r.reference, len(r.predicted), r.difficulty, r.tags, r.n_hits, r.avg_score, r.confidence, r.category, r.description) == (100, "abcdef", 100, "simple", "a|b", 2, 0.75, 1.0, "correct", evaluate.CATEGORIES["correct"])
 
 
-def test_semantic_chunks_against_a_fold(spark):
-    """Sentences whose vectors tell where topics change, against a sequential form of the same steps."""
+@pytest.mark.parametrize("block, batch", [(4096, 4096), (3, 2)])
+def test_semantic_chunks_against_a_fold(spark, monkeypatch, block, batch):
+    """Sentences whose vectors tell where topics change, against a sequential form of the same steps; blocks of any size give the same."""
+    monkeypatch.setattr(chunking, "BLOCK", block)
+    monkeypatch.setattr(chunking, "FOLD_ROWS", batch)
     r = random.Random(7)
     texts = [" ".join(f"{'ab'[r.random() < 0.5]}{'x' * r.randint(3, 30)}." for _ in range(r.randint(2, 14))) for _ in range(12)] + ["", "one.", None]
     embed = lambda rows: rows.withColumn("embedding", F.when(F.col("text").startswith("a"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
