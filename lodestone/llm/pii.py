@@ -8,10 +8,11 @@ and tasks without any shared table, and whoever holds the key can invert it.
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 ROUNDS = 8
-FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
+#: Dates of these years are permuted among themselves, so that a pseudonym is as likely a date; those of all other years of the calendar too.
+NEAR_YEARS, LAST_YEAR = (1900, 2100), 9999
 
 #: Calling codes of two digits, and the first two digits of those of three. Codes of one digit are 1 and 7.
 TWO_DIGIT_CODES = frozenset(
@@ -121,19 +123,37 @@ def _written(part: str) -> str:
 
 
 @lru_cache(64)
-def _days(late: bool, month: str, day: str) -> list[int]:
-    """Days from 1900 to 2099, after the 12th of their month or not, that are written so; any way for "*"."""
-    days = (dt.date.fromordinal(n) for n in range(FIRST_DAY, FIRST_DAY + DAYS))
+def _fitting(late: bool, month: str, day: str, leap: bool) -> list[tuple[int, int]]:
+    """Days (month, day) of one year, after the 12th of their month or not, that are written so; any way for "*"."""
     fits = lambda v, how: how == "*" or (v > 9) == (how == "2")
-    return [d.toordinal() for d in days if (d.day > 12) == late and fits(d.month, month) and fits(d.day, day)]
+    length = lambda m: calendar.monthrange(4 if leap else 1, m)[1]
+    return [(m, d) for m in range(1, 13) if fits(m, month) for d in range(1, length(m) + 1) if (d > 12) == late and fits(d, day)]
+
+
+def _before(year: int, how: tuple[bool, str, str]) -> int:
+    """Number of fitting days of the years from 1 up to that one."""
+    y, common = year - 1, len(_fitting(*how, False))
+    return y * common + (y // 4 - y // 100 + y // 400) * (len(_fitting(*how, True)) - common)
+
+
+def day_number(date: dt.date, how: tuple[bool, str, str]) -> int:
+    """Place of a fitting date among all fitting dates of the calendar, from 0."""
+    return _before(date.year, how) + bisect_left(_fitting(*how, calendar.isleap(date.year)), (date.month, date.day))
+
+
+def numbered_day(n: int, how: tuple[bool, str, str]) -> dt.date:
+    """The date with that place."""
+    year = bisect_right(range(1, LAST_YEAR + 1), n, key=lambda y: _before(y, how))
+    return dt.date(year, *_fitting(*how, calendar.isleap(year))[n - _before(year, how)])
 
 
 def _date(text: str, key: bytes, inverse: bool) -> str | None:
-    """Year first, or day first, or month first where the day can't be first.
+    """Year first, or day first, or month first where the day can't be first; any date of the years 1 to 9999.
 
     Days after the 12th are permuted among themselves, and so are the others, so that a pseudonym reads in the notation
     of its date and no two dates share one. With two digits each for month and day a date has one pseudonym in all
-    notations; other ways of writing keep their number of digits and are permuted apart.
+    notations; other ways of writing keep their number of digits and are permuted apart. Dates from 1900 to 2099 stay
+    within these years, others outside them.
     """
     sep, p = re.search(r"[-/.]", text).group(), re.split(r"[-/.]", text)
     for y, m, d in ((0, 1, 2),) if len(p[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
@@ -141,13 +161,17 @@ def _date(text: str, key: bytes, inverse: bool) -> str | None:
             date = dt.date(int(p[y]), int(p[m]), int(p[d]))
         except ValueError:
             continue
-        how = ("*", "*") if len(p[m]) == len(p[d]) == 2 else (_written(p[m]), _written(p[d]))
-        days, kind = _days(date.day > 12, *how), f"date{date.day > 12}{how[0]}{how[1]}"
-        at = bisect_left(days, date.toordinal())
-        if at == len(days) or days[at] != date.toordinal():
-            return None  # not within these years
-        new = dt.date.fromordinal(days[feistel(at, len(days), key, kind, inverse)])
-        out = {y: str(new.year), m: str(new.month).zfill(len(p[m])), d: str(new.day).zfill(len(p[d]))}
+        written = ("*", "*") if len(p[m]) == len(p[d]) == 2 else (_written(p[m]), _written(p[d]))
+        how, kind = (date.day > 12, *written), f"date{date.day > 12}{written[0]}{written[1]}"
+        at, first, end = day_number(date, how), _before(NEAR_YEARS[0], how), _before(NEAR_YEARS[1], how)
+        near = end - first
+        if first <= at < end:
+            n = first + feistel(at - first, near, key, kind, inverse)
+        else:
+            n = feistel(at if at < first else at - near, _before(LAST_YEAR + 1, how) - near, key, kind + "far", inverse)
+            n = n if n < first else n + near
+        new = numbered_day(n, how)
+        out = {y: f"{new.year:04d}", m: str(new.month).zfill(len(p[m])), d: str(new.day).zfill(len(p[d]))}
         return sep.join(out[k] for k in range(3))
     return None
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -327,6 +328,23 @@ def test_dates_are_permuted_within_each_notation():
     assert linked["year first"]["1900-01-01"].split("-") == linked["day first"]["01/01/1900"].split("/")[::-1]
 
 
+def test_dates_of_all_years():
+    """Every date of the calendar has one number within its way of writing; other years' pseudonyms stay outside 1900 to 2099 and read back."""
+    import datetime as dt
+
+    for how in ((True, "*", "*"), (False, "*", "*"), (True, "1", "2"), (False, "0", "1")):
+        days = [d for n in range(1, dt.date(9999, 12, 31).toordinal() + 1, 1 if how[1] == "1" else 11) if ((d := dt.date.fromordinal(n)).day > 12) == how[0] and (how[1] == "*" or d.month <= 9 and (d.day > 9) == (how[2] == "2"))]
+        numbers = [pii.day_number(d, how) for d in days]
+        assert all(a < b for a, b in zip(numbers, numbers[1:])) and [pii.numbered_day(n, how) for n in numbers] == days
+    assert pii.day_number(dt.date(9999, 12, 31), (True, "*", "*")) + 1 == pii._before(10000, (True, "*", "*"))
+    key, r = b"k" * 16, random.Random(3)
+    texts = {f"{y:04d}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}" for y in [*range(1, 1900), *range(2100, 10000)]} | {"1896-02-29", "2104-02-29", "29.2.1604", "1.1.0001", "31/12/9999", "12/31/1899"}
+    new = {t: pii._date(t, key, False) for t in texts}
+    assert len(set(new.values())) == len(texts) and all(pii._date(b, key, True) == a and len(a) == len(b) and a != b for a, b in new.items())
+    assert not any(1900 <= int(re.search(r"\d{4}", b).group()) < 2100 for b in new.values())
+    assert pii.pseudonymize("born 03.04.1899", key)[1][0][:3] == ("dmy", 5, 15) and pii.pseudonymize("on 0000-01-01 and 1900-02-29", key)[1] == []
+
+
 def test_keys():
     new = lambda k: pii.pseudonymize("call 4111111111111111 now", k)[0]
     assert len({new(k) for k in (b"a", b"a" * 64, b"a" * 64 + b"b", b"a" * 64 + b"c", b"a" * 65)}) == 5
