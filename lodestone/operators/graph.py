@@ -93,13 +93,38 @@ def build_graph(chunks: DataFrame, scan_chars: int | None = TEXT_CHARS) -> tuple
     return rules.unionByName(a).unionByName(b), x.unionByName(y).unionByName(reference_edges(rule_nodes(sections, scan_chars)))
 
 
+#: Out-edges of a node that stay together in a join. A node with more is dealt in parts.
+HUB_EDGES = 20_000
+
+
+def _dealt(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with `part`, hubs): out-edges of a node with more than HUB_EDGES of them are dealt by their target.
+
+    hubs (node, parts) has such nodes only, so at most a row for each HUB_EDGES edges; counts are added up before they are shuffled.
+    """
+    parts = F.ceil(F.count("*") / HUB_EDGES)
+    hubs = edges.groupBy(F.col("src").alias("node")).agg(parts.alias("parts")).where("parts > 1")
+    dealt = edges.join(hubs.withColumnRenamed("node", "src"), "src", "left")
+    return dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), "parts"), F.lit(0))).drop("parts"), hubs
+
+
+def _at_parts(frontier: DataFrame, hubs: DataFrame) -> DataFrame:
+    """frontier (node, ...) with a row for each part of its node's edges."""
+    of_hub = frontier.join(hubs, "node", "left")
+    return of_hub.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
 def neighbors(edges: DataFrame, starts: DataFrame, max_hops: int = 2, min_score: float = 0.1) -> DataFrame:
-    """(start, node, score, hops): the best product of weights over walks of up to max_hops that never fall below min_score."""
+    """(start, node, score, hops): the best product of weights over walks of up to max_hops that never fall below min_score.
+
+    Joins with edges go by node and part, so that a hub's edges are in many tasks.
+    """
     best = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(1.0).alias("score"), F.lit(0).alias("hops"))
     frontier = best
-    e = edges.select(F.col("src").alias("node"), "dst", "weight")
+    dealt, hubs = _dealt(edges)
+    e = dealt.select(F.col("src").alias("node"), "part", "dst", "weight")
     for hop in range(1, max_hops + 1):
-        step = frontier.select("start", "node", "score").join(e, "node").select("start", F.col("dst").alias("node"), T.fixed(F.col("score") * F.col("weight"), 9).alias("score")).where(F.col("score") >= min_score)
+        step = _at_parts(frontier.select("start", "node", "score"), hubs).join(e, ["node", "part"]).select("start", F.col("dst").alias("node"), T.fixed(F.col("score") * F.col("weight"), 9).alias("score")).where(F.col("score") >= min_score)
         frontier = step.groupBy("start", "node").agg(F.max("score").alias("score")).withColumn("hops", F.lit(hop))
         best = best.union(frontier)
     top = best.groupBy("start", "node").agg(F.max(F.struct("score", (-F.col("hops")).alias("h"))).alias("b"))
@@ -126,10 +151,11 @@ def graph_paths(hits: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: i
     start = hits.select("query_id", *KEY, F.coalesce("score", F.lit(0.5)).alias("score"), "rank").join(nodes.select("node_id", *KEY, "ord"), KEY)
     frontier = start.select("query_id", F.col("node_id").alias("node"), "score", F.array("node_id").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array(F.concat(F.array(F.col("rank").cast("bigint")), "ord")).alias("ord"))
     seen = frontier.groupBy("query_id", "node").agg(F.max("score").alias("before"))
-    e = edges.select(F.col("src").alias("node"), "dst", "relation_type", "weight", F.col("ord").alias("edge_ord"))
+    dealt, hubs = _dealt(edges)
+    e = dealt.select(F.col("src").alias("node"), "part", "dst", "relation_type", "weight", F.col("ord").alias("edge_ord"))
     out = None
     for hop in range(1, max(max_hops, 1) + 1):
-        step = frontier.join(e, "node").withColumn("new", T.fixed(F.col("score") * decay * F.col("weight"), 9)).where(F.col("new") >= min_path)
+        step = _at_parts(frontier, hubs).join(e, ["node", "part"]).withColumn("new", T.fixed(F.col("score") * decay * F.col("weight"), 9)).where(F.col("new") >= min_path)
         step = step.select("query_id", F.col("dst").alias("node"), F.col("new").alias("score"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("relations", F.array("relation_type")).alias("relations"), F.concat("ord", F.array("edge_ord")).alias("ord"))
         own = Window.partitionBy("query_id", "node").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
         arrived = step.join(seen, ["query_id", "node"], "left").withColumn("known", F.greatest("before", F.max("score").over(own)))

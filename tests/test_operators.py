@@ -302,3 +302,25 @@ def test_every_query_has_a_name_and_sql_of_it():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_hub_is_dealt_over_tasks(spark, monkeypatch):
+    """One node with most of the edges: parts hold even shares, and walks are those of the whole list."""
+    hub = spark.range(200_000).select(F.lit("hub").alias("src"), F.format_string("n%06d", "id").alias("dst"), F.lit("requires").alias("relation_type"), F.lit(0.8).alias("weight"), F.array(F.lit(1).cast("bigint"), "id").alias("ord"))
+    few = spark.range(500).select(F.format_string("n%06d", F.col("id") * 7).alias("src"), F.lit("hub").alias("dst"), F.lit("requires").alias("relation_type"), F.lit(0.9).alias("weight"), F.array(F.lit(0).cast("bigint"), "id").alias("ord"))
+    edges = hub.union(few)
+    dealt, hubs = graph._dealt(edges)
+    assert [tuple(r) for r in hubs.collect()] == [("hub", 10)]
+    shares = [r["count"] for r in dealt.where("src = 'hub'").groupBy("part").count().collect()]
+    assert len(shares) == 10 and max(shares) < 1.1 * min(shares)
+    starts = spark.createDataFrame([("hub",), ("n000007",)], "node_id string")
+    got = {(r.start, r.node, r.score, r.hops) for r in graph.neighbors(edges, starts, 2, 0.1).collect()}
+    want = {("hub", f"n{k:06d}", 0.8, 1) for k in range(200_000)} | {("n000007", f"n{k:06d}", 0.72, 2) for k in range(200_000) if k != 7} | {("hub", "hub", 1.0, 0), ("n000007", "n000007", 1.0, 0), ("n000007", "hub", 0.9, 1)}
+    assert got == want
+    nodes = spark.createDataFrame([("hub", 1, 0, [1]), ("n000007", 2, 0, [2])], "node_id string, doc_id bigint, chunk_index int, ord array<bigint>")
+    hits = spark.createDataFrame([(1, 2, 0, 1.0, 1)], "query_id bigint, doc_id bigint, chunk_index int, score double, rank int")
+    walk = lambda: sorted(tuple(map(str, r)) for r in graph.graph_paths(hits, nodes, edges.where("dst < 'n001'  or dst = 'hub'"), 2).collect())
+    monkeypatch.setattr(graph, "HUB_EDGES", 100)
+    dealt_walk = walk()
+    monkeypatch.setattr(graph, "HUB_EDGES", 10**9)
+    assert len(dealt_walk) == 1001 and dealt_walk == walk()
