@@ -7,8 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions.plugins import HASHED, TERMS, Encoder, Tokenizer, check
@@ -16,8 +19,10 @@ from . import graph
 from .index import KEY, _one_row, embed_text
 
 K1, B = 1.5, 0.75
-#: Query vectors that are sent to the executors at a time.
+#: Queries that are sent to the executors at a time.
 QUERY_BLOCK = 4096
+#: Vectors of a packed block, and numbers in it (1 MB).
+BLOCK_ROWS, BLOCK_NUMBERS = 2048, 1 << 17
 
 
 def top_k(scored: DataFrame, k: int, *order: Column | str, by: list[str] | None = None) -> DataFrame:
@@ -63,38 +68,59 @@ def pad_to_k(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, key
     return hits.select("query_id", *key, "score", "rank").union(filled)
 
 
+def _packed(vectors: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of many vectors: the key columns as arrays (k0, k1, ...), and `m`, their numbers as doubles one after the other.
+
+    A row holds up to BLOCK_ROWS vectors and BLOCK_NUMBERS numbers (one vector at least); null vectors are left out.
+    """
+    types = [vectors.schema[c].dataType for c in key]
+    arrays = [pa.list_(to_arrow_type(t)) for t in types]
+    names = [f"k{i}" for i in range(len(key))]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(key))
+            dim = len(lists[0]) if b.num_rows else 0
+            for at in range(0, b.num_rows, size := max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(dim, 1)))):
+                own = b.slice(at, size)
+                m = own.column(len(key)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(m) != own.num_rows * dim:
+                    raise ValueError("vectors differ in length")
+                yield pa.RecordBatch.from_arrays([*(pa.array([own.column(i).to_pylist()], t) for i, t in enumerate(arrays)), pa.array([m.tobytes()], pa.binary())], [*names, "m"])
+
+    schema = ", ".join([*(f"{n} array<{t.simpleString()}>" for n, t in zip(names, types, strict=True)), "m binary"])
+    return vectors.where("embedding is not null").select(*key, "embedding").mapInArrow(pack, schema)
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 20, key: list[str] = KEY) -> DataFrame:
     """Exact inner-product top k: (query_id, key, score, rank), ties by key.
 
-    Queries (query_id, embedding) go out in blocks of QUERY_BLOCK; each task multiplies its vectors by the block and keeps
-    the k best of each Arrow batch for each query; Spark keeps the k best of those before it shuffles. A null vector is never found.
+    Queries (query_id, embedding) and vectors are packed in blocks of bounded size, and each block of queries meets each
+    block of vectors as one row. Where Spark's own size check lets it broadcast the queries, vectors are scanned once for any
+    number of them, else once for each partition of queries. A block gives its k best for each query, and Spark keeps the k best of those before it shuffles. A null
+    vector is never found.
     """
-    spark = vectors.sparkSession
-    ids = queries.where("query_id is not null and embedding is not null")
-    schema = ", ".join(["query_id bigint", *(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in key), "score double"])
-    out = spark.createDataFrame([], schema)
-    blocks = max(1, -(-ids.count() // QUERY_BLOCK))
-    for block in range(blocks):
-        own = ids.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").orderBy("query_id").toPandas()
-        if own.empty:
-            continue
-        sent = spark.sparkContext.broadcast((own["query_id"].to_numpy(), np.stack(own["embedding"].map(np.asarray)).astype(np.float64)))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            q_ids, q = sent.value
-            for rows in batches:
-                rows = rows[rows["embedding"].notna()]
-                if rows.empty:
-                    continue
-                s = np.floor(np.stack(rows["embedding"].map(np.asarray)).astype(np.float64) @ q.T * 1e6 + 0.5) / 1e6
-                order = np.lexsort([rows[c].to_numpy() for c in reversed(key)])
-                s = s[order]
+    asked = _packed(queries.where("query_id is not null").repartition(1 + queries.count() // BLOCK_ROWS), ["query_id"]).select(F.col("k0").alias("q_ids"), F.col("m").alias("q"))
+    kinds = [vectors.schema[c].dataType for c in key]
+    types = [to_arrow_type(t) for t in kinds]
+    width = len(key)
+    schema = ", ".join(["query_id bigint", *(f"{c} {t.simpleString()}" for c, t in zip(key, kinds, strict=True)), "score double"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                q_ids = np.asarray(b.column(width + 1)[row].as_py(), dtype=np.int64)
+                q = np.frombuffer(b.column(width + 2)[row].as_py(), dtype=np.float64).reshape(len(q_ids), -1)
+                keys = [b.column(i)[row].values for i in range(width)]
+                v = np.frombuffer(b.column(width)[row].as_py(), dtype=np.float64).reshape(len(keys[0]), -1)
+                order = pc.sort_indices(pa.Table.from_arrays(keys, [str(i) for i in range(width)]), sort_keys=[(str(i), "ascending") for i in range(width)]).to_numpy()
+                s = np.floor(v[order] @ q.T * 1e6 + 0.5) / 1e6
                 best = np.argsort(-s, axis=0, kind="stable")[:k]
-                at = order[best.T.ravel()]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[0]), **{c: rows[c].to_numpy()[at] for c in key}, "score": np.take_along_axis(s, best, 0).T.ravel()})
+                at = pa.array(order[best.T.ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[0])), *(c.take(at).cast(t) for c, t in zip(keys, types, strict=True)), pa.array(np.take_along_axis(s, best, 0).T.ravel())], ["query_id", *key, "score"])
 
-        out = out.union(vectors.select(*key, "embedding").mapInPandas(search, schema))
-    return top_k(out, k, F.desc("score"), *key)
+    pairs = _packed(vectors, key).crossJoin(asked)
+    return top_k(pairs.mapInArrow(search, schema), k, F.desc("score"), *key)
 
 
 def dedupe_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,24 @@ def test_a_hub_is_dealt_over_tasks(spark, monkeypatch):
     dealt_walk = walk()
     monkeypatch.setattr(graph, "HUB_EDGES", 10**9)
     assert len(dealt_walk) == 1001 and dealt_walk == walk()
+
+
+def test_dense_search_in_blocks_against_numpy(spark, monkeypatch):
+    """Blocks of a few vectors and queries, ties, a null vector and a key of text: the hits of one whole product."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
+    r = np.random.default_rng(5)
+    v, q = r.integers(-3, 4, (200, 6)) / 4, r.integers(-3, 4, (23, 6)) / 4
+    rows = [(f"d{n:03d}", n % 3, [float(x) for x in v[n]]) for n in range(200)] + [("none", 0, None)]
+    vectors = spark.createDataFrame(rows, "name string, chunk_index int, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(n, [float(x) for x in q[n]]) for n in range(23)], "query_id bigint, embedding array<double>")
+    found = retrieval.dense_search(asked, vectors, 9, ["name", "chunk_index"])
+    got = {(x["query_id"], x["rank"]): (x["name"], x["chunk_index"], x["score"]) for x in found.collect()}
+    scores = np.floor(v @ q.T * 1e6 + 0.5) / 1e6
+    want = {}
+    for n in range(23):
+        for rank, d in enumerate(sorted(range(200), key=lambda d: (-scores[d, n], d))[:9], 1):
+            want[n, rank] = (f"d{d:03d}", d % 3, scores[d, n])
+    assert got == want
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("BroadcastNestedLoopJoin") == 1 and "CartesianProduct" not in final
+    assert retrieval.dense_search(asked.limit(0), vectors, 9, ["name", "chunk_index"]).count() == retrieval.dense_search(asked, vectors.limit(0), 9, ["name", "chunk_index"]).count() == 0
