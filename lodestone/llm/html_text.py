@@ -5,7 +5,8 @@ features (tag, class and id words, length and link share of its text ...); an ed
 pair of states, by whether the child is a block of its own or a part of a list or table. Sum-product messages go from the
 leaves up and back down, which gives each node's exact marginal. Weights are fitted by the gradient of the labelled
 pages' likelihood, for which the same messages give the expectations. The labelled pages come from a rule: layouts of
-sites with marked blocks, in many variants.
+sites with marked blocks, in many variants. Comments of readers that no class or id tells are known by what heads them,
+by bylines, and by like blocks of a name and a text side by side; a lone comment with none of these stays in the text.
 """
 
 from __future__ import annotations
@@ -42,6 +43,22 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
+#: What heads readers' comments, what stands in a comment's byline, and words of address (four languages).
+TALK = re.compile(
+    r"(?:\d+ )?(?:(?:reader|user) )?(?:comments?|replies|kommentare?|leserkommentare|commentaires?|comentarios?)(?: ?\(\d+\))?:?|"
+    r"\d+ (?:responses?|reactions?|thoughts on .*|antworten|reaktionen|meinungen|réponses?|réactions?|respuestas?|opiniones)|"
+    r"(?:leave|post|add|write) a (?:comment|reply)|join the (?:discussion|conversation)|what (?:our )?(?:readers|people|others) (?:say|think)|"
+    r"comments? (?:on|from|by) .*|(?:das sagen|meinungen) unsere[r]? leser|avis des lecteurs|opiniones de (?:los )?lectores",
+    re.I,
+)
+BYLINE = re.compile(
+    r"\b\d+ ?(?:s|min|h|d|seconds?|minutes?|hours?|days?|weeks?|months?|years?) ago\b|\b(?:vor|hace|il y a) \d+ \w+|\b\d{1,2}:\d\d\b|\b\d{4}-\d\d-\d\d\b|"
+    r"\b(?:says|said|wrote|writes|schrieb|schreibt|sagt|a écrit|dit|escribió|dice) ?:?$|\b(?:reply|antworten|répondre|responder)$|^@\w+",
+    re.I,
+)
+SPOKEN = re.compile(r"@?\w[\w.-]*(?: \w[\w.-]*){0,2},? (?:says|said|wrote|writes|schrieb|schreibt|sagt|a écrit|dit|escribió|dice|\(?\d+ ?(?:min|h|d|minutes?|hours?|days?|weeks?|months?|years?) ago\)?) ?: ", re.I)
+PERSON = re.compile(r"\b(?:i|i'm|i've|my|me|you|your|thanks|ich|mein|meine|danke|je|j'ai|mon|merci|yo|mi|gracias)\b", re.I)
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 dt th summary caption figcaption legend".split())
 CLOSERS = {name: re.compile(f"</{name}(?=[\\s/>])|\\Z", re.I) for name in RAW}
 
 
@@ -55,6 +72,9 @@ class Node:
     links: int = 0
     stops: int = 0
     children: int = 0
+    talk: bool = False
+    said: bool = False
+    person: bool = False
 
 
 @dataclass
@@ -82,6 +102,9 @@ def parse(text: str) -> Page:
                 page.blocks.append((node, block))
                 page.nodes[node].chars += len(block)
                 page.nodes[node].stops += block.count(". ") + block.count(", ") + block.endswith(".")
+                page.nodes[node].talk |= len(block) <= 80 and TALK.fullmatch(block) is not None
+                page.nodes[node].said |= (len(block) <= 80 and BYLINE.search(block) is not None) or SPOKEN.match(block) is not None
+                page.nodes[node].person |= len(block) <= 1000 and PERSON.search(block) is not None
 
     def pop() -> None:
         nonlocal unread, links
@@ -169,8 +192,58 @@ def attribute_words(token: str) -> list[str]:
     return words
 
 
+def talk_of(page: Page) -> tuple[list[int], list[int]]:
+    """What tells comments without marks: whether a node is a heading of comments (1), holds such a heading first (2) or
+    follows one (3); and the number, up to 3, of like siblings that are each a byline or name with a text (also for what is
+    inside them), or 4 for a node that holds three or more of them.
+    """
+    nodes = page.nodes
+    n = len(nodes)
+    parts, said, opens, first = [0] * n, [x.said for x in nodes], [x.talk for x in nodes], [-1] * n
+    for i, (k, _) in enumerate(page.blocks):
+        parts[k] += 1
+        while k >= 0 and first[k] < 0:
+            first[k] = i
+            k = nodes[k].parent
+    for k in range(n - 1, 0, -1):
+        p = nodes[k].parent
+        parts[p] += parts[k]
+        said[p] |= said[k]
+        opens[p] |= opens[k] and first[k] == first[p]
+    groups: dict[tuple[int, str], int] = {}
+    alike = [False] * n
+    for k in range(1, n):
+        tag = nodes[k].tag
+        if first[k] < 0 or tag in HEADS:
+            continue
+        holder, opening = page.blocks[first[k]]
+        named = parts[k] in (2, 3, 4) and len(opening) <= 40 and opening[-1] not in ".!?:" and nodes[holder].tag not in HEADS and not nodes[holder].links
+        alike[k] = nodes[k].said or (tag in ("div", "li", "section", "article", "blockquote", "dd") and (named or (said[k] and parts[k] <= 6)))
+        if alike[k]:
+            at = (nodes[k].parent, tag)
+            groups[at] = groups.get(at, 0) + 1
+    most: dict[int, int] = {}
+    for (p, _), c in groups.items():
+        most[p] = max(most.get(p, 0), c)
+    talk, like = [0] * n, [0] * n
+    after, told = [False] * n, [False] * n  # of the children so far: a heading of comments came last; a byline alone came last
+    for k in range(1, n):
+        p = nodes[k].parent
+        if opens[k]:
+            talk[k] = 1 if nodes[k].talk else 2
+            after[p] = True
+        elif nodes[k].tag in ("h1", "h2", "h3") or nodes[k].tag == "footer":
+            after[p] = False
+        elif after[p] or talk[p] in (2, 3):
+            talk[k] = 3
+        own = min(groups[p, nodes[k].tag], 3) if alike[k] else min(groups.get((p, nodes[k].tag), 0), 3) if told[p] else 0
+        told[p] = nodes[k].said and parts[k] == 1 and nodes[k].chars <= 80
+        like[k] = max(own, like[p] if like[p] < 4 else 0) or (4 if most.get(k, 0) >= 3 else 0)
+    return talk, like
+
+
 def node_keys(page: Page) -> list[tuple]:
-    """What a node's features follow from: tag, parent's tag, size, link share, share of the page, stops, own text, attributes."""
+    """What a node's features follow from: tag, parent's tag, size, link share, share of the page and of what is before, stops, own text, talk, attributes."""
     nodes = page.nodes
     chars, linked, stops = [n.chars for n in nodes], [n.link_chars for n in nodes], [n.stops for n in nodes]
     for k in range(len(nodes) - 1, 0, -1):
@@ -179,16 +252,22 @@ def node_keys(page: Page) -> list[tuple]:
         linked[p] += linked[k]
         stops[p] += stops[k]
     whole = max(chars[0], 1)
+    before, done = [0] * len(nodes), 0
+    for k, n in enumerate(nodes):
+        before[k] = done
+        done += n.chars
+    talk, like = talk_of(page)
     return [
-        (n.tag, nodes[n.parent].tag if n.parent >= 0 else "", min((c + 1).bit_length() - 1, 9), min(4 * i // c, 3) if c else 0, min(4 * c // whole, 3), min(s, 3), n.chars > 0, n.children > 0, n.attributes if len(n.attributes) > len(n.tag) + 2 else "")
-        for n, c, i, s in zip(nodes, chars, linked, stops, strict=True)
+        (n.tag, nodes[n.parent].tag if n.parent >= 0 else "", min((c + 1).bit_length() - 1, 9), min(4 * i // c, 3) if c else 0, min(4 * c // whole, 3), min(4 * b // whole, 3), min(s, 3), n.chars > 0, n.children > 0, t, a, n.said, n.person, n.attributes if len(n.attributes) > len(n.tag) + 2 else "")
+        for n, c, i, s, b, t, a in zip(nodes, chars, linked, stops, before, talk, like, strict=True)
     ]
 
 
 def features_of(key: tuple) -> list[str]:
     """Names of the features that hold for a node."""
-    tag, above, size, linked, share, stops, own, nested, attributes = key
+    tag, above, size, linked, share, before, stops, own, nested, talk, like, said, person, attributes = key
     f = ["bias", f"tag {tag}", f"size {size}", f"linked {linked}", f"share {share}", f"stops {stops}", f"own {own}{nested}", f"below {above}"]
+    f += [f"talk {talk}"] * (talk > 0) + [f"like {like}", f"like {like} after {before}"] * (like > 0) + ["said"] * said + [f"person {like > 1}"] * person
     return f + sorted({f"word {w}" for w in attribute_words(attributes)}) if attributes else f
 
 
@@ -306,6 +385,8 @@ def labelled_page(seed: int) -> tuple[str, str]:
         s = " ".join(sentence() for _ in range(r.choice([1, 1, 2, 3, 5, 9])))
         if r.random() < 0.25:
             s = words(1, 3) + r.choice([".", ""])
+        if r.random() < 0.15:
+            s = r.choice(["I ", "My ", "You ", "Thanks, "]) + s
         if r.random() < 0.25:
             s = f"<b>{s}<br>"
         elif r.random() < 0.3:
@@ -342,6 +423,45 @@ def labelled_page(seed: int) -> tuple[str, str]:
             inner = r.choice([sentence(), f"<p{y(0)}>{sentence()}</p>", f'{sentence()} <a href="/{word()}">{words(1, 3)}</a>', f"<p{y(0)}>{sentence()} {sentence()} {sentence()}</p>"])
         return f"<{tag}{mark}{y(0)}>{inner}</{tag}>"
 
+    def comments() -> str:
+        """Comments of readers that no class or id marks."""
+        name = lambda: " ".join(word().capitalize() for _ in range(r.choice([1, 1, 2])))
+        when = lambda: r.choice([f"{r.randint(2, 40)} {r.choice(['minutes', 'hours', 'days', 'months'])} ago", f"vor {r.randint(2, 20)} Tagen", f"20{r.randint(10, 25)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 23)}:{r.randint(10, 59)}"])
+        says = lambda: r.choice(["says", "wrote", "writes", "schrieb", "a écrit", "dice"])
+        p = lambda s: f"<p{y(0)}>{s}</p>"
+
+        def remark() -> str:
+            s = " ".join(sentence(3, 14) for _ in range(r.choice([1, 1, 2, 3])))
+            return r.choice(["I ", "Thanks, ", "My ", "You ", "", "", ""]) + s
+
+        style, n = r.choice([0, 1, 2, 3, 4, 5, 6, 7, 7, 7]), r.randint(1, 6)
+        head = r.choice([f"{r.randint(1, 40)} comments", "Comments", f"Comments ({n})", "Leave a comment", f"{n} responses", "Kommentare", "Commentaires", "Comentarios", "Join the discussion", "What readers say", "Reader comments"])
+        headed = r.random() < 0.6 or style == 7
+        n = n if headed else max(n, 2)
+        t = r.choice(["h2", "h3", "h4", "p", "div"])
+        out = f"<{t}{y(0)}>{head}</{t}>" if headed else ""
+        item = r.choice(["div", "div", "li", "section"]) if style < 4 else "div"
+        for _ in range(n):
+            if style == 0:
+                out += f"<{item}{y(0)}><b>{name()}</b>{p(remark())}</{item}>"
+            elif style == 1:
+                out += f"<{item}{y(0)}>{p(name() + r.choice([' · ', ', ', ' ']) + when())}{p(remark())}</{item}>"
+            elif style == 2:
+                out += f"<{item}{y(0)}>{p(name())}{p(remark())}" + '<a href="#">Reply</a>' * (r.random() < 0.5) + f"</{item}>"
+            elif style == 3:
+                out += f"<{item}{y(0)}><b>{name()}</b> {says()}: {remark()}</{item}>"
+            elif style == 4:
+                out += p(f"<b>{name()}</b> {says()}:") + p(remark())
+            elif style == 5:
+                out += p(f"{name()} ({when()}): {remark()}")
+            elif style == 6:
+                out += f"<div{y(0)}>{p(remark())}{p(name() + ', ' + when())}</div>"
+            else:
+                out += p(remark())
+        box = "ul" if item == "li" else r.choice(["div", "div", "section", "", "ol"]) if style < 4 and item != "section" else r.choice(["div", "section", ""])
+        box = box if box != "ol" else "div"
+        return f"<{box}{y(0)}>{out}</{box}>" if box else out
+
     for kind in ("header", "nav", "notice", "ad"):
         if r.random() < 0.55:
             body.append(boiler(kind))
@@ -351,6 +471,8 @@ def labelled_page(seed: int) -> tuple[str, str]:
     if r.random() < 0.8:
         texts.append(SPACE.sub(" ", re.sub(r"<[^>]+>", "", head)).strip())
         article.append(f"<header{y(1)}>{head}</header>" if r.random() < 0.15 else head)
+    if r.random() < 0.08:
+        article.append(content("p", f"{words(1, 2).title()}, {r.randint(2, 20)} days ago"))
     for _ in range(r.randint(0, 9)):
         roll = r.random()
         if roll < 0.7:
@@ -359,20 +481,27 @@ def labelled_page(seed: int) -> tuple[str, str]:
             article.append(content(r.choice(["h2", "h3"]), words(1, 6)))
         elif roll < 0.86:
             article.append("<ul" + y(1) + ">" + "".join(content("li", sentence(2, 9)) for _ in range(r.randint(2, 5))) + "</ul>")
+        elif roll < 0.88:
+            article.append(f"<div{y(1)}>" + (content("h3", words(1, 4)) if r.random() < 0.5 else "") + "".join(paragraph() for _ in range(r.randint(1, 3))) + "</div>")
+        elif roll < 0.89:
+            article.append("<ul" + y(1) + ">" + "".join(content("li", f"<b>{words(1, 2).capitalize()}</b>: {sentence()}") for _ in range(r.randint(2, 5))) + "</ul>")
         elif roll < 0.9:
             article.append(content("blockquote", sentence()))
         elif roll < 0.93:
             article.append(f"<table{y(1)}><tr{y(1)}>" + "".join(content("td", words(1, 4)) for _ in range(3)) + "</tr></table>")
         else:
             article.append(boiler(r.choice(["ad", "share", "aside", "form", "notice"])))
-    if r.random() < 0.25:
+    roll = r.random()
+    if roll < 0.2:
         article.append(boiler("comments"))
+    elif roll < 0.4:
+        article.append(comments())
     tag = r.choice(["article", "article", "main", "div", "section"])
     mark = f' class="{r.choice(["content", "post", "entry-content", "article-body", "story", "main", "post-content", "text"])}"' if tag in ("div", "section") or r.random() < 0.3 else ""
     body.append(f"<{tag}{mark}{y(1)}>" + "".join(article) + f"</{tag}>")
     for kind in ("aside", "comments", "form", "share", "ad", "notice", "footer"):
         if r.random() < (0.7 if kind == "footer" else 0.3):
-            body.append(boiler(kind))
+            body.append(comments() if kind == "comments" and r.random() < 0.6 else boiler(kind))
     inner = "".join(body)
     if r.random() < 0.4:
         inner = f'<div class="{r.choice(["wrapper", "container", "page", "row", "layout"])}"{y(1)}>{inner}</div>'
@@ -389,7 +518,7 @@ def labels_of(page: Page) -> list[int]:
 
 
 @lru_cache(4)
-def trained(pages: int = 400, seed: int = 0) -> TreeModel:
+def trained(pages: int = 1000, seed: int = 0) -> TreeModel:
     parsed = [parse(labelled_page(seed + k)[0]) for k in range(pages)]
     return fit([(p, labels_of(p)) for p in parsed])
 

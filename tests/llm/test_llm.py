@@ -284,6 +284,40 @@ def test_html(spark):
     assert got[1] == got[2] == "" and got[5] == "T\nOne two\nthree <"
 
 
+def test_html_comments_without_marks():
+    """Comments that no class or id tells go, wherever they stand; what looks a little like them in an article stays."""
+    m = html_text.trained()
+    parts = ["A title of things", "The first paragraph is long enough to be read. It has two sentences, and a comma.", "A second paragraph follows, which tells more. It goes on.", "And a third one ends it all, with some words more."]
+    head, want = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:]), "\n".join(parts)
+    foot = "<footer>&copy; x.example.net &middot; A word.</footer>"
+    comments = [
+        "<div><p>Anna</p><p>Great post, I liked it.</p></div><div><p>Tom Smith</p><p>I do not agree with this at all.</p></div>",
+        "<h3>3 Comments</h3><p>Great post, I liked it.</p><p>Nice one.</p>",
+        "<p>Anna wrote:</p><p>Great post, I liked it.</p><p>Bob wrote:</p><p>Me too, thanks.</p>",
+        "<div><b>Anna</b> 3 days ago<p>Great post, I liked it.</p></div><div><b>Bob</b> 2 hours ago<p>Well.</p></div>",
+        "<h2>Comments</h2><ul><li>Great post, I liked it.</li><li>Me too.</li></ul>",
+        "<ul><li><strong>Anna</strong><p>Great post, I liked it.</p></li><li><strong>Bob</strong><p>Me too.</p></li></ul>",
+    ]
+    for c in comments:
+        for page in (f"<article>{head}{c}</article>{foot}", f"<article>{head}<div>{c}</div></article>{foot}", f"<article>{head}</article><div>{c}</div>{foot}", f"<main><article>{head}</article>{c}</main>{foot}"):
+            assert m.extract(f"<body>{page}</body>") == want, page
+    clean = [
+        "<p><b>Anna:</b> What do you think of it, in your words?</p><p><b>Bob:</b> It is a long story, and it began in spring.</p>",
+        "<h2>Discussion</h2><p>These numbers agree with what was known before. They leave one question.</p>",
+        "<div><h3>First step</h3><p>Take the box out of the bag, and open it.</p></div><div><h3>Second step</h3><p>Put the parts together. Then wait.</p></div>",
+        "<ul><li><b>Speed</b>: as fast as it gets.</li><li><b>Price</b>: a little high, but fair.</li></ul>",
+        "<p>I left my house at 12:30 and walked to the station. You could see the hills, and my bag was light.</p>",
+        "<table><tr><td>One</td><td>Two things</td></tr><tr><td>Three</td><td>Four more</td></tr></table>",
+        "<blockquote>It was a good day for all of us, and nobody said a word.</blockquote>",
+    ]
+    for c in clean:
+        page = html_text.parse(f"<body>{c}</body>")
+        assert m.extract(f"<body><article>{head}{c}</article>{foot}</body>") == "\n".join([want, *(b for _, b in page.blocks)]), c
+    # a comments' heading, then like rows: every node's state follows from one pass, whatever their number
+    many = f"<article>{head}</article><div><h3>Comments</h3>" + "<div><p>Ann</p><p>I see.</p></div>" * 20_000 + "</div>"
+    assert m.extract(many) == want
+
+
 def test_marginals_against_all_states():
     m = html_text.trained()
     page = html_text.parse("<body><div><p>one two three.</p><ul><li>a</li><li>b</li></ul></div></body>")
