@@ -1,14 +1,15 @@
 """Exact duplicates over immutable snapshots that arrive one after another.
 
-A snapshot's digests are stored once, with static binary-fuse filters over them, one for each hash bucket. What arrives
-later is screened by the filters of the snapshots before it: 64 bits of each digest meet the filters of their bucket, and
-only positives go on to an exact join with the stored digests of that bucket. Duplicates inside a new batch are found by
-grouping that batch alone. What is found twice is then compared byte for byte.
+A snapshot's rows are stored once, laid out by hash buckets, with static binary-fuse filters over their digests, one for
+each bucket. What arrives later is screened by the filters of the snapshots before it: 64 bits of each digest meet the
+filters of their bucket, and only positives go on to an exact join with the stored rows of that bucket, texts included.
+Duplicates inside a new batch are found by grouping that batch alone. What is found twice is then compared byte for byte.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from .common import SPACES, materialize, text_or_empty, without_ids
 #: Digests that one filter holds on average.
 BUCKET_KEYS = 1 << 16
 SALTS = 16
-#: Filter buckets of a stored snapshot, alike in all, so that those of several snapshots can be probed together.
-STORED_BUCKETS = 1024
+#: Filter buckets of a stored snapshot that share a folder of rows.
+FOLDER_BUCKETS = 64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -89,14 +90,15 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _probe(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """The keys of rows (key64, snapshot) that a filter of an earlier snapshot may hold."""
+    """The keys of rows (key64, snapshot) that a filter of an earlier snapshot may hold, with that snapshot as at."""
     keys, at = rows["key64"].to_numpy(np.int64).view(np.uint64), rows["snapshot"].to_numpy()
-    hit = np.zeros(len(rows), bool)
+    found = [rows.iloc[:0][["key64"]].assign(at=np.int32(0))]
     for f in filters.itertuples():
-        later = (at > f.snapshot) & ~hit
-        if later.any():
-            hit[later] = fuse_contains((f.seed, f.segment, f.segments, f.cells), keys[later])
-    return rows.loc[hit, ["key64"]]
+        later = np.flatnonzero(at > f.snapshot)
+        if len(later):
+            hit = later[fuse_contains((f.seed, f.segment, f.segments, f.cells), keys[later])]
+            found.append(rows.iloc[hit][["key64"]].assign(at=np.int32(f.snapshot)))
+    return pd.concat(found)
 
 
 def _filters(keyed: DataFrame) -> DataFrame:
@@ -104,9 +106,16 @@ def _filters(keyed: DataFrame) -> DataFrame:
     return keyed.select("snapshot", "bucket", "key64").groupBy("snapshot", "bucket").applyInPandas(_build, "snapshot int, bucket int, seed int, segment int, segments int, cells binary")
 
 
+def _positives(keyed: DataFrame, filters: DataFrame) -> DataFrame:
+    """(key64, at): the keys of rows (snapshot, buckets, bucket, key64) that pass a filter of an earlier snapshot, at."""
+    by = lambda df: df.groupBy("buckets", "bucket")
+    return by(keyed.select("snapshot", "key64", "buckets", "bucket")).cogroup(by(filters)).applyInPandas(_probe, "key64 bigint, at int")
+
+
 def _screened(keyed: DataFrame, filters: DataFrame) -> DataFrame:
     """The distinct keys of rows (snapshot, bucket, key64) that pass a filter of an earlier snapshot."""
-    return keyed.select("snapshot", "key64", "bucket").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_probe, "key64 bigint").distinct()
+    one = F.lit(1).alias("buckets")
+    return _positives(keyed.select("*", one), filters.select("*", one)).select("key64").distinct()
 
 
 def normalized(text: Column) -> Column:
@@ -124,17 +133,23 @@ def _best(id_col: str) -> Column:
 
 
 def store_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes a snapshot's digests and the filters over them below path, in a folder each; both are read, never changed.
+    """Writes a snapshot's rows and the filters over them below path, in a folder each; both are read, never changed.
 
-    Texts that the snapshot repeats are stored once, with the row that stays. An empty snapshot has no rows in either.
+    Texts that the snapshot repeats are stored once, as the text without white space and the row that stays. Buckets are as
+    many (a power of two) as the snapshot's size asks for; FOLDER_BUCKETS of them share a folder of rows, sorted by key. An
+    empty snapshot has no rows in either.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col), F.length(text).alias("n_chars"), text_digest(text).alias("digest"))
-    key64 = F.xxhash64("digest")
-    inside = rows.groupBy("digest").agg(F.count("*").alias("n_rows"), F.min(_best(id_col)).alias("best"))
-    inside = inside.select("digest", "n_rows", "best", key64.alias("key64"), F.pmod(key64, F.lit(STORED_BUCKETS)).cast("int").alias("bucket"), F.lit(0).alias("snapshot"))
-    inside.write.parquet(f"{path}/digests")
-    _filters(inside.sparkSession.read.schema(inside.schema).parquet(f"{path}/digests")).write.parquet(f"{path}/filters")
+    rows = docs.select(F.col(id_col), F.length(text).alias("n_chars"), text_digest(text).alias("digest"), normalized(text).alias("norm"))
+    # copies fold before they are shuffled; a digest with two texts has two rows here, which tells them apart for good
+    kept = rows.groupBy("digest", "norm").agg(F.min(_best(id_col)).alias("best"))
+    kept = materialize(kept.withColumn("key64", F.xxhash64("digest")), "exact-snapshot")
+    buckets = 1 << max(3, (kept.count() // BUCKET_KEYS).bit_length())
+    inside = kept.select("digest", "norm", "best", "key64", F.lit(buckets).alias("buckets"), F.pmod("key64", F.lit(buckets)).cast("int").alias("bucket"), F.lit(0).alias("snapshot"))
+    inside = inside.withColumn("folder", F.floor(F.col("bucket") / FOLDER_BUCKETS).cast("int"))
+    inside.repartition("folder", "bucket").sortWithinPartitions("folder", "key64").write.partitionBy("folder").parquet(f"{path}/rows")
+    stored = inside.sparkSession.read.schema(inside.schema).parquet(f"{path}/rows")
+    _filters(stored).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
 
 
 def screen_batch(spark: SparkSession, batch: DataFrame, snapshots: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,23 +157,38 @@ def screen_batch(spark: SparkSession, batch: DataFrame, snapshots: list[str], id
 
     known_id is the row that stays of an equal text in the first of the stored snapshots that has one, else null; batch_id
     the row that stays among the equal texts of the batch. is_new tells the rows to add: those that stay in the batch and
-    are in no snapshot. Rows that repeat id and text of one that stays are new together. Only digests that pass a
-    snapshot's filters are joined with its digests.
+    are in no snapshot. Rows that repeat id and text of one that stays are new together. The filters of all snapshots are
+    probed in one pass, whatever their numbers of buckets; what passes one is joined with the stored rows of its bucket and
+    its text compared with theirs, byte by byte, so that equal digests of different texts are not taken for copies.
     """
     text = text_or_empty(text_col)
-    base = materialize(batch.select(F.col(id_col), F.length(text).alias("n_chars"), text_digest(text).alias("digest")), "exact-batch")
-    inside = materialize(base.groupBy("digest").agg(F.min(_best(id_col)).alias("best")).withColumn("key64", F.xxhash64("digest")), "exact-inside")
-    keyed = inside.select("key64", F.pmod("key64", F.lit(STORED_BUCKETS)).cast("int").alias("bucket"), F.lit(len(snapshots)).alias("snapshot"))
+    base = materialize(batch.select(F.col(id_col), F.length(text).alias("n_chars"), text_digest(text).alias("digest"), normalized(text).alias("norm")), "exact-batch")
+    whose = F.struct("digest", F.sha2("norm", 512)).alias("whose")  # stands for a text where its bytes were compared
+    inside = base.groupBy("digest", "norm").agg(F.min(_best(id_col)).alias("best"))
+    inside = materialize(inside.select("*", F.xxhash64("digest").alias("key64"), whose), "exact-inside")
     kind = batch.schema[id_col].dataType.simpleString()
-    known = spark.createDataFrame([], f"digest binary, at int, id {kind}")
-    for k, path in enumerate(snapshots):
-        passed = _screened(keyed, spark.read.parquet(f"{path}/filters"))
-        asked = inside.join(passed, "key64", "left_semi").select("digest")
-        known = known.union(spark.read.parquet(f"{path}/digests").join(asked, "digest").select("digest", F.lit(k).alias("at"), F.col("best.id").alias("id")))
-    first = known.groupBy("digest").agg(F.min(F.struct("at", "id")).alias("first"))
-    told = inside.join(first, "digest", "left").select("digest", "best", "first")
+    asked = ["buckets", "bucket", "key64", "at"]
+    known = spark.createDataFrame([], f"whose struct<digest: binary, col2: string>, first struct<at: int, id: {kind}>")
+    if snapshots:
+        filters = [spark.read.parquet(f"{path}/filters").withColumn("snapshot", F.lit(k)) for k, path in enumerate(snapshots)]
+        filters = reduce(DataFrame.unionByName, filters)
+        sizes = [r["buckets"] for r in filters.select("buckets").distinct().collect()]  # powers of two, so a few
+        keyed = inside.select("key64", F.lit(len(snapshots)).alias("snapshot"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("buckets"))
+        passed = materialize(_positives(keyed.withColumn("bucket", F.pmod("key64", "buckets").cast("int")), filters).distinct(), "exact-passed")
+        where = filters.select(F.col("snapshot").alias("at"), "buckets").distinct()  # a row a snapshot
+        asked_rows = passed.join(F.broadcast(where), "at").withColumn("bucket", F.pmod("key64", "buckets").cast("int"))
+        asked_rows = asked_rows.withColumn("folder", F.floor(F.col("bucket") / FOLDER_BUCKETS).cast("int"))
+        stored_kind = f"digest binary, norm string, best struct<n: int, none: boolean, id: {kind}>, key64 bigint, buckets int, bucket int, snapshot int, folder int"
+        stored = reduce(DataFrame.unionByName, [spark.read.schema(stored_kind).parquet(f"{path}/rows").withColumn("at", F.lit(k)) for k, path in enumerate(snapshots)])
+        met = stored.join(asked_rows, ["folder", *asked]).select("digest", F.col("norm").alias("stored"), "at", "best")
+        # the byte check: what the buckets hold under a digest is the batch's text itself
+        same = inside.select("digest", "norm", "whose").join(met, "digest").where(F.col("norm") == F.col("stored"))
+        known = same.groupBy("whose").agg(F.min(F.struct("at", F.col("best.id").alias("id"))).alias("first"))
+    # a text that a third of the batch repeats is dealt to SALTS parts
+    told = inside.join(known, "whose", "left").select("whose", "best", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     stays = F.col("first").isNull() & F.col(id_col).eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.n"))
-    return base.join(told, "digest").select(id_col, F.col("first.id").alias("known_id"), F.col("best.id").alias("batch_id"), stays.alias("is_new"))
+    rows = base.select(id_col, "n_chars", whose, F.pmod(F.xxhash64(id_col, "n_chars"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(told, ["whose", "salt"]).select(id_col, F.col("first.id").alias("known_id"), F.col("best.id").alias("batch_id"), stays.alias("is_new"))
 
 
 def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -657,12 +657,19 @@ def test_drops_with_clashing_names_and_repeated_ids(spark):
     assert near_dedup.drop_near(docs).columns == docs.columns
 
 
-def test_batches_against_stored_snapshots(spark, tmp_path):
+@pytest.mark.parametrize("weak", [False, True])
+def test_batches_against_stored_snapshots(spark, tmp_path, monkeypatch, weak):
+    """Snapshots with different numbers of buckets; with weak digests, which many texts share, the byte check decides."""
+    if weak:
+        monkeypatch.setattr(exact_dedup, "text_digest", lambda t: F.unhex(F.sha2(F.right(exact_dedup.normalized(t), F.lit(1)), 256)))
     r = random.Random(11)
     snaps = [[(100 * k + i, f"text {r.randrange(60)} " + " " * r.randrange(3)) for i in range(40)] for k in range(3)]
     table = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
     for k in (0, 1):
+        monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", (1 << 16, 1)[k])
         exact_dedup.store_snapshot(table(snaps[k]), f"{tmp_path}/{k}")
+    sizes = [spark.read.parquet(f"{tmp_path}/{k}/filters").first()["buckets"] for k in (0, 1)]
+    assert sizes[0] == 8 and sizes[1] > 8
     exact_dedup.store_snapshot(none(table(snaps[0])), f"{tmp_path}/empty")
     got = {g.doc_id: (g.known_id, g.batch_id, g.is_new) for g in exact_dedup.screen_batch(spark, table(snaps[2]), [f"{tmp_path}/{k}" for k in (0, "empty", 1)]).collect()}
     best = lambda rows, t: min(((-len(x), i) for i, x in rows if x.split() == t.split()), default=(0, None))[1]
