@@ -226,7 +226,9 @@ def exact_groups(docs: DataFrame, snapshot: Column | None = None, id_col: str =
     checked = groups.join(texts, "digest").withColumn(
         "group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts under one digest")).cast("long"))
     )
-    return base.join(checked, "digest", "left").select(
+    # rows of a digest that a third of the table shares are dealt to SALTS parts, and its one judgement to each of them
+    told = checked.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    return base.withColumn("part", F.pmod(F.xxhash64(id_col, "n_chars"), F.lit(SALTS)).cast("int")).join(told, ["digest", "part"], "left").select(
         id_col,
         F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
