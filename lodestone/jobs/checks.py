@@ -156,9 +156,9 @@ CITED = "ci as (select query_id, list_sort(list(chunk_id)) cited from ev where r
 # by shape of the response: prose without JSON; an object inside prose; two objects, the first counts; an object with prose after it; a
 # null confidence and a list are errors; an object without answer and confidence; a block that is no JSON; an object alone
 PARSED = f"""{EVID}, {CITED}, ps as (select query_id,
-  case query_id % 9 when 0 then 'no json here' when 3 then 'x' || query_id when 4 then 'error' when 5 then 'error' when 6 then '' when 7 then '{{not: json}} at all' else 'a' || query_id end answer,
-  case when query_id % 9 in (1, 2, 6, 8) then cited else cast([] as varchar[]) end cited,
-  case query_id % 9 when 0 then 0.3::double when 3 then 0.3::double when 4 then 0::double when 5 then 0::double when 6 then 0.5::double when 7 then 0.3::double else (query_id % 10) / 10::double end confidence from ci)"""
+  case query_id % 14 when 0 then 'no json here' when 3 then 'x' || query_id when 4 then 'error' when 5 then 'error' when 6 then '' when 7 then '{{not: json}} at all' when 9 then 'q' || query_id when 11 then '' when 12 then '' when 13 then 'True' else 'a' || query_id end answer,
+  case when query_id % 14 in (1, 2, 6, 8) then cited when query_id % 14 = 11 then string_split('c' || query_id, '') when query_id % 14 = 12 then ['k' || query_id, 'b'] else cast([] as varchar[]) end cited,
+  case query_id % 14 when 0 then 0.3::double when 3 then 0.3::double when 4 then 0::double when 5 then 0::double when 6 then 0.5::double when 7 then 0.3::double when 9 then 0.25::double when 10 then 1::double when 11 then 0.5::double when 12 then 0.5::double when 13 then 0.5::double else (query_id % 10) / 10::double end confidence from ci)"""
 RESULTS = f"""{QA}, rs as materialized (
   select query_id, query, answer, case when query_id % 3 <> 0 then case when query_id % 2 = 0 then repeat('.', 190) else '' end || answer || ' end' else '' end told,
     {_r("case when query_id % 3 <> 0 then (query_id % 11) / 11::double else 0 end", 4)} confidence, {_r("case when query_id % 3 <> 0 then query_id % 97 + 0.125::double else 0 end", 2)} latency_ms,

@@ -386,17 +386,19 @@ def evidence_prompt(spark, d):
 
 
 def _responses(spark, d):
-    """A response for each query from its hits, in nine shapes: JSON alone, inside and before prose, twice, broken, of wrong types."""
+    """A response for each query from its hits, in fourteen shapes: JSON alone, inside and before prose, twice, broken, of other types, with repeated fields."""
     cited = _evidence(spark, d).where("rank <= 2").groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("cited"))
     j = F.concat(F.lit('{"answer":"a'), F.col("query_id"), F.lit('","cited_chunks":["'), F.array_join("cited", '","'), F.lit('"],"confidence_score":'), ((F.col("query_id") % 10) / 10).cast("string"), F.lit("}"))
     only = F.concat(F.lit('{"answer":"x'), F.col("query_id"), F.lit('"}'))
     shapes = [
         F.lit("no json here"), F.concat(F.lit("Answer: "), j, F.lit(" done")), F.concat(j, F.lit(" "), only), F.concat(only, F.lit(" done")), F.lit('{"answer":"a","cited_chunks":[],"confidence_score":null}'),
         F.lit("[1, 2]"), F.concat(F.lit('{"cited_chunks":["'), F.array_join("cited", '","'), F.lit('"]}')), F.lit("{not: json} at all"), j,
+        F.concat(F.lit('{"answer":"p","answer":"q'), F.col("query_id"), F.lit('","confidence_score":0.1,"confidence_score":0.25}')), F.concat(F.lit('{"answer":"a'), F.col("query_id"), F.lit('","confidence_score":true}')),
+        F.concat(F.lit('{"cited_chunks":"c'), F.col("query_id"), F.lit('"}')), F.concat(F.lit('{"cited_chunks":{"k'), F.col("query_id"), F.lit('":1,"b":2}}')), F.lit('{"answer":true}'),
     ]
     text = F.lit(None).cast("string")
     for k, shape in enumerate(shapes):
-        text = F.when(F.col("query_id") % 9 == k, shape).otherwise(text)
+        text = F.when(F.col("query_id") % 14 == k, shape).otherwise(text)
     return cited.select("query_id", text.alias("response"))
 
 

@@ -26,14 +26,19 @@ def parse_responses(df: DataFrame, col: str = "response") -> DataFrame:
     """df with answer, cited_chunks, confidence.
 
     A text that is one JSON object gives its fields (defaults: empty, none, 0.5); else, with text around it or after it,
-    the first flat {...} in the text does (defaults: the text, none, 0.3); else the text itself stands with 0.3. JSON that
-    isn't an object, a confidence that isn't a number and citations that aren't a list are an error answer with 0; a null
-    there is such a value, a field that isn't there takes the default. A null answer reads None. A null response counts as
-    empty text.
+    the first flat {...} in the text does (defaults: the text, none, 0.3); else the text itself stands with 0.3. Of a
+    repeated field the last counts. An answer that is null, true or false reads None, True or False; a confidence of true
+    or false is 1 or 0; citations that are a text or an object are its characters or its keys. JSON that isn't an object,
+    a confidence that is no number and citations of other kinds are an error answer with 0, nulls there too; a field that
+    isn't there takes the default. NaN and Infinity are no JSON here, so a text with them stands as it is; an answer that
+    is a list or object reads as its JSON. A null response counts as empty text. Leaves
+    spark.sql.variant.allowDuplicateKeys on in the session.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     schema = "answer string, cited_chunks array<string>, confidence_score string"
     raw = F.coalesce(F.col(col), F.lit(""))
     kind = lambda c: F.schema_of_variant(F.try_parse_json(c))
+    kind_of = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("_json"), f"$.{k}", "variant")), F.lit(""))
     # the parser stops behind the first value; alone inside brackets of both kinds, a text is one value and no more
     whole = T.strip(raw)
     listed, named = F.concat(F.lit("["), whole, F.lit("]")), F.concat(F.lit('{"v":'), whole, F.lit("}"))
@@ -42,17 +47,28 @@ def parse_responses(df: DataFrame, col: str = "response") -> DataFrame:
     rows = df.withColumns({"_raw": raw, "_kind": F.when(one, kind(whole)), "_block": block, "_block_kind": kind(block)})
     rows = rows.withColumn("_from", F.when(F.col("_kind").isNotNull(), F.when(F.col("_kind").startswith("OBJECT"), 1).otherwise(0)).when(F.col("_block_kind").startswith("OBJECT"), 2).otherwise(3))
     rows = rows.withColumn("_json", F.when(F.col("_from") == 1, whole).when(F.col("_from") == 2, F.col("_block")))
-    rows = rows.withColumns({"_d": F.from_json("_json", schema), "_keys": F.coalesce(F.json_object_keys("_json"), F.array().cast("array<string>"))})
-    number = F.expr("try_cast(_d.confidence_score as double)")
+    rows = rows.withColumns({
+        "_d": F.from_json("_json", schema), "_plain": F.from_json("_json", "cited_chunks string")["cited_chunks"], "_keys": F.coalesce(F.json_object_keys("_json"), F.array().cast("array<string>")),
+        "_answer": kind_of("answer"), "_cited": kind_of("cited_chunks"), "_sure": kind_of("confidence_score"),
+    })
+    truth = lambda k, yes, no: F.when(F.col(f"_d.{k}") == "true", yes).otherwise(no)
+    number = F.when(F.col("_sure") == "BOOLEAN", truth("confidence_score", 1.0, 0.0)).otherwise(F.expr("try_cast(_d.confidence_score as double)"))
+    none_cited = F.array().cast("array<string>")
+    cited = (
+        F.when(F.col("_cited").startswith("ARRAY"), F.col("_d.cited_chunks"))
+        .when(F.col("_cited") == "STRING", F.when(F.col("_plain") == "", none_cited).otherwise(F.split("_plain", "")))
+        .when(F.col("_cited").startswith("OBJECT"), F.array_distinct(F.json_object_keys("_plain")))
+    )
     has = lambda k: F.array_contains("_keys", k)
-    bad = (F.col("_from") == 0) | (has("confidence_score") & number.isNull()) | (has("cited_chunks") & F.col("_d.cited_chunks").isNull())
+    bad = (F.col("_from") == 0) | (has("confidence_score") & number.isNull()) | (has("cited_chunks") & cited.isNull())
+    said = F.when(F.col("_answer") == "BOOLEAN", truth("answer", "True", "False")).otherwise(F.col("_d.answer"))
     none = F.when(has("answer"), "None").when(F.col("_from") == 1, "").otherwise(F.col("_raw"))
     default = F.when(F.col("_from") == 1, 0.5).otherwise(0.3)
     return rows.withColumns({
-        "answer": F.when(bad, F.lit("error")).otherwise(F.coalesce("_d.answer", none)),
-        "cited_chunks": F.when(bad, F.array().cast("array<string>")).otherwise(F.coalesce("_d.cited_chunks", F.array().cast("array<string>"))),
+        "answer": F.when(bad, F.lit("error")).otherwise(F.coalesce(said, none)),
+        "cited_chunks": F.when(bad, none_cited).otherwise(F.coalesce(cited, none_cited)),
         "confidence": F.when(bad, 0.0).otherwise(F.coalesce(number, default)),
-    }).drop("_raw", "_kind", "_block", "_block_kind", "_from", "_json", "_d", "_keys")
+    }).drop("_raw", "_kind", "_block", "_block_kind", "_from", "_json", "_d", "_plain", "_keys", "_answer", "_cited", "_sure")
 
 
 def confidence_gate(generated: DataFrame, hits: DataFrame, low: float = 0.4, high: float = 0.7) -> DataFrame:

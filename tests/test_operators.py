@@ -182,13 +182,16 @@ def test_responses_with_text_around_json(spark):
     rows = [
         '{"answer":"x"} done', '{"a":1} {"answer":"y","cited_chunks":["c"],"confidence_score":0.8}', '{"answer":null}', '{"confidence_score":null}', '{"cited_chunks":null}', '{"cited_chunks":"c"}',
         '{"answer":"x"}, {"answer":"y"}', '"text"', "null", "1] [2", '1, "b": 2', ' {"answer": 5, "confidence_score": "0.25"}\n', "{broken} text", '{"a": {"answer": "deep"}} tail',
+        '{"answer":"p","answer":"q","cited_chunks":["a"],"cited_chunks":["b"]}', '{"answer":true,"confidence_score":false}', '{"confidence_score":"true"}', '{"cited_chunks":{"b":1,"a":{"c":2},"b":3}}', '{"cited_chunks":""}', '{"cited_chunks":7}',
+        'see {"answer":false,"confidence_score":true} end', '{"answer":NaN}', '{"answer":"true","cited_chunks":[]}', '{"answer":{"b":1}}',
     ]
     df = spark.createDataFrame(list(enumerate(rows)), "query_id int, response string")
     p = {r.query_id: (r.answer, r.cited_chunks, r.confidence) for r in answer.parse_responses(df).collect()}
     error = ("error", [], 0.0)
     assert p == {
-        0: ("x", [], 0.3), 1: (rows[1], [], 0.3), 2: ("None", [], 0.5), 3: error, 4: error, 5: error, 6: ("x", [], 0.3), 7: error, 8: error,
+        0: ("x", [], 0.3), 1: (rows[1], [], 0.3), 2: ("None", [], 0.5), 3: error, 4: error, 5: ("", ["c"], 0.5), 6: ("x", [], 0.3), 7: error, 8: error,
         9: (rows[9], [], 0.3), 10: (rows[10], [], 0.3), 11: ("5", [], 0.25), 12: (rows[12], [], 0.3), 13: ("deep", [], 0.3),
+        14: ("q", ["b"], 0.5), 15: ("True", [], 0.0), 16: error, 17: ("", ["b", "a"], 0.5), 18: ("", [], 0.5), 19: error, 20: ("False", [], 1.0), 21: (rows[21], [], 0.3), 22: ("true", [], 0.5), 23: ('{"b":1}', [], 0.5),
     }
 
 
