@@ -293,6 +293,15 @@ def test_nodes_of_chunks_and_references_beyond_the_cut(spark):
     assert {r.doc_id for r in graph.chunk_nodes(nodes, chunks.where("doc_id = 2")).collect()} == {2}
 
 
+def test_chunk_nodes_query_gives_the_nodes_of_every_chunk(spark, tmp_path):
+    from lodestone.jobs import queries
+
+    spark.createDataFrame([(k, f"T{k % 3}", k, f"B{k % 2}") for k in range(1, 26)], "p_partkey bigint, p_type string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(r.node_id for r in queries.chunk_nodes(spark, str(tmp_path)).collect())
+    nodes = graph.build_graph(queries.rule_chunks(spark, str(tmp_path)))[0]
+    assert got == sorted(r.node_id for r in nodes.collect()) and {n.split(":")[0] for n in got} == {str(k) for k in range(1, 26)}
+
+
 def test_evaluation(spark):
     rows = spark.createDataFrame([("simple", "a b", "a c"), ("multi_hop", "", ""), ("multi_hop", "x", "")], "difficulty string, pred string, ref string")
     m = {r.bucket: r for r in evaluate.bucket_metrics(evaluate.token_prf(rows)).collect()}
