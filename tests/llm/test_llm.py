@@ -709,3 +709,22 @@ def test_near_in_blocks(spark, monkeypatch):
         rows.append((len(rows), " ".join(w)))
     got = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
     assert got == brute_near(rows, 2)
+
+
+def test_near_members_of_like_buckets_stand_once(spark, monkeypatch):
+    """Full sets of a group whose members share many buckets are dealt once a member, not once a bucket."""
+    for name, n in (("BLOCK", 4), ("SET_BLOCK", 4), ("FIRST_BANDS", 1)):
+        monkeypatch.setattr(near_dedup, name, n)
+    given, forest = [], near_dedup._forest
+    monkeypatch.setattr(near_dedup, "_forest", lambda rows, *rest: given.append(rows.collect()) or forest(rows, *rest))
+    r = random.Random(23)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for _ in range(60):
+        w = base[:]
+        for k in r.sample(range(60), 5):
+            w[k] = f"z{r.randrange(900)}"
+        rows.append((len(rows), " ".join(w)))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
+    assert got == brute_near(rows, 2)
+    nodes = [x.node for x in given[0]]
+    assert len(nodes) > 4 * near_dedup.SET_BLOCK and len(nodes) == len(set(nodes))
