@@ -136,7 +136,7 @@ def grid_search(docs: DataFrame, queries: DataFrame, sizes: list[int], overlaps:
     """
     pairs = [(s, o) for s in sizes for o in overlaps if o < s]
     placed = store({"placed": sweep.placed_terms(spread(docs.select("doc_id", "text")))})["placed"]
-    counts = store({"counts": sweep.counted(placed, pairs)})["counts"]
+    counts = sweep.counted(placed, pairs)
     weighed, lengths = sweep.weights(counts, queries)
     hits = sweep.ranked(placed, pairs, weighed, lengths, max(ks))
     spark = docs.sparkSession

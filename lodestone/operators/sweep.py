@@ -2,38 +2,38 @@
 
 Documents are read and cut into terms once. Which windows of a setting hold a term follows from its place; where a window's
 edge cuts a run of letters, what is left of it on either side is a term of its own. A first pass counts, for each setting,
-in how many windows each term is and how long windows are; a second scores the windows of a batch of documents for a set
-of queries at a time, and lets out each query's best of the batch, so that scores don't meet but in the last ranking.
+in how many windows each term is and how long windows are; a second scores the windows for a set of queries at a time, and
+lets out each query's best of a task, so that scores don't meet but in the last ranking.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import store
-from .retrieval import K1, B, top_k
+from .retrieval import top_k
+from .scoring import Best, Held, norms
 
-#: Queries whose weights go out together, and what a score's rounding may hide, of the most that a query can score.
-QUERIES, SLACK = 256, 2e-6
-#: Windows that are ranked together inside a batch.
-ROWS = 512
+#: Queries whose weights go out together; terms whose windows are told together, and words that a task counts before it lets them out.
+QUERIES, TERMS, WORDS = 256, 100_000, 500_000
 _HAN = "一-鿿"
-_WHITE = np.array([ord(c) for c in T.WHITE], dtype=np.uint32)
+_IS_WHITE = np.isin(np.arange(max(map(ord, T.WHITE)) + 2), [ord(c) for c in T.WHITE])
 
 
 def _runs():
     import regex
 
-    return regex.compile(f"[{_HAN}]+|(?:(?![{_HAN}])[\\p{{L}}\\p{{N}}])+")
+    return regex.compile(f"[{_HAN}]+|[[\\p{{L}}\\p{{N}}]--[{_HAN}]]+", regex.V1)
 
 
 def run_terms(run: str, runs) -> list[str]:
@@ -50,90 +50,199 @@ def placed_terms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _runs()
+        known: dict[str, list[str]] = {}  # runs that come again aren't cut again
         for b in batches:
-            texts = b["text"].to_pylist()
-            found = [[(t, m.start(), m.end()) for m in runs.finditer(text) for t in run_terms(m.group(), runs)] for text in texts]
-            lists = [pa.array([[f[k] for f in own] for own in found], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], *lists], ["doc_id", "text", "terms", "starts", "ends"])
+            done = 0
+            cuts: list[int] = [0]
+            terms: list[str] = []
+            starts: list[int] = []
+            ends: list[int] = []
+
+            def sent(docs: pa.RecordBatch) -> pa.RecordBatch:
+                at = pa.array(cuts, pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((terms, pa.string()), (starts, pa.int32()), (ends, pa.int32()))]
+                return pa.RecordBatch.from_arrays([docs["doc_id"], docs["text"], *lists], ["doc_id", "text", "terms", "starts", "ends"])
+
+            for number in range(b.num_rows):
+                text = b["text"][number].as_py()
+                for m in runs.finditer(text):
+                    part = m.group()
+                    if (own := known.get(part)) is None:
+                        own = run_terms(part, runs)
+                        if len(known) < WORDS:
+                            known[part] = own
+                    start, end = m.span()
+                    for t in own:
+                        terms.append(t)
+                        starts.append(start)
+                        ends.append(end)
+                cuts.append(len(terms))
+                if len(terms) > TERMS or number + 1 == b.num_rows:
+                    yield sent(b.slice(done, number + 1 - done))
+                    done, cuts, terms, starts, ends = number + 1, [0], [], [], []
 
     own = docs.where(~T.is_blank(F.col("text"))).select("doc_id", "text")
     return own.mapInArrow(run, f"doc_id {kind}, text string, terms array<string>, starts array<int>, ends array<int>")
 
 
-class Words:
-    """Numbers of terms, those of a batch first, then those of cut runs as they come."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.coded = batch["terms"].flatten().dictionary_encode()
-        self.names: list[str] = self.coded.dictionary.to_pylist()
-        self.numbers = {w: n for n, w in enumerate(self.names)}
-        self.cuts = batch["terms"].offsets.to_numpy() - batch["terms"].offsets[0].as_py()
+class Placed:
+    """Some documents of a batch: their terms as numbers with places, and which windows of a setting hold them."""
+
+    def __init__(self, b: pa.RecordBatch, runs):
+        coded = b["terms"].flatten().dictionary_encode()
+        texts = b["text"].to_pylist()
+        self.names: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.known = len(self.names)
+        self.codes = np.asarray(coded.indices, dtype=np.int64)
+        self.doc = np.repeat(np.arange(b.num_rows), np.asarray(b["terms"].value_lengths(), dtype=np.int64))
+        self.text, self.runs = "".join(texts), runs
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        starts, ends = (b[c].flatten().to_numpy().astype(np.int64) for c in ("starts", "ends"))
+        self.starts, self.ends = starts, ends
+        self.first, self.past = starts + self.begin[self.doc], ends + self.begin[self.doc]  # places among all texts
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        #: how many characters that aren't white space come before each place
+        self.solid = np.concatenate([[0], np.cumsum(~_IS_WHITE[np.minimum(points, len(_IS_WHITE) - 1)])])
+        self.numbers: dict[str, int] = {}
+        self.cut: dict[str, list[int]] = {}
 
     def number(self, word: str) -> int:
+        if not self.numbers:
+            self.numbers = {w: n for n, w in enumerate(self.names)}
         if word not in self.numbers:
             self.numbers[word] = len(self.names)
             self.names.append(word)
         return self.numbers[word]
 
-
-def solid_before(text: str) -> np.ndarray:
-    """How many characters that aren't white space come before each place of a text."""
-    return np.concatenate([[0], np.cumsum(~np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _WHITE))])
-
-
-def windowed(text: str, solid: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, size: int, overlap: int, words: Words, runs) -> tuple[np.ndarray, ...]:
-    """(windows, window, term, tf): the windows that aren't blank, and which terms each holds how often (by window and term)."""
-    step, n = size - overlap, len(text)
-    a = np.arange(max(math.ceil((n - size) / step), 0) + 1) * step
-    b = np.minimum(a + size, n)
-    kept = np.flatnonzero(solid[b] > solid[a])
-    first = np.maximum(0, -((size - ends) // step))
-    last = np.minimum(len(a) - 1, starts // step)
-    many = np.maximum(0, last - first + 1)
-    window = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    term = np.repeat(codes, many)
-    more: list[tuple[int, int]] = []
-    if len(starts):
-        left, right = np.searchsorted(starts, a, side="left") - 1, np.searchsorted(starts, b, side="left") - 1
-        for i in np.flatnonzero((left >= 0) & (ends[left] > a)):
-            more += [(i, words.number(t)) for t in run_terms(text[a[i] : min(ends[left[i]], b[i])], runs)]
-        for i in np.flatnonzero((right >= 0) & (ends[right] > b) & (starts[right] >= a)):
-            more += [(i, words.number(t)) for t in run_terms(text[starts[right[i]] : b[i]], runs)]
-    if more:
-        window, term = np.concatenate([window, [m[0] for m in more]]), np.concatenate([term, [m[1] for m in more]])
-    wide = 1 << 32
-    both, tf = np.unique(window.astype(np.int64) * wide + term, return_counts=True)
-    return kept, both // wide, both % wide, tf
-
-
-def _documents(b: pa.RecordBatch, words: Words) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    codes = np.asarray(words.coded.indices, dtype=np.int64)
-    starts, ends = (b[c].flatten().to_numpy() for c in ("starts", "ends"))
-    for n, text in enumerate(b["text"].to_pylist()):
-        own = slice(words.cuts[n], words.cuts[n + 1])
-        yield n, text, solid_before(text), starts[own].astype(np.int64), ends[own].astype(np.int64), codes[own]
+    def pieces(self, part: str) -> list[int]:
+        """Numbers of the terms of a part of a run; parts that come again aren't cut again."""
+        if part not in self.cut:
+            self.cut[part] = [self.number(t) for t in run_terms(part, self.runs)]
+        return self.cut[part]
+
+    def windows(self, size: int, overlap: int) -> Windows:
+        step = size - overlap
+        many = np.maximum(-(-(self.length - size) // step), 0) + 1
+        base = np.cumsum(many) - many
+        doc = np.repeat(np.arange(len(many)), many)
+        index = np.arange(len(doc)) - base[doc]
+        a = index * step + self.begin[doc]
+        b = np.minimum(index * step + size, self.length[doc]) + self.begin[doc]
+        first = np.maximum(0, -((size - self.ends) // step))
+        last = np.minimum(many[self.doc] - 1, self.starts // step)
+        cut: list[tuple[int, int, int]] = []
+        if len(self.first):
+            left, right = np.searchsorted(self.first, a, side="left") - 1, np.searchsorted(self.first, b, side="left") - 1
+            at = np.flatnonzero((left >= 0) & (self.first[left] >= self.begin[doc]) & (self.past[left] > a))
+            cut += zip(at.tolist(), a[at].tolist(), np.minimum(self.past[left[at]], b[at]).tolist(), strict=True)
+            at = np.flatnonzero((right >= 0) & (self.past[right] > b) & (self.first[right] >= a))
+            cut += zip(at.tolist(), self.first[right[at]].tolist(), b[at].tolist(), strict=True)
+        text, pieces = self.text, self.pieces
+        more = [(i, t) for i, x, y in cut for t in pieces(text[x:y])]
+        rest = np.array(more, dtype=np.int64).reshape(-1, 2)
+        rest = rest[np.argsort(rest[:, 0], kind="stable")]
+        return Windows(doc, index, a, b, self.solid[b] > self.solid[a], first + base[self.doc], last + base[self.doc], rest[:, 0], rest[:, 1])
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Windows of a setting: their documents, numbers there, places, and whether they hold more than white space; the first and
+    last window that holds each term whole (none where the last comes before the first); and windows and terms of cut runs."""
+
+    doc: np.ndarray
+    index: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    kept: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    rest: np.ndarray
+    rest_terms: np.ndarray
+
+    def lengths(self) -> np.ndarray:
+        """How many terms each window holds."""
+        n, held = len(self.doc), self.first <= self.last
+        whole = np.cumsum(np.bincount(self.first[held], minlength=n + 1) - np.bincount(self.last[held] + 1, minlength=n + 1))[:n]
+        return whole + np.bincount(self.rest, minlength=n)
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's documents with about TERMS terms and as many characters tenfold, so that what is made of them stays small."""
+    if not b.num_rows:
+        return
+    n = np.asarray(b["terms"].value_lengths(), dtype=np.int64) + np.asarray(pa.compute.utf8_length(b["text"]), dtype=np.int64) // 10
+    at = np.cumsum(n) // TERMS
+    for begin, end in zip((cuts := np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])), cuts[1:], strict=False):
+        yield b.slice(begin, end - begin)
 
 
 def counted(placed: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
-    """(pair, term, n, total): for each setting the number of windows that hold each term; and, with a null term, their number and total length."""
+    """(pair, term, n, total): for each setting the number of windows that hold each term; and, with a null term, their number and total length. Sums are stored.
+
+    A term's windows follow from its places in a document, each time it stands there those after the time before; none are listed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _runs()
-        for b in batches:
-            words = Words(b)
-            held: list[list[np.ndarray]] = [[] for _ in settings]
-            sizes = np.zeros((len(settings), 2), dtype=np.int64)
-            for _, text, solid, starts, ends, codes in _documents(b, words):
-                for p, (size, overlap) in enumerate(settings):
-                    kept, _, term, tf = windowed(text, solid, starts, ends, codes, size, overlap, words, runs)
-                    held[p].append(term)
-                    sizes[p] += len(kept), tf.sum()
-            for p, found in enumerate(held):
-                df = np.bincount(np.concatenate(found) if found else [], minlength=len(words.names))
-                at = np.flatnonzero(df)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, p, dtype=np.int32)), pa.array([*(words.names[k] for k in at), None], pa.string()), pa.array([*df[at].tolist(), int(sizes[p, 0])], pa.int64()), pa.array([0] * len(at) + [int(sizes[p, 1])], pa.int64())], ["pair", "term", "n", "total"])
-
-    return placed.mapInArrow(run, "pair int, term string, n bigint, total bigint").groupBy("pair", "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        numbers: dict[str, int] = {}
+        totals = np.zeros((len(settings), 1 << 12), dtype=np.int64)
+        sizes = np.zeros((len(settings), 2), dtype=np.int64)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            names = list(numbers)
+            for begin in range(0, len(names), 1 << 16):
+                own = names[begin : begin + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(np.zeros(len(own), dtype=np.int32)), *(pa.array(t[begin : begin + len(own)]) for t in totals)], ["term", "what", *columns])
+            numbers.clear()
+            totals[:] = 0
+
+        for b in (x for batch in batches for x in slices(batch)):
+            s = Placed(b, runs)
+            reach = int(s.length.max(initial=0)) + 2
+            group = s.doc * s.known + s.codes
+            order = np.argsort(group, kind="stable")  # places of a document's terms are in order already
+            sorted_group, term = group[order], s.codes[order]
+            again = np.r_[False, sorted_group[1:] == sorted_group[:-1]]
+            places, past = sorted_group * reach + s.starts[order], s.past[order]
+            found = []
+            for p, (size, overlap) in enumerate(settings):
+                w = s.windows(size, overlap)
+                first, last = w.first[order], w.last[order]
+                before = np.where(again, np.r_[-1, last[:-1]], -1) if len(last) else last
+                new = np.maximum(0, last - np.maximum(first, before + 1) + 1)
+                window, extra = np.divmod(np.unique(w.rest * len(s.names) + w.rest_terms), max(1, len(s.names)))
+                # a cut run's term that its window also holds whole is there already
+                if len(places) and len(extra):
+                    own = np.minimum(extra, s.known - 1)
+                    asked = w.doc[window] * s.known + own
+                    at = np.searchsorted(places, asked * reach + (w.a[window] - s.begin[w.doc[window]]))
+                    near = np.minimum(at, len(places) - 1)
+                    there = (extra < s.known) & (at < len(places)) & (sorted_group[near] == asked) & (past[near] <= w.b[window])
+                    extra = extra[~there]
+                found.append((np.bincount(term, weights=new, minlength=1), extra))
+                sizes[p] += int(w.kept.sum()), int(w.lengths().sum())
+            ids = np.array([numbers.setdefault(x, len(numbers)) for x in s.names], dtype=np.int64)
+            if len(numbers) > totals.shape[1]:
+                totals = np.concatenate([totals, np.zeros((len(settings), max(totals.shape[1], len(numbers) - totals.shape[1])), dtype=np.int64)], axis=1)
+            for p, (whole, extra) in enumerate(found):
+                if len(s.names):
+                    n = np.bincount(extra, minlength=len(s.names))
+                    n[: len(whole)] += whole.astype(np.int64)[: len(n)]
+                    totals[p, ids] += n
+            if len(numbers) > WORDS:
+                yield from sent()
+        yield from sent()
+        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.string()), pa.array([0, 1], pa.int32()), *(pa.array(x) for x in sizes)], ["term", "what", *columns])
+
+    # a row a term with a column for each setting, so that terms are shuffled once for all settings
+    columns = [f"n{p}" for p in range(len(settings))]
+    own = placed.mapInArrow(run, ", ".join(["term string, what int", *(f"{c} bigint" for c in columns)]))
+    summed = store({"summed": own.groupBy("term", "what").agg(*(F.sum(c).alias(c) for c in columns))})["summed"]
+    each = summed.select("term", "what", F.posexplode(F.array(*columns)).alias("pair", "n"))
+    of = lambda what: F.sum(F.when(F.col("what") == what, F.col("n"))).alias("n" if what == 0 else "total")
+    terms = each.where("term is not null and n > 0").select("pair", "term", "n", F.lit(0).cast("bigint").alias("total"))
+    return terms.union(each.where("term is null").groupBy("pair").agg(of(0), of(1)).select("pair", F.lit(None).cast("string").alias("term"), "n", "total"))
 
 
 def weights(counts: DataFrame, queries: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, float]]]:
@@ -170,60 +279,35 @@ def ranked(placed: DataFrame, settings: list[tuple[int, int]], weighed: DataFram
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, names, tables = sent.value
             runs = _runs()
-            for b in batches:
-                words = Words(b)
-                docs = list(_documents(b, words))
-                asked = np.zeros(0, dtype=np.int64)  # the numbers of a batch's words among the asked
+            bests = [Best(w, k) for w in tables]
+            held = [Held(best, ["doc_id", "chunk_index"]) for best in bests]
+            for b in (x for batch in batches for x in slices(batch)) if names else ():
+                s = Placed(b, runs)
+                asked = np.array([names.get(x, -1) for x in s.names], dtype=np.int64)  # the numbers of the documents' words among the asked
+                mine = np.flatnonzero(asked[s.codes] >= 0) if len(s.codes) else np.zeros(0, dtype=np.int64)
+                term = asked[s.codes[mine]] if len(mine) else mine
                 for p, (size, overlap) in enumerate(settings):
-                    w = tables[p]
-                    if not len(names):
+                    w = s.windows(size, overlap)
+                    first, last = w.first[mine], w.last[mine]
+                    # a term's first windows, second ones, and so on are each in order
+                    parts = [(first[on := np.flatnonzero(first + n <= last)] + n, term[on], None) for n in range(int((last - first).max(initial=-1)) + 1)]
+                    if len(s.names) > len(asked):
+                        asked = np.append(asked, [names.get(x, -1) for x in s.names[len(asked) :]]).astype(np.int64)
+                    if len(w.rest):
+                        own = asked[w.rest_terms]
+                        parts.append((w.rest[own >= 0], own[own >= 0], None))
+                    if not parts:
                         continue
-                    plain, has = np.nan_to_num(w), ~np.isnan(w)
-                    odd = bool((has & (plain <= 0)).any())
-                    cap = np.maximum(plain, 0).sum(axis=0) * (K1 + 1) * SLACK
-                    best: list[tuple[np.ndarray, ...]] = []
-                    held_back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                    least = np.full(len(ids), -np.inf)
-
-                    def settle() -> None:
-                        """Lets go of what k windows of the batch beat, as far as rounding can't bring it up again."""
-                        doc, window, raw = (np.concatenate([x[c] for x in held_back]) for c in range(3))
-                        held_back.clear()
-                        if len(raw) > k:
-                            np.maximum(least, np.partition(raw, -k, axis=0)[-k] - cap, out=least)
-                        where, query = np.nonzero((raw >= least) & (raw > -np.inf))
-                        best.append((doc[where], window[where], query, raw[where, query]))
-
-                    for n, text, solid, starts, ends, codes in docs:
-                        _, window, term, tf = windowed(text, solid, starts, ends, codes, size, overlap, words, runs)
-                        dl = np.bincount(window, weights=tf) if len(window) else np.zeros(0)
-                        if len(asked) < len(words.names):
-                            asked = np.append(asked, [names.get(x, -1) for x in words.names[len(asked) :]]).astype(np.int64)
-                        at = asked[term]
-                        mine = at >= 0
-                        if not mine.any():
-                            continue
-                        window, at, tf = window[mine], at[mine], tf[mine]
-                        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[window] / sizes[p][1]))
-                        held, row = np.unique(window, return_inverse=True)
-                        own, column = np.unique(at, return_inverse=True)
-                        parts = np.zeros((len(held), len(own)))
-                        parts[row, column] = part
-                        raw = parts @ plain[own]
-                        hit = (parts > 0).astype(float) @ has[own] > 0 if odd else raw != 0
-                        held_back.append((np.full(len(held), n), held, np.where(hit, raw, -np.inf)))
-                        if sum(len(x[0]) for x in held_back) >= ROWS:
-                            settle()
-                    if held_back:
-                        settle()
-                    if not best:
+                    (window, query, raw), _ = bests[p].add(len(w.doc), parts, norms(w.lengths(), sizes[p][1]))
+                    if not len(window):
                         continue
-                    doc, window, query, raw = (np.concatenate([x[c] for x in best]) for c in range(4))
-                    kept = raw >= least[query]
-                    doc, window, query, raw = doc[kept], window[kept], query[kept], raw[kept]
-                    step = size - overlap
-                    texts = [docs[d][1][i * step : i * step + min(size, 100)] for d, i in zip(doc, window, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), p, dtype=np.int32)), pa.array(ids[query]), b["doc_id"].take(pa.array(doc)), pa.array(window.astype(np.int32)), pa.array(raw), pa.array(texts, pa.string())], ["pair", "query_id", "doc_id", "chunk_index", "raw", "text"])
+                    a, end = w.a[window], np.minimum(w.b[window], w.a[window] + 100)
+                    texts = [s.text[x:y] for x, y in zip(a.tolist(), end.tolist(), strict=True)]
+                    held[p].add(pa.table([pa.array(query), pa.array(raw), b["doc_id"].take(pa.array(w.doc[window])), pa.array(w.index[window].astype(np.int32)), pa.array(texts, pa.string())], ["column", "raw", "doc_id", "chunk_index", "text"]))
+            for p, own in enumerate(held):
+                if (rows := own.out()) is not None:
+                    for r in rows.to_batches():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(r.num_rows, p, dtype=np.int32)), pa.array(ids[r["column"].to_numpy()]), r["doc_id"], r["chunk_index"], r["raw"], r["text"]], ["pair", "query_id", "doc_id", "chunk_index", "raw", "text"])
 
         out.append(placed.mapInArrow(run, schema))
     found = reduce(DataFrame.union, out)
