@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestone.operators import scoring, sweep
+from lodestone.operators import index, retrieval, scan, scoring, sweep
 
 
 def placed(texts):
@@ -62,3 +62,40 @@ def test_best_of_batches_against_all_scores(odd):
         assert all(abs(x - raw[key, c]) < 1e-12 and hit[key, c] for key, x in found.items())
         first = lambda keys: sorted((-round(raw[key, c], 6), key) for key in keys)[:k]  # noqa: B023, E731
         assert first(found) == first(np.flatnonzero(hit[:, c]).tolist())
+
+
+def test_a_scan_gives_what_scoring_everything_gives(spark, monkeypatch):
+    """Heads with many queries, rare terms, equal chunks, sets of few heads."""
+    r = random.Random(2)
+    words = ["the", "of", *(f"w{i}" for i in range(30))]
+    text = lambda n: " ".join(r.choice(words[:2]) if r.random() < 0.4 else r.choice(words) for _ in range(n))
+    rows = [(i, j, f"{text(r.randint(1, 9))} key{i}") for i in range(120) for j in range(2)] + [(200 + i, 0, "of w3 w4") for i in range(40)] + [(300, 0, ""), (301, 0, None)]
+    chunks = spark.createDataFrame(rows, "doc_id bigint, chunk_index int, text string").repartition(5)
+    asked = [(i, f"{['w3 w4', 'the of w9', 'w3 w4 w4'][i % 3]} key{7 * i % 130}") for i in range(60)] + [(70, "key5"), (71, "zzz"), (72, ""), (73, "of the"), (74, "w1 key3 key4")]
+    q = spark.createDataFrame(asked, "query_id bigint, query string")
+    plain = index.build_index(chunks)
+    got = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "chunk_index", "score", "rank").collect()))
+    for numbers, rare, k in ((1 << 22, 3, 5), (60, 3, 30), (1 << 22, 0, 5)):
+        monkeypatch.setattr(scan, "NUMBERS", numbers)
+        monkeypatch.setattr(scan, "RARE", rare)
+        assert got(retrieval.bm25_search(q, {"chunks": chunks}, k)) == got(retrieval.bm25_search(q, plain, k))
+    assert scan.search(q, chunks.limit(0), 3).count() == scan.search(q.limit(0), chunks, 3).count() == 0
+
+
+def searches(spark, monkeypatch, name):
+    """(rows of a registered query on sf0.001, searches that it made, block indexes that it wrote)"""
+    from lodestone.jobs import queries
+    from lodestone.sources.tables import work_dir
+
+    calls, search = [], retrieval.bm25_search
+    monkeypatch.setattr(retrieval, "bm25_search", lambda *a, **b: calls.append(a) or search(*a, **b))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/blocks-*")
+    written = lambda: len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [])
+    before = written()
+    n = queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    return n, len(calls), written() - before
+
+
+@pytest.mark.parametrize("name", ["confidence_gate", "keyword_hit"])
+def test_evidence_is_searched_once_and_without_an_index(spark, monkeypatch, name):
+    assert searches(spark, monkeypatch, name) == (40, 1, 0)
