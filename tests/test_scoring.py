@@ -99,3 +99,8 @@ def searches(spark, monkeypatch, name):
 @pytest.mark.parametrize("name", ["confidence_gate", "keyword_hit"])
 def test_evidence_is_searched_once_and_without_an_index(spark, monkeypatch, name):
     assert searches(spark, monkeypatch, name) == (40, 1, 0)
+
+
+def test_padded_hits_are_searched_once_and_without_an_index(spark, monkeypatch):
+    n, calls, written = searches(spark, monkeypatch, "bm25_padded")
+    assert n == 40 * 500 and calls == 1 and written == 0
