@@ -104,3 +104,24 @@ def test_evidence_is_searched_once_and_without_an_index(spark, monkeypatch, name
 def test_padded_hits_are_searched_once_and_without_an_index(spark, monkeypatch):
     n, calls, written = searches(spark, monkeypatch, "bm25_padded")
     assert n == 40 * 500 and calls == 1 and written == 0
+
+
+@pytest.mark.parametrize("name, rows", [("retrieve_rules", 50), ("retrieve_rules_plain", 50)])
+def test_rules_are_searched_without_a_block_index(spark, monkeypatch, name, rows):
+    assert searches(spark, monkeypatch, name) == (rows, 1, 0)
+
+
+def test_nearest_keeps_few_scores_and_breaks_ties_by_key_in_any_order():
+    r = np.random.default_rng(1)
+    scores, keys = np.round(r.random((300, 7)), 1), r.permutation(300)
+    scores[:200] = np.where(r.random((200, 7)) < 0.9, 1.0, scores[:200])  # most of the first ones are alike
+    for order in (np.argsort(keys), np.arange(300)):
+        own = retrieval._Nearest(np.arange(7), 5, ["k0"])
+        for begin in range(0, 300, 50):
+            block = np.sort(order[begin : begin + 50]) if order[0] == 0 else order[begin : begin + 50]
+            block = block[np.argsort(keys[block])]
+            own.add(scores[block], [pa.array(keys[block])])
+        got = own.out().to_pydict()
+        for q in range(7):
+            want = sorted((-s, k) for s, k in zip(scores[:, q], keys, strict=True))[:5]
+            assert [(-s / 1e6, k) for n, s, k in zip(got["query"], got["s"], got["k0"], strict=True) if n == q] == want
