@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestone.operators import index, retrieval, scan, scoring, sweep
+from lodestone.operators import blockmax, index, retrieval, scan, scoring, sweep
 
 
 def placed(texts):
@@ -125,3 +125,21 @@ def test_nearest_keeps_few_scores_and_breaks_ties_by_key_in_any_order():
         for q in range(7):
             want = sorted((-s, k) for s, k in zip(scores[:, q], keys, strict=True))[:5]
             assert [(-s / 1e6, k) for n, s, k in zip(got["query"], got["s"], got["k0"], strict=True) if n == q] == want
+
+
+def test_a_vacuumed_index_keeps_what_it_reads_alone(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, 0, f"w{i % 7} the w{i % 5} the key{i}") for i in range(90)], "doc_id bigint, chunk_index int, text string")
+    q = spark.createDataFrame([(1, "w3 the key9"), (2, "w1 w2")], "query_id bigint, query string")
+    path = f"{tmp_path}/i"
+    blockmax.add_segment(chunks.where("doc_id < 50"), path)
+    blockmax.add_segment(chunks.where("doc_id >= 50"), path)
+    blockmax.delete_documents(spark, path, spark.range(40, 60).select("id").withColumnRenamed("id", "doc_id"))
+    blockmax.merge(spark, path)
+    blockmax.vacuum(spark, path)
+    listed = {x: sorted(p.name for p in (tmp_path / "i" / x).iterdir() if not p.name.startswith(".")) for x in ("forward", "blocks", "terms", "gone", "stats", "generations")}
+    assert listed == {"forward": ["segment=3"], "blocks": ["segment=3"], "terms": ["segment=3"], "gone": [], "stats": ["00000004"], "generations": ["00000004.json"]}
+    found = blockmax.open_index(spark, path)
+    got = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "chunk_index", "score", "rank").collect()))
+    assert got(blockmax.search(q, found, 6)) == got(retrieval.bm25_search(q, index.build_index(chunks.where("doc_id < 40 or doc_id >= 60")), 6))
+    # postings become blocks where their chunks are
+    assert "Exchange" not in blockmax._packed_blocks(found.forward, 5.0)._jdf.queryExecution().executedPlan().toString()
