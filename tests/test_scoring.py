@@ -143,3 +143,14 @@ def test_a_vacuumed_index_keeps_what_it_reads_alone(spark, tmp_path):
     assert got(blockmax.search(q, found, 6)) == got(retrieval.bm25_search(q, index.build_index(chunks.where("doc_id < 40 or doc_id >= 60")), 6))
     # postings become blocks where their chunks are
     assert "Exchange" not in blockmax._packed_blocks(found.forward, 5.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deleted_chunks_of_high_scores_hide_no_others(spark, tmp_path):
+    rows = [(i, 0, "w1 w1 w1" if i < 60 else f"w1 x{i} y z v") for i in range(75)] + [(100 + i, 0, f"u{i} u u") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "doc_id bigint, chunk_index int, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "w1 y")], "query_id bigint, query string")
+    blockmax.add_segment(chunks, f"{tmp_path}/i")
+    blockmax.delete_documents(spark, f"{tmp_path}/i", spark.range(60).withColumnRenamed("id", "doc_id"))
+    got = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "chunk_index", "score", "rank").collect()))
+    want = got(retrieval.bm25_search(q, index.build_index(chunks.where("doc_id >= 60")), 5))
+    assert len(want) == 5 and got(blockmax.search(q, blockmax.open_index(spark, f"{tmp_path}/i"), 5)) == want
